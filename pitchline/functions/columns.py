@@ -55,24 +55,37 @@ def prior_rows(w: WindowSpec, k: int | None = None) -> WindowSpec:
     return w.rowsBetween(Window.unboundedPreceding if k is None else -k, -1)
 
 
-def weighted_prior_mean(x, k: int, w: WindowSpec) -> Column:
+def lag_name(x: str, j: int, prefix: str = "_lag") -> str:
+    return f"{prefix}{j}_{x}"
+
+
+def lag_columns(specs, w: WindowSpec, prefix: str = "_lag") -> list[Column]:
+    """``lag(x, 1..k)`` columns for each (x, k); feed ``weighted_from_lags``."""
+    kmax: dict[str, int] = {}
+    for x, k in specs:
+        kmax[x] = max(kmax.get(x, 0), k)
+    return [F.lag(x, j).over(w).alias(lag_name(x, j, prefix))
+            for x, k in kmax.items() for j in range(1, k + 1)]
+
+
+def weighted_from_lags(x: str, k: int, prefix: str = "_lag") -> Column:
     """Linearly weighted mean of the non-null values among the k previous rows.
 
     With n non-null values in the frame, oldest..newest get weights
-    k-n+1 .. k (the newest always weighs k).  NULL when n == 0.  Built from
-    ``lag`` so it stays a plain arithmetic expression (no per-row arrays).
+    k-n+1 .. k (the newest always weighs k).  NULL when n == 0.  Plain
+    arithmetic over the lag columns: no per-row arrays, codegen friendly.
     """
-    x = col(x)
     num = F.lit(0.0)
     den = F.lit(0.0)
-    seen = F.lit(0)
+    newer = []  # presence flags of the more recent lags
     for j in range(1, k + 1):
-        v = F.lag(x, j).over(w)
-        present = v.isNotNull()
-        wt = (F.lit(k) - seen).cast("double")
-        num = num + F.when(present, v * wt).otherwise(F.lit(0.0))
-        den = den + F.when(present, wt).otherwise(F.lit(0.0))
-        seen = seen + present.cast("int")
+        v = F.col(lag_name(x, j, prefix))
+        wt = F.lit(float(k))
+        for p in newer:
+            wt = wt - p
+        num = num + F.when(v.isNotNull(), v * wt).otherwise(F.lit(0.0))
+        den = den + F.when(v.isNotNull(), wt).otherwise(F.lit(0.0))
+        newer.append(F.when(v.isNotNull(), F.lit(1.0)).otherwise(F.lit(0.0)))
     return F.when(den > 0, num / den)
 
 

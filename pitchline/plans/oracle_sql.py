@@ -89,3 +89,189 @@ f AS (
             e = f"max(CASE WHEN is_home = {flag} THEN {c} END)"
             sel.append(i64(e, f"{side}_{c}") if c == "matches_before" else r6(e, f"{side}_{c}"))
     return f"WITH {M}, {LONG_SQL}, {v}\nSELECT {', '.join(sel)} FROM f GROUP BY match_id"
+
+
+# ------------------------------------------------------------------ Elo (G1)
+ELO_SQL = """
+eo AS (
+  SELECT league_id, match_id, home_team, away_team,
+    CAST(home_goals AS DOUBLE) AS hg, CAST(away_goals AS DOUBLE) AS ag,
+    row_number() OVER (PARTITION BY league_id ORDER BY kickoff ASC NULLS LAST, match_id) AS rn
+  FROM m),
+er(league_id, rn, match_id, he, ae, ratings) AS (
+  SELECT league_id, rn, match_id, he, ae,
+    MAP([home_team, away_team], [he + 20.0E0 * (s - ex), ae + 20.0E0 * ((1.0E0 - s) - (1.0E0 - ex))])
+  FROM (SELECT *, 1500.0E0 AS he, 1500.0E0 AS ae,
+          1.0E0 / (1.0E0 + pow(10.0E0, (1500.0E0 - (1500.0E0 + 65.0E0)) / 400.0E0)) AS ex,
+          CASE WHEN hg > ag THEN 1.0E0 WHEN hg = ag THEN 0.5E0 ELSE 0.0E0 END AS s
+        FROM eo WHERE rn = 1)
+  UNION ALL
+  SELECT league_id, rn, match_id, he, ae,
+    map_concat(ratings, MAP([home_team, away_team], [he + 20.0E0 * (s - ex), ae + 20.0E0 * ((1.0E0 - s) - (1.0E0 - ex))]))
+  FROM (SELECT o.league_id, o.rn, o.match_id, o.home_team, o.away_team, r.ratings,
+          coalesce(r.ratings[o.home_team], 1500.0E0) AS he, coalesce(r.ratings[o.away_team], 1500.0E0) AS ae,
+          1.0E0 / (1.0E0 + pow(10.0E0, (coalesce(r.ratings[o.away_team], 1500.0E0)
+                   - (coalesce(r.ratings[o.home_team], 1500.0E0) + 65.0E0)) / 400.0E0)) AS ex,
+          CASE WHEN o.hg > o.ag THEN 1.0E0 WHEN o.hg = o.ag THEN 0.5E0 ELSE 0.0E0 END AS s
+        FROM er r JOIN eo o ON o.league_id = r.league_id AND o.rn = r.rn + 1)
+),
+e AS (
+  SELECT match_id, he AS home_elo_pre, ae AS away_elo_pre, he - ae AS elo_diff_pre,
+    1.0E0 / (1.0E0 + pow(10.0E0, (ae - (he + 65.0E0)) / 400.0E0)) AS elo_home_win_prob_pre
+  FROM er)"""
+
+
+def elo_sql() -> str:
+    cols = ", ".join(r6(c, c) for c in ["home_elo_pre", "away_elo_pre", "elo_diff_pre", "elo_home_win_prob_pre"])
+    return f"WITH RECURSIVE {M}, {ELO_SQL}\nSELECT match_id, {cols} FROM e"
+
+
+# ------------------------------------------------------------------ momentum
+def _w(part: str = "team") -> str:
+    return f"PARTITION BY {part} ORDER BY kickoff ASC NULLS LAST, match_id"
+
+
+def _list(x: str, k: int, part: str = "team") -> str:
+    return (f"list_filter(list({x}) OVER ({_w(part)} ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING), "
+            f"lambda v: v IS NOT NULL)")
+
+
+def _wavg(lst: str, k: int) -> str:
+    return (f"CASE WHEN len({lst}) > 0 THEN list_sum(list_transform({lst}, lambda v, i: v * ({k} - len({lst}) + i))) "
+            f"/ list_sum(list_transform({lst}, lambda v, i: CAST({k} - len({lst}) + i AS DOUBLE))) END")
+
+
+WAVG_SPECS = [
+    ("points", 3, "form_pts_3", "team"), ("points", 5, "form_pts_5", "team"),
+    ("points", 8, "form_pts_8", "team"), ("gd", 5, "goal_diff_5", "team"),
+    ("xg_diff_proxy", 5, "xg_diff_5_proxy", "team"),
+    ("odds_move_for", 3, "odds_move_for_mom_3", "team"), ("odds_move_for", 5, "odds_move_for_mom_5", "team"),
+    ("odds_move_abs_for", 5, "odds_move_abs_for_mom_5", "team"),
+    ("prob_shift_for", 5, "implied_prob_shift_for_mom_5", "team"),
+    ("travel_km_team", 5, "travel_km_mom_5", "team"),
+    ("opp_adj_points", 5, "opp_adj_form_5", "team"),
+    ("opp_adj_points_elo", 5, "opp_adj_form_5_elo", "team"),
+    ("points", 5, "venue_form_pts_5", "team, is_home"),
+    ("xg_diff_proxy", 5, "venue_xg_diff_5_proxy", "team, is_home"),
+]
+EWM_SPECS = [("odds_move_for", "odds_move_for_ewm_5"), ("prob_shift_for", "implied_prob_shift_for_ewm_5"),
+             ("travel_km_team", "travel_km_ewm_5"), ("match_density", "match_density_ewm_5")]
+
+LONG_FEATURES = [
+    "form_pts_3", "form_pts_5", "form_pts_8", "goal_diff_5", "xg_diff_5_proxy",
+    "mom_slope", "mom_volatility_5", "rest_days", "match_density", "fatigue_adjusted_form",
+    "travel_km_team", "travel_fatigue_score",
+    "odds_move_for_mom_3", "odds_move_for_mom_5", "odds_move_abs_for_mom_5",
+    "implied_prob_shift_for_mom_5", "odds_move_for_ewm_5", "implied_prob_shift_for_ewm_5",
+    "travel_km_mom_5", "travel_km_ewm_5", "match_density_mom_5", "match_density_ewm_5",
+    "travel_fatigue_mom_5", "opp_adj_form_5", "opp_adj_form_5_elo",
+    "venue_form_pts_5", "venue_xg_diff_5_proxy", "pre_match_elo",
+]
+
+
+def _ewm_rec() -> str:
+    """Recursive CTE carrying (y, w) per EWM column along each team's rows."""
+    a, b = 2.0 / 6.0, 1.0 - 2.0 / 6.0
+    n = len(EWM_SPECS)
+    init = ", ".join([f"x{i} AS y{i}" for i in range(n)] + [f"1.0E0 AS w{i}" for i in range(n)])
+    ys_step, ws_step = [], []
+    for i in range(n):
+        y, w, x = f"r.y{i}", f"r.w{i}", f"t.x{i}"
+        ys_step.append(
+            f"CASE WHEN {y} IS NULL THEN {x} WHEN {x} IS NULL THEN {y} "
+            f"ELSE ({w} * {b!r} * {y} + {a!r} * {x}) / ({w} * {b!r} + {a!r}) END AS y{i}")
+        ws_step.append(
+            f"CASE WHEN {y} IS NULL THEN 1.0E0 WHEN {x} IS NULL THEN {w} * {b!r} ELSE 1.0E0 END AS w{i}")
+    step = ys_step + ws_step
+    xs = ", ".join(f"{src} AS x{i}" for i, (src, _) in enumerate(EWM_SPECS))
+    ys = ", ".join(f"y{i}" for i in range(len(EWM_SPECS)))
+    ws = ", ".join(f"w{i}" for i in range(len(EWM_SPECS)))
+    return f"""
+et AS (SELECT team, match_id, is_home, row_number() OVER ({_w()}) AS rn, {xs} FROM s2),
+ew(team, rn, {ys}, {ws}) AS (
+  SELECT team, rn, {init} FROM et WHERE rn = 1
+  UNION ALL
+  SELECT t.team, t.rn, {', '.join(step)}
+  FROM ew r JOIN et t ON t.team = r.team AND t.rn = r.rn + 1)"""
+
+
+def long_features_body() -> str:
+    lists = []
+    for src, k, out, part in WAVG_SPECS:
+        lists.append(f"{_list(src, k, part)} AS L_{out}")
+    f5 = f"({_w()} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)"
+    s1_w = ",\n    ".join(f"{_wavg('L_' + out, k)} AS {out}" for _, k, out, _ in WAVG_SPECS)
+    ewm_cols = ", ".join(f"lag(ew.y{i}) OVER (PARTITION BY et.team ORDER BY et.rn) AS {out}"
+                         for i, (_, out) in enumerate(EWM_SPECS))
+    return f"""
+le AS (
+  SELECT l.*, CASE WHEN is_home = 1 THEN e.home_elo_pre ELSE e.away_elo_pre END AS pre_match_elo,
+    CASE WHEN is_home = 1 THEN e.away_elo_pre ELSE e.home_elo_pre END AS opp_elo
+  FROM l JOIN e USING (match_id)),
+b AS (
+  SELECT *, points * (opponent_ppg / 3.0E0) AS opp_adj_points,
+    points * (1.0E0 / (1.0E0 + pow(10.0E0, (1500.0E0 - opp_elo) / 400.0E0))) AS opp_adj_points_elo
+  FROM le),
+s0 AS (
+  SELECT *, {', '.join(lists)},
+    CASE WHEN count(gd) OVER {f5} >= 2 THEN stddev_pop(gd) OVER {f5} END AS mom_volatility_5,
+    (epoch_us(kickoff) - epoch_us(lag(kickoff) OVER ({_w()}))) / 86400e6 AS rest_days
+  FROM b),
+s1 AS (
+  SELECT *, {s1_w}
+  FROM s0),
+s2 AS (
+  SELECT *, form_pts_3 - form_pts_5 AS mom_slope,
+    CASE WHEN rest_days IS NOT NULL THEN 1.0E0 / greatest(rest_days, 1.0E0) END AS match_density
+  FROM s1),
+s3 AS (
+  SELECT *, form_pts_5 - 0.1E0 * match_density AS fatigue_adjusted_form,
+    match_density + travel_km_team / 1000.0E0 AS travel_fatigue_score
+  FROM s2),
+s4 AS (
+  SELECT *, {_wavg(_list('match_density', 5), 5)} AS match_density_mom_5,
+    {_wavg(_list('travel_fatigue_score', 5), 5)} AS travel_fatigue_mom_5
+  FROM s3),
+{_ewm_rec().strip()},
+s5 AS (
+  SELECT et.match_id, et.is_home, {ewm_cols}
+  FROM et JOIN ew ON ew.team = et.team AND ew.rn = et.rn)"""
+
+
+def long_features_sql() -> str:
+    sel = ["s4.match_id", "s4.is_home", "s4.team"]
+    sel += [r6(f, f) for f in LONG_FEATURES]
+    return (f"WITH RECURSIVE {M}, {LONG_SQL}, {ELO_SQL}, {long_features_body()}\n"
+            f"SELECT {', '.join(sel)} FROM s4 JOIN s5 USING (match_id, is_home)")
+
+
+DIFF_PAIRS = [
+    ("form_pts_diff_3", "form_pts_3"), ("form_pts_diff_5", "form_pts_5"),
+    ("form_pts_diff_8", "form_pts_8"), ("goal_diff_mom_5_diff", "goal_diff_5"),
+    ("xg_diff_mom_5_proxy_diff", "xg_diff_5_proxy"), ("mom_slope_diff", "mom_slope"),
+    ("mom_volatility_diff", "mom_volatility_5"), ("rest_days_diff", "rest_days"),
+    ("match_density_diff", "match_density"), ("fatigue_adjusted_form_diff", "fatigue_adjusted_form"),
+    ("travel_km_team_diff", "travel_km_team"), ("travel_fatigue_score_diff", "travel_fatigue_score"),
+    ("odds_move_for_mom_diff_3", "odds_move_for_mom_3"), ("odds_move_for_mom_diff_5", "odds_move_for_mom_5"),
+    ("odds_move_abs_for_mom_diff_5", "odds_move_abs_for_mom_5"),
+    ("implied_prob_shift_for_mom_diff_5", "implied_prob_shift_for_mom_5"),
+    ("odds_move_for_ewm_diff_5", "odds_move_for_ewm_5"),
+    ("implied_prob_shift_for_ewm_diff_5", "implied_prob_shift_for_ewm_5"),
+    ("travel_km_mom_diff_5", "travel_km_mom_5"), ("travel_km_ewm_diff_5", "travel_km_ewm_5"),
+    ("match_density_mom_diff_5", "match_density_mom_5"), ("match_density_ewm_diff_5", "match_density_ewm_5"),
+    ("travel_fatigue_mom_diff_5", "travel_fatigue_mom_5"), ("opp_adj_form_diff_5", "opp_adj_form_5"),
+    ("opp_adj_form_diff_5_elo", "opp_adj_form_5_elo"), ("venue_form_pts_5_diff", "venue_form_pts_5"),
+    ("venue_xg_diff_5_proxy_diff", "venue_xg_diff_5_proxy"), ("elo_diff_pre_from_merge", "pre_match_elo"),
+]
+
+
+def match_features_sql() -> str:
+    lf = (f"lf AS (SELECT s4.match_id, s4.is_home, {', '.join('s4.' + f if f not in dict(EWM_SPECS).values() else 's5.' + f for f in LONG_FEATURES)} "
+          f"FROM s4 JOIN s5 USING (match_id, is_home))")
+    wide = ", ".join(f"max(CASE WHEN is_home = {v} THEN {f} END) AS {side}_{f}"
+                     for side, v in (("home", 1), ("away", 0)) for f in LONG_FEATURES)
+    sel = ["match_id"] + [r6(f"{side}_{f}", f"{side}_{f}") for side in ("home", "away") for f in LONG_FEATURES]
+    sel += [r6(f"home_{f} - away_{f}", d) for d, f in DIFF_PAIRS]
+    return (f"WITH RECURSIVE {M}, {LONG_SQL}, {ELO_SQL}, {long_features_body()}, {lf},\n"
+            f"w AS (SELECT match_id, {wide} FROM lf GROUP BY match_id)\n"
+            f"SELECT {', '.join(sel)} FROM w")

@@ -28,4 +28,26 @@ def register(name: str, sql: str | Callable[[], str] | None = None):
 def q_venue_history(spark, sf_dir):
     from pitchline.operators.history import venue_history
     return finish(venue_history(matches(spark, sf_dir)))
-FLAGSHIP = "venue_history"
+FLAGSHIP = "match_features"
+
+
+# ------------------------------------------------------------------ momentum and Elo
+@register("elo_pre", osql.elo_sql)
+def q_elo_pre(spark, sf_dir):
+    from pitchline.operators.elo import elo_ratings
+    return finish(elo_ratings(matches(spark, sf_dir)))
+
+
+@register("long_features", osql.long_features_sql)
+def q_long_features(spark, sf_dir):
+    from pitchline.operators.elo import with_elo
+    from pitchline.operators.long_table import long_table
+    from pitchline.operators.momentum import LONG_FEATURES, long_features
+    lf = long_features(long_table(with_elo(matches(spark, sf_dir))))
+    return finish(lf.select("match_id", "is_home", "team", *LONG_FEATURES))
+
+
+@register("match_features", osql.match_features_sql)
+def q_match_features(spark, sf_dir):
+    from pitchline.operators.momentum import match_features
+    return finish(match_features(matches(spark, sf_dir)))
