@@ -19,6 +19,8 @@ def finish(df: DataFrame) -> DataFrame:
             c = round6(c.cast("double"))
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType, T.BooleanType)):
             c = c.cast("bigint")
+        elif isinstance(f.dataType, T.DateType):
+            c = F.date_format(c, "yyyy-MM-dd")
         cols.append(c.alias(f.name))
     return df.select(*cols)
 
@@ -32,3 +34,8 @@ def r6(expr: str, alias: str) -> str:
 
 def i64(expr: str, alias: str) -> str:
     return f"CAST({expr} AS BIGINT) AS {alias}"
+
+
+def d10(expr: str, alias: str) -> str:
+    """SQL twin of ``finish`` for a DATE column (ISO text)."""
+    return f"strftime(CAST({expr} AS DATE), '%Y-%m-%d') AS {alias}"

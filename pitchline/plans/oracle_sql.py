@@ -6,7 +6,7 @@ lists, recursive CTEs) and serve as the correctness oracle at sf0.01.
 
 from __future__ import annotations
 
-from pitchline.plans.common import i64, r6
+from pitchline.plans.common import d10, i64, r6
 from pitchline.sources.tables import MATCHES_SQL
 
 M = f"m AS ({MATCHES_SQL})"
@@ -275,3 +275,284 @@ def match_features_sql() -> str:
     return (f"WITH RECURSIVE {M}, {LONG_SQL}, {ELO_SQL}, {long_features_body()}, {lf},\n"
             f"w AS (SELECT match_id, {wide} FROM lf GROUP BY match_id)\n"
             f"SELECT {', '.join(sel)} FROM w")
+
+
+# ------------------------------------------------------------------ base columns, long table
+def match_flags_sql() -> str:
+    sel = ["match_id",
+           i64("CASE WHEN result = 'H' THEN 1 ELSE 0 END", "home_win"),
+           i64("CASE WHEN result = 'D' THEN 1 ELSE 0 END", "home_draw"),
+           i64("CASE WHEN result = 'A' THEN 1 ELSE 0 END", "home_loss"),
+           i64("CASE WHEN result = 'A' THEN 1 ELSE 0 END", "away_win"),
+           i64("CASE WHEN result = 'D' THEN 1 ELSE 0 END", "away_draw"),
+           i64("CASE WHEN result = 'H' THEN 1 ELSE 0 END", "away_loss"),
+           r6("home_goals - away_goals", "home_goal_diff"), r6("away_goals - home_goals", "away_goal_diff"),
+           r6("CASE WHEN result = 'H' THEN home_goals - away_goals END", "home_win_margin"),
+           r6("CASE WHEN result = 'A' THEN away_goals - home_goals END", "away_win_margin"),
+           r6("CASE WHEN result = 'A' THEN away_goals - home_goals END", "home_loss_margin"),
+           r6("CASE WHEN result = 'H' THEN home_goals - away_goals END", "away_loss_margin")]
+    return f"WITH {M} SELECT {', '.join(sel)} FROM m"
+
+
+def match_points_sql() -> str:
+    hp = ("CASE WHEN home_goals > away_goals THEN 3 WHEN home_goals = away_goals THEN 1 "
+          "WHEN home_goals < away_goals THEN 0 END")
+    ap = ("CASE WHEN away_goals > home_goals THEN 3 WHEN away_goals = home_goals THEN 1 "
+          "WHEN away_goals < home_goals THEN 0 END")
+    return f"WITH {M} SELECT match_id, {r6(hp, 'home_points')}, {r6(ap, 'away_points')} FROM m"
+
+
+def long_table_sql() -> str:
+    sel = ["match_id", "team", "opponent", i64("is_home", "is_home"), r6("gf", "goals_for"),
+           r6("ga", "goals_against"), r6("points", "points"), r6("gd", "goal_diff"),
+           r6("xg_diff_proxy", "xg_diff_proxy"), r6("odds_move_for", "odds_move_for"),
+           r6("odds_move_abs_for", "odds_move_abs_for"), r6("prob_shift_for", "prob_shift_for"),
+           r6("travel_km_team", "travel_km_team"), r6("opponent_ppg", "opponent_ppg")]
+    return f"WITH {M}, {LONG_SQL} SELECT {', '.join(sel)} FROM l"
+
+
+# ------------------------------------------------------------------ parsing
+TS_STRINGS = """
+ts AS (
+  SELECT o_orderkey, o_orderdate + (o_orderkey % 1440) * INTERVAL 1 MINUTE AS t FROM orders),
+d AS (
+  SELECT o_orderkey,
+    CASE WHEN o_orderkey % 50 = 0 THEN 'bad ' || CAST(o_orderkey AS VARCHAR)
+         WHEN o_orderkey % 4 = 0 THEN strftime(t, '%Y-%m-%d %H:%M:%S')
+         WHEN o_orderkey % 4 = 1 THEN strftime(t, '%b %-d %Y - %-I:%M%p')
+         WHEN o_orderkey % 4 = 2 THEN strftime(t, '%Y-%m-%d')
+         ELSE strftime(t, '%d/%m/%Y %H:%M') END AS raw
+  FROM ts)"""
+MIXED_FORMATS_SQL = ("['%Y-%m-%d %H:%M:%S', '%Y-%m-%dT%H:%M:%S', '%Y-%m-%d %H:%M', '%Y-%m-%d', "
+                     "'%b %d %Y - %I:%M%p', '%d/%m/%Y %H:%M', '%d/%m/%Y']")
+
+
+def parse_ts_mixed_sql() -> str:
+    return (f"WITH {TS_STRINGS.strip()} SELECT o_orderkey, raw, "
+            f"try_strptime(trim(raw), {MIXED_FORMATS_SQL}) AS parsed FROM d")
+
+
+def parse_kickoff_sql() -> str:
+    return """
+WITH ts AS (SELECT o_orderkey, o_orderdate + (o_orderkey % 1440) * INTERVAL 1 MINUTE AS t FROM orders),
+d AS (SELECT o_orderkey, CASE WHEN o_orderkey % 50 = 0 THEN 'n/a'
+        ELSE strftime(t, '%b %-d %Y - %-I:%M%p') END AS raw FROM ts)
+SELECT o_orderkey, try_strptime(trim(raw), '%b %d %Y - %I:%M%p') AS kickoff FROM d"""
+
+
+def parse_date_fallback_sql() -> str:
+    return """
+WITH d AS (SELECT o_orderkey, strftime(o_orderdate, '%d/%m/%Y') AS raw FROM orders),
+p AS (SELECT o_orderkey,
+        CAST(try_strptime(trim(raw), ['%Y-%m-%d %H:%M:%S', '%Y-%m-%dT%H:%M:%S', '%Y-%m-%d']) AS DATE) AS iso,
+        CAST(try_strptime(trim(raw), ['%d/%m/%Y', '%d-%m-%Y']) AS DATE) AS dayfirst
+      FROM d)
+SELECT o_orderkey, strftime(CASE WHEN (SELECT coalesce(bool_or(iso IS NOT NULL), false) FROM p) THEN iso
+                        ELSE dayfirst END, '%Y-%m-%d') AS match_date
+FROM p"""
+
+
+def coerce_numeric_sql() -> str:
+    raw = ("CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size AS VARCHAR) WHEN p_partkey % 3 = 1 THEN p_brand "
+           "ELSE ' ' || CAST(p_size AS VARCHAR) || '.5' END")
+    return f"SELECT p_partkey, {r6(f'TRY_CAST(trim({raw}) AS DOUBLE)', 'value')} FROM part"
+
+
+def _season_year(s: str) -> str:
+    a = f"regexp_extract(trim({s}), '^(\\d{{4}})-(\\d{{4}})$', 1)"
+    b = f"regexp_extract(trim({s}), '^(\\d{{4}})-(\\d{{4}})$', 2)"
+    return (f"CASE WHEN {a} <> '' AND TRY_CAST({b} AS INTEGER) = TRY_CAST({a} AS INTEGER) + 1 "
+            f"THEN TRY_CAST({a} AS INTEGER) END")
+
+
+def season_year_sql() -> str:
+    bad = "substr(season, 1, 5) || CAST(TRY_CAST(substr(season, 1, 4) AS INTEGER) + 2 AS VARCHAR)"
+    return (f"WITH {M}, s AS (SELECT DISTINCT CASE WHEN match_id % 11 = 0 THEN {bad} ELSE season END AS season FROM m) "
+            f"SELECT season, {i64(_season_year('season'), 'start_year')} FROM s")
+
+
+def season_range_sql() -> str:
+    return (f"WITH {M}, b AS (SELECT league_id, {_season_year('min(season)')} AS a, {_season_year('max(season)')} AS z "
+            f"FROM m GROUP BY league_id) "
+            f"SELECT league_id, CAST(y AS VARCHAR) || '-' || CAST(y + 1 AS VARCHAR) AS season "
+            f"FROM b, LATERAL (SELECT unnest(generate_series(least(a, z), greatest(a, z))) AS y)")
+
+
+def market_value_sql() -> str:
+    raw = """CASE p_partkey % 7 WHEN 0 THEN '€' || CAST(p_size AS VARCHAR) || '.20m'
+      WHEN 1 THEN '€' || CAST(p_size AS VARCHAR) || '50k' WHEN 2 THEN '-'
+      WHEN 3 THEN '€' || CAST(p_size AS VARCHAR) || ',5m' WHEN 4 THEN '€1.' || CAST(p_size AS VARCHAR) || 'bn'
+      WHEN 5 THEN 'abc' ELSE ' ' END"""
+    val = """CASE WHEN s = '' OR s = '-' OR s IS NULL THEN NULL
+      WHEN s LIKE '%bn' THEN TRY_CAST(substr(s, 1, length(s) - 2) AS DOUBLE) * 1e9
+      WHEN s LIKE '%m' THEN TRY_CAST(substr(s, 1, length(s) - 1) AS DOUBLE) * 1e6
+      WHEN s LIKE '%k' THEN TRY_CAST(substr(s, 1, length(s) - 1) AS DOUBLE) * 1e3
+      ELSE TRY_CAST(s AS DOUBLE) END"""
+    return f"""
+WITH d AS (SELECT p_partkey, {raw} AS raw FROM part),
+c AS (SELECT p_partkey, raw, replace(replace(replace(lower(trim(raw)), ' ', ''), ',', '.'), '€', '') AS s FROM d)
+SELECT p_partkey, raw, {r6(val, 'value_eur')} FROM c"""
+
+
+# ------------------------------------------------------------------ entity resolution
+def team_key(x: str) -> str:
+    return f"regexp_replace(strip_accents(lower({x})), '[^a-zA-Z0-9]+', '', 'g')"
+
+
+def team_key_sql() -> str:
+    return f"""
+WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '\\s+')) AS name
+           FROM documents WHERE lang IN ('fr', 'de', 'es'))
+SELECT name, {team_key('name')} AS team_key FROM w WHERE name <> ''"""
+
+
+def _builtin_alias_values() -> str:
+    from pitchline.operators.entity import BUILTIN_TEAM_ALIAS_GROUPS
+    rows = [f"({gi}, {ai}, '{g[0]}', '{a}')" for gi, g in enumerate(BUILTIN_TEAM_ALIAS_GROUPS) for ai, a in enumerate(g)]
+    return "VALUES " + ", ".join(rows)
+
+
+ALIAS_TABLE_SQL = """
+aliases_t AS (SELECT 'NATION_' || CAST(n_nationkey AS VARCHAR) AS master_name,
+         'N' || CAST(n_nationkey AS VARCHAR) || ' Club' AS football_data_name,
+         CAST(n_nationkey AS BIGINT) AS row_no FROM nation WHERE n_nationkey % 7 <> 3)"""
+
+
+def _alias_map_cte() -> str:
+    return f"""
+bi AS (SELECT * FROM ({_builtin_alias_values()}) t(g, a, canonical, variant)),
+ar AS (SELECT {team_key('master_name')} AS c, {team_key('football_data_name')} AS v, row_no AS ord
+       FROM aliases_t WHERE master_name IS NOT NULL AND football_data_name IS NOT NULL),
+ar2 AS (SELECT * FROM ar WHERE c <> '' AND v <> '' AND c IS NOT NULL AND v IS NOT NULL),
+allr AS (
+  SELECT {team_key('variant')} AS variant_key, {team_key('canonical')} AS canonical_key,
+         2 * 1000000000000 + g * 1000 + a AS prio FROM bi
+  UNION ALL SELECT {team_key('canonical')}, {team_key('canonical')}, 1 * 1000000000000 + g FROM bi
+  UNION ALL SELECT v, c, 3 * 1000000000000 + ord FROM ar2
+  UNION ALL SELECT c, c, 0 * 1000000000000 + ord FROM ar2),
+amap AS (SELECT variant_key, arg_max(canonical_key, prio) AS canonical_key FROM allr GROUP BY variant_key)"""
+
+
+def alias_map_sql() -> str:
+    return f"WITH {ALIAS_TABLE_SQL.strip()}, {_alias_map_cte().strip()} SELECT * FROM amap"
+
+
+def canonical_team_sql() -> str:
+    return f"""
+WITH {M}, {ALIAS_TABLE_SQL.strip()}, {_alias_map_cte().strip()},
+names AS (SELECT n_name AS name FROM nation UNION SELECT home_team FROM m)
+SELECT name, coalesce(amap.canonical_key, {team_key('name')}) AS team_key
+FROM names LEFT JOIN amap ON amap.variant_key = {team_key('name')}"""
+
+
+ANCHOR_SQL = '<a\\s+[^>]*href="([^"]*)"[^>]*>([^<]*)</a>'
+
+
+def page_links_sql() -> str:
+    return f"""
+WITH x AS (SELECT page_id, regexp_extract_all(html, '{ANCHOR_SQL}', 1) AS h,
+                  regexp_extract_all(html, '{ANCHOR_SQL}', 2) AS t FROM pages),
+e AS (SELECT page_id, unnest(h) AS href, trim(unnest(t)) AS link_text, unnest(range(len(h))) AS pos FROM x),
+f AS (SELECT * FROM e WHERE link_text <> '')
+SELECT page_id, href, {i64('min(pos)', 'pos')}, arg_min(link_text, pos) AS link_text FROM f GROUP BY page_id, href"""
+
+
+MASTER_SQL = "mm AS (SELECT m.*, r.r_name AS league FROM m LEFT JOIN region r ON r.r_regionkey = m.league_id)"
+
+
+def _skeleton_cte(where: str = "", label: str = "ALL") -> str:
+    return f"""
+sk0 AS (SELECT season, CAST(kickoff AS DATE) AS match_date, home_team, away_team FROM mm
+        WHERE kickoff IS NOT NULL {where}),
+sk AS (SELECT DISTINCT '{label}' AS league, season, match_date, team_name
+       FROM (SELECT season, match_date, home_team AS team_name FROM sk0
+             UNION ALL SELECT season, match_date, away_team FROM sk0))"""
+
+
+SK_COLS = f"league, season, {d10('match_date', 'match_date')}, team_name"
+
+
+def skeleton_sql() -> str:
+    return f"WITH {M}, {MASTER_SQL}, {_skeleton_cte().strip()} SELECT {SK_COLS} FROM sk"
+
+
+def filter_league_sql() -> str:
+    cte = _skeleton_cte("AND lower(CAST(league AS VARCHAR)) = 'europe'", "EUROPE").strip()
+    return f"WITH {M}, {MASTER_SQL}, {cte} SELECT {SK_COLS} FROM sk"
+
+
+ENRICH_SQL = """
+meta AS (
+  SELECT st.season, TRY_CAST(substr(st.season, 1, 4) AS INTEGER) AS tm_season_id,
+    CAST(n.n_nationkey AS VARCHAR) AS team_id, lower(n.n_name) AS slug,
+    CASE WHEN n.n_nationkey % 3 = 0 THEN 'Natión ' || CAST(n.n_nationkey AS VARCHAR)
+         WHEN n.n_nationkey % 3 = 1 THEN 'N' || CAST(n.n_nationkey AS VARCHAR) || ' Club'
+         ELSE lower(n.n_name) END AS tm_team_name
+  FROM (SELECT DISTINCT season, TRY_CAST(substr(team_name, 8, 10) AS INTEGER) AS nk FROM sk) st
+  JOIN nation n ON st.nk = n.n_nationkey),
+players AS (
+  SELECT meta.season, meta.tm_season_id, meta.team_id, s.s_name AS player_name,
+    s.s_acctbal * 1000.0E0 + meta.tm_season_id AS player_market_value_eur
+  FROM supplier s JOIN meta ON CAST(s.s_nationkey AS VARCHAR) = meta.team_id),
+squad AS (
+  SELECT meta.*, p.squad_market_value_sum, coalesce(p.player_count_with_value, 0) AS player_count_with_value
+  FROM meta LEFT JOIN (SELECT season, team_id, sum(player_market_value_eur) AS squad_market_value_sum,
+                         count(player_market_value_eur) AS player_count_with_value
+                       FROM players GROUP BY season, team_id) p USING (season, team_id)),
+mn AS (
+  SELECT DISTINCT season, team_name, coalesce(a.canonical_key, {tk_team}) AS team_key
+  FROM (SELECT DISTINCT season, team_name FROM sk) s LEFT JOIN amap a ON a.variant_key = {tk_team}),
+resolved AS (
+  SELECT sq.*, coalesce(a.canonical_key, {tk_meta}) AS team_key, mn.team_name,
+    coalesce(mn.team_name, sq.tm_team_name) AS resolved_team_name
+  FROM squad sq LEFT JOIN amap a ON a.variant_key = {tk_meta}
+  LEFT JOIN mn ON mn.season = sq.season AND mn.team_key = coalesce(a.canonical_key, {tk_meta})),
+squad_out AS (
+  SELECT season, resolved_team_name AS team_name, squad_market_value_sum, team_id FROM resolved),
+merged AS (
+  SELECT sk.*, so.squad_market_value_sum, so.team_id
+  FROM sk LEFT JOIN squad_out so USING (season, team_name))"""
+
+
+def _enrich(select: str) -> str:
+    body = ENRICH_SQL.format(tk_team=team_key("s.team_name"), tk_meta=team_key("sq.tm_team_name"))
+    return (f"WITH {M}, {MASTER_SQL}, {_skeleton_cte().strip()}, {ALIAS_TABLE_SQL.strip()}, "
+            f"{_alias_map_cte().strip()}, {body.strip()}\n{select}")
+
+
+def url_template_sql() -> str:
+    return _enrich("SELECT season, team_id, 'https://squads.example/' || slug || '/kader/verein/' || team_id "
+                   "|| '/saison_id/' || CAST(tm_season_id AS VARCHAR) AS url FROM meta")
+
+
+def squad_value_sql() -> str:
+    return _enrich(f"SELECT season, team_id, tm_team_name, {i64('player_count_with_value', 'player_count_with_value')}, "
+                   f"{r6('squad_market_value_sum', 'squad_market_value_sum')} FROM squad")
+
+
+def resolve_teams_sql() -> str:
+    return _enrich("SELECT season, team_id, tm_team_name, team_key, team_name, resolved_team_name FROM resolved")
+
+
+def unresolved_teams_sql() -> str:
+    return _enrich("SELECT season, team_id, tm_team_name, team_key FROM resolved WHERE team_name IS NULL")
+
+
+def skeleton_with_value_sql() -> str:
+    return _enrich(f"SELECT league, season, {d10('match_date', 'match_date')}, team_name, "
+                   f"{r6('squad_market_value_sum', 'squad_market_value_sum')}, team_id FROM merged")
+
+
+def duplicate_keys_sql() -> str:
+    return ("SELECT l_orderkey, l_linenumber, CAST(count(*) AS BIGINT) AS n FROM lineitem "
+            "GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1")
+
+
+def coverage_sql() -> str:
+    return _enrich(f"""SELECT
+  (SELECT count(*) FROM mm) AS master_rows, (SELECT count(*) FROM sk) AS skeleton_rows,
+  (SELECT count(*) FROM meta) AS team_seasons_discovered, (SELECT count(*) FROM squad_out) AS unique_team_season_rows,
+  (SELECT count(*) FROM players) AS player_value_rows,
+  (SELECT count(*) FROM resolved WHERE team_name IS NULL) AS unresolved_team_name_mappings,
+  (SELECT count(*) FROM merged WHERE squad_market_value_sum IS NULL) AS skeleton_rows_missing_squad_value,
+  (SELECT {r6('coalesce(avg(CASE WHEN squad_market_value_sum IS NOT NULL THEN 1.0E0 ELSE 0.0E0 END), 0.0E0)', 'c')} FROM merged) AS coverage_ratio""")

@@ -51,3 +51,252 @@ def q_long_features(spark, sf_dir):
 def q_match_features(spark, sf_dir):
     from pitchline.operators.momentum import match_features
     return finish(match_features(matches(spark, sf_dir)))
+
+
+# ------------------------------------------------------------------ base columns, long table
+@register("match_flags", osql.match_flags_sql)
+def q_match_flags(spark, sf_dir):
+    from pitchline.operators.long_table import match_columns
+    mc = match_columns(matches(spark, sf_dir))
+    return finish(mc.select("match_id", "home_win", "home_draw", "home_loss", "away_win", "away_draw",
+                            "away_loss", "home_goal_diff", "away_goal_diff", "home_win_margin",
+                            "away_win_margin", "home_loss_margin", "away_loss_margin"))
+
+
+@register("match_points", osql.match_points_sql)
+def q_match_points(spark, sf_dir):
+    from pitchline.operators.long_table import match_columns
+    return finish(match_columns(matches(spark, sf_dir)).select("match_id", "home_points", "away_points"))
+
+
+@register("long_table", osql.long_table_sql)
+def q_long_table(spark, sf_dir):
+    from pitchline.operators.long_table import long_table
+    lt = long_table(matches(spark, sf_dir))
+    return finish(lt.select("match_id", "team", "opponent", "is_home", "goals_for", "goals_against",
+                            "points", "goal_diff", "xg_diff_proxy", "odds_move_for", "odds_move_abs_for",
+                            "prob_shift_for", "travel_km_team", "opponent_ppg"))
+
+
+# ------------------------------------------------------------------ parsing
+def _ts_strings(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from pitchline.sources.tables import read_table
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    ts = F.timestamp_add("MINUTE", (F.col("o_orderkey") % 1440), F.col("o_orderdate"))
+    k = F.col("o_orderkey") % 4
+    s = (F.when(F.col("o_orderkey") % 50 == 0, F.concat(F.lit("bad "), F.col("o_orderkey").cast("string")))
+          .when(k == 0, F.date_format(ts, "yyyy-MM-dd HH:mm:ss"))
+          .when(k == 1, F.date_format(ts, "MMM d yyyy - h:mma"))
+          .when(k == 2, F.date_format(ts, "yyyy-MM-dd"))
+          .otherwise(F.date_format(ts, "dd/MM/yyyy HH:mm")))
+    return o.select("o_orderkey", s.alias("raw"))
+
+
+@register("parse_ts_mixed", osql.parse_ts_mixed_sql)
+def q_parse_ts_mixed(spark, sf_dir):
+    from pitchline.functions.parse import parse_ts_mixed
+    d = _ts_strings(spark, sf_dir)
+    return finish(d.select("o_orderkey", "raw", parse_ts_mixed("raw").alias("parsed")))
+
+
+@register("parse_kickoff", osql.parse_kickoff_sql)
+def q_parse_kickoff(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from pitchline.functions.parse import parse_kickoff
+    from pitchline.sources.tables import read_table
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    ts = F.timestamp_add("MINUTE", (F.col("o_orderkey") % 1440), F.col("o_orderdate"))
+    raw = F.when(F.col("o_orderkey") % 50 == 0, F.lit("n/a")).otherwise(F.date_format(ts, "MMM d yyyy - h:mma"))
+    d = o.select("o_orderkey", raw.alias("raw"))
+    return finish(d.select("o_orderkey", parse_kickoff("raw").alias("kickoff")))
+
+
+@register("parse_date_fallback", osql.parse_date_fallback_sql)
+def q_parse_date_fallback(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from pitchline.functions.parse import parse_date_fallback
+    from pitchline.sources.tables import read_table
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    d = o.select("o_orderkey", F.date_format("o_orderdate", "dd/MM/yyyy").alias("raw"))
+    return finish(parse_date_fallback(d, "raw").select("o_orderkey", "match_date"))
+
+
+@register("coerce_numeric", osql.coerce_numeric_sql)
+def q_coerce_numeric(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from pitchline.functions.parse import coerce_numeric
+    from pitchline.sources.tables import read_table
+    p = read_table(spark, sf_dir, "part")
+    raw = (F.when(F.col("p_partkey") % 3 == 0, F.col("p_size").cast("string"))
+            .when(F.col("p_partkey") % 3 == 1, F.col("p_brand"))
+            .otherwise(F.concat(F.lit(" "), F.col("p_size").cast("string"), F.lit(".5"))))
+    return finish(p.select("p_partkey", coerce_numeric(raw).alias("value")))
+
+
+@register("season_year", osql.season_year_sql)
+def q_season_year(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from pitchline.functions.parse import season_start_year
+    m = matches(spark, sf_dir)
+    bad = F.concat(F.substring("season", 1, 5), ((F.substring("season", 1, 4)).try_cast("int") + 2).cast("string"))
+    s = m.select(F.when(F.col("match_id") % 11 == 0, bad).otherwise(F.col("season")).alias("season")).distinct()
+    return finish(s.select("season", season_start_year("season").alias("start_year")))
+
+
+@register("season_range", osql.season_range_sql)
+def q_season_range(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from pitchline.functions.parse import season_range
+    m = matches(spark, sf_dir)
+    b = m.groupBy("league_id").agg(F.min("season").alias("first"), F.max("season").alias("last"))
+    # bounds passed reversed on purpose: the range swaps them
+    return finish(b.select("league_id", F.explode(season_range("last", "first")).alias("season")))
+
+
+@register("market_value", osql.market_value_sql)
+def q_market_value(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from pitchline.functions.parse import with_market_value
+    from pitchline.sources.tables import read_table
+    p = read_table(spark, sf_dir, "part")
+    k = F.col("p_partkey") % 7
+    sz = F.col("p_size").cast("string")
+    raw = (F.when(k == 0, F.concat(F.lit("€"), sz, F.lit(".20m")))
+            .when(k == 1, F.concat(F.lit("€"), sz, F.lit("50k")))
+            .when(k == 2, F.lit("-"))
+            .when(k == 3, F.concat(F.lit("€"), sz, F.lit(",5m")))
+            .when(k == 4, F.concat(F.lit("€1."), sz, F.lit("bn")))
+            .when(k == 5, F.lit("abc"))
+            .otherwise(F.lit(" ")))
+    d = p.select("p_partkey", raw.alias("raw"))
+    return finish(with_market_value(d, "raw", "value_eur"))
+
+
+@register("url_template", osql.url_template_sql)
+def q_url_template(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from pitchline.functions.text import squad_url
+    from pitchline.sources.standins import team_seasons
+    from pitchline.operators.entity import team_match_skeleton
+    ts = team_seasons(spark, sf_dir, team_match_skeleton(matches(spark, sf_dir)))
+    return finish(ts.select("season", "team_id",
+                            squad_url(F.lit("https://squads.example"), "slug", "team_id", "tm_season_id").alias("url")))
+
+
+# ------------------------------------------------------------------ entity resolution
+@register("team_key", osql.team_key_sql)
+def q_team_key(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from pitchline.functions.text import with_team_key
+    from pitchline.sources.tables import read_table
+    d = read_table(spark, sf_dir, "documents").where(F.col("lang").isin("fr", "de", "es"))
+    words = d.select(F.explode(F.split(F.col("text"), r"\s+")).alias("name")).where(F.col("name") != "").distinct()
+    return with_team_key(words, "name")
+
+
+@register("alias_map", osql.alias_map_sql)
+def q_alias_map(spark, sf_dir):
+    from pitchline.operators.entity import alias_map
+    from pitchline.sources.standins import alias_table
+    return alias_map(spark, alias_table(spark, sf_dir), order_col="row_no")
+
+
+@register("canonical_team", osql.canonical_team_sql)
+def q_canonical_team(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from pitchline.operators.entity import alias_map, canonical_key
+    from pitchline.sources.standins import alias_table
+    from pitchline.sources.tables import read_table
+    amap = alias_map(spark, alias_table(spark, sf_dir), order_col="row_no")
+    names = read_table(spark, sf_dir, "nation").select(F.col("n_name").alias("name")).unionByName(
+        matches(spark, sf_dir).select(F.col("home_team").alias("name"))).distinct()
+    return canonical_key(names, "name", amap)
+
+
+@register("page_links", osql.page_links_sql)
+def q_page_links(spark, sf_dir):
+    from pitchline.operators.entity import page_links
+    from pitchline.sources.tables import read_table
+    return finish(page_links(read_table(spark, sf_dir, "pages")))
+
+
+def _enrichment(spark, sf_dir):
+    from pitchline.operators import entity as E
+    from pitchline.sources import standins as S
+    master = S.master_matches(spark, sf_dir)
+    skel = E.team_match_skeleton(master, league_label="ALL")
+    meta = S.team_seasons(spark, sf_dir, skel)
+    players = S.player_values(spark, sf_dir, meta)
+    amap = E.alias_map(spark, S.alias_table(spark, sf_dir), order_col="row_no")
+    squad = E.squad_values(meta, players)
+    resolved = E.resolve_teams(skel, squad, amap)
+    squad_out = resolved.select("season", F_col("resolved_team_name").alias("team_name"), "tm_team_name",
+                                "tm_season_id", "team_id", "slug", "player_count_with_value",
+                                "squad_market_value_sum")
+    merged = E.skeleton_with_value(skel, squad_out)
+    return dict(master=master, skeleton=skel, meta=meta, players=players, amap=amap, squad=squad,
+                resolved=resolved, squad_out=squad_out, merged=merged,
+                unresolved=E.unresolved_teams(resolved))
+
+
+def F_col(c):
+    from pyspark.sql import functions as F
+    return F.col(c)
+
+
+@register("skeleton", osql.skeleton_sql)
+def q_skeleton(spark, sf_dir):
+    from pitchline.operators.entity import team_match_skeleton
+    from pitchline.sources.standins import master_matches
+    return finish(team_match_skeleton(master_matches(spark, sf_dir), league_label="ALL"))
+
+
+@register("filter_league", osql.filter_league_sql)
+def q_filter_league(spark, sf_dir):
+    from pitchline.operators.entity import team_match_skeleton
+    from pitchline.sources.standins import master_matches
+    return finish(team_match_skeleton(master_matches(spark, sf_dir), league="europe", league_label="EUROPE"))
+
+
+@register("squad_value", osql.squad_value_sql)
+def q_squad_value(spark, sf_dir):
+    e = _enrichment(spark, sf_dir)
+    return finish(e["squad"].select("season", "team_id", "tm_team_name", "player_count_with_value",
+                                    "squad_market_value_sum"))
+
+
+@register("resolve_teams", osql.resolve_teams_sql)
+def q_resolve_teams(spark, sf_dir):
+    e = _enrichment(spark, sf_dir)
+    return finish(e["resolved"].select("season", "team_id", "tm_team_name", "team_key", "team_name",
+                                       "resolved_team_name"))
+
+
+@register("unresolved_teams", osql.unresolved_teams_sql)
+def q_unresolved_teams(spark, sf_dir):
+    e = _enrichment(spark, sf_dir)
+    return finish(e["unresolved"].select("season", "team_id", "tm_team_name", "team_key"))
+
+
+@register("skeleton_with_value", osql.skeleton_with_value_sql)
+def q_skeleton_with_value(spark, sf_dir):
+    e = _enrichment(spark, sf_dir)
+    return finish(e["merged"].select("league", "season", "match_date", "team_name", "squad_market_value_sum",
+                                     "team_id"))
+
+
+@register("duplicate_keys", osql.duplicate_keys_sql)
+def q_duplicate_keys(spark, sf_dir):
+    from pitchline.operators.entity import duplicate_keys
+    from pitchline.sources.tables import read_table
+    li = read_table(spark, sf_dir, "lineitem")
+    return finish(duplicate_keys(li, ["l_orderkey", "l_linenumber"]))
+
+
+@register("coverage", osql.coverage_sql)
+def q_coverage(spark, sf_dir):
+    from pitchline.operators.entity import coverage_report
+    e = _enrichment(spark, sf_dir)
+    return finish(coverage_report(e["master"], e["skeleton"], e["meta"], e["squad_out"], e["players"],
+                                  e["unresolved"], e["merged"]))

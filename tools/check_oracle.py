@@ -22,14 +22,15 @@ def normalise(df: pd.DataFrame) -> pd.DataFrame:
     for c in df.columns:
         s = df[c]
         if pd.api.types.is_float_dtype(s):
-            df[c] = s.map(lambda v: None if pd.isna(v) else repr(float(v) + 0.0))
+            df[c] = s.map(lambda v: None if pd.isna(v) else
+                          (str(int(v)) if float(v).is_integer() and abs(v) < 2**53 else repr(float(v) + 0.0)))
         elif pd.api.types.is_integer_dtype(s) or pd.api.types.is_bool_dtype(s):
             df[c] = s.map(lambda v: None if pd.isna(v) else str(int(v)))
         elif pd.api.types.is_datetime64_any_dtype(s):
             df[c] = s.map(lambda v: None if pd.isna(v) else pd.Timestamp(v).isoformat())
         else:
             df[c] = s.map(lambda v: None if v is None or (isinstance(v, float) and pd.isna(v)) else
-                          (repr(float(v) + 0.0) if isinstance(v, float) else str(v)))
+                          ((str(int(v)) if v.is_integer() else repr(v + 0.0)) if isinstance(v, float) else str(v)))
     df = df.astype(object).where(df.notna(), "<null>")
     return df.sort_values(list(df.columns)).reset_index(drop=True)
 
