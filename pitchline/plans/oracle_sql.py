@@ -556,3 +556,152 @@ def coverage_sql() -> str:
   (SELECT count(*) FROM resolved WHERE team_name IS NULL) AS unresolved_team_name_mappings,
   (SELECT count(*) FROM merged WHERE squad_market_value_sum IS NULL) AS skeleton_rows_missing_squad_value,
   (SELECT {r6('coalesce(avg(CASE WHEN squad_market_value_sum IS NOT NULL THEN 1.0E0 ELSE 0.0E0 END), 0.0E0)', 'c')} FROM merged) AS coverage_ratio""")
+
+
+# ------------------------------------------------------------------ training table and preparation
+HT_SQL = """
+ht AS (
+  SELECT match_id, epoch(t)::BIGINT AS "timestamp",
+    CASE WHEN match_id % 211 = 0 THEN 'TBD' ELSE strftime(t, '%b %-d %Y - %-I:%M%p') END AS date_GMT,
+    CASE WHEN match_id % 301 = 0 THEN NULL ELSE season END AS season,
+    'complete' AS status, 'Stadium ' || home_team AS stadium_name,
+    'Referee ' || CAST(match_id % 40 AS VARCHAR) AS referee,
+    home_team AS home_team_name, away_team AS away_team_name, weekofyear(kickoff) AS "Game Week",
+    hth AS home_team_goal_count_half_time, hta AS away_team_goal_count_half_time,
+    hth + hta AS total_goals_at_half_time,
+    CASE WHEN hth > hta THEN 'H' WHEN hth = hta THEN 'D' WHEN hth < hta THEN 'A' END AS ht_result,
+    match_id % 4 AS home_team_first_half_cards, (match_id // 4) % 4 AS away_team_first_half_cards,
+    hth - hta AS half_time_lead,
+    result AS target_match_result, home_goals AS target_home_team_goal_count,
+    away_goals AS target_away_team_goal_count, home_goals + away_goals AS target_total_goal_count,
+    home_ppg AS "Pre-Match PPG (Home)", away_ppg AS "Pre-Match PPG (Away)",
+    home_xg AS "Home Team Pre-Match xG", away_xg AS "Away Team Pre-Match xG",
+    odds_move_home, odds_move_away, abs(odds_move_home) AS odds_move_abs_home,
+    prob_shift_home AS implied_prob_shift_home, travel_km AS travel_distance_km,
+    home_ppg - away_ppg AS ppg_differential, home_xg * 2.0E0 - away_xg AS xg_power_index,
+    1.0E0 AS capacity, home_xg * 10.0E0 AS home_xg_x10
+  FROM (SELECT *, kickoff + ((match_id % 96) * 15) * INTERVAL 1 MINUTE AS t,
+          CASE WHEN home_goals IS NOT NULL THEN least(home_goals, match_id % 3) END AS hth,
+          CASE WHEN away_goals IS NOT NULL THEN least(away_goals, (match_id // 3) % 3) END AS hta
+        FROM m) x),
+hc AS (
+  SELECT * FROM ht WHERE target_match_result IS NOT NULL
+    AND NOT coalesce(season IN ('2025-2026'), false)),
+hp AS (SELECT * REPLACE (try_strptime(trim(date_GMT), '%b %d %Y - %I:%M%p') AS date_GMT) FROM hc),
+hs AS (
+  SELECT *, row_number() OVER (ORDER BY date_GMT ASC NULLS LAST, match_id) - 1 AS pos,
+    count(*) OVER () AS n_rows FROM hp),
+hsplit AS (
+  SELECT *, CASE WHEN pos < floor(CAST(n_rows AS DOUBLE) * 0.7E0) THEN 'train'
+                 WHEN pos < floor(CAST(n_rows AS DOUBLE) * 0.85E0) THEN 'val' ELSE 'test' END AS split
+  FROM hs)"""
+
+HT_NUMERIC = ["home_team_goal_count_half_time", "away_team_goal_count_half_time", "total_goals_at_half_time",
+              "home_team_first_half_cards", "away_team_first_half_cards", "half_time_lead",
+              "Pre-Match PPG (Home)", "Pre-Match PPG (Away)", "Home Team Pre-Match xG", "Away Team Pre-Match xG",
+              "odds_move_home", "odds_move_away", "odds_move_abs_home", "implied_prob_shift_home",
+              "travel_distance_km", "ppg_differential", "xg_power_index", "capacity", "home_xg_x10",
+              "ht_result_encoded"]
+HT_ENCODED = ("hx AS (SELECT * EXCLUDE (ht_result), CASE ht_result WHEN 'H' THEN 0 WHEN 'D' THEN 1 "
+              "WHEN 'A' THEN 2 END AS ht_result_encoded FROM hsplit)")
+
+
+def qi(c: str) -> str:
+    return '"' + c.replace('"', '""') + '"'
+
+
+def _ht(select: str) -> str:
+    return f"WITH {M}, {HT_SQL.strip()}, {HT_ENCODED}\n{select}"
+
+
+def clean_data_sql() -> str:
+    return (f"WITH {M}, {HT_SQL.strip()} SELECT match_id, season, target_match_result FROM ht "
+            f"WHERE target_match_result IS NOT NULL AND NOT coalesce(season IN ('1996-1997'), false)")
+
+
+def filter_seasons_sql() -> str:
+    return (f"WITH {M}, {HT_SQL.strip()} SELECT match_id, season FROM ht "
+            f"WHERE season IN ('1995-1996', '1997-1998')")
+
+
+def time_split_sql() -> str:
+    return _ht(f"SELECT match_id, {i64('pos', 'pos')}, split FROM hsplit")
+
+
+def walk_forward_sql() -> str:
+    return _ht("""SELECT match_id, CAST(pos AS BIGINT) AS pos, CAST(n_rows // 6 AS BIGINT) AS fold_size,
+  CAST(CASE WHEN n_rows // 6 > 0 AND pos // (n_rows // 6) < 5 THEN pos // (n_rows // 6) END AS BIGINT) AS train_from_fold,
+  CAST(CASE WHEN n_rows // 6 > 0 AND pos // (n_rows // 6) BETWEEN 1 AND 5 THEN pos // (n_rows // 6) - 1 END AS BIGINT) AS val_fold
+FROM hsplit""")
+
+
+def split_counts_sql() -> str:
+    return _ht("""SELECT split, 'season' AS kind, season AS value, count(*) AS n FROM hsplit GROUP BY split, season
+UNION ALL SELECT split, 'class', target_match_result, count(*) FROM hsplit GROUP BY split, target_match_result""")
+
+
+def class_dist_sql() -> str:
+    return _ht(f"SELECT target_match_result, {r6('count(*) / (SELECT count(*) FROM hsplit)', 'share')} "
+               f"FROM hsplit GROUP BY target_match_result")
+
+
+def season_dist_sql() -> str:
+    cols = ", ".join(r6(f"count(*) FILTER (WHERE target_match_result = '{x}') / count(*)", x) for x in ("H", "D", "A"))
+    return _ht(f"SELECT season, {cols}, count(*) AS count FROM hsplit GROUP BY season")
+
+
+def split_ranges_sql() -> str:
+    return _ht("SELECT split, min(date_GMT) AS first_time, max(date_GMT) AS last_time, count(*) AS rows "
+               "FROM hsplit GROUP BY split")
+
+
+def label_encode_sql() -> str:
+    return _ht("SELECT match_id, target_match_result, CAST(CASE target_match_result WHEN 'H' THEN 0 WHEN 'D' THEN 1 "
+               "WHEN 'A' THEN 2 END AS BIGINT) AS label FROM hsplit")
+
+
+def prematch_projection_sql() -> str:
+    from pitchline.sources.training import HALFTIME_COLUMNS, IDENTIFIER_COLUMNS, TARGET_COLUMNS
+    from pitchline.sources.training import TABLE_COLUMNS
+    ex = set(HALFTIME_COLUMNS + IDENTIFIER_COLUMNS + TARGET_COLUMNS)
+    cols = ", ".join(r6(qi(c), qi(c)) for c in TABLE_COLUMNS if c not in ex)
+    return f"WITH {M}, {HT_SQL.strip()} SELECT match_id, {cols} FROM ht"
+
+
+def halftime_projection_sql() -> str:
+    from pitchline.sources.training import IDENTIFIER_COLUMNS, TARGET_COLUMNS
+    from pitchline.sources.training import TABLE_COLUMNS
+    ex = set(IDENTIFIER_COLUMNS + TARGET_COLUMNS)
+    cols = ", ".join(qi(c) if c == "ht_result" else r6(qi(c), qi(c)) for c in TABLE_COLUMNS if c not in ex)
+    return f"WITH {M}, {HT_SQL.strip()} SELECT match_id, {cols} FROM ht"
+
+
+def feature_subset_sql() -> str:
+    from pitchline.operators.prep import CORE_FEATURES
+    from pitchline.sources.training import TABLE_COLUMNS
+    cols = ", ".join(r6(qi(c), qi(c)) for c in CORE_FEATURES if c in TABLE_COLUMNS)
+    return f"WITH {M}, {HT_SQL.strip()} SELECT match_id, {cols} FROM ht"
+
+
+def impute_sql(strategy: str) -> str:
+    if strategy == "median":
+        fill = lambda c: f"(SELECT median({qi(c)}) FROM hx)"
+    elif strategy == "mean":
+        fill = lambda c: f"(SELECT avg({qi(c)}) FROM hx)"
+    else:
+        fill = lambda c: "0.0E0"
+    cols = ", ".join(r6(f"coalesce(CAST({qi(c)} AS DOUBLE), {fill(c)}, 0.0E0)", qi(c)) for c in HT_NUMERIC)
+    return _ht(f"SELECT match_id, {cols} FROM hx")
+
+
+def standardize_sql() -> str:
+    cols = ", ".join(
+        r6(f"({qi(c)} - (SELECT avg({qi(c)}) FROM hx)) / coalesce(nullif((SELECT stddev_pop({qi(c)}) FROM hx), 0), 1)",
+           qi(c)) for c in HT_NUMERIC)
+    return _ht(f"SELECT match_id, {cols} FROM hx")
+
+
+def class_weights_sql() -> str:
+    return _ht(f"""SELECT target_match_result, count(*) AS n_c,
+  {r6("(SELECT count(*) FROM hsplit WHERE split = 'train') / ((SELECT count(DISTINCT target_match_result) FROM hsplit WHERE split = 'train') * count(*))", 'weight')}
+FROM hsplit WHERE split = 'train' GROUP BY target_match_result""")

@@ -300,3 +300,136 @@ def q_coverage(spark, sf_dir):
     e = _enrichment(spark, sf_dir)
     return finish(coverage_report(e["master"], e["skeleton"], e["meta"], e["squad_out"], e["players"],
                                   e["unresolved"], e["merged"]))
+
+
+# ------------------------------------------------------------------ preparation and splits
+def _ht_clean(spark, sf_dir):
+    from pitchline.operators.prep import clean_data, preprocess
+    from pitchline.sources.training import halftime_table
+    return clean_data(preprocess(halftime_table(spark, sf_dir)))
+
+
+def _ht_split(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from pitchline.operators.splits import time_split
+    return time_split(_ht_clean(spark, sf_dir), [F.col("date_GMT").asc_nulls_last(), F.col("match_id").asc()])
+
+
+def _ht_x(spark, sf_dir):
+    from pitchline.operators.prep import encode_ht_result, halftime_feature_columns
+    s = _ht_split(spark, sf_dir)
+    return encode_ht_result(s.select("match_id", "split", "target_match_result",
+                                     *[f"`{c}`" for c in halftime_feature_columns(s) if c not in ("pos", "split")]))
+
+
+@register("clean_data", osql.clean_data_sql)
+def q_clean_data(spark, sf_dir):
+    from pitchline.operators.prep import clean_data
+    from pitchline.sources.training import halftime_table
+    return clean_data(halftime_table(spark, sf_dir), ["1996-1997"]).select("match_id", "season", "target_match_result")
+
+
+@register("filter_seasons", osql.filter_seasons_sql)
+def q_filter_seasons(spark, sf_dir):
+    from pitchline.operators.prep import filter_seasons
+    from pitchline.sources.training import halftime_table
+    return filter_seasons(halftime_table(spark, sf_dir), ["1995-1996", "1997-1998"]).select("match_id", "season")
+
+
+@register("time_split", osql.time_split_sql)
+def q_time_split(spark, sf_dir):
+    return finish(_ht_split(spark, sf_dir).select("match_id", "pos", "split"))
+
+
+@register("walk_forward", osql.walk_forward_sql)
+def q_walk_forward(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from pitchline.operators.splits import walk_forward
+    wf = walk_forward(_ht_clean(spark, sf_dir), 5, [F.col("date_GMT").asc_nulls_last(), F.col("match_id").asc()])
+    return finish(wf.select("match_id", "pos", "fold_size", "train_from_fold", "val_fold"))
+
+
+@register("split_counts", osql.split_counts_sql)
+def q_split_counts(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from pitchline.operators.prep import value_counts
+    s = _ht_split(spark, sf_dir)
+    a = value_counts(s, ["split"], "season").select("split", F.lit("season").alias("kind"),
+                                                     F.col("season").alias("value"), "n")
+    b = value_counts(s, ["split"], "target_match_result").select("split", F.lit("class").alias("kind"),
+                                                                  F.col("target_match_result").alias("value"), "n")
+    return a.unionByName(b)
+
+
+@register("class_dist", osql.class_dist_sql)
+def q_class_dist(spark, sf_dir):
+    from pitchline.operators.prep import class_distribution
+    return finish(class_distribution(_ht_split(spark, sf_dir)))
+
+
+@register("season_dist", osql.season_dist_sql)
+def q_season_dist(spark, sf_dir):
+    from pitchline.operators.prep import season_distribution
+    return finish(season_distribution(_ht_split(spark, sf_dir)))
+
+
+@register("split_ranges", osql.split_ranges_sql)
+def q_split_ranges(spark, sf_dir):
+    from pitchline.operators.prep import split_ranges
+    return split_ranges(_ht_split(spark, sf_dir))
+
+
+@register("label_encode", osql.label_encode_sql)
+def q_label_encode(spark, sf_dir):
+    from pitchline.operators.prep import encode_label
+    s = _ht_split(spark, sf_dir)
+    return finish(s.select("match_id", "target_match_result", encode_label("target_match_result").alias("label")))
+
+
+@register("prematch_projection", osql.prematch_projection_sql)
+def q_prematch_projection(spark, sf_dir):
+    from pitchline.operators.prep import prematch_feature_columns
+    from pitchline.sources.training import halftime_table
+    t = halftime_table(spark, sf_dir)
+    return finish(t.select("match_id", *[f"`{c}`" for c in prematch_feature_columns(t)]))
+
+
+@register("halftime_projection", osql.halftime_projection_sql)
+def q_halftime_projection(spark, sf_dir):
+    from pitchline.operators.prep import halftime_feature_columns
+    from pitchline.sources.training import halftime_table
+    t = halftime_table(spark, sf_dir)
+    return finish(t.select("match_id", *[f"`{c}`" for c in halftime_feature_columns(t)]))
+
+
+@register("feature_subset", osql.feature_subset_sql)
+def q_feature_subset(spark, sf_dir):
+    from pitchline.operators.prep import clean_features
+    from pitchline.sources.training import halftime_table
+    return finish(clean_features(halftime_table(spark, sf_dir), "aggressive", keep=["match_id"]))
+
+
+def _impute(strategy):
+    def q(spark, sf_dir):
+        from pitchline.operators.prep import handle_missing_values
+        x = _ht_x(spark, sf_dir).drop("split", "target_match_result")
+        return finish(handle_missing_values(x, strategy, keep=["match_id"]))
+    return q
+
+
+for _s in ("median", "mean", "zero"):
+    register(f"impute_{_s}", (lambda s: lambda: osql.impute_sql(s))(_s))(_impute(_s))
+
+
+@register("standardize", osql.standardize_sql)
+def q_standardize(spark, sf_dir):
+    from pitchline.operators.prep import numeric_columns, standardize
+    x = _ht_x(spark, sf_dir).drop("split", "target_match_result")
+    return finish(standardize(x, [c for c in numeric_columns(x) if c != "match_id"], keep=["match_id"]))
+
+
+@register("class_weights", osql.class_weights_sql)
+def q_class_weights(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from pitchline.operators.prep import class_weights
+    return finish(class_weights(_ht_split(spark, sf_dir).where(F.col("split") == "train")))
