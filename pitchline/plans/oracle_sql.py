@@ -705,3 +705,210 @@ def class_weights_sql() -> str:
     return _ht(f"""SELECT target_match_result, count(*) AS n_c,
   {r6("(SELECT count(*) FROM hsplit WHERE split = 'train') / ((SELECT count(DISTINCT target_match_result) FROM hsplit WHERE split = 'train') * count(*))", 'weight')}
 FROM hsplit WHERE split = 'train' GROUP BY target_match_result""")
+
+
+# ------------------------------------------------------------------ screening
+def _xt() -> str:
+    cols = ", ".join(f"coalesce(CAST({qi(c)} AS DOUBLE), (SELECT median({qi(c)}) FROM hx WHERE split = 'train'), 0.0E0) "
+                     f"AS {qi(c)}" for c in HT_NUMERIC)
+    return (f"xt AS (SELECT match_id, CASE target_match_result WHEN 'H' THEN 0 WHEN 'D' THEN 1 WHEN 'A' THEN 2 END "
+            f"AS lbl, {cols} FROM hx WHERE split = 'train')")
+
+
+def _pairs_cte() -> str:
+    idx = [(i, j) for i in range(len(HT_NUMERIC)) for j in range(i + 1, len(HT_NUMERIC))]
+    aggs = ", ".join(f"covar_samp({qi(HT_NUMERIC[i])}, {qi(HT_NUMERIC[j])}) / "
+                     f"nullif(stddev_samp({qi(HT_NUMERIC[i])}) * stddev_samp({qi(HT_NUMERIC[j])}), 0) AS r{k}"
+                     for k, (i, j) in enumerate(idx))
+    un = " UNION ALL ".join(f"SELECT '{HT_NUMERIC[i]}' AS feature_1, '{HT_NUMERIC[j]}' AS feature_2, r{k} AS correlation FROM ra"
+                            for k, (i, j) in enumerate(idx))
+    imp = " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, round(coalesce(abs(covar_samp({qi(c)}, lbl) / nullif(stddev_samp({qi(c)}) * "
+        f"stddev_samp(lbl), 0)), 0.0E0), 9) AS importance FROM xt" for c in HT_NUMERIC)
+    return (f"{_xt()}, ra AS (SELECT {aggs} FROM xt), pairs AS ({un}), imp AS ({imp}),\n"
+            f"hcp AS (SELECT *, abs(correlation) AS abs_correlation FROM pairs WHERE correlation IS NOT NULL "
+            f"AND NOT isnan(correlation) AND abs(correlation) > 0.8)")
+
+
+def _scr(select: str) -> str:
+    return f"WITH RECURSIVE {M}, {HT_SQL.strip()}, {HT_ENCODED}, {_pairs_cte()}\n{select}"
+
+
+def corr_matrix_sql() -> str:
+    return _scr(f"SELECT feature_1, feature_2, {r6('correlation', 'correlation')} FROM pairs")
+
+
+def corr_pairs_sql() -> str:
+    return _scr(f"SELECT feature_1, feature_2, {r6('correlation', 'correlation')}, "
+                f"{r6('abs_correlation', 'abs_correlation')} FROM hcp")
+
+
+def low_variance_sql() -> str:
+    un = " UNION ALL ".join(f"SELECT '{c}' AS feature, var_samp({qi(c)}) AS variance FROM xt" for c in HT_NUMERIC)
+    return _scr(f"SELECT feature, {r6('variance', 'variance')} FROM ({un}) v WHERE variance < 0.01")
+
+
+def redundant_features_sql() -> str:
+    return _scr("SELECT DISTINCT feature_2 AS feature FROM pairs WHERE correlation IS NOT NULL "
+                "AND NOT isnan(correlation) AND abs(correlation) > 0.9")
+
+
+CORR_GROUPS = """,
+edges AS (SELECT feature_1 AS a, feature_2 AS b FROM hcp UNION SELECT feature_2, feature_1 FROM hcp),
+reach(a, b) AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+lab AS (SELECT a AS feature, least(min(b), a) AS grp FROM reach GROUP BY a),
+grp AS (SELECT feature, grp AS "group", count(*) OVER (PARTITION BY grp) AS group_size FROM lab)"""
+
+
+def corr_groups_sql() -> str:
+    return (
+        f"WITH RECURSIVE {M}, {HT_SQL.strip()}, {HT_ENCODED}, {_pairs_cte()}{CORR_GROUPS}\n"
+        f"SELECT feature, \"group\", group_size FROM grp")
+
+
+KEEP_DROP = """,
+kd AS (
+  SELECT g."group", g.group_size, g.feature, coalesce(i.importance, 0.0E0) AS importance,
+    CASE WHEN row_number() OVER (PARTITION BY g."group" ORDER BY coalesce(i.importance, 0.0E0) DESC, g.feature) = 1
+         THEN 'keep' ELSE 'drop' END AS action
+  FROM grp g LEFT JOIN imp i USING (feature))"""
+
+
+def _kd(select: str) -> str:
+    return f"WITH RECURSIVE {M}, {HT_SQL.strip()}, {HT_ENCODED}, {_pairs_cte()}{CORR_GROUPS}{KEEP_DROP}\n{select}"
+
+
+def corr_keep_drop_sql() -> str:
+    return _kd(f"SELECT \"group\", group_size, feature, {r6('importance', 'importance')}, action FROM kd")
+
+
+def kept_features_sql() -> str:
+    return _kd("SELECT feature FROM imp WHERE feature NOT IN (SELECT feature FROM kd WHERE action = 'drop')")
+
+
+def top_features_sql() -> str:
+    return _scr(f"SELECT feature, {r6('importance', 'importance')} FROM imp ORDER BY importance DESC, feature LIMIT 10")
+
+
+def corr_submatrix_sql() -> str:
+    return _scr(f"""SELECT p.feature_1, p.feature_2, {r6('p.correlation', 'correlation')} FROM pairs p
+WHERE p.feature_1 IN (SELECT f FROM chosen) AND p.feature_2 IN (SELECT f FROM chosen)""").replace(
+        "\nSELECT p.feature_1", """,
+top AS (SELECT feature_1, feature_2, row_number() OVER (ORDER BY round(abs(correlation), 9) DESC, feature_1, feature_2) AS rk
+        FROM pairs WHERE correlation IS NOT NULL AND NOT isnan(correlation)),
+top40 AS (SELECT * FROM top WHERE rk <= 40),
+nm AS (SELECT f, min(o) AS o FROM (SELECT feature_1 AS f, rk * 2 AS o FROM top40 UNION ALL
+                                   SELECT feature_2, rk * 2 + 1 FROM top40) GROUP BY f),
+chosen AS (SELECT f FROM nm ORDER BY o LIMIT 30)
+SELECT p.feature_1""", 1)
+
+
+def screening_report_sql() -> str:
+    un = " UNION ALL ".join(f"SELECT '{c}' AS feature, var_samp({qi(c)}) AS variance FROM xt" for c in HT_NUMERIC)
+    return _scr(f"""SELECT feature, 'low_variance' AS reason FROM ({un}) v WHERE variance < 0.01
+UNION ALL SELECT DISTINCT feature_2, 'redundant' FROM pairs WHERE correlation IS NOT NULL
+  AND NOT isnan(correlation) AND abs(correlation) > 0.9""")
+
+
+# ------------------------------------------------------------------ metrics
+PRED_SQL = """
+pm AS (SELECT *, CASE WHEN season < '1999' THEN 'train' WHEN season < '2000' THEN 'val' ELSE 'test' END AS split,
+         CASE WHEN result = 'H' THEN 'D' WHEN result = 'D' THEN 'A' ELSE 'H' END AS rot
+       FROM m WHERE result IS NOT NULL),
+p0 AS (
+  SELECT 'home_bias' AS model, 0 AS model_ord, split, match_id, result AS y_true,
+    CASE WHEN match_id % 7 = 0 THEN 'D' ELSE 'H' END AS y_pred FROM pm
+  UNION ALL
+  SELECT 'noisy_copy', 1, split, match_id, result, CASE WHEN match_id % 4 = 0 THEN rot ELSE result END FROM pm
+  UNION ALL
+  SELECT 'ppg_rule', 2, split, match_id, result,
+    CASE WHEN home_ppg > away_ppg + 0.5E0 THEN 'H' WHEN away_ppg > home_ppg + 0.5E0 THEN 'A' ELSE 'D' END FROM pm),
+p1 AS (
+  SELECT *, (1 + match_id % 3) + CASE WHEN y_pred = 'H' THEN 3 ELSE 0 END AS sh,
+    (1 + match_id % 5) + CASE WHEN y_pred = 'D' THEN 3 ELSE 0 END AS sd,
+    (1 + match_id % 7) + CASE WHEN y_pred = 'A' THEN 3 ELSE 0 END AS sa FROM p0),
+preds AS (
+  SELECT model, model_ord, split, match_id, y_true, y_pred, CAST(sh AS DOUBLE) / (sh + sd + sa) AS p_H,
+    CAST(sd AS DOUBLE) / (sh + sd + sa) AS p_D, CAST(sa AS DOUBLE) / (sh + sd + sa) AS p_A FROM p1),
+lab AS (SELECT DISTINCT model, split, y_true AS label FROM preds UNION SELECT DISTINCT model, split, y_pred FROM preds),
+st AS (
+  SELECT l.model, l.split, l.label,
+    count(*) FILTER (WHERE p.y_true = l.label AND p.y_pred = l.label) AS tp,
+    count(*) FILTER (WHERE p.y_true = l.label) AS support,
+    count(*) FILTER (WHERE p.y_pred = l.label) AS predicted
+  FROM lab l JOIN preds p ON p.model = l.model AND p.split = l.split GROUP BY l.model, l.split, l.label),
+prf AS (
+  SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0E0 END AS precision,
+    CASE WHEN support > 0 THEN tp / support ELSE 0.0E0 END AS recall,
+    CASE WHEN 2 * tp + (predicted - tp) + (support - tp) > 0
+         THEN 2 * tp / (2 * tp + (predicted - tp) + (support - tp)) ELSE 0.0E0 END AS f1
+  FROM st),
+ll AS (
+  SELECT model, split, avg(-ln(
+    (CASE y_true WHEN 'H' THEN least(greatest(p_H, 2.220446049250313e-16), 1 - 2.220446049250313e-16)
+                 WHEN 'D' THEN least(greatest(p_D, 2.220446049250313e-16), 1 - 2.220446049250313e-16)
+                 WHEN 'A' THEN least(greatest(p_A, 2.220446049250313e-16), 1 - 2.220446049250313e-16) END) /
+    (least(greatest(p_H, 2.220446049250313e-16), 1 - 2.220446049250313e-16)
+     + least(greatest(p_D, 2.220446049250313e-16), 1 - 2.220446049250313e-16)
+     + least(greatest(p_A, 2.220446049250313e-16), 1 - 2.220446049250313e-16)))) AS log_loss
+  FROM preds GROUP BY model, split),
+met AS (
+  SELECT prf.model, prf.split, sum(tp) / sum(support) AS accuracy, ll.log_loss, avg(f1) AS f1_macro,
+    sum(f1 * support) / sum(support) AS f1_weighted, avg(precision) AS precision_macro, avg(recall) AS recall_macro
+  FROM prf JOIN ll ON ll.model = prf.model AND ll.split = prf.split GROUP BY prf.model, prf.split, ll.log_loss)"""
+
+METRIC_NAMES = ["accuracy", "log_loss", "f1_macro", "f1_weighted", "precision_macro", "recall_macro"]
+
+
+def _met(select: str) -> str:
+    return f"WITH {M}, {PRED_SQL.strip()}\n{select}"
+
+
+def confusion_sql() -> str:
+    cols = ", ".join(f"count(*) FILTER (WHERE y_pred = '{x}') AS {x}" for x in ("H", "D", "A"))
+    return _met(f"SELECT model, split, y_true AS actual, {cols} FROM preds GROUP BY model, split, y_true")
+
+
+def class_metrics_sql() -> str:
+    return _met(f"SELECT model, split, {', '.join(r6(c, c) for c in METRIC_NAMES)} FROM met")
+
+
+def per_class_metrics_sql() -> str:
+    return _met(f"""SELECT g.model, g.split, g.label,
+  {r6('coalesce(prf.precision, 0.0E0)', 'precision')}, {r6('coalesce(prf.recall, 0.0E0)', 'recall')},
+  {r6('coalesce(prf.f1, 0.0E0)', 'f1')}, coalesce(prf.support, 0) AS support
+FROM (SELECT DISTINCT model, split, unnest(['H', 'D', 'A']) AS label FROM preds) g
+LEFT JOIN prf ON prf.model = g.model AND prf.split = g.split AND prf.label = g.label""")
+
+
+def log_loss_sql() -> str:
+    return _met(f"SELECT model, split, {r6('log_loss', 'log_loss')} FROM ll")
+
+
+def _met_long() -> str:
+    return " UNION ALL ".join(f"SELECT model, split, '{c}' AS metric, {c} AS value FROM met" for c in METRIC_NAMES)
+
+
+def best_model_sql() -> str:
+    return _met(f"""SELECT metric, model, {r6('value', 'value')} FROM (
+  SELECT l.metric, l.model, l.value, row_number() OVER (PARTITION BY l.metric ORDER BY l.value DESC, o.model_ord) AS rk
+  FROM ({_met_long()}) l JOIN (SELECT DISTINCT model, model_ord FROM preds) o USING (model)
+  WHERE l.split = 'test' AND l.metric IN ('accuracy', 'f1_macro')) WHERE rk = 1""")
+
+
+def overfit_status_sql() -> str:
+    gap = "(coalesce(max(accuracy) FILTER (WHERE split = 'train'), 0) - coalesce(max(accuracy) FILTER (WHERE split = 'test'), 0))"
+    return _met(f"""SELECT model, {r6(gap, 'gap')},
+  CASE WHEN {gap} > 0.15 THEN 'Possible overfitting' WHEN {gap} < 0 THEN 'Good generalization'
+       ELSE 'Acceptable' END AS status FROM met GROUP BY model""")
+
+
+def model_comparison_sql() -> str:
+    return _met(f"""SELECT model, metric, {r6('value', 'value')} FROM ({_met_long()}) WHERE split = 'test'
+UNION ALL SELECT g.model, 'f1_' || g.label, {r6('coalesce(prf.f1, 0.0E0)', 'v')}
+FROM (SELECT DISTINCT model, split, unnest(['H', 'D', 'A']) AS label FROM preds WHERE split = 'test') g
+LEFT JOIN prf ON prf.model = g.model AND prf.split = g.split AND prf.label = g.label""")
+
+
+def metrics_pivot_sql() -> str:
+    return _met(f"SELECT model, {', '.join(r6(c, c) for c in METRIC_NAMES)} FROM met WHERE split = 'test'")

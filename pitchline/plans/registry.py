@@ -433,3 +433,145 @@ def q_class_weights(spark, sf_dir):
     from pyspark.sql import functions as F
     from pitchline.operators.prep import class_weights
     return finish(class_weights(_ht_split(spark, sf_dir).where(F.col("split") == "train")))
+
+
+# ------------------------------------------------------------------ screening
+HT_NUMERIC = osql.HT_NUMERIC
+
+
+def _xt(spark, sf_dir):
+    """Training-split feature matrix, median-imputed with training medians."""
+    from pyspark.sql import functions as F
+    from pitchline.operators.prep import encode_label, handle_missing_values
+    x = _ht_x(spark, sf_dir).where(F.col("split") == "train")
+    x = x.select("match_id", encode_label("target_match_result").alias("lbl"), *[f"`{c}`" for c in HT_NUMERIC])
+    return handle_missing_values(x, "median", keep=["match_id", "lbl"])
+
+
+def _pairs(spark, sf_dir):
+    from pitchline.operators.screening import corr_pairs_all
+    return corr_pairs_all(_xt(spark, sf_dir), HT_NUMERIC)
+
+
+def _importance(spark, sf_dir):
+    from pitchline.operators.screening import target_correlation
+    return target_correlation(_xt(spark, sf_dir), HT_NUMERIC, "lbl")
+
+
+@register("corr_matrix", osql.corr_matrix_sql)
+def q_corr_matrix(spark, sf_dir):
+    return finish(_pairs(spark, sf_dir))
+
+
+@register("corr_pairs", osql.corr_pairs_sql)
+def q_corr_pairs(spark, sf_dir):
+    from pitchline.operators.screening import high_corr_pairs
+    return finish(high_corr_pairs(_pairs(spark, sf_dir)))
+
+
+@register("low_variance", osql.low_variance_sql)
+def q_low_variance(spark, sf_dir):
+    from pitchline.operators.screening import low_variance
+    return finish(low_variance(_xt(spark, sf_dir), HT_NUMERIC))
+
+
+@register("redundant_features", osql.redundant_features_sql)
+def q_redundant_features(spark, sf_dir):
+    from pitchline.operators.screening import redundant_features
+    return redundant_features(_pairs(spark, sf_dir))
+
+
+def _groups(spark, sf_dir):
+    from pitchline.operators.screening import correlation_groups, high_corr_pairs
+    return correlation_groups(high_corr_pairs(_pairs(spark, sf_dir)))
+
+
+@register("corr_groups", osql.corr_groups_sql)
+def q_corr_groups(spark, sf_dir):
+    return _groups(spark, sf_dir)
+
+
+@register("corr_keep_drop", osql.corr_keep_drop_sql)
+def q_corr_keep_drop(spark, sf_dir):
+    from pitchline.operators.screening import keep_drop
+    return finish(keep_drop(_groups(spark, sf_dir), _importance(spark, sf_dir)))
+
+
+@register("kept_features", osql.kept_features_sql)
+def q_kept_features(spark, sf_dir):
+    from pitchline.operators.screening import keep_drop, kept_features
+    imp = _importance(spark, sf_dir)
+    return kept_features(imp.select("feature"), keep_drop(_groups(spark, sf_dir), imp))
+
+
+@register("top_features", osql.top_features_sql)
+def q_top_features(spark, sf_dir):
+    from pitchline.operators.screening import top_features
+    return finish(top_features(_importance(spark, sf_dir), 10))
+
+
+@register("corr_submatrix", osql.corr_submatrix_sql)
+def q_corr_submatrix(spark, sf_dir):
+    from pitchline.operators.screening import corr_submatrix
+    return finish(corr_submatrix(_pairs(spark, sf_dir)))
+
+
+@register("screening_report", osql.screening_report_sql)
+def q_screening_report(spark, sf_dir):
+    from pitchline.operators.screening import screening_report
+    return screening_report(_xt(spark, sf_dir), HT_NUMERIC)
+
+
+# ------------------------------------------------------------------ metrics
+def _preds(spark, sf_dir):
+    from pitchline.sources.predictions import predictions
+    return predictions(spark, sf_dir)
+
+
+@register("confusion", osql.confusion_sql)
+def q_confusion(spark, sf_dir):
+    from pitchline.operators.metrics import confusion_matrix
+    return finish(confusion_matrix(_preds(spark, sf_dir)))
+
+
+@register("class_metrics", osql.class_metrics_sql)
+def q_class_metrics(spark, sf_dir):
+    from pitchline.operators.metrics import classification_metrics
+    return finish(classification_metrics(_preds(spark, sf_dir)))
+
+
+@register("per_class_metrics", osql.per_class_metrics_sql)
+def q_per_class_metrics(spark, sf_dir):
+    from pitchline.operators.metrics import per_class_metrics
+    return finish(per_class_metrics(_preds(spark, sf_dir)))
+
+
+@register("log_loss", osql.log_loss_sql)
+def q_log_loss(spark, sf_dir):
+    from pitchline.operators.metrics import log_loss
+    return finish(log_loss(_preds(spark, sf_dir)))
+
+
+@register("best_model", osql.best_model_sql)
+def q_best_model(spark, sf_dir):
+    from pitchline.operators.metrics import best_model, classification_metrics
+    p = _preds(spark, sf_dir)
+    return finish(best_model(classification_metrics(p), p.select("model", "model_ord").distinct()))
+
+
+@register("overfit_status", osql.overfit_status_sql)
+def q_overfit_status(spark, sf_dir):
+    from pitchline.operators.metrics import classification_metrics, overfit_status
+    return finish(overfit_status(classification_metrics(_preds(spark, sf_dir))))
+
+
+@register("model_comparison", osql.model_comparison_sql)
+def q_model_comparison(spark, sf_dir):
+    from pitchline.operators.metrics import model_comparison
+    return finish(model_comparison(_preds(spark, sf_dir)))
+
+
+@register("metrics_pivot", osql.metrics_pivot_sql)
+def q_metrics_pivot(spark, sf_dir):
+    from pitchline.operators.metrics import classification_metrics, metrics_long, metrics_pivot
+    return finish(metrics_pivot(metrics_long(classification_metrics(_preds(spark, sf_dir)))))
