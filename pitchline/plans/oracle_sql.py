@@ -912,3 +912,30 @@ LEFT JOIN prf ON prf.model = g.model AND prf.split = g.split AND prf.label = g.l
 
 def metrics_pivot_sql() -> str:
     return _met(f"SELECT model, {', '.join(r6(c, c) for c in METRIC_NAMES)} FROM met WHERE split = 'test'")
+
+
+# ------------------------------------------------------------------ Gaussian naive Bayes
+def gaussian_nb_sql() -> str:
+    import math
+    cols = ", ".join(f"coalesce(CAST({qi(c)} AS DOUBLE), (SELECT median({qi(c)}) FROM hx WHERE split = 'train'), 0.0E0) "
+                     f"AS {qi(c)}" for c in HT_NUMERIC)
+    stats = ", ".join([f"avg({qi(c)}) AS mu{i}" for i, c in enumerate(HT_NUMERIC)]
+                      + [f"var_pop({qi(c)}) AS var{i}" for i, c in enumerate(HT_NUMERIC)])
+    eps = "greatest(" + ", ".join(f"var_pop({qi(c)})" for c in HT_NUMERIC) + ") * 1e-6"
+    ll = " + ".join(f"(- {0.5 * math.log(2 * math.pi)!r} - 0.5 * ln(s.var{i} + e.eps) - "
+                    f"(x.{qi(c)} - s.mu{i}) * (x.{qi(c)} - s.mu{i}) / (2 * (s.var{i} + e.eps)))"
+                    for i, c in enumerate(HT_NUMERIC))
+    return f"""WITH {M}, {HT_SQL.strip()}, {HT_ENCODED},
+xi AS (SELECT match_id, split, target_match_result, {cols} FROM hx),
+s AS (SELECT target_match_result AS c, count(*) / (SELECT count(*) FROM xi WHERE split = 'train') AS prior, {stats}
+      FROM xi WHERE split = 'train' GROUP BY target_match_result),
+e AS (SELECT {eps} AS eps FROM xi WHERE split = 'train'),
+j AS (SELECT x.match_id, x.split, s.c, ln(s.prior) + {ll} AS ll FROM xi x, s, e WHERE x.split IN ('val', 'test')),
+w AS (SELECT match_id, split, max(ll) FILTER (WHERE c = 'H') AS lh, max(ll) FILTER (WHERE c = 'D') AS ld,
+        max(ll) FILTER (WHERE c = 'A') AS la FROM j GROUP BY match_id, split)
+SELECT match_id, split,
+  CASE WHEN la >= ld AND la >= lh THEN 'A' WHEN ld >= lh THEN 'D' ELSE 'H' END AS y_pred,
+  {r6('exp(lh - greatest(la, ld, lh)) / (exp(la - greatest(la, ld, lh)) + exp(ld - greatest(la, ld, lh)) + exp(lh - greatest(la, ld, lh)))', 'p_H')},
+  {r6('exp(ld - greatest(la, ld, lh)) / (exp(la - greatest(la, ld, lh)) + exp(ld - greatest(la, ld, lh)) + exp(lh - greatest(la, ld, lh)))', 'p_D')},
+  {r6('exp(la - greatest(la, ld, lh)) / (exp(la - greatest(la, ld, lh)) + exp(ld - greatest(la, ld, lh)) + exp(lh - greatest(la, ld, lh)))', 'p_A')}
+FROM w"""

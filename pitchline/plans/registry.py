@@ -575,3 +575,91 @@ def q_model_comparison(spark, sf_dir):
 def q_metrics_pivot(spark, sf_dir):
     from pitchline.operators.metrics import classification_metrics, metrics_long, metrics_pivot
     return finish(metrics_pivot(metrics_long(classification_metrics(_preds(spark, sf_dir)))))
+
+
+# ------------------------------------------------------------------ models
+def _model_data(spark, sf_dir):
+    """Half-time feature matrix for all splits, imputed with training medians;
+    materialised once (checkpoint) because every model reads it."""
+    from pyspark.sql import functions as F
+    from pitchline.operators.prep import imputation_values, impute
+    x = _ht_x(spark, sf_dir).select("match_id", "split", "target_match_result", *[f"`{c}`" for c in HT_NUMERIC])
+    fill = imputation_values(x.where(F.col("split") == "train"), HT_NUMERIC, "median")
+    xi = impute(x, HT_NUMERIC, fill, keep=["match_id", "split", "target_match_result"]).checkpoint(eager=True)
+    return {s: xi.where(F.col("split") == s) for s in ("train", "val", "test")}
+
+
+def _nb_sql():
+    return osql.gaussian_nb_sql()
+
+
+@register("gaussian_nb", _nb_sql)
+def q_gaussian_nb(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from pitchline.operators.models import gaussian_nb_fit, gaussian_nb_params, gaussian_nb_predict
+    d = _model_data(spark, sf_dir)
+    stats = gaussian_nb_params(gaussian_nb_fit(d["train"], HT_NUMERIC))
+    out = None
+    for s in ("val", "test"):
+        p = gaussian_nb_predict(d[s], stats, HT_NUMERIC).withColumn("split", F.lit(s))
+        out = p if out is None else out.unionByName(p)
+    return finish(out.select("match_id", "split", "y_pred", "p_H", "p_D", "p_A"))
+
+
+def _train_query(model_type):
+    def run(spark, sf_dir):
+        from pitchline.operators.models import fit, predict
+        d = _model_data(spark, sf_dir)
+        m = fit(d["train"], HT_NUMERIC, model_type)
+        return predict(m, d["test"], ("match_id", "target_match_result"))
+    return run
+
+
+for _m in ("random_forest", "logistic_regression", "xgboost", "svm", "fnn"):
+    register(f"train_{_m}")(_train_query(_m))
+
+
+@register("model_roundtrip")
+def q_model_roundtrip(spark, sf_dir):
+    """Save, load, predict with the loaded pipeline."""
+    from pitchline.operators.models import fit, load_model, predict, save_model
+    from pitchline.session import scratch_path
+    d = _model_data(spark, sf_dir)
+    path = save_model(fit(d["train"], HT_NUMERIC, "logistic_regression"), scratch_path(spark, "model"))
+    return predict(load_model(path), d["test"])
+
+
+@register("trained_comparison")
+def q_trained_comparison(spark, sf_dir):
+    """E1 + E3 on trained models: test metrics per model, long form."""
+    from pitchline.operators.metrics import classification_metrics, metrics_long
+    from pitchline.operators.models import compare_models
+    d = _model_data(spark, sf_dir)
+    preds, _, _ = compare_models(d["train"], {"train": d["train"], "val": d["val"], "test": d["test"]},
+                                 HT_NUMERIC, ["random_forest", "logistic_regression", "naive_bayes", "svm", "fnn"])
+    return metrics_long(classification_metrics(preds.checkpoint(eager=True)))
+
+
+@register("importance_avg")
+def q_importance_avg(spark, sf_dir):
+    """Mean importance over the models that expose one."""
+    from pitchline.operators.models import feature_importance, fit, importance_frame
+    from pitchline.operators.screening import average_importance
+    d = _model_data(spark, sf_dir)
+    frames = []
+    for mt in ("random_forest", "logistic_regression", "svm"):
+        frames.append(importance_frame(spark, mt, feature_importance(fit(d["train"], HT_NUMERIC, mt), HT_NUMERIC)))
+    allf = frames[0]
+    for f in frames[1:]:
+        allf = allf.unionByName(f)
+    return average_importance(allf)
+
+
+@register("select_by_importance")
+def q_select_by_importance(spark, sf_dir):
+    """Forest (100 trees, depth 5) importances, top 30."""
+    from pitchline.operators.models import feature_importance, fit, importance_frame
+    from pitchline.operators.screening import top_features
+    d = _model_data(spark, sf_dir)
+    m = fit(d["train"], HT_NUMERIC, "random_forest", {"max_depth": 5, "class_weight": None})
+    return top_features(importance_frame(spark, "random_forest", feature_importance(m, HT_NUMERIC)), 30)
