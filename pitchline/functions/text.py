@@ -7,11 +7,12 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pitchline.functions.columns import col
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _fold_accents_lower(s: pd.Series) -> pd.Series:
     # Spark has no NFKD normalisation: decompose, drop combining marks, lower.
     def one(v):

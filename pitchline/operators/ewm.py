@@ -1,57 +1,80 @@
 """Exponentially weighted mean of a team's *previous* values.
 
-Semantics (pandas ``ewm(span, adjust=False)`` over the shifted series with
-gaps decaying): state ``(y, w)``; every slot multiplies ``w`` by
+Semantics (pandas ``ewm(span, adjust=False)`` over the shifted series, gaps
+decaying): state ``(y, w)``; every slot multiplies ``w`` by
 ``beta = 1 - alpha``; an observation x sets ``y = (w*y + alpha*x)/(w + alpha)``
 and ``w = 1``; the first observation sets ``y = x``.  The value for a row is
 the state after all earlier rows of the team.
 
-Distributed form, exact to double precision and linear in rows:
-
-1. on the team window (shared with the other momentum features) every row
-   gets ``obs_before`` = number of earlier non-null values;
-2. the non-null rows alone are windowed by team; each gets the number of null
-   slots since the previous observation (``gap``) and folds the last
-   ``ewm_tail_length(span)`` observations (91 for span 5): older observations
-   carry < 2**-53 of the weight, because each observation shrinks all older
-   weight by at least ``beta``;
-3. row t takes the state of observation number ``obs_before(t)`` through an
-   equi-join on ``(team, obs_index)`` -- evenly spread keys, no hot group,
-   whatever the length of a null run.
+This is a true sequential recurrence, which Spark has no window function
+for.  It runs as a ``mapInPandas`` scan over a frame that is hash
+partitioned by team and sorted by (team, kickoff, match_id) -- the output of
+the team window, so no extra exchange.  The scan streams Arrow batches and
+keeps O(1) state per (column, team): the state after a batch is handed to
+the next batch as a one-value prefix followed by the pending null slots, so
+pandas' own vectorised ``ewm`` continues the series exactly.  Several
+columns are done in one pass; no group is ever collected.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from pitchline.operators.long_table import order_by
+
+# Beyond this many pending null slots the carried weight beta**g is below
+# 1e-150 of an observation's: the old state can no longer move the result.
+_MAX_PENDING = 900
+
+
+def _scan(specs, span: float, key: str):
+    def run(batches):
+        state: dict = {}
+        for pdf in batches:
+            keys = pdf[key].to_numpy()
+            n = len(pdf)
+            if n == 0:
+                yield pdf.assign(**{out: pd.Series(dtype="float64") for _, out in specs})
+                continue
+            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            ends = np.r_[starts[1:], n]
+            outs = {}
+            for src, out in specs:
+                x = pdf[src].to_numpy(dtype="float64", na_value=np.nan)
+                res = np.empty(n)
+                for s, e in zip(starts, ends):
+                    y, g = state.get((src, keys[s]), (math.nan, 0))
+                    prefix = [] if math.isnan(y) else [y] + [math.nan] * min(g, _MAX_PENDING)
+                    series = np.concatenate([np.asarray(prefix, dtype="float64"), x[s:e]])
+                    ew = pd.Series(series).ewm(span=span, adjust=False).mean().to_numpy()
+                    p = len(prefix)
+                    # value of row j = state after the rows before it
+                    res[s] = y
+                    if e - s > 1:
+                        res[s + 1:e] = ew[p:p + (e - s) - 1]
+                    seg = x[s:e]
+                    obs = np.flatnonzero(~np.isnan(seg))
+                    if len(obs):
+                        state[(src, keys[s])] = (ew[-1], (e - s) - 1 - obs[-1])
+                    elif not math.isnan(y):
+                        state[(src, keys[s])] = (y, g + (e - s))
+                outs[out] = res
+            yield pdf.assign(**outs)
+    return run
+
 
-from pitchline.functions.columns import ewm_tail_length
-
-
-def obs_before(x: str, w) -> F.Column:
-    from pyspark.sql import Window as W
-    return F.count(F.col(x)).over(w.rowsBetween(W.unboundedPreceding, -1))
-
-
-def ewm_prior(a: DataFrame, x: str, span: float, out: str, keys=("team",),
-              rn: str = "rn", row_keys=("match_id", "is_home")) -> DataFrame:
-    """``a`` must carry ``keys``, ``rn`` (row number in the team order),
-    ``row_keys``, ``x`` and ``_obs_<x>`` (earlier non-null count).  Returns
-    ``row_keys + [out]`` for every row of ``a``."""
-    alpha = 2.0 / (span + 1.0)
-    beta = 1.0 - alpha
-    tail = ewm_tail_length(span)
-    cnt = f"_obs_{x}"
-    wo = Window.partitionBy(*keys).orderBy(rn)
-    obs = (a.filter(F.col(x).isNotNull())
-            .select(*keys, rn, cnt, x)
-            .withColumn("_gap", F.col(rn) - F.lag(rn).over(wo) - 1)
-            .withColumn("_tail", F.collect_list(F.struct(F.col("_gap").alias("g"), F.col(x).alias("v")))
-                        .over(wo.rowsBetween(-(tail - 1), 0))))
-    fold = (f"aggregate(_tail, CAST(NULL AS DOUBLE), (acc, e) -> CASE WHEN acc IS NULL THEN e.v "
-            f"ELSE (power({beta!r}, e.g + 1) * acc + {alpha!r} * e.v) / (power({beta!r}, e.g + 1) + {alpha!r}) END)")
-    states = obs.select(*[F.col(k).alias(f"_k_{k}") for k in keys],
-                        (F.col(cnt) + 1).alias("_k_idx"), F.expr(fold).alias(out))
-    rows = a.select(*keys, *row_keys, cnt)
-    cond = [rows[k] == states[f"_k_{k}"] for k in keys] + [rows[cnt] == states["_k_idx"]]
-    return rows.join(states, cond, "left").select(*row_keys, out)
+def with_prior_ewm(df: DataFrame, specs, span: float = 5, key: str = "team") -> DataFrame:
+    """Append ``out`` = EWM of the earlier ``src`` values of the same ``key``
+    for each ``(src, out)`` in ``specs``.  Rows with a NULL key get NULL."""
+    # ``df`` comes from the team window: already hash partitioned by key and
+    # sorted this way, so the sort below is removed by the planner
+    sorted_df = df.sortWithinPartitions(F.col(key), *order_by())
+    schema = T.StructType(df.schema.fields + [T.StructField(out, T.DoubleType(), True) for _, out in specs])
+    res = sorted_df.mapInPandas(_scan(specs, span, key), schema)
+    return res.select(*df.columns, *[F.when(F.col(key).isNotNull(), F.col(out)).alias(out) for _, out in specs])

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitchline.functions.columns import lag_columns, prior_std, weighted_from_lags
-from pitchline.operators.ewm import ewm_prior, obs_before
+from pitchline.operators.ewm import with_prior_ewm
 from pitchline.operators.long_table import long_table, order_by
 from pitchline.operators.regroup import to_match_rows
 
@@ -93,7 +93,6 @@ def _windowed(lt: DataFrame) -> DataFrame:
         *lag_columns(team_lags, w),
         prior_std("goal_diff", 5, w).alias("mom_volatility_5"),
         (F.timestamp_diff("MICROSECOND", F.lag("kickoff").over(w), F.col("kickoff")) / 86400e6).alias("rest_days"),
-        *[obs_before(src, w).alias(f"_obs_{src}") for src, _ in TEAM_EWM if src != "match_density"],
     )
     # the venue window (team, is_home) reuses the team exchange; only re-sorts
     s1v = s1.select("*", *lag_columns([("points", 5), ("xg_diff_proxy", 5)], wv, prefix="_vlag"))
@@ -112,8 +111,7 @@ def _windowed(lt: DataFrame) -> DataFrame:
         (F.col("match_density") + F.col("travel_km_team") / 1000.0).alias("travel_fatigue_score"),
     )
     # Windows over window results, same spec as s1
-    s3 = s2.select("*", *lag_columns([("match_density", 5), ("travel_fatigue_score", 5)], w),
-                   obs_before("match_density", w).alias("_obs_match_density"))
+    s3 = s2.select("*", *lag_columns([("match_density", 5), ("travel_fatigue_score", 5)], w))
     return s3.select(
         "*",
         weighted_from_lags("match_density", 5).alias("match_density_mom_5"),
@@ -127,11 +125,10 @@ def long_features(lt: DataFrame) -> DataFrame:
     if "pre_match_elo" not in a.columns:
         a = a.withColumn("pre_match_elo", F.lit(None).cast("double"))
     keep = ["match_id", "is_home", "team", "opponent", "kickoff", "league_id", "season"]
-    main = a.select(*keep, *[c for c in LONG_FEATURES if c not in {o for _, o in TEAM_EWM}])
-    out = main
-    for src, name in TEAM_EWM:
-        e = ewm_prior(a, src, EWM_SPAN, name)
-        out = out.join(e, ["match_id", "is_home"], "left")
+    ewm_out = {o for _, o in TEAM_EWM}
+    ewm_src = [s for s, _ in TEAM_EWM if s not in LONG_FEATURES]
+    narrow = a.select(*keep, *ewm_src, *[c for c in LONG_FEATURES if c not in ewm_out])
+    out = with_prior_ewm(narrow, TEAM_EWM, EWM_SPAN)
     return out.select(*keep, *LONG_FEATURES)
 
 
