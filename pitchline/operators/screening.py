@@ -32,19 +32,21 @@ def low_variance(x: DataFrame, cols: list[str], limit: float = LOW_VARIANCE_LIMI
 
 def corr_pairs_all(x: DataFrame, cols: list[str]) -> DataFrame:
     """Pearson r for every pair i < j (column order), NULL for a constant
-    column (division by zero guarded, ANSI-safe)."""
-    aggs, idx = [], []
-    for i in range(len(cols)):
-        for j in range(i + 1, len(cols)):
-            a, b = q(cols[i]), q(cols[j])
-            r = F.try_divide(F.covar_samp(a, b), F.nullif(F.stddev_samp(a) * F.stddev_samp(b), F.lit(0.0)))
-            aggs.append(r.alias(f"r{len(idx)}"))
-            idx.append((i, j))
-    if not aggs:
+    column.  Two passes, as pandas does: the column means (one tiny scalar
+    subquery), then one scan of plain sums of centred products -- p(p+1)/2
+    codegen'd ``sum`` aggregates instead of p^2/2 stateful covariance
+    aggregates."""
+    if len(cols) < 2:
         return x.sparkSession.createDataFrame([], "feature_1 string, feature_2 string, correlation double")
-    row = x.agg(*aggs)
-    st = F.stack(F.lit(len(idx)), *[e for k, (i, j) in enumerate(idx)
-                                    for e in (F.lit(cols[i]), F.lit(cols[j]), F.col(f"r{k}"))])
+    means = x.select(F.struct(*[F.avg(q(c)).alias(f"m{i}") for i, c in enumerate(cols)])).scalar()
+    cen = x.select(*[(q(c) - means.getField(f"m{i}")).alias(f"c{i}") for i, c in enumerate(cols)])
+    k = len(cols)
+    sums = [F.sum(F.col(f"c{i}") * F.col(f"c{j}")).alias(f"s{i}_{j}") for i in range(k) for j in range(i, k)]
+    row = cen.agg(*sums)
+    idx = [(i, j) for i in range(k) for j in range(i + 1, k)]
+    r = [F.try_divide(F.col(f"s{i}_{j}"), F.nullif(F.sqrt(F.col(f"s{i}_{i}") * F.col(f"s{j}_{j}")), F.lit(0.0)))
+         for i, j in idx]
+    st = F.stack(F.lit(len(idx)), *[e for (i, j), rr in zip(idx, r) for e in (F.lit(cols[i]), F.lit(cols[j]), rr)])
     return row.select(st.alias("feature_1", "feature_2", "correlation"))
 
 
@@ -65,7 +67,7 @@ def correlation_groups(pairs: DataFrame, max_rounds: int = 64) -> DataFrame:
     (iterated joins until no label changes; each round is checkpointed so
     the lineage stays short).  Returns (feature, group, group_size) with
     ``group`` = smallest feature name of the component."""
-    e = pairs.select("feature_1", "feature_2")
+    e = pairs.select("feature_1", "feature_2").checkpoint(eager=True)  # at most p^2 rows, read every round
     edges = e.unionByName(e.select(F.col("feature_2").alias("feature_1"), F.col("feature_1").alias("feature_2")))
     labels = edges.groupBy(F.col("feature_1").alias("feature")).agg(
         F.least(F.min("feature_2"), F.first("feature_1")).alias("label"))

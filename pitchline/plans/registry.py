@@ -445,17 +445,18 @@ def _xt(spark, sf_dir):
     from pitchline.operators.prep import encode_label, handle_missing_values
     x = _ht_x(spark, sf_dir).where(F.col("split") == "train")
     x = x.select("match_id", encode_label("target_match_result").alias("lbl"), *[f"`{c}`" for c in HT_NUMERIC])
-    return handle_missing_values(x, "median", keep=["match_id", "lbl"])
+    # materialised once: means, sums, variances and importances all scan it
+    return handle_missing_values(x, "median", keep=["match_id", "lbl"]).checkpoint(eager=True)
 
 
 def _pairs(spark, sf_dir):
     from pitchline.operators.screening import corr_pairs_all
-    return corr_pairs_all(_xt(spark, sf_dir), HT_NUMERIC)
+    return corr_pairs_all(_xt(spark, sf_dir), HT_NUMERIC).checkpoint(eager=True)  # p(p-1)/2 rows
 
 
-def _importance(spark, sf_dir):
+def _importance(spark, sf_dir, x=None):
     from pitchline.operators.screening import target_correlation
-    return target_correlation(_xt(spark, sf_dir), HT_NUMERIC, "lbl")
+    return target_correlation(x if x is not None else _xt(spark, sf_dir), HT_NUMERIC, "lbl")
 
 
 @register("corr_matrix", osql.corr_matrix_sql)
@@ -481,9 +482,9 @@ def q_redundant_features(spark, sf_dir):
     return redundant_features(_pairs(spark, sf_dir))
 
 
-def _groups(spark, sf_dir):
+def _groups(spark, sf_dir, pairs=None):
     from pitchline.operators.screening import correlation_groups, high_corr_pairs
-    return correlation_groups(high_corr_pairs(_pairs(spark, sf_dir)))
+    return correlation_groups(high_corr_pairs(pairs if pairs is not None else _pairs(spark, sf_dir)))
 
 
 @register("corr_groups", osql.corr_groups_sql)
@@ -493,15 +494,19 @@ def q_corr_groups(spark, sf_dir):
 
 @register("corr_keep_drop", osql.corr_keep_drop_sql)
 def q_corr_keep_drop(spark, sf_dir):
-    from pitchline.operators.screening import keep_drop
-    return finish(keep_drop(_groups(spark, sf_dir), _importance(spark, sf_dir)))
+    from pitchline.operators.screening import corr_pairs_all, keep_drop
+    x = _xt(spark, sf_dir)
+    pairs = corr_pairs_all(x, HT_NUMERIC).checkpoint(eager=True)
+    return finish(keep_drop(_groups(spark, sf_dir, pairs), _importance(spark, sf_dir, x)))
 
 
 @register("kept_features", osql.kept_features_sql)
 def q_kept_features(spark, sf_dir):
-    from pitchline.operators.screening import keep_drop, kept_features
-    imp = _importance(spark, sf_dir)
-    return kept_features(imp.select("feature"), keep_drop(_groups(spark, sf_dir), imp))
+    from pitchline.operators.screening import corr_pairs_all, keep_drop, kept_features
+    x = _xt(spark, sf_dir)
+    pairs = corr_pairs_all(x, HT_NUMERIC).checkpoint(eager=True)
+    imp = _importance(spark, sf_dir, x)
+    return kept_features(imp.select("feature"), keep_drop(_groups(spark, sf_dir, pairs), imp))
 
 
 @register("top_features", osql.top_features_sql)
