@@ -1,0 +1,2 @@
+"""The reference has no streaming operator (no watermark, window or state
+store), so nothing is built here; batch operators cover every query."""
