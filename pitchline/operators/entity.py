@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pitchline.functions.text import team_key_expr, with_team_key
 
@@ -175,7 +176,12 @@ def team_match_skeleton(master: DataFrame, league: str | None = None,
     df = master
     if league is not None and "league" in df.columns:  # P12
         df = df.where(F.lower(F.col("league").cast("string")) == league.lower())
-    df = df.select("season", F.to_date(F.col(date_col)).alias("match_date"), "home_team", "away_team") \
+    if isinstance(df.schema[date_col].dataType, T.StringType):   # P3: ISO, else day-first for the column
+        from pitchline.functions.parse import parse_date_fallback
+        df = parse_date_fallback(df, date_col, "__md")
+    else:
+        df = df.withColumn("__md", F.to_date(F.col(date_col)))
+    df = df.select("season", F.col("__md").alias("match_date"), "home_team", "away_team") \
            .where(F.col("match_date").isNotNull())   # P13
     teams = F.explode(F.array(F.col("home_team"), F.col("away_team"))).alias("team_name")
     out = df.select("season", "match_date", teams).dropDuplicates()

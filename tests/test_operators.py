@@ -122,3 +122,43 @@ def test_metrics_zero_division(spark):
     assert r.accuracy == 0.5
     # labels seen: H (p=0.5, r=1, f1=2/3) and D (p=0 by 0/0, r=0, f1=0)
     assert abs(r.f1_macro - (2 / 3) / 2) < 1e-12 and abs(r.precision_macro - 0.25) < 1e-12
+
+
+def test_csv_encoding_fallback_and_guard(spark, tmp_path):
+    from pitchline.sources.io import MissingColumns, ensure_columns, read_csv
+    p = tmp_path / "latin1.csv"
+    p.write_bytes("team,goals\nAlavés,2\nCádiz,1\n".encode("latin-1"))
+    df = read_csv(spark, str(p), "team string, goals int")
+    assert sorted(r.team for r in df.collect()) == ["Alavés", "Cádiz"]
+    with pytest.raises(MissingColumns):
+        ensure_columns(df, ["team", "season"])
+
+
+def test_report_roundtrip(spark):
+    from pitchline.session import scratch_path
+    from pitchline.sources.io import load_report, save_report
+    path = save_report(spark, {"seasons": ["2019-2020"], "coverage_ratio": 0.5}, scratch_path(spark, "rep"))
+    r = load_report(spark, path)
+    assert r["coverage_ratio"] == 0.5 and r["seasons"] == ["2019-2020"] and "timestamp" in r
+
+
+def test_squad_rows_inline_fixture(spark):
+    from pitchline.operators.entity import squad_rows
+    html = ('<table class="items"><tbody>'
+            '<tr class="odd"><td>1</td><td><a href="/x/profil/spieler/9">Ana Pérez</a></td><td>€1.50m</td></tr>'
+            '<tr class="even"><td></td><td>Bo Li</td><td>€300k</td></tr>'
+            '<tr class="odd"><td>No Value</td><td>-</td></tr>'
+            '<tr class="header"><td>skip</td><td>€9m</td></tr>'
+            '</tbody></table>')
+    pages = spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")
+    got = sorted((r.player_name, r.player_market_value_eur) for r in squad_rows(pages).collect())
+    assert got == [("Ana Pérez", 1.5e6), ("Bo Li", 3e5)]
+
+
+def test_skeleton_date_column_choice(spark):
+    from pitchline.operators.entity import team_match_skeleton
+    df = spark.createDataFrame([("2019-2020", "A", "B", "2020-01-05 18:00:00", "LaLiga"),
+                                ("2019-2020", "A", "C", "2020-01-05 20:00:00", "other")],
+                               "season string, home_team string, away_team string, match_datetime_utc string, league string")
+    sk = team_match_skeleton(df, league="laliga", league_label="LaLiga").collect()
+    assert sorted(r.team_name for r in sk) == ["A", "B"]
