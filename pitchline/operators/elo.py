@@ -9,8 +9,17 @@ reference), ``home += k*(S - E)``, ``away += k*((1-S) - (1-E))``.
 
 Ratings couple every team that ever met, so the fold is sequential within a
 league (teams never cross leagues in the match table).  Leagues are folded in
-parallel, one task each, over the six narrow columns the fold needs; the
-result is joined back on ``match_id``.
+parallel over the six narrow columns the fold needs; the result is joined
+back on ``match_id``.
+
+A league larger than ``chunk_rows`` matches is never handed to one task as a
+whole: its matches are cut into consecutive chunks of ``chunk_rows`` (exact
+positions from a range-partitioned sort), written once under the checkpoint
+folder partitioned by chunk, and folded chunk by chunk -- all leagues advance
+together, and the ratings map (one row per team: bounded by the number of
+teams, not by matches) travels from one step to the next as a small state
+table through ``cogroup``.  Each step's output is written, so a lost
+executor only repeats the current step.
 """
 
 from __future__ import annotations
@@ -30,40 +39,96 @@ _OUT_SCHEMA = ("match_id long, home_elo_pre double, away_elo_pre double, "
                "elo_diff_pre double, elo_home_win_prob_pre double")
 
 
+DEFAULT_CHUNK_ROWS = 2_000_000
+
+
+def _fold_rows(pdf: pd.DataFrame, ratings: dict, k: float, home_adv: float, skip_unplayed: bool) -> pd.DataFrame:
+    pdf = pdf.sort_values(["_ko_null", "kickoff", "match_id"], kind="mergesort")
+    home = pdf["home_team"].astype(str).to_numpy()
+    away = pdf["away_team"].astype(str).to_numpy()
+    hg = pdf["home_goals"].to_numpy(dtype="float64", na_value=np.nan)
+    ag = pdf["away_goals"].to_numpy(dtype="float64", na_value=np.nan)
+    n = len(pdf)
+    he, ae, ex = np.empty(n), np.empty(n), np.empty(n)
+    for i in range(n):
+        h, a = ratings.get(home[i], ELO_START), ratings.get(away[i], ELO_START)
+        e = 1.0 / (1.0 + 10.0 ** ((a - (h + home_adv)) / 400.0))
+        he[i], ae[i], ex[i] = h, a, e
+        if skip_unplayed and (np.isnan(hg[i]) or np.isnan(ag[i])):
+            continue
+        s = 1.0 if hg[i] > ag[i] else (0.5 if hg[i] == ag[i] else 0.0)
+        ratings[home[i]] = h + k * (s - e)
+        ratings[away[i]] = a + k * ((1.0 - s) - (1.0 - e))
+    return pd.DataFrame({"match_id": pdf["match_id"].to_numpy(), "home_elo_pre": he, "away_elo_pre": ae,
+                         "elo_diff_pre": he - ae, "elo_home_win_prob_pre": ex})
+
+
 def _fold(k: float, home_adv: float, skip_unplayed: bool):
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_ko_null", "kickoff", "match_id"], kind="mergesort")
-        home = pdf["home_team"].astype(str).to_numpy()
-        away = pdf["away_team"].astype(str).to_numpy()
-        hg = pdf["home_goals"].to_numpy(dtype="float64", na_value=np.nan)
-        ag = pdf["away_goals"].to_numpy(dtype="float64", na_value=np.nan)
-        n = len(pdf)
-        he = np.empty(n)
-        ae = np.empty(n)
-        ex = np.empty(n)
-        ratings: dict[str, float] = {}
-        for i in range(n):
-            h, a = ratings.get(home[i], ELO_START), ratings.get(away[i], ELO_START)
-            e = 1.0 / (1.0 + 10.0 ** ((a - (h + home_adv)) / 400.0))
-            he[i], ae[i], ex[i] = h, a, e
-            if skip_unplayed and (np.isnan(hg[i]) or np.isnan(ag[i])):
-                continue
-            s = 1.0 if hg[i] > ag[i] else (0.5 if hg[i] == ag[i] else 0.0)
-            ratings[home[i]] = h + k * (s - e)
-            ratings[away[i]] = a + k * ((1.0 - s) - (1.0 - e))
-        return pd.DataFrame({"match_id": pdf["match_id"].to_numpy(), "home_elo_pre": he,
-                             "away_elo_pre": ae, "elo_diff_pre": he - ae,
-                             "elo_home_win_prob_pre": ex})
+        return _fold_rows(pdf, {}, k, home_adv, skip_unplayed)
     return fold
 
 
+_STEP_SCHEMA = ("kind string, g string, match_id long, home_elo_pre double, away_elo_pre double, "
+                "elo_diff_pre double, elo_home_win_prob_pre double, team string, rating double")
+
+
+def _step(k: float, home_adv: float, skip_unplayed: bool):
+    def step(rows: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+        if len(rows) == 0 and len(state) == 0:
+            return pd.DataFrame(columns=_STEP_SCHEMA_COLS)
+        g = str(rows["g"].iloc[0] if len(rows) else state["g"].iloc[0])
+        ratings = dict(zip(state["team"].astype(str), state["rating"].astype(float)))
+        out = _fold_rows(rows, ratings, k, home_adv, skip_unplayed) if len(rows) else \
+            pd.DataFrame(columns=["match_id", "home_elo_pre", "away_elo_pre", "elo_diff_pre", "elo_home_win_prob_pre"])
+        out = out.assign(kind="match", g=g, team=None, rating=np.nan)
+        st = pd.DataFrame({"kind": "state", "g": g, "match_id": None, "home_elo_pre": np.nan, "away_elo_pre": np.nan,
+                           "elo_diff_pre": np.nan, "elo_home_win_prob_pre": np.nan,
+                           "team": list(ratings.keys()), "rating": list(ratings.values())})
+        return pd.concat([out[_STEP_SCHEMA_COLS], st[_STEP_SCHEMA_COLS]], ignore_index=True)
+    return step
+
+
+_STEP_SCHEMA_COLS = [c.split()[0] for c in _STEP_SCHEMA.split(", ")]
+
+
+def _chunked(narrow: DataFrame, group_col: str, chunk_rows: int, k, home_adv, skip_unplayed) -> DataFrame:
+    from pitchline.operators.splits import positional_index
+    from pitchline.session import scratch_path
+    spark = narrow.sparkSession
+    order = [F.col("g"), F.col("kickoff").asc_nulls_last(), F.col("match_id")]
+    p = positional_index(narrow.withColumn("g", F.col(group_col).cast("string")), order, "_gpos")
+    start = p.groupBy("g").agg(F.min("_gpos").alias("_start"))
+    p = p.join(start, "g").withColumn("_chunk", F.floor((F.col("_gpos") - F.col("_start")) / chunk_rows))
+    src = scratch_path(spark, "elo-chunks")
+    p.drop("_gpos", "_start").write.partitionBy("_chunk").parquet(src)
+    n_chunks = spark.read.parquet(src).select(F.max("_chunk")).collect()[0][0] + 1   # one small value
+    out = scratch_path(spark, "elo-out")
+    state = spark.createDataFrame([], "g string, team string, rating double")
+    for c in range(int(n_chunks)):
+        rows = spark.read.parquet(src).where(F.col("_chunk") == c).drop("_chunk")
+        res = rows.groupBy("g").cogroup(state.groupBy("g")).applyInPandas(
+            _step(k, home_adv, skip_unplayed), _STEP_SCHEMA)
+        res.write.parquet(f"{out}/_chunk={c}")
+        state = spark.read.parquet(f"{out}/_chunk={c}").where(F.col("kind") == "state").select("g", "team", "rating")
+    return (spark.read.parquet(out).where(F.col("kind") == "match")
+            .select("match_id", "home_elo_pre", "away_elo_pre", "elo_diff_pre", "elo_home_win_prob_pre"))
+
+
 def elo_ratings(m: DataFrame, k: float = ELO_K, home_adv: float = ELO_HOME_ADV,
-                skip_unplayed: bool = False, group_col: str = "league_id") -> DataFrame:
-    """``match_id`` + the four pre-match Elo columns."""
+                skip_unplayed: bool = False, group_col: str = "league_id",
+                chunk_rows: int | None = DEFAULT_CHUNK_ROWS) -> DataFrame:
+    """``match_id`` + the four pre-match Elo columns.  Leagues up to
+    ``chunk_rows`` matches fold in one grouped step; larger ones chunk by
+    chunk (one small aggregate decides)."""
     narrow = m.select(group_col, "match_id", "kickoff", F.col("kickoff").isNull().alias("_ko_null"),
                       "home_team", "away_team",
                       F.col("home_goals").cast("double").alias("home_goals"),
                       F.col("away_goals").cast("double").alias("away_goals"))
+    if chunk_rows:
+        biggest = narrow.groupBy(group_col).count().agg(F.max("count")).collect()[0][0] or 0
+        if biggest > chunk_rows:
+            return _chunked(narrow, group_col, chunk_rows, k, home_adv, skip_unplayed)
     return narrow.groupBy(group_col).applyInPandas(_fold(k, home_adv, skip_unplayed), _OUT_SCHEMA)
 
 

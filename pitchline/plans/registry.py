@@ -780,3 +780,11 @@ def q_match_diffs(spark, sf_dir):
     from pitchline.operators.momentum import DIFF_PAIRS, match_features
     mf = match_features(matches(spark, sf_dir))
     return finish(mf.select("match_id", *[d for d, _ in DIFF_PAIRS]))
+
+
+@register("elo_pre_chunked", osql.elo_sql)
+def q_elo_pre_chunked(spark, sf_dir):
+    """G1 through the chunked path (chunks of 1,000 matches per league), same
+    result as ``elo_pre``."""
+    from pitchline.operators.elo import elo_ratings
+    return finish(elo_ratings(matches(spark, sf_dir), chunk_rows=1000))
