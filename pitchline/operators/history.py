@@ -59,7 +59,48 @@ def venue_history_long(lt: DataFrame, window: int = 5) -> DataFrame:
     )
 
 
-def venue_history(m: DataFrame, window: int = 5) -> DataFrame:
-    """One row per match with ``home_*`` and ``away_*`` venue features."""
-    vl = venue_history_long(long_table(m), window)
+def venue_history_segmented(lt: DataFrame, seg_rows: int, window: int = 5) -> DataFrame:
+    """``venue_history_long`` for skewed keys: bounded segments with a halo of
+    ``window`` rows; cumulative totals continue from per-segment offsets."""
+    from pitchline.operators.segments import segment, segment_offsets, segment_window
+    keys = ["team", "is_home"]
+    s = segment(lt.select("match_id", "team", "is_home", "kickoff", "win", "draw", "loss", "goals_for",
+                          "goals_against", "goal_diff", "win_margin", "loss_margin"), keys, seg_rows, window)
+    own = ~F.col("_halo")
+    parts = {"w": F.col("win"), "d": F.col("draw"), "l": F.col("loss"), "gf": F.col("goals_for"),
+             "ga": F.col("goals_against"), "gd": F.col("goal_diff"), "wm": F.col("win_margin"),
+             "wmn": F.col("win_margin").isNotNull().cast("long"), "lm": F.col("loss_margin"),
+             "lmn": F.col("loss_margin").isNotNull().cast("long")}
+    offs = segment_offsets(s, keys, parts)
+    w = segment_window(keys)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+
+    def cum(name):
+        return F.coalesce(F.sum(F.when(own, parts[name])).over(before), F.lit(0)) + F.col(f"_off_{name}")
+
+    x = s.join(offs, [*keys, "_seg"]).select(
+        "match_id", "team", "is_home", "kickoff", "_halo", F.col("_pos").alias("matches_before"),
+        F.coalesce(F.sum("win").over(w.rowsBetween(-window, -1)), F.lit(0)).cast("double").alias("wins_last5"),
+        *[cum(n).alias(f"_{n}") for n in parts])
+    n = F.col("matches_before")
+    return x.where(~F.col("_halo")).select(
+        "match_id", "team", "is_home", "kickoff", "matches_before", "wins_last5",
+        safe_div("_w", n).alias("win_rate"), safe_div("_d", n).alias("draw_rate"),
+        safe_div("_l", n).alias("loss_rate"),
+        F.col("_gf").cast("double").alias("goals_for"), F.col("_ga").cast("double").alias("goals_against"),
+        F.col("_gd").cast("double").alias("goal_diff"),
+        safe_div("_gf", n).alias("goals_for_pm"), safe_div("_ga", n).alias("goals_against_pm"),
+        safe_div("_gd", n).alias("goal_diff_pm"),
+        safe_div("_wm", "_wmn").alias("win_margin_avg"), safe_div("_lm", "_lmn").alias("loss_margin_avg"))
+
+
+def venue_history(m: DataFrame, window: int = 5, seg_rows: int | str | None = "auto") -> DataFrame:
+    """One row per match with ``home_*`` and ``away_*`` venue features.
+    ``seg_rows``: split team histories into bounded segments (see
+    ``pitchline.operators.segments``); "auto" does so only for keys above
+    the auto threshold."""
+    from pitchline.operators.segments import needs_segments
+    lt = long_table(m)
+    rows = needs_segments(lt, ["team", "is_home"], seg_rows)
+    vl = venue_history_segmented(lt, rows, window) if rows else venue_history_long(lt, window)
     return to_match_rows(vl, VENUE_FEATURES)

@@ -788,3 +788,11 @@ def q_elo_pre_chunked(spark, sf_dir):
     result as ``elo_pre``."""
     from pitchline.operators.elo import elo_ratings
     return finish(elo_ratings(matches(spark, sf_dir), chunk_rows=1000))
+
+
+@register("venue_history_segmented", osql.venue_history_sql)
+def q_venue_history_segmented(spark, sf_dir):
+    """W7 through the skew-safe path (segments of 97 rows, halo 5): same
+    result as ``venue_history``."""
+    from pitchline.operators.history import venue_history
+    return finish(venue_history(matches(spark, sf_dir), seg_rows=97))
