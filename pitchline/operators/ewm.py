@@ -78,3 +78,133 @@ def with_prior_ewm(df: DataFrame, specs, span: float = 5, key: str = "team") ->
     schema = T.StructType(df.schema.fields + [T.StructField(out, T.DoubleType(), True) for _, out in specs])
     res = sorted_df.mapInPandas(_scan(specs, span, key), schema)
     return res.select(*df.columns, *[F.when(F.col(key).isNotNull(), F.col(out)).alias(out) for _, out in specs])
+
+
+# ---------------------------------------------------------------- segmented form
+# For keys whose history is split into bounded segments (operators/segments),
+# the scan runs per segment in parallel.  A segment's effect on the state is
+# affine in the incoming value: with R = the segment's EWM when it starts
+# empty, x1 its first observation, n_lead the nulls before it and P the
+# product of the decay factors of its later observations,
+#     y_out = R + P * a1 * (y_in - x1),   a1 = c / (c + alpha),
+#     c = beta ** (g_in + n_lead + 1)
+# (g_in = null slots pending before the segment).  Pass A summarises each
+# segment, pass B folds the small summary table per key to get every
+# segment's incoming state, pass C scans the segments seeded with it.
+
+_SUMMARY_FIELDS = ["has", "n_lead", "x1", "P", "R", "g_end", "n"]
+
+
+def _segment_summary(specs, span: float, keys):
+    alpha = 2.0 / (span + 1.0)
+    beta = 1.0 - alpha
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_pos")
+        row = {k: pdf[k].iloc[0] for k in [*keys, "_seg"]}
+        for src, _ in specs:
+            x = pdf[src].to_numpy(dtype="float64", na_value=np.nan)
+            obs = np.flatnonzero(~np.isnan(x))
+            n = len(x)
+            if len(obs) == 0:
+                vals = dict(has=False, n_lead=n, x1=np.nan, P=np.nan, R=np.nan, g_end=n, n=n)
+            else:
+                gaps = np.diff(obs) - 1
+                c = beta ** (gaps + 1.0)
+                P = float(np.prod(c / (c + alpha))) if len(gaps) else 1.0
+                R = float(pd.Series(x[obs[0]:]).ewm(span=span, adjust=False).mean().iloc[-1])
+                vals = dict(has=True, n_lead=int(obs[0]), x1=float(x[obs[0]]), P=P, R=R,
+                            g_end=int(n - 1 - obs[-1]), n=n)
+            for f in _SUMMARY_FIELDS:
+                row[f"{src}__{f}"] = vals[f]
+        return pd.DataFrame([row])
+    return run
+
+
+def _incoming_states(specs, span: float, keys):
+    alpha = 2.0 / (span + 1.0)
+    beta = 1.0 - alpha
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_seg")
+        out = {k: pdf[k].to_numpy() for k in [*keys, "_seg"]}
+        for src, _ in specs:
+            y, g = math.nan, 0
+            ys, gs = [], []
+            for r in pdf[[f"{src}__{f}" for f in _SUMMARY_FIELDS]].itertuples(index=False):
+                has, n_lead, x1, P, R, g_end, n = r
+                ys.append(y)
+                gs.append(g)
+                if not has:
+                    if not math.isnan(y):
+                        g += int(n)
+                    continue
+                if math.isnan(y):
+                    y = R
+                else:
+                    c = beta ** (g + n_lead + 1.0)
+                    y = R + P * (c / (c + alpha)) * (y - x1)
+                g = int(g_end)
+            out[f"_y0_{src}"] = ys
+            out[f"_g0_{src}"] = gs
+        return pd.DataFrame(out)
+    return run
+
+
+def _seeded_scan(specs, span: float, keys):
+    def run(batches):
+        carry: dict = {}   # (column, segment) -> state, across Arrow batches
+        for pdf in batches:
+            n = len(pdf)
+            if n == 0:
+                yield pdf.assign(**{out: pd.Series(dtype="float64") for _, out in specs})
+                continue
+            grp = pd.MultiIndex.from_frame(pdf[[*keys, "_seg"]].astype(str)).to_numpy()
+            starts = np.flatnonzero(np.r_[True, grp[1:] != grp[:-1]])
+            ends = np.r_[starts[1:], n]
+            outs = {}
+            for src, out in specs:
+                x = pdf[src].to_numpy(dtype="float64", na_value=np.nan)
+                y0 = pdf[f"_y0_{src}"].to_numpy(dtype="float64", na_value=np.nan)
+                g0 = pdf[f"_g0_{src}"].to_numpy(dtype="float64", na_value=np.nan)
+                res = np.empty(n)
+                for s, e in zip(starts, ends):
+                    y, g = carry.get((src, grp[s]), (y0[s], int(g0[s]) if not math.isnan(g0[s]) else 0))
+                    prefix = [] if math.isnan(y) else [y] + [math.nan] * min(g, _MAX_PENDING)
+                    ew = pd.Series(np.concatenate([np.asarray(prefix, dtype="float64"), x[s:e]])) \
+                        .ewm(span=span, adjust=False).mean().to_numpy()
+                    p = len(prefix)
+                    res[s] = y
+                    if e - s > 1:
+                        res[s + 1:e] = ew[p:p + (e - s) - 1]
+                    obs = np.flatnonzero(~np.isnan(x[s:e]))
+                    carry[(src, grp[s])] = (ew[-1], (e - s) - 1 - obs[-1]) if len(obs) else \
+                        (y, g + (e - s) if not math.isnan(y) else 0)
+                outs[out] = res
+            yield pdf.assign(**outs)
+    return run
+
+
+def with_prior_ewm_segmented(seg_df: DataFrame, specs, span: float = 5, keys=("team",)) -> DataFrame:
+    """``with_prior_ewm`` on segmented rows (columns ``_pos``, ``_seg``; halo
+    rows already removed).  Exact: the three passes reproduce the full-history
+    recurrence; no task sees more than one segment's rows."""
+    keys = list(keys)
+    sum_schema = T.StructType(
+        [seg_df.schema[k] for k in keys] + [T.StructField("_seg", T.LongType())] +
+        [T.StructField(f"{src}__{f}", T.BooleanType() if f == "has" else
+                       (T.LongType() if f in ("n_lead", "g_end", "n") else T.DoubleType()))
+         for src, _ in specs for f in _SUMMARY_FIELDS])
+    summ = seg_df.select(*keys, "_seg", "_pos", *[src for src, _ in specs]) \
+        .groupBy(*keys, "_seg").applyInPandas(_segment_summary(specs, span, keys), sum_schema)
+    st_schema = T.StructType(
+        [seg_df.schema[k] for k in keys] + [T.StructField("_seg", T.LongType())] +
+        [T.StructField(f"_{p}0_{src}", T.DoubleType() if p == "y" else T.LongType())
+         for src, _ in specs for p in ("y", "g")])
+    states = summ.groupBy(*keys).applyInPandas(_incoming_states(specs, span, keys), st_schema)
+    j = seg_df.join(states, [*keys, "_seg"], "left")   # one row per segment
+    j = j.repartition(*keys, "_seg").sortWithinPartitions(*keys, "_seg", "_pos")
+    schema = T.StructType(j.schema.fields + [T.StructField(out, T.DoubleType(), True) for _, out in specs])
+    res = j.mapInPandas(_seeded_scan(specs, span, keys), schema)
+    return res.select(*seg_df.columns, *[F.when(F.col(keys[0]).isNotNull(), F.col(out)).alias(out)
+                                         for _, out in specs])

@@ -75,34 +75,36 @@ def team_window():
     return Window.partitionBy("team").orderBy(*order_by())
 
 
-def _windowed(lt: DataFrame) -> DataFrame:
-    """Stage 1-3 of the long features, all on the team / team-venue windows."""
+def _base(lt: DataFrame) -> DataFrame:
     has_elo = "opponent_pre_match_elo" in lt.columns
-    w = team_window()
-    wv = Window.partitionBy("team", "is_home").orderBy(*order_by())
-    base = lt.select(
+    return lt.select(
         "*",
         (F.col("points") * (F.col("opponent_ppg") / 3.0)).alias("opp_adj_points"),
         (F.col("points") * (1.0 / (1.0 + F.pow(F.lit(10.0), (F.lit(ELO_BASE) - F.col("opponent_pre_match_elo")) / 400.0)))
          if has_elo else F.lit(None).cast("double")).alias("opp_adj_points_elo"),
     )
+
+
+# Longest look-back of the team features: 8 rows (form_pts_8); the windows
+# over window results need 5 + 1.  Segment halos must cover it.
+TEAM_HALO = 8
+VENUE_HALO = 5
+
+
+def _team_features(df: DataFrame, w) -> DataFrame:
+    """Team-window features (everything but the venue ones) for window ``w``."""
     team_lags = [(src, k) for src, k, _ in TEAM_WEIGHTED] + [("opp_adj_points_elo", 5)]
-    s1 = base.select(
+    s1 = df.select(
         "*",
-        F.row_number().over(w).alias("rn"),
         *lag_columns(team_lags, w),
         prior_std("goal_diff", 5, w).alias("mom_volatility_5"),
         (F.timestamp_diff("MICROSECOND", F.lag("kickoff").over(w), F.col("kickoff")) / 86400e6).alias("rest_days"),
     )
-    # the venue window (team, is_home) reuses the team exchange; only re-sorts
-    s1v = s1.select("*", *lag_columns([("points", 5), ("xg_diff_proxy", 5)], wv, prefix="_vlag"))
     density = F.when(F.col("rest_days").isNotNull(), 1.0 / F.greatest(F.col("rest_days"), F.lit(1.0)))
-    s2 = s1v.select(
+    s2 = s1.select(
         "*",
         *[weighted_from_lags(src, k).alias(out) for src, k, out in TEAM_WEIGHTED],
         weighted_from_lags("opp_adj_points_elo", 5).alias("opp_adj_form_5_elo"),
-        weighted_from_lags("points", 5, prefix="_vlag").alias("venue_form_pts_5"),
-        weighted_from_lags("xg_diff_proxy", 5, prefix="_vlag").alias("venue_xg_diff_5_proxy"),
         density.alias("match_density"),
     ).select(
         "*",
@@ -110,7 +112,7 @@ def _windowed(lt: DataFrame) -> DataFrame:
         (F.col("form_pts_5") - FATIGUE_LAMBDA * F.col("match_density")).alias("fatigue_adjusted_form"),
         (F.col("match_density") + F.col("travel_km_team") / 1000.0).alias("travel_fatigue_score"),
     )
-    # Windows over window results, same spec as s1
+    # Windows over window results, same spec -> no new exchange or sort
     s3 = s2.select("*", *lag_columns([("match_density", 5), ("travel_fatigue_score", 5)], w))
     return s3.select(
         "*",
@@ -119,12 +121,58 @@ def _windowed(lt: DataFrame) -> DataFrame:
     )
 
 
-def long_features(lt: DataFrame) -> DataFrame:
-    """The momentum feature set, one row per (match, team)."""
+def _venue_features(df: DataFrame, wv) -> DataFrame:
+    v = df.select("*", *lag_columns([("points", 5), ("xg_diff_proxy", 5)], wv, prefix="_vlag"))
+    return v.select("*", weighted_from_lags("points", 5, prefix="_vlag").alias("venue_form_pts_5"),
+                    weighted_from_lags("xg_diff_proxy", 5, prefix="_vlag").alias("venue_xg_diff_5_proxy"))
+
+
+def _windowed(lt: DataFrame) -> DataFrame:
+    """All window features on the plain team / team-venue windows."""
+    w = team_window()
+    wv = Window.partitionBy("team", "is_home").orderBy(*order_by())
+    return _team_features(_venue_features(_base(lt), wv), w)
+
+
+KEEP = ["match_id", "is_home", "team", "opponent", "kickoff", "league_id", "season"]
+VENUE_OUT = ["venue_form_pts_5", "venue_xg_diff_5_proxy"]
+
+
+def _long_features_segmented(lt: DataFrame, seg_rows: int) -> DataFrame:
+    """Skew-safe form: team features on (team, segment) windows with a halo
+    of 8 rows, venue features on (team, is_home, segment) windows with a
+    halo of 5, the EWM by the segmented exact scan; joined on the row key."""
+    from pitchline.operators.ewm import with_prior_ewm_segmented
+    from pitchline.operators.segments import segment, segment_window
+    base = _base(lt)
+    if "pre_match_elo" not in base.columns:
+        base = base.withColumn("pre_match_elo", F.lit(None).cast("double"))
+    ts = segment(base, ["team"], seg_rows, TEAM_HALO)
+    a = _team_features(ts, segment_window(["team"])).where(~F.col("_halo"))
+    ewm_out = {o for _, o in TEAM_EWM}
+    ewm_src = [s for s, _ in TEAM_EWM if s not in LONG_FEATURES]
+    main = a.select(*KEEP, "_pos", "_seg", *ewm_src,
+                    *[c for c in LONG_FEATURES if c not in ewm_out and c not in VENUE_OUT])
+    main = with_prior_ewm_segmented(main, TEAM_EWM, EWM_SPAN, ["team"])
+    vs = segment(base.select("match_id", "team", "is_home", "kickoff", "points", "xg_diff_proxy"),
+                 ["team", "is_home"], seg_rows, VENUE_HALO)
+    venue = _venue_features(vs, segment_window(["team", "is_home"])).where(~F.col("_halo")) \
+        .select("match_id", "is_home", *VENUE_OUT)
+    return main.join(venue, ["match_id", "is_home"]).select(*KEEP, *LONG_FEATURES)
+
+
+def long_features(lt: DataFrame, seg_rows: int | str | None = "auto") -> DataFrame:
+    """The momentum feature set, one row per (match, team).
+    ``seg_rows``: see ``pitchline.operators.segments`` ("auto" splits only
+    teams above the auto threshold)."""
+    from pitchline.operators.segments import needs_segments
+    rows = needs_segments(lt, ["team"], seg_rows)
+    if rows:
+        return _long_features_segmented(lt, rows)
     a = _windowed(lt)
     if "pre_match_elo" not in a.columns:
         a = a.withColumn("pre_match_elo", F.lit(None).cast("double"))
-    keep = ["match_id", "is_home", "team", "opponent", "kickoff", "league_id", "season"]
+    keep = KEEP
     ewm_out = {o for _, o in TEAM_EWM}
     ewm_src = [s for s, _ in TEAM_EWM if s not in LONG_FEATURES]
     narrow = a.select(*keep, *ewm_src, *[c for c in LONG_FEATURES if c not in ewm_out])
@@ -132,11 +180,11 @@ def long_features(lt: DataFrame) -> DataFrame:
     return out.select(*keep, *LONG_FEATURES)
 
 
-def match_features(m: DataFrame) -> DataFrame:
+def match_features(m: DataFrame, seg_rows: int | str | None = "auto", **elo_kw) -> DataFrame:
     """J1 + P24: per match, ``home_*`` and ``away_*`` momentum features and
     the 28 home-minus-away differences (NULL when either side is NULL)."""
     from pitchline.operators.elo import with_elo
-    lf = long_features(long_table(with_elo(m)))
+    lf = long_features(long_table(with_elo(m, **elo_kw)), seg_rows)
     wide = to_match_rows(lf, LONG_FEATURES)
     return wide.select(
         "*", *[(F.col(f"home_{f}") - F.col(f"away_{f}")).alias(d) for d, f in DIFF_PAIRS])

@@ -796,3 +796,12 @@ def q_venue_history_segmented(spark, sf_dir):
     result as ``venue_history``."""
     from pitchline.operators.history import venue_history
     return finish(venue_history(matches(spark, sf_dir), seg_rows=97))
+
+
+@register("match_features_segmented", osql.match_features_sql)
+def q_match_features_segmented(spark, sf_dir):
+    """Flagship through the skew-safe paths: team histories in segments of
+    211 rows (halo 8 / 5, segmented exact EWM) and Elo in chunks of 1,000
+    matches per league -- same result as ``match_features``."""
+    from pitchline.operators.momentum import match_features
+    return finish(match_features(matches(spark, sf_dir), seg_rows=211, chunk_rows=1000))
