@@ -68,24 +68,38 @@ def lag_columns(specs, w: WindowSpec, prefix: str = "_lag") -> list[Column]:
             for x, k in kmax.items() for j in range(1, k + 1)]
 
 
+def newer_count_columns(specs, prefix: str = "_lag") -> list[Column]:
+    """For each (x, k): ``{prefix}n{j}_x`` = number of non-null values among
+    lags 1..j-1 of x (the more recent ones).  Shared by every window length
+    over the same x; keeps ``weighted_from_lags`` linear in k."""
+    kmax: dict[str, int] = {}
+    for x, k in specs:
+        kmax[x] = max(kmax.get(x, 0), k)
+    out = []
+    for x, k in kmax.items():
+        run = F.lit(0)
+        for j in range(1, k + 1):
+            out.append(run.alias(f"{prefix}n{j}_{x}"))
+            run = run + F.col(lag_name(x, j, prefix)).isNotNull().cast("int")
+    return out
+
+
 def weighted_from_lags(x: str, k: int, prefix: str = "_lag") -> Column:
     """Linearly weighted mean of the non-null values among the k previous rows.
 
     With n non-null values in the frame, oldest..newest get weights
-    k-n+1 .. k (the newest always weighs k).  NULL when n == 0.  Plain
-    arithmetic over the lag columns: no per-row arrays, codegen friendly.
+    k-n+1 .. k (the newest always weighs k): the weight of lag j is k minus
+    the number of non-null lags newer than it.  NULL when n == 0.  Plain
+    arithmetic over lag and count columns (``lag_columns``,
+    ``newer_count_columns``): no per-row arrays, small generated code.
     """
     num = F.lit(0.0)
     den = F.lit(0.0)
-    newer = []  # presence flags of the more recent lags
     for j in range(1, k + 1):
         v = F.col(lag_name(x, j, prefix))
-        wt = F.lit(float(k))
-        for p in newer:
-            wt = wt - p
-        num = num + F.when(v.isNotNull(), v * wt).otherwise(F.lit(0.0))
+        wt = (F.lit(k) - F.col(f"{prefix}n{j}_{x}")).cast("double")
+        num = num + F.coalesce(v * wt, F.lit(0.0))
         den = den + F.when(v.isNotNull(), wt).otherwise(F.lit(0.0))
-        newer.append(F.when(v.isNotNull(), F.lit(1.0)).otherwise(F.lit(0.0)))
     return F.when(den > 0, num / den)
 
 

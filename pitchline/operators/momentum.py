@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitchline.functions.columns import lag_columns, prior_std, weighted_from_lags
+from pitchline.functions.columns import lag_columns, newer_count_columns, prior_std, weighted_from_lags
 from pitchline.operators.ewm import with_prior_ewm
 from pitchline.operators.long_table import long_table, order_by
 from pitchline.operators.regroup import to_match_rows
@@ -101,6 +101,7 @@ def _team_features(df: DataFrame, w) -> DataFrame:
         (F.timestamp_diff("MICROSECOND", F.lag("kickoff").over(w), F.col("kickoff")) / 86400e6).alias("rest_days"),
     )
     density = F.when(F.col("rest_days").isNotNull(), 1.0 / F.greatest(F.col("rest_days"), F.lit(1.0)))
+    s1 = s1.select("*", *newer_count_columns(team_lags))
     s2 = s1.select(
         "*",
         *[weighted_from_lags(src, k).alias(out) for src, k, out in TEAM_WEIGHTED],
@@ -113,7 +114,9 @@ def _team_features(df: DataFrame, w) -> DataFrame:
         (F.col("match_density") + F.col("travel_km_team") / 1000.0).alias("travel_fatigue_score"),
     )
     # Windows over window results, same spec -> no new exchange or sort
-    s3 = s2.select("*", *lag_columns([("match_density", 5), ("travel_fatigue_score", 5)], w))
+    w16 = [("match_density", 5), ("travel_fatigue_score", 5)]
+    s3 = s2.select("*", *lag_columns(w16, w))
+    s3 = s3.select("*", *newer_count_columns(w16))
     return s3.select(
         "*",
         weighted_from_lags("match_density", 5).alias("match_density_mom_5"),
@@ -122,7 +125,9 @@ def _team_features(df: DataFrame, w) -> DataFrame:
 
 
 def _venue_features(df: DataFrame, wv) -> DataFrame:
-    v = df.select("*", *lag_columns([("points", 5), ("xg_diff_proxy", 5)], wv, prefix="_vlag"))
+    vl = [("points", 5), ("xg_diff_proxy", 5)]
+    v = df.select("*", *lag_columns(vl, wv, prefix="_vlag"))
+    v = v.select("*", *newer_count_columns(vl, prefix="_vlag"))
     return v.select("*", weighted_from_lags("points", 5, prefix="_vlag").alias("venue_form_pts_5"),
                     weighted_from_lags("xg_diff_proxy", 5, prefix="_vlag").alias("venue_xg_diff_5_proxy"))
 
