@@ -156,3 +156,29 @@ def test_ewm_tail_exact(spark):
     exp = pd.Series([np.nan] + [np.nan if 5 < i < 2500 else float(i) for i in range(n)][:-1]) \
         .ewm(span=5, adjust=False).mean().to_numpy()
     assert np.allclose(got, exp, equal_nan=True, rtol=1e-12, atol=1e-12)
+
+
+@pytest.mark.parametrize("seg_rows", [3, 4, 7])
+def test_segmented_paths_equal_plain(spark, seg_rows):
+    """Tiny segments (halo 8 > segment is rejected, so the team path uses
+    segments >= 9 below; venue path with halo 5 uses these)."""
+    from pitchline.operators.history import venue_history
+    m = edge_matches(spark)
+    if seg_rows <= 5:
+        with pytest.raises(ValueError):
+            venue_history(m, seg_rows=seg_rows).collect()
+        return
+    a = venue_history(m, seg_rows=None).toPandas().set_index("match_id").sort_index()
+    b = venue_history(m, seg_rows=seg_rows).toPandas().set_index("match_id").sort_index()
+    pd.testing.assert_frame_equal(a, b[a.columns], check_dtype=False, atol=1e-12)
+
+
+def test_segmented_momentum_equal_plain(spark, sf_small):
+    from pitchline.operators.elo import with_elo
+    m = matches(spark, sf_small)
+    lt = long_table(with_elo(m))
+    cols = ["match_id", "is_home", "form_pts_8", "odds_move_for_ewm_5", "match_density_ewm_5",
+            "travel_fatigue_mom_5", "venue_form_pts_5", "rest_days"]
+    a = long_features(lt, seg_rows=None).select(*cols).toPandas().sort_values(["match_id", "is_home"]).reset_index(drop=True)
+    b = long_features(lt, seg_rows=13).select(*cols).toPandas().sort_values(["match_id", "is_home"]).reset_index(drop=True)
+    pd.testing.assert_frame_equal(a, b, check_dtype=False, atol=1e-10)

@@ -11,7 +11,8 @@ FAST = ["venue_history", "match_features", "elo_pre", "long_table", "match_flags
         "market_value", "season_range", "alias_map", "skeleton_with_value", "coverage", "page_links",
         "time_split", "walk_forward", "impute_median", "season_dist", "corr_groups", "corr_keep_drop",
         "class_metrics", "per_class_metrics", "best_model", "gaussian_nb", "range_checks",
-        "feature_mismatches", "diff_checks", "duplicate_keys"]
+        "feature_mismatches", "diff_checks", "duplicate_keys", "venue_history_segmented",
+        "match_features_segmented", "elo_pre_chunked", "ewm_span5"]
 
 
 @pytest.mark.parametrize("name", FAST)
