@@ -57,6 +57,12 @@ def _frame(part: str, lo: str) -> str:
             f"ROWS BETWEEN {lo} PRECEDING AND 1 PRECEDING)")
 
 
+def _venue_ctes() -> str:
+    allp = _frame("team, is_home", "UNBOUNDED")
+    last5 = _frame("team, is_home", "5")
+    return VENUE_CTES.format(allp=allp, last5=last5)
+
+
 def venue_history_sql(final: str = "", close: str = "", cols=None) -> str:
     allp = _frame("team, is_home", "UNBOUNDED")
     last5 = _frame("team, is_home", "5")
@@ -980,3 +986,47 @@ def feature_mismatches_sql() -> str:
 
 def diff_checks_sql() -> str:
     return "SELECT * FROM (VALUES " + ", ".join(f"('{d}', 0)" for d, _ in DIFF_PAIRS) + ") t(diff_column, violations)"
+
+
+VENUE_CTES = """
+v AS (
+  SELECT match_id, is_home,
+    count(*) OVER {allp} AS matches_before,
+    coalesce(sum(win) OVER {last5}, 0) AS wins_last5,
+    sum(win) OVER {allp} AS w, sum(draw) OVER {allp} AS d, sum(loss) OVER {allp} AS lo,
+    coalesce(sum(gf) OVER {allp}, 0) AS goals_for,
+    coalesce(sum(ga) OVER {allp}, 0) AS goals_against,
+    coalesce(sum(gd) OVER {allp}, 0) AS goal_diff
+  FROM l),
+vh AS (
+  SELECT match_id,
+    max(CASE WHEN is_home = 1 THEN CAST(w AS DOUBLE) / NULLIF(matches_before, 0) END) AS home_win_rate,
+    max(CASE WHEN is_home = 1 THEN goals_for END) AS home_goals_for,
+    max(CASE WHEN is_home = 1 THEN goals_against END) AS home_goals_against,
+    max(CASE WHEN is_home = 1 THEN goal_diff END) AS home_goal_diff,
+    max(CASE WHEN is_home = 1 THEN wins_last5 END) AS home_wins_last5,
+    max(CASE WHEN is_home = 0 THEN CAST(w AS DOUBLE) / NULLIF(matches_before, 0) END) AS away_win_rate,
+    max(CASE WHEN is_home = 0 THEN goals_for END) AS away_goals_for,
+    max(CASE WHEN is_home = 0 THEN goals_against END) AS away_goals_against,
+    max(CASE WHEN is_home = 0 THEN goal_diff END) AS away_goal_diff,
+    max(CASE WHEN is_home = 0 THEN wins_last5 END) AS away_wins_last5
+  FROM v GROUP BY match_id)"""
+
+
+def first_match_checks_sql() -> str:
+    parts = []
+    for side in ("home", "away"):
+        fm = (f"(SELECT vh.* FROM vh JOIN (SELECT match_id, row_number() OVER (PARTITION BY {side}_team "
+              f"ORDER BY kickoff ASC NULLS LAST, match_id) AS rn FROM m) x USING (match_id) WHERE x.rn = 1)")
+        rules = [(f"{side}_first_rate_not_null", f"{side}_win_rate IS NOT NULL"),
+                 (f"{side}_first_gf_not_zero", f"{side}_goals_for <> 0"),
+                 (f"{side}_first_ga_not_zero", f"{side}_goals_against <> 0"),
+                 (f"{side}_first_gd_not_zero", f"{side}_goal_diff <> 0"),
+                 (f"{side}_first_window_not_zero", f"{side}_wins_last5 <> 0")]
+        for name, cond in rules:
+            parts.append(f"SELECT '{name}' AS rule, CAST(count(*) FILTER (WHERE {cond}) AS BIGINT) AS violations FROM {fm}")
+    parts.append("SELECT 'first_match_form_pts_3_not_null', CAST(count(*) FILTER (WHERE form_pts_3 IS NOT NULL) AS BIGINT) "
+                 "FROM (SELECT form_pts_3, row_number() OVER (PARTITION BY team ORDER BY kickoff ASC NULLS LAST, match_id) "
+                 "AS rn FROM s1) WHERE rn = 1")
+    return (f"WITH RECURSIVE {M}, {LONG_SQL}, {_venue_ctes().strip()}, {ELO_SQL}, {long_features_body()}\n"
+            + "\nUNION ALL ".join(parts))

@@ -698,7 +698,7 @@ def q_range_checks(spark, sf_dir):
     return range_checks(venue_history(matches(spark, sf_dir)))
 
 
-@register("first_match_checks")
+@register("first_match_checks", osql.first_match_checks_sql)
 def q_first_match_checks(spark, sf_dir):
     from pitchline.operators.history import venue_history
     from pitchline.operators.long_table import long_table
