@@ -76,16 +76,38 @@ def fold_rows(folds: DataFrame, i: int) -> tuple[DataFrame, DataFrame]:
     return (folds.where(F.col("train_from_fold") <= i), folds.where(F.col("val_fold") == i))
 
 
-def exact_medians(df: DataFrame, cols: list[str]) -> DataFrame:
+# Spark's exact ``median`` keeps one entry per distinct value of a column;
+# it is used only where a measured distinct count stays below this bound.
+MEDIAN_DISTINCT_LIMIT = 100_000
+
+
+def exact_medians(df: DataFrame, cols: list[str], distinct_limit: int = MEDIAN_DISTINCT_LIMIT) -> DataFrame:
     """Exact (interpolated) median of each column, as one row.
 
-    Values are unpivoted to (feature, value), sorted once by both (a range
-    exchange balances even a single dominant feature), positioned with
-    ``positional_index`` and the one or two middle values of each feature
-    averaged.  Memory per task stays bounded whatever the number of
-    distinct values."""
+    One HyperLogLog pass measures each column's distinct count.  Columns well
+    under ``distinct_limit`` use Spark's exact ``median`` (its state is one
+    entry per distinct value, so it is bounded by the measurement).  The
+    others are unpivoted to (feature, value), sorted once (a range exchange
+    balances even a single dominant feature), positioned with
+    ``positional_index``, and the one or two middle values averaged: memory
+    per task stays bounded whatever the number of distinct values."""
     if not cols:
         return df.sparkSession.range(1).select()
+    nd = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`"), 0.05).alias(f"d{i}") for i, c in enumerate(cols)]) \
+        .collect()[0]
+    small = [c for i, c in enumerate(cols) if nd[f"d{i}"] * 1.25 < distinct_limit]   # 5x the HLL error
+    large = [c for c in cols if c not in small]
+    if not large:
+        return df.agg(*[F.median(F.col(f"`{c}`")).alias(c) for c in cols])
+    sorted_part = _sorted_medians(df, large)
+    if not small:
+        return sorted_part
+    row = df.agg(F.struct(*[F.median(F.col(f"`{c}`")).alias(f"s{i}") for i, c in enumerate(small)])).scalar()
+    return sorted_part.select(*[F.col(f"`{c}`") if c in large else row.getField(f"s{small.index(c)}").alias(c)
+                                for c in cols])
+
+
+def _sorted_medians(df: DataFrame, cols: list[str]) -> DataFrame:
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
                                           for c in cols])).alias("kv")).select("kv.*").where(F.col("value").isNotNull())
     pos = positional_index(long, [F.col("feature"), F.col("value")], "gpos")

@@ -162,3 +162,11 @@ def test_skeleton_date_column_choice(spark):
                                "season string, home_team string, away_team string, match_datetime_utc string, league string")
     sk = team_match_skeleton(df, league="laliga", league_label="LaLiga").collect()
     assert sorted(r.team_name for r in sk) == ["A", "B"]
+
+
+def test_exact_medians_sorted_path(spark):
+    from pitchline.operators.splits import exact_medians
+    df = spark.range(1001).select((F.col("id") * 1.5).alias("a"), (F.col("id") % 7).cast("double").alias("b"))
+    both = exact_medians(df, ["a", "b"], distinct_limit=500).collect()[0]    # a sorted, b aggregate
+    ref = df.agg(F.median("a"), F.median("b")).collect()[0]
+    assert both["a"] == ref[0] and both["b"] == ref[1]
