@@ -225,7 +225,8 @@ def _enrichment(spark, sf_dir):
     from pitchline.operators import entity as E
     from pitchline.sources import standins as S
     master = S.master_matches(spark, sf_dir)
-    skel = E.team_match_skeleton(master, league_label="ALL")
+    # read by team-seasons, master names, two m:1 checks and the final join
+    skel = E.team_match_skeleton(master, league_label="ALL").checkpoint(eager=True)
     meta = S.team_seasons(spark, sf_dir, skel)
     players = S.player_values(spark, sf_dir, meta)
     amap = E.alias_map(spark, S.alias_table(spark, sf_dir), order_col="row_no")
