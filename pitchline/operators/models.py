@@ -244,3 +244,37 @@ def compare_models(train: DataFrame, splits: dict[str, DataFrame], features: lis
             f = importance_frame(spark, mt, imp)
             imps = f if imps is None else imps.unionByName(f)
     return preds, imps, errors
+
+
+# ------------------------------------------------------------------ M13
+def param_grid(grid: dict) -> list[dict]:
+    """Cartesian product of a {param: [values]} grid (as ParamGridBuilder)."""
+    import itertools
+    keys = list(grid)
+    return [dict(zip(keys, vals)) for vals in itertools.product(*[grid[k] for k in keys])]
+
+
+def grid_search(folds: DataFrame, features: list[str], model_type: str, grid: dict, n_splits: int,
+                metric: str = "f1_macro") -> DataFrame:
+    """Every parameter combination trained on each walk-forward fold's
+    training rows and scored on its validation rows (``walk_forward``
+    output); one row per combination with the mean score.  Each fit is a
+    distributed MLlib job; the loop runs over combinations x folds only."""
+    from pitchline.operators.metrics import classification_metrics
+    from pitchline.operators.splits import fold_rows
+    spark = folds.sparkSession
+    rows = []
+    for params in param_grid(grid):
+        scores = []
+        for i in range(n_splits):
+            tr, va = fold_rows(folds, i)
+            if model_type == "naive_bayes":
+                st = gaussian_nb_params(gaussian_nb_fit(tr, features, params.get("var_smoothing", 1e-6)))
+                p = gaussian_nb_predict(va, st, features, ("match_id", LABEL))
+            else:
+                p = predict(fit(tr, features, model_type, params), va, ("match_id", LABEL))
+            p = p.select(F.lit(model_type).alias("model"), F.lit(f"fold{i}").alias("split"),
+                         F.col(LABEL).alias("y_true"), "y_pred", "p_H", "p_D", "p_A")
+            scores.append(classification_metrics(p).select(metric).collect()[0][0])
+        rows.append((model_type, json.dumps(params, sort_keys=True), float(sum(scores) / len(scores)), len(scores)))
+    return spark.createDataFrame(rows, f"model string, params string, mean_{metric} double, folds int")

@@ -1030,3 +1030,8 @@ def first_match_checks_sql() -> str:
                  "AS rn FROM s1) WHERE rn = 1")
     return (f"WITH RECURSIVE {M}, {LONG_SQL}, {_venue_ctes().strip()}, {ELO_SQL}, {long_features_body()}\n"
             + "\nUNION ALL ".join(parts))
+
+
+def drop_columns_sql() -> str:
+    return (f"WITH {M}, {HT_SQL.strip()} SELECT match_id, season, status, home_team_name, away_team_name, "
+            f"target_match_result FROM ht")

@@ -806,3 +806,38 @@ def q_match_features_segmented(spark, sf_dir):
     matches per league -- same result as ``match_features``."""
     from pitchline.operators.momentum import match_features
     return finish(match_features(matches(spark, sf_dir), seg_rows=211, chunk_rows=1000))
+
+
+# ------------------------------------------------------------------ scans, drops, parameter grid
+@register("scan_matches", lambda: osql.M.replace("m AS (", "", 1)[:-1])
+def q_scan_matches(spark, sf_dir):
+    """The match table as read (parquet scan + derivation)."""
+    return finish(matches(spark, sf_dir))
+
+
+@register("drop_columns", osql.drop_columns_sql)
+def q_drop_columns(spark, sf_dir):
+    """Drop the listed names that exist (missing names are ignored)."""
+    from pitchline.sources.training import halftime_table
+    t = halftime_table(spark, sf_dir)
+    return finish(t.drop("referee", "stadium_name", "no_such_column").select(
+        "match_id", "season", "status", "home_team_name", "away_team_name", "target_match_result"))
+
+
+@register("grid_search")
+def q_grid_search(spark, sf_dir):
+    """A parameter grid over walk-forward folds (Gaussian NB smoothing
+    and logistic regression C, 3 folds)."""
+    from pyspark.sql import functions as F
+    from pitchline.operators.models import grid_search
+    from pitchline.operators.prep import impute, imputation_values
+    from pitchline.operators.splits import walk_forward
+    from pitchline.operators.prep import encode_ht_result
+    x = encode_ht_result(_ht_clean(spark, sf_dir)).select("match_id", "date_GMT", "target_match_result", *[f"`{c}`" for c in HT_NUMERIC])
+    folds = walk_forward(x, 3, [F.col("date_GMT").asc_nulls_last(), F.col("match_id").asc()])
+    fill = imputation_values(folds.where(F.col("train_from_fold") == 0), HT_NUMERIC, "median")
+    folds = impute(folds, HT_NUMERIC, fill, keep=["match_id", "target_match_result", "train_from_fold",
+                                                   "val_fold"]).checkpoint(eager=True)
+    a = grid_search(folds, HT_NUMERIC, "naive_bayes", {"var_smoothing": [1e-9, 1e-6]}, 3)
+    b = grid_search(folds, HT_NUMERIC, "logistic_regression", {"C": [0.01, 1.0]}, 3)
+    return a.unionByName(b)
