@@ -1035,3 +1035,7 @@ def first_match_checks_sql() -> str:
 def drop_columns_sql() -> str:
     return (f"WITH {M}, {HT_SQL.strip()} SELECT match_id, season, status, home_team_name, away_team_name, "
             f"target_match_result FROM ht")
+
+
+def epoch_check_sql() -> str:
+    return f"WITH {M}, {HT_SQL.strip()} SELECT match_id, \"timestamp\" FROM ht"

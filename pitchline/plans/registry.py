@@ -841,3 +841,10 @@ def q_grid_search(spark, sf_dir):
     a = grid_search(folds, HT_NUMERIC, "naive_bayes", {"var_smoothing": [1e-9, 1e-6]}, 3)
     b = grid_search(folds, HT_NUMERIC, "logistic_regression", {"C": [0.01, 1.0]}, 3)
     return a.unionByName(b)
+
+
+@register("kickoff_epoch", osql.epoch_check_sql)
+def q_kickoff_epoch(spark, sf_dir):
+    """Epoch-seconds identifier column of the training table (zone-free)."""
+    from pitchline.sources.training import halftime_table
+    return halftime_table(spark, sf_dir).select("match_id", "timestamp")

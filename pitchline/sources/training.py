@@ -4,6 +4,8 @@ groups named as in the reference's configuration."""
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +42,8 @@ def halftime_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     ts = F.timestamp_add("MINUTE", (mid % 96) * 15, F.col("kickoff"))
     return m.select(
         mid.alias("match_id"),
-        F.unix_timestamp(ts.cast("timestamp")).alias("timestamp"),
+        # epoch seconds of the zone-less kickoff, independent of the session zone
+        F.timestamp_diff("SECOND", F.lit(dt.datetime(1970, 1, 1)).cast("timestamp_ntz"), ts).alias("timestamp"),
         F.when(mid % 211 == 0, F.lit("TBD")).otherwise(F.date_format(ts, "MMM d yyyy - h:mma")).alias("date_GMT"),
         F.when(mid % 301 == 0, F.lit(None)).otherwise(F.col("season")).alias("season"),
         F.lit("complete").alias("status"),
