@@ -1039,3 +1039,7 @@ def drop_columns_sql() -> str:
 
 def epoch_check_sql() -> str:
     return f"WITH {M}, {HT_SQL.strip()} SELECT match_id, \"timestamp\" FROM ht"
+
+
+def momentum_mismatches_sql() -> str:
+    return feature_mismatches_sql()

@@ -848,3 +848,16 @@ def q_kickoff_epoch(spark, sf_dir):
     """Epoch-seconds identifier column of the training table (zone-free)."""
     from pitchline.sources.training import halftime_table
     return halftime_table(spark, sf_dir).select("match_id", "timestamp")
+
+
+@register("momentum_mismatches", osql.momentum_mismatches_sql)
+def q_momentum_mismatches(spark, sf_dir):
+    """E4 for the long table: weighted means and volatility against the array
+    formulation; every disagreeing cell (expected: none)."""
+    from pitchline.operators.long_table import long_table
+    from pitchline.operators.momentum import long_features
+    from pitchline.operators.quality import MOMENTUM_RECHECK, feature_mismatches, momentum_recomputed
+    lt = long_table(matches(spark, sf_dir))
+    cols = [o for _, _, o in MOMENTUM_RECHECK] + ["mom_volatility_5"]
+    return feature_mismatches(long_features(lt).where("team IS NOT NULL"), momentum_recomputed(lt),
+                              ["match_id", "is_home"], cols)

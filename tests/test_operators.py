@@ -170,3 +170,11 @@ def test_exact_medians_sorted_path(spark):
     both = exact_medians(df, ["a", "b"], distinct_limit=500).collect()[0]    # a sorted, b aggregate
     ref = df.agg(F.median("a"), F.median("b")).collect()[0]
     assert both["a"] == ref[0] and both["b"] == ref[1]
+
+
+def test_feature_mismatches_detects(spark):
+    from pitchline.operators.quality import feature_mismatches
+    a = spark.createDataFrame([(1, 1.0, None), (2, 2.0, 3.0), (3, 1.0, 1.0)], "k long, x double, y double")
+    b = spark.createDataFrame([(1, 1.0 + 1e-12, None), (2, 2.5, 3.0)], "k long, x double, y double")
+    got = sorted((r.k, r.feature) for r in feature_mismatches(a, b, ["k"], ["x", "y"]).collect())
+    assert got == [(2, "x"), (3, "x"), (3, "y")]
