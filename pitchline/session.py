@@ -42,6 +42,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     for k, v in BASE_CONF.items():
         spark.conf.set(k, v)
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -64,3 +65,33 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-path of the shared checkpoint folder for a written table."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``pitchline`` importable on executors (pandas UDFs, grouped maps
+    and ``mapInPandas`` steps unpickle functions that live in it): zip the
+    package once per application and register it with ``addPyFile``, the
+    same mechanism as ``--py-files``.  Idempotent."""
+    import os
+    import zipfile
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    import pitchline
+    pkg_dir = os.path.dirname(os.path.abspath(pitchline.__file__))
+    root = os.path.dirname(pkg_dir)
+    out = os.path.join(tempfile.mkdtemp(prefix="pitchline-pyfiles-"), "pitchline.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, dirs, files in os.walk(pkg_dir):
+            dirs[:] = [x for x in dirs if x != "__pycache__"]
+            for f in files:
+                if f.endswith(".py"):
+                    p = os.path.join(d, f)
+                    z.write(p, os.path.relpath(p, root))
+    sc.addPyFile(out)
+    _SHIPPED.add(app)
