@@ -69,7 +69,7 @@ def write_archives(records: DataFrame, path: str, archive_bytes: int = ARCHIVE_B
             for rid, url, kind, refers, sha, length, payload in zip(*(batch.column(c) for c in names)):
                 if out is None:
                     name, size, n = f"part-{uuid.uuid4().hex}.warc.gz", 0, 0
-                    out = fs.open_output_stream(f"{root}/{name}")
+                    out = fs.open_output_stream(f"{root}/{name}", compression=None)
                 digest = base64.b32encode(bytes.fromhex(sha.as_py())).decode()
                 member = _record(rid.as_py(), url.as_py(), kind.as_py(), refers.as_py(), digest, length.as_py(), payload.as_py() or b"", date)
                 out.write(member)
