@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from pitchline.llm.decontaminate import op4_edit_decontamination
 from pitchline.llm.langid import op1_language_id
 from pitchline.llm.mixing import OP10_SQL, op10_mix_sources
 from pitchline.llm.sharding import op2_hilbert_shards
 from pitchline.llm.simhash import op9_simhash_golay
+from pitchline.llm.toxicity import op7_counterfactual_toxicity
+from pitchline.llm.winnowing import OP3_SQL, op3_winnowing
 from pitchline.llm.warc import OP8_SQL, op8_warc_roundtrip
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_hilbert_shards, op8_warc_roundtrip, op9_simhash_golay, op10_mix_sources)}
-ORACLE = {"op8_warc_roundtrip": OP8_SQL, "op10_mix_sources": OP10_SQL}
+QUERIES = {f.__name__: f for f in (
+    op1_language_id, op2_hilbert_shards, op3_winnowing, op4_edit_decontamination, op7_counterfactual_toxicity, op8_warc_roundtrip,
+    op9_simhash_golay, op10_mix_sources)}
+ORACLE = {"op3_winnowing": OP3_SQL, "op8_warc_roundtrip": OP8_SQL, "op10_mix_sources": OP10_SQL}
