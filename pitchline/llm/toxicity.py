@@ -151,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         model = fit(pdf["text"].tolist(), (pdf["y"] > 0).to_numpy().astype(int))
         return pd.DataFrame({"feature": list(model), "weight": list(model.values())})
 
-    model = rows.groupBy(F.lit(1)).applyInPandas(fit_sample, "feature string, weight double").collect()
+    model = rows.groupBy().applyInPandas(fit_sample, "feature string, weight double").collect()
     return {r["feature"]: r["weight"] for r in model} or {"": -4.0}
 
 
