@@ -72,3 +72,19 @@ def with_position(df: DataFrame, order: Sequence[Column], pos: str, name: str =
 def running_total_before(value: Column, by: Sequence[Column], order: Sequence[Column]) -> Column:
     w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     return F.sum(value).over(w) - value
+
+
+BROADCAST_ROWS = 500_000       # rows of a few numbers that may be broadcast (about 16 MB)
+
+
+def lookup_join(df: DataFrame, keys: DataFrame, on: Sequence[str], how: str) -> DataFrame:
+    """Semi or anti join of wide rows with a table of keys, nulls equal.  The
+    keys are written and counted: few are broadcast, so that the wide rows stay
+    where they are; beyond ``BROADCAST_ROWS`` both sides are shuffled."""
+    keys = stored(keys.select(*on), "lookup")
+    few = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    right = keys.select(*[F.col(c).alias(f"{c}_r") for c in on])
+    match = F.lit(True)
+    for c in on:
+        match = match & F.col(c).eqNullSafe(F.col(f"{c}_r"))
+    return df.join(F.broadcast(right) if few else right, match, how)

@@ -59,7 +59,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     interchangeable.  Empty table: empty result.  Columns of ``docs`` named
     like an output are replaced, all others are kept.
     """
-    d = without(docs, *OUT, "__skey", "__key", "__range", "__before")
+    d = without(docs, *OUT, "__skey", "__key", "__range", "__before", "__tie")
     src = col(source_col)
     d = d.withColumns({
         "size": word_count(col(text_col)),

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from pitchline.llm.common import col, stored, without
+from pitchline.llm.common import col, lookup_join, stored, without
 from pitchline.llm.components import components
 
 GOLAY_POLY = 0xC75             # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
@@ -219,24 +219,46 @@ def fingerprint_components(fps: DataFrame, max_bits: int = MAX_BITS, block_rows:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """(id, fp, component_id) per row of ``docs``: component_id is the least id
-    reachable over links of ``max_bits`` or fewer differing bits.
+    """(id, text_hash, fp, component_id, stays) per row of ``docs``:
+    component_id is the least id reachable over links of ``max_bits`` or fewer
+    differing bits, ``stays`` marks the rows of the least (id, text) of each
+    component.
 
     Null and wordless texts have fingerprint 0 and link like any other.  Equal
     fingerprints meet in a partial aggregate, so copies of one text cost one
-    row per task.  Null ids are never the least unless a component has no
-    other.  Repeated rows are all returned.  Empty table: empty result.
+    row per task.  A null id is the least only in a component without another.
+    Repeated rows are all returned.  Empty table: empty result.
     """
-    rows = stored(with_fingerprint(docs.select(col(id_col), col(text_col)), "fp", text_col, shingle).select(col(id_col).alias("id"), "fp"), "simhash-rows")
-    classes = stored(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash-classes")
+    rows = with_fingerprint(docs.select(col(id_col).alias("id"), col(text_col).alias("text")), "fp", "text", shingle)
+    rows = stored(rows.select("id", F.xxhash64("text").alias("text_hash"), "fp"), "simhash-rows")
+    rank = F.struct(F.col("id").isNull().alias("null"), F.col("id"), F.col("text_hash"))
+    classes = stored(rows.groupBy("fp").agg(F.min(rank).alias("least")), "simhash-classes")
     comp = stored(fingerprint_components(classes.select("fp"), max_bits), "simhash-components")
-    member = comp.join(classes, F.col("node") == F.col("fp")).select("node", "root", "least")
+    member = comp.join(classes, F.col("node") == F.col("fp")).select("root", "least")
     lows = member.groupBy("root").agg(F.min("least").alias("low"))
     low = comp.join(lows, "root").select(F.col("node").alias("fp"), "low")
     # written, so that the join below reads two plain exchanges and a fingerprint
     # shared by a third of all rows is split
-    final = stored(classes.join(low, "fp", "left").select("fp", F.coalesce("low", "least").alias("component_id")), "simhash-final")
-    return rows.join(final, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    final = stored(classes.join(low, "fp", "left").select("fp", F.coalesce("low", "least").alias("low")), "simhash-final")
+    return rows.join(final, "fp").select(
+        F.col("id").alias(id_col), "text_hash", "fp", F.col("low.id").alias("component_id"),
+        (F.col("id").eqNullSafe(F.col("low.id")) & (F.col("text_hash") == F.col("low.text_hash"))).alias("stays"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """``docs`` with one row of each component: that of the least id."""
+    names = docs.columns
+    found = stored(near_duplicates(docs, id_col, text_col, shingle, max_bits).select(col(id_col).alias("__id"), F.col("text_hash").alias("__hash"), "stays"), "simhash-found")
+    gone = found.where(~F.col("stays")).select("__id", "__hash").distinct()
+    d = docs.withColumns({"__id": col(id_col), "__hash": F.xxhash64(col(text_col))})
+    d = lookup_join(d, gone, ["__id", "__hash"], "left_anti")
+    # the same row several times: found only by counting, rarely there at all
+    again = found.where("stays").groupBy("__id", "__hash").agg(F.count("*").alias("n")).where("n > 1").select("__id", "__hash")
+    again = stored(again, "simhash-again")
+    if not again.isEmpty():
+        single = lookup_join(d, again, ["__id", "__hash"], "left_anti")
+        d = single.union(lookup_join(d, again, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"]))
+    return d.select(*[col(c) for c in names])
 
 
 def hex_fingerprint(fp):
