@@ -6,6 +6,7 @@ from pitchline.llm.decontaminate import op4_edit_decontamination
 from pitchline.llm.langid import op1_language_id
 from pitchline.llm.licenses import OP5_SQL, op5_license_rules
 from pitchline.llm.mixing import OP10_SQL, op10_mix_sources
+from pitchline.llm.passages import op6_collinear_passages
 from pitchline.llm.sharding import op2_hilbert_shards
 from pitchline.llm.simhash import op9_simhash_golay
 from pitchline.llm.toxicity import op7_counterfactual_toxicity
@@ -13,6 +14,6 @@ from pitchline.llm.winnowing import OP3_SQL, op3_winnowing
 from pitchline.llm.warc import OP8_SQL, op8_warc_roundtrip
 
 QUERIES = {f.__name__: f for f in (
-    op1_language_id, op2_hilbert_shards, op3_winnowing, op4_edit_decontamination, op5_license_rules, op7_counterfactual_toxicity, op8_warc_roundtrip,
+    op1_language_id, op2_hilbert_shards, op3_winnowing, op4_edit_decontamination, op5_license_rules, op6_collinear_passages, op7_counterfactual_toxicity, op8_warc_roundtrip,
     op9_simhash_golay, op10_mix_sources)}
 ORACLE = {"op5_license_rules": OP5_SQL, "op3_winnowing": OP3_SQL, "op8_warc_roundtrip": OP8_SQL, "op10_mix_sources": OP10_SQL}
