@@ -7,19 +7,21 @@ match in kickoff order: expected home score
 reference), ``home += k*(S - E)``, ``away += k*((1-S) - (1-E))``.
 ``elo_diff_pre`` leaves the home advantage out.
 
-Ratings couple every team that ever met, so the fold is sequential within a
-league (teams never cross leagues in the match table).  Leagues are folded in
-parallel over the six narrow columns the fold needs; the result is joined
-back on ``match_id``.
-
-A league larger than ``chunk_rows`` matches is never handed to one task as a
-whole: its matches are cut into consecutive chunks of ``chunk_rows`` (exact
-positions from a range-partitioned sort), written once under the checkpoint
-folder partitioned by chunk, and folded chunk by chunk -- all leagues advance
-together, and the ratings map (one row per team: bounded by the number of
-teams, not by matches) travels from one step to the next as a small state
-table through ``cogroup``.  Each step's output is written, so a lost
-executor only repeats the current step.
+Ratings belong to teams and carry over between leagues, so the fold is
+sequential within a set of teams that meet each other, directly or through
+others.  Where every team plays in one league only (one small aggregate tells)
+the leagues are those sets, else the connected components of the teams are.
+The sets are folded in parallel over the six narrow columns the fold needs;
+the result is joined back on ``match_id``.
+
+With ``chunk_rows`` no set is handed to one task as a whole: its matches are
+cut into consecutive chunks (exact positions from a range-partitioned sort),
+written once under the checkpoint folder partitioned by chunk, and folded chunk
+by chunk -- all sets advance together, and the ratings map (one row per team:
+bounded by the number of teams, not by matches) travels from one step to the
+next as a small state table through ``cogroup``.  Each step's output is
+written, so a lost executor only repeats the current step.  Both forms return
+the same rows.
 """
 
 from __future__ import annotations
@@ -39,9 +41,6 @@ _OUT_SCHEMA = ("match_id long, home_elo_pre double, away_elo_pre double, "
                "elo_diff_pre double, elo_home_win_prob_pre double")
 
 
-DEFAULT_CHUNK_ROWS = 2_000_000
-
-
 def _fold_rows(pdf: pd.DataFrame, ratings: dict, k: float, home_adv: float, skip_unplayed: bool) -> pd.DataFrame:
     pdf = pdf.sort_values(["_ko_null", "kickoff", "match_id"], kind="mergesort")
     home = pdf["home_team"].astype(str).to_numpy()
@@ -92,12 +91,12 @@ def _step(k: float, home_adv: float, skip_unplayed: bool):
 _STEP_SCHEMA_COLS = [c.split()[0] for c in _STEP_SCHEMA.split(", ")]
 
 
-def _chunked(narrow: DataFrame, group_col: str, chunk_rows: int, k, home_adv, skip_unplayed) -> DataFrame:
+def _chunked(narrow: DataFrame, chunk_rows: int, k, home_adv, skip_unplayed) -> DataFrame:
     from pitchline.operators.splits import positional_index
     from pitchline.session import scratch_path
     spark = narrow.sparkSession
     order = [F.col("g"), F.col("kickoff").asc_nulls_last(), F.col("match_id")]
-    p = positional_index(narrow.withColumn("g", F.col(group_col).cast("string")), order, "_gpos")
+    p = positional_index(narrow, order, "_gpos")
     start = p.groupBy("g").agg(F.min("_gpos").alias("_start"))
     p = p.join(start, "g").withColumn("_chunk", F.floor((F.col("_gpos") - F.col("_start")) / chunk_rows))
     src = scratch_path(spark, "elo-chunks")
@@ -115,21 +114,35 @@ def _chunked(narrow: DataFrame, group_col: str, chunk_rows: int, k, home_adv, sk
             .select("match_id", "home_elo_pre", "away_elo_pre", "elo_diff_pre", "elo_home_win_prob_pre"))
 
 
+def _with_group(narrow: DataFrame, league_col: str) -> DataFrame:
+    """Add ``g``, the set of teams that a match belongs to: never NULL."""
+    home, away = F.col("home_team").cast("string"), F.col("away_team").cast("string")
+    # a missing team is one team named "None", as in the fold
+    narrow = narrow.withColumns({"home_team": F.coalesce(home, F.lit("None")), "away_team": F.coalesce(away, F.lit("None"))})
+    sides = narrow.select(F.coalesce(F.col(league_col).cast("string"), F.lit("")).alias("league"),
+                          F.explode(F.array("home_team", "away_team")).alias("team"))
+    crossing = sides.groupBy("team").agg(F.min("league").alias("a"), F.max("league").alias("b")).where("a <> b")
+    if crossing.isEmpty():
+        return narrow.withColumn("g", F.coalesce(F.col(league_col).cast("string"), F.lit("")))
+    from pitchline.operators.graph import components
+    sets = components(narrow.select("home_team", "away_team").distinct(), "home_team", "away_team")
+    return narrow.join(sets.select(F.col("node").alias("home_team"), F.col("label").alias("g")), "home_team")
+
+
 def elo_ratings(m: DataFrame, k: float = ELO_K, home_adv: float = ELO_HOME_ADV,
-                skip_unplayed: bool = False, group_col: str = "league_id",
-                chunk_rows: int | None = DEFAULT_CHUNK_ROWS) -> DataFrame:
-    """``match_id`` + the four pre-match Elo columns.  Leagues up to
-    ``chunk_rows`` matches fold in one grouped step; larger ones chunk by
-    chunk (one small aggregate decides)."""
-    narrow = m.select(group_col, "match_id", "kickoff", F.col("kickoff").isNull().alias("_ko_null"),
+                skip_unplayed: bool = False, league_col: str = "league_id",
+                chunk_rows: int | None = None) -> DataFrame:
+    """``match_id`` + the four pre-match Elo columns, one row per match (also
+    without a league or a team).  ``chunk_rows``: fold every set of teams in
+    chunks of so many matches."""
+    narrow = m.select(league_col, "match_id", "kickoff", F.col("kickoff").isNull().alias("_ko_null"),
                       "home_team", "away_team",
                       F.col("home_goals").cast("double").alias("home_goals"),
                       F.col("away_goals").cast("double").alias("away_goals"))
+    narrow = _with_group(narrow, league_col).drop(league_col)
     if chunk_rows:
-        biggest = narrow.groupBy(group_col).count().agg(F.max("count")).collect()[0][0] or 0
-        if biggest > chunk_rows:
-            return _chunked(narrow, group_col, chunk_rows, k, home_adv, skip_unplayed)
-    return narrow.groupBy(group_col).applyInPandas(_fold(k, home_adv, skip_unplayed), _OUT_SCHEMA)
+        return _chunked(narrow, chunk_rows, k, home_adv, skip_unplayed)
+    return narrow.groupBy("g").applyInPandas(_fold(k, home_adv, skip_unplayed), _OUT_SCHEMA)
 
 
 def with_elo(m: DataFrame, **kw) -> DataFrame:

@@ -10,10 +10,9 @@ This is a true sequential recurrence, which Spark has no window function
 for.  It runs as a ``mapInPandas`` scan over a frame that is hash
 partitioned by team and sorted by (team, kickoff, match_id) -- the output of
 the team window, so no extra exchange.  The scan streams Arrow batches and
-keeps O(1) state per (column, team): the state after a batch is handed to
-the next batch as a one-value prefix followed by the pending null slots, so
-pandas' own vectorised ``ewm`` continues the series exactly.  Several
-columns are done in one pass; no group is ever collected.
+keeps the state of one team only, the one that the batch ended with; the next
+batch continues it in closed form (``_continued``).  Several columns are done
+in one pass; no group is ever collected.
 """
 
 from __future__ import annotations
@@ -22,59 +21,89 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pitchline.operators.long_table import order_by
 
-# Beyond this many pending null slots the carried weight beta**g is below
-# 1e-150 of an observation's: the old state can no longer move the result.
-_MAX_PENDING = 900
+def _continued(y: float, g: int, x: np.ndarray, alpha: float) -> np.ndarray:
+    """State after each value of ``x`` when ``(y, g)`` came before: the mean
+    ``y`` (NaN: nothing yet) and ``g`` null slots after its last observation.
+
+    The mean of a series that starts empty is pandas' own ``ewm``; an earlier
+    state moves it by ``y - x1`` times the weight it keeps, a product of
+    ``c / (c + alpha)`` over the observations with ``c = beta ** (gap + 1)``.
+    Exact for any gap and span."""
+    fresh = pd.Series(x).ewm(alpha=alpha, adjust=False).mean().to_numpy()
+    if math.isnan(y):
+        return fresh
+    obs = np.flatnonzero(~np.isnan(x))
+    if not len(obs):
+        return np.full(len(x), y)
+    gaps = np.diff(obs, prepend=-1 - g)
+    c = (1.0 - alpha) ** gaps.astype(float)
+    shift = np.cumprod(c / (c + alpha)) * (y - x[obs[0]])
+    out = np.full(len(x), y)
+    out[obs[0]:] = fresh[obs[0]:] + np.repeat(shift, np.diff(np.append(obs, len(x))))
+    return out
+
+
+def _after(y: float, g: int, x: np.ndarray, states: np.ndarray) -> tuple[float, int]:
+    """The state that follows ``x``."""
+    obs = np.flatnonzero(~np.isnan(x))
+    if len(obs):
+        return states[-1], len(x) - 1 - int(obs[-1])
+    return (y, g) if math.isnan(y) else (y, g + len(x))
+
+
+def _starts(pdf: pd.DataFrame, keys) -> np.ndarray:
+    new = np.zeros(len(pdf), dtype=bool)
+    new[:1] = True
+    for k in keys:
+        v = pd.factorize(pdf[k], use_na_sentinel=False)[0]
+        new[1:] |= v[1:] != v[:-1]
+    return np.flatnonzero(new)
 
 
 def _scan(specs, span: float, key: str):
+    alpha = 2.0 / (span + 1.0)
+
     def run(batches):
-        state: dict = {}
+        last, state = None, {}      # the key that the previous batch ended with, its state per column
         for pdf in batches:
-            keys = pdf[key].to_numpy()
             n = len(pdf)
             if n == 0:
                 yield pdf.assign(**{out: pd.Series(dtype="float64") for _, out in specs})
                 continue
-            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            starts = _starts(pdf, [key])
             ends = np.r_[starts[1:], n]
-            outs = {}
+            first, final = pdf[key].iloc[0], pdf[key].iloc[-1]
+            goes_on = last is not None and first == last[0]
+            outs, after = {}, {}
             for src, out in specs:
                 x = pdf[src].to_numpy(dtype="float64", na_value=np.nan)
                 res = np.empty(n)
                 for s, e in zip(starts, ends):
-                    y, g = state.get((src, keys[s]), (math.nan, 0))
-                    prefix = [] if math.isnan(y) else [y] + [math.nan] * min(g, _MAX_PENDING)
-                    series = np.concatenate([np.asarray(prefix, dtype="float64"), x[s:e]])
-                    ew = pd.Series(series).ewm(span=span, adjust=False).mean().to_numpy()
-                    p = len(prefix)
-                    # value of row j = state after the rows before it
-                    res[s] = y
-                    if e - s > 1:
-                        res[s + 1:e] = ew[p:p + (e - s) - 1]
-                    seg = x[s:e]
-                    obs = np.flatnonzero(~np.isnan(seg))
-                    if len(obs):
-                        state[(src, keys[s])] = (ew[-1], (e - s) - 1 - obs[-1])
-                    elif not math.isnan(y):
-                        state[(src, keys[s])] = (y, g + (e - s))
+                    y, g = state[src] if s == 0 and goes_on else (math.nan, 0)
+                    states = _continued(y, g, x[s:e], alpha)
+                    res[s], res[s + 1:e] = y, states[:-1]     # a row's value: the state after the rows before it
+                after[src] = _after(y, g, x[s:e], states)
                 outs[out] = res
+            last, state = (final,), after
             yield pdf.assign(**outs)
     return run
 
 
 def with_prior_ewm(df: DataFrame, specs, span: float = 5, key: str = "team") -> DataFrame:
     """Append ``out`` = EWM of the earlier ``src`` values of the same ``key``
-    for each ``(src, out)`` in ``specs``.  Rows with a NULL key get NULL."""
-    # ``df`` comes from the team window: already hash partitioned by key and
-    # sorted this way, so the sort below is removed by the planner
-    sorted_df = df.sortWithinPartitions(F.col(key), *order_by())
+    for each ``(src, out)`` in ``specs``.  Rows with a NULL key get NULL.
+
+    The running number below needs all rows of a key in order in one
+    partition, so the planner adds that exchange and sort for any input, and
+    leaves them out after the team window, which has them already."""
+    w = Window.partitionBy(key).orderBy(*order_by())
+    sorted_df = df.withColumn("_ewm_row", F.row_number().over(w)).where("_ewm_row > 0").drop("_ewm_row")
     schema = T.StructType(df.schema.fields + [T.StructField(out, T.DoubleType(), True) for _, out in specs])
     res = sorted_df.mapInPandas(_scan(specs, span, key), schema)
     return res.select(*df.columns, *[F.when(F.col(key).isNotNull(), F.col(out)).alias(out) for _, out in specs])
@@ -152,35 +181,32 @@ def _incoming_states(specs, span: float, keys):
 
 
 def _seeded_scan(specs, span: float, keys):
+    alpha = 2.0 / (span + 1.0)
+
     def run(batches):
-        carry: dict = {}   # (column, segment) -> state, across Arrow batches
+        last, state = None, {}      # the segment that the previous batch ended in, its state per column
+        by = [*keys, "_seg"]
         for pdf in batches:
             n = len(pdf)
             if n == 0:
                 yield pdf.assign(**{out: pd.Series(dtype="float64") for _, out in specs})
                 continue
-            grp = pd.MultiIndex.from_frame(pdf[[*keys, "_seg"]].astype(str)).to_numpy()
-            starts = np.flatnonzero(np.r_[True, grp[1:] != grp[:-1]])
+            starts = _starts(pdf, by)
             ends = np.r_[starts[1:], n]
-            outs = {}
+            first, final = (tuple(None if pd.isna(v) else v for v in pdf[by].iloc[i]) for i in (0, -1))
+            outs, after = {}, {}
             for src, out in specs:
                 x = pdf[src].to_numpy(dtype="float64", na_value=np.nan)
                 y0 = pdf[f"_y0_{src}"].to_numpy(dtype="float64", na_value=np.nan)
                 g0 = pdf[f"_g0_{src}"].to_numpy(dtype="float64", na_value=np.nan)
                 res = np.empty(n)
                 for s, e in zip(starts, ends):
-                    y, g = carry.get((src, grp[s]), (y0[s], int(g0[s]) if not math.isnan(g0[s]) else 0))
-                    prefix = [] if math.isnan(y) else [y] + [math.nan] * min(g, _MAX_PENDING)
-                    ew = pd.Series(np.concatenate([np.asarray(prefix, dtype="float64"), x[s:e]])) \
-                        .ewm(span=span, adjust=False).mean().to_numpy()
-                    p = len(prefix)
-                    res[s] = y
-                    if e - s > 1:
-                        res[s + 1:e] = ew[p:p + (e - s) - 1]
-                    obs = np.flatnonzero(~np.isnan(x[s:e]))
-                    carry[(src, grp[s])] = (ew[-1], (e - s) - 1 - obs[-1]) if len(obs) else \
-                        (y, g + (e - s) if not math.isnan(y) else 0)
+                    y, g = state[src] if s == 0 and first == last else (y0[s], 0 if math.isnan(g0[s]) else int(g0[s]))
+                    states = _continued(y, g, x[s:e], alpha)
+                    res[s], res[s + 1:e] = y, states[:-1]
+                after[src] = _after(y, g, x[s:e], states)
                 outs[out] = res
+            last, state = final, after
             yield pdf.assign(**outs)
     return run
 

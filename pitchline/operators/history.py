@@ -78,7 +78,9 @@ def venue_history_segmented(lt: DataFrame, seg_rows: int, window: int = 5) -> Da
     def cum(name):
         return F.coalesce(F.sum(F.when(own, parts[name])).over(before), F.lit(0)) + F.col(f"_off_{name}")
 
-    x = s.join(offs, [*keys, "_seg"]).select(
+    # null-safe: rows without a team are a key of their own, as in the plain window
+    on = [s[k].eqNullSafe(offs[k]) for k in [*keys, "_seg"]]
+    x = s.join(offs, on).drop(*[offs[k] for k in [*keys, "_seg"]]).select(
         "match_id", "team", "is_home", "kickoff", "_halo", F.col("_pos").alias("matches_before"),
         F.coalesce(F.sum("win").over(w.rowsBetween(-window, -1)), F.lit(0)).cast("double").alias("wins_last5"),
         *[cum(n).alias(f"_{n}") for n in parts])
@@ -94,13 +96,11 @@ def venue_history_segmented(lt: DataFrame, seg_rows: int, window: int = 5) -> Da
         safe_div("_wm", "_wmn").alias("win_margin_avg"), safe_div("_lm", "_lmn").alias("loss_margin_avg"))
 
 
-def venue_history(m: DataFrame, window: int = 5, seg_rows: int | str | None = "auto") -> DataFrame:
+def venue_history(m: DataFrame, window: int = 5, seg_rows: int | None = None) -> DataFrame:
     """One row per match with ``home_*`` and ``away_*`` venue features.
-    ``seg_rows``: split team histories into bounded segments (see
-    ``pitchline.operators.segments``); "auto" does so only for keys above
-    the auto threshold."""
-    from pitchline.operators.segments import needs_segments
+    ``seg_rows``: split team histories into segments of so many rows (see
+    ``pitchline.operators.segments``) where one team may hold much of the
+    table; the result is the same."""
     lt = long_table(m)
-    rows = needs_segments(lt, ["team", "is_home"], seg_rows)
-    vl = venue_history_segmented(lt, rows, window) if rows else venue_history_long(lt, window)
+    vl = venue_history_segmented(lt, seg_rows, window) if seg_rows else venue_history_long(lt, window)
     return to_match_rows(vl, VENUE_FEATURES)

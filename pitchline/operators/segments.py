@@ -14,7 +14,8 @@ then run on ``partitionBy(key, _seg).orderBy(_pos)``:
 * halo rows are dropped at the end.
 
 Work per task is bounded by ``seg_rows + halo`` whatever the key skew; the
-copies cost ``halo / seg_rows`` extra rows.
+copies cost ``halo / seg_rows`` extra rows.  Callers choose ``seg_rows`` (None:
+plain windows); both forms give the same rows, NULL keys included.
 """
 
 from __future__ import annotations
@@ -25,10 +26,6 @@ from pyspark.sql import functions as F
 from pitchline.operators.long_table import order_by
 from pitchline.operators.splits import positional_index
 
-# Keys larger than this are split when segmentation is left on "auto".
-AUTO_SEGMENT_ROWS = 1_000_000
-
-
 def segment(df: DataFrame, keys, seg_rows: int, halo: int, order: list[Column] | None = None) -> DataFrame:
     """Add ``_pos`` (0-based position within ``keys``), ``_seg`` and
     ``_halo`` (copy of an earlier segment's tail)."""
@@ -59,14 +56,3 @@ def segment_offsets(seg_df: DataFrame, keys, sums: dict[str, Column]) -> DataFra
         *[F.sum(c).alias(n) for n, c in sums.items()])
     w = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
     return tot.select(*keys, "_seg", *[F.coalesce(F.sum(n).over(w), F.lit(0)).alias(f"_off_{n}") for n in sums])
-
-
-def needs_segments(df: DataFrame, keys, seg_rows: int | str | None) -> int | None:
-    """Resolve ``seg_rows``: None -> never; an int -> always; "auto" -> only
-    when the largest key exceeds ``AUTO_SEGMENT_ROWS`` (one small aggregate)."""
-    if seg_rows is None:
-        return None
-    if seg_rows == "auto":
-        biggest = df.groupBy(*keys).count().agg(F.max("count")).collect()[0][0] or 0
-        return AUTO_SEGMENT_ROWS if biggest > AUTO_SEGMENT_ROWS else None
-    return int(seg_rows)

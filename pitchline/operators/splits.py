@@ -12,8 +12,6 @@ once and survive executor loss.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,10 +38,6 @@ def positional_index(df: DataFrame, order: list[Column] | None = None, out: str
     return j.select(*df.columns, (F.coalesce(F.col("_off"), F.lit(0)) + local).alias(out))
 
 
-def split_bounds(n: int, train_ratio=TRAIN_RATIO, val_ratio=VAL_RATIO) -> tuple[int, int]:
-    return int(n * train_ratio), int(n * (train_ratio + val_ratio))
-
-
 def time_split(df: DataFrame, order: list[Column] | None = None, train_ratio=TRAIN_RATIO,
                val_ratio=VAL_RATIO) -> DataFrame:
     """``split`` in {train, val, test} by position: the first
@@ -76,48 +70,32 @@ def fold_rows(folds: DataFrame, i: int) -> tuple[DataFrame, DataFrame]:
     return (folds.where(F.col("train_from_fold") <= i), folds.where(F.col("val_fold") == i))
 
 
-# Spark's exact ``median`` keeps one entry per distinct value of a column;
-# it is used only where a measured distinct count stays below this bound.
-MEDIAN_DISTINCT_LIMIT = 100_000
-
-
-def exact_medians(df: DataFrame, cols: list[str], distinct_limit: int = MEDIAN_DISTINCT_LIMIT) -> DataFrame:
+def exact_medians(df: DataFrame, cols: list[str]) -> DataFrame:
     """Exact (interpolated) median of each column, as one row.
 
-    One HyperLogLog pass measures each column's distinct count.  Columns well
-    under ``distinct_limit`` use Spark's exact ``median`` (its state is one
-    entry per distinct value, so it is bounded by the measurement).  The
-    others are unpivoted to (feature, value), sorted once (a range exchange
-    balances even a single dominant feature), positioned with
-    ``positional_index``, and the one or two middle values averaged: memory
-    per task stays bounded whatever the number of distinct values."""
+    The columns are unpivoted to (feature, value) and counted per distinct
+    value (partial counts, so a value that fills a column costs one row per
+    task); the distinct values are sorted once (a range exchange balances even
+    a single dominant feature), and the values whose count range holds one of
+    the two middle positions are averaged.  Memory per task stays bounded
+    whatever the number of distinct values."""
     if not cols:
         return df.sparkSession.range(1).select()
-    nd = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`"), 0.05).alias(f"d{i}") for i, c in enumerate(cols)]) \
-        .collect()[0]
-    small = [c for i, c in enumerate(cols) if nd[f"d{i}"] * 1.25 < distinct_limit]   # 5x the HLL error
-    large = [c for c in cols if c not in small]
-    if not large:
-        return df.agg(*[F.median(F.col(f"`{c}`")).alias(c) for c in cols])
-    sorted_part = _sorted_medians(df, large)
-    if not small:
-        return sorted_part
-    row = df.agg(F.struct(*[F.median(F.col(f"`{c}`")).alias(f"s{i}") for i, c in enumerate(small)])).scalar()
-    return sorted_part.select(*[F.col(f"`{c}`") if c in large else row.getField(f"s{small.index(c)}").alias(c)
-                                for c in cols])
-
-
-def _sorted_medians(df: DataFrame, cols: list[str]) -> DataFrame:
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
-                                          for c in cols])).alias("kv")).select("kv.*").where(F.col("value").isNotNull())
-    pos = positional_index(long, [F.col("feature"), F.col("value")], "gpos")
-    n = pos.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.min("gpos").alias("start"))
-    mid = pos.join(F.broadcast(n), "feature").where(
-        (F.col("gpos") - F.col("start") == F.floor((F.col("n") - 1) / 2)) |
-        (F.col("gpos") - F.col("start") == F.ceil((F.col("n") - 1) / 2)))
-    med = mid.groupBy("feature").agg(F.avg("value").alias("median"))
-    wide = med.groupBy().pivot("feature", cols).agg(F.first("median"))
-    return wide
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(f"`{c}`").cast("double").alias("v"))
+                                          for i, c in enumerate(cols)])).alias("kv")).select("kv.*").where("v is not null")
+    counts = long.groupBy("f", "v").agg(F.count(F.lit(1)).alias("n"))
+    s = counts.repartitionByRange("f", "v").sortWithinPartitions("f", "v").select(
+        "*", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("o")).checkpoint(eager=True)
+    # rows before each (feature, partition): one row per pair, p x partitions at most
+    part = s.groupBy("f", "p").agg(F.sum("n").alias("n")).select(
+        "f", "p", F.coalesce(F.sum("n").over(Window.partitionBy("f").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
+        F.sum("n").over(Window.partitionBy("f")).alias("total"))
+    run = F.sum("n").over(Window.partitionBy("f", "p").orderBy("o").rowsBetween(Window.unboundedPreceding, 0))
+    at = s.withColumn("upto", run).join(part, ["f", "p"])
+    upto, low, high = F.col("before") + F.col("upto"), F.floor((F.col("total") + 1) / 2), F.floor(F.col("total") / 2) + 1
+    holds = lambda k: (upto >= k) & (upto - F.col("n") < k)
+    mid = at.where(holds(low) | holds(high)).groupBy("f").agg(F.avg("v").alias("median"))
+    return mid.groupBy().agg(*[F.max(F.when(F.col("f") == i, F.col("median"))).alias(c) for i, c in enumerate(cols)])
 
 
 def tail_rows(df: DataFrame, keys, n: int, order_desc: list[Column] | None = None) -> DataFrame:
@@ -126,7 +104,3 @@ def tail_rows(df: DataFrame, keys, n: int, order_desc: list[Column] | None = Non
     order_desc = order_desc or [F.col("kickoff").desc_nulls_first(), F.col("match_id").desc()]
     r = F.row_number().over(Window.partitionBy(*keys).orderBy(*order_desc))
     return df.select("*", r.alias("_rk")).where(F.col("_rk") <= n).drop("_rk")
-
-
-def n_folds_used(n: int, n_splits: int = 5) -> int:
-    return math.floor(n / (n_splits + 1)) * (n_splits + 1)
