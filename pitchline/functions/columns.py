@@ -55,32 +55,37 @@ def prior_rows(w: WindowSpec, k: int | None = None) -> WindowSpec:
     return w.rowsBetween(Window.unboundedPreceding if k is None else -k, -1)
 
 
-def lag_name(x: str, j: int, prefix: str = "_lag") -> str:
-    return f"{prefix}{j}_{x}"
-
-
-def lag_columns(specs, w: WindowSpec, prefix: str = "_lag") -> list[Column]:
-    """``lag(x, 1..k)`` columns for each (x, k); feed ``weighted_from_lags``."""
+def _longest(specs) -> dict[str, int]:
     kmax: dict[str, int] = {}
     for x, k in specs:
         kmax[x] = max(kmax.get(x, 0), k)
-    return [F.lag(x, j).over(w).alias(lag_name(x, j, prefix))
-            for x, k in kmax.items() for j in range(1, k + 1)]
+    return kmax
+
+
+def lag_columns(specs, w: WindowSpec, prefix: str = "_lag") -> list[Column]:
+    """One struct column per offset, ``{prefix}{j}``: the values of the row j
+    before of every x whose longest window reaches it; feed
+    ``weighted_from_lags``."""
+    kmax = _longest(specs)
+    return [F.lag(F.struct(*[F.col(x).cast("double").alias(x) for x, k in kmax.items() if k >= j]), j).over(w).alias(f"{prefix}{j}")
+            for j in range(1, max(kmax.values()) + 1)]
+
+
+def lag_value(x: str, j: int, prefix: str = "_lag") -> Column:
+    return F.col(f"{prefix}{j}").getField(x)
 
 
 def newer_count_columns(specs, prefix: str = "_lag") -> list[Column]:
-    """For each (x, k): ``{prefix}n{j}_x`` = number of non-null values among
-    lags 1..j-1 of x (the more recent ones).  Shared by every window length
-    over the same x; keeps ``weighted_from_lags`` linear in k."""
-    kmax: dict[str, int] = {}
-    for x, k in specs:
-        kmax[x] = max(kmax.get(x, 0), k)
+    """For each x: ``{prefix}n_x``, an array whose item j - 1 is the number of
+    non-null values among lags 1..j-1 (the more recent ones).  Shared by every
+    window length over the same x; keeps ``weighted_from_lags`` linear in k."""
     out = []
-    for x, k in kmax.items():
-        run = F.lit(0)
+    for x, k in _longest(specs).items():
+        run, items = F.lit(0), []
         for j in range(1, k + 1):
-            out.append(run.alias(f"{prefix}n{j}_{x}"))
-            run = run + F.col(lag_name(x, j, prefix)).isNotNull().cast("int")
+            items.append(run)
+            run = run + lag_value(x, j, prefix).isNotNull().cast("int")
+        out.append(F.array(*items).alias(f"{prefix}n_{x}"))
     return out
 
 
@@ -96,8 +101,8 @@ def weighted_from_lags(x: str, k: int, prefix: str = "_lag") -> Column:
     num = F.lit(0.0)
     den = F.lit(0.0)
     for j in range(1, k + 1):
-        v = F.col(lag_name(x, j, prefix))
-        wt = (F.lit(k) - F.col(f"{prefix}n{j}_{x}")).cast("double")
+        v = lag_value(x, j, prefix)
+        wt = (F.lit(k) - F.col(f"{prefix}n_{x}")[j - 1]).cast("double")
         num = num + F.coalesce(v * wt, F.lit(0.0))
         den = den + F.when(v.isNotNull(), wt).otherwise(F.lit(0.0))
     return F.when(den > 0, num / den)
@@ -107,12 +112,3 @@ def prior_std(x, k: int, w: WindowSpec, min_count: int = 2) -> Column:
     """Population std of the non-null values among the k previous rows."""
     frame = prior_rows(w, k)
     return F.when(F.count(col(x)).over(frame) >= min_count, F.stddev_pop(col(x)).over(frame))
-
-
-def ewm_tail_length(span: float, bits: int = 53) -> int:
-    """Number of most recent observations that determine an EWM to double
-    precision: every observation shrinks the weight of all older history by
-    at least (1 - alpha), so observations older than the last
-    ceil(bits*ln2 / -ln(1-alpha)) carry less than 2**-bits of the weight."""
-    alpha = 2.0 / (span + 1.0)
-    return int(math.ceil(bits * math.log(2.0) / -math.log(1.0 - alpha))) + 1

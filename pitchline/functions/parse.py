@@ -7,25 +7,32 @@ from pyspark.sql import functions as F
 
 from pitchline.functions.columns import col
 
-# Accepted layouts of a kickoff string, tried in order.
+# Accepted layouts of a kickoff string, tried in order after the
+# ISO forms.  A slashed date is month first where that is a date, else day first.
 MIXED_TS_FORMATS = [
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd HH:mm",
-    "yyyy-MM-dd",
     "MMM d yyyy - h:mma",
+    "MM/dd/yyyy HH:mm",
+    "MM/dd/yyyy",
     "dd/MM/yyyy HH:mm",
     "dd/MM/yyyy",
 ]
+ISO_START = r"^\d{4}-\d{2}-\d{2}"
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 KICKOFF_FORMAT = "MMM d yyyy - h:mma"        # e.g. 'Aug 18 2017 - 6:15pm'
 SEASON_PATTERN = r"^(\d{4})-(\d{4})$"        # e.g. '2017-2018'
 MONEY_SUFFIXES = [("bn", 1_000_000_000.0), ("m", 1_000_000.0), ("k", 1_000.0)]
 
 
+def _iso(s: Column) -> Column:
+    """ISO date or time with any fraction and zone (a zone is turned into the
+    session's, UTC); NULL for other text."""
+    return F.when(s.rlike(ISO_START), F.try_to_timestamp(s))
+
+
 def parse_ts_mixed(c, formats=MIXED_TS_FORMATS) -> Column:
-    """First layout that parses wins; none -> NULL."""
+    """ISO in all its forms, else the first layout that parses, else NULL."""
     s = F.trim(col(c).cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in formats])
+    return F.coalesce(_iso(s), *[F.try_to_timestamp(s, F.lit(f)) for f in formats])
 
 
 def parse_kickoff(c) -> Column:
@@ -37,7 +44,7 @@ def parse_date_fallback(df: DataFrame, c: str, out: str = "match_date") -> DataF
     """ISO parse; only if *no* value of the whole column parses, fall back
     to day-first.  The column-wide test is a scalar subquery (one tiny
     aggregate evaluated once), not a window over all rows."""
-    iso = F.to_date(parse_ts_mixed(c, ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd"]))
+    iso = F.to_date(_iso(F.trim(col(c))))
     dayfirst = F.to_date(F.coalesce(F.try_to_timestamp(F.trim(col(c)), F.lit("d/M/yyyy")),
                                     F.try_to_timestamp(F.trim(col(c)), F.lit("d-M-yyyy"))))
     any_iso = df.select(F.coalesce(F.bool_or(iso.isNotNull()), F.lit(False))).scalar()
@@ -46,7 +53,12 @@ def parse_date_fallback(df: DataFrame, c: str, out: str = "match_date") -> DataF
 
 def coerce_numeric(c) -> Column:
     """``to_numeric(errors='coerce')``."""
-    return F.trim(col(c).cast("string")).try_cast("double")
+    return _number(F.trim(col(c).cast("string")))
+
+
+def _number(s: Column) -> Column:
+    """A cast alone would also take a type suffix, as in ``12d``."""
+    return F.when(s.rlike(NUMBER), s.try_cast("double"))
 
 
 def season_start_year(c) -> Column:
@@ -89,5 +101,5 @@ def with_market_value(df: DataFrame, c: str, out: str = "value_eur") -> DataFram
     mult = (F.when(x.endswith(bn[0]), F.lit(bn[1])).when(x.endswith(m[0]), F.lit(m[1]))
              .when(x.endswith(k[0]), F.lit(k[1])).otherwise(F.lit(1.0)))
     val = F.when((x == "") | (x == "-") | x.isNull(), F.lit(None).cast("double")) \
-           .otherwise((num).try_cast("double") * mult)
+           .otherwise(_number(num) * mult)
     return tmp.withColumn(out, val).drop("__mv")

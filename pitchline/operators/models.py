@@ -16,8 +16,9 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
                                        MultilayerPerceptronClassifier, OneVsRest,
                                        RandomForestClassifier)
-from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,7 +84,10 @@ def build_pipeline(model_type: str, features: list[str], n_train: int, params: d
     """M1-M3: assembler, optional scaler, label indexer (A < D < H), model."""
     stages = [VectorAssembler(inputCols=features, outputCol="raw_features", handleInvalid="keep")]
     if model_type in SCALED_MODELS:
-        stages.append(StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True))
+        # the scaler divides by the sample deviation; the factor makes it the population's
+        factor = (n_train / max(1, n_train - 1)) ** 0.5
+        stages.append(StandardScaler(inputCol="raw_features", outputCol="sample_scaled", withMean=True, withStd=True))
+        stages.append(ElementwiseProduct(inputCol="sample_scaled", outputCol="features", scalingVec=Vectors.dense([factor] * len(features))))
     else:
         stages[0].setOutputCol("features")
     stages.append(StringIndexer(inputCol=LABEL, outputCol="label", stringOrderType="alphabetAsc",
@@ -164,14 +168,29 @@ def load_model(path: str) -> PipelineModel:
 
 
 # ------------------------------------------------------------------ M8 native Gaussian NB
+def scaler(train: DataFrame, features: list[str]):
+    """The scaling of ``train`` (mean, population deviation; 0 counts as 1) as a
+    function (df, keep) -> scaled df.  Its 2 p numbers come to the driver, as
+    those of any fitted model; the pipelines of the other scaled models hold
+    the same step."""
+    r = train.agg(*[f(q(c)).alias(f"{k}{i}") for i, c in enumerate(features) for k, f in (("m", F.avg), ("s", F.stddev_pop))]).head()
+    center = [r[f"m{i}"] for i in range(len(features))]
+    scale = [r[f"s{i}"] or 1.0 for i in range(len(features))]
+
+    def scaled(df: DataFrame, keep=("match_id", LABEL)) -> DataFrame:
+        return df.select(*[q(k) for k in keep], *[((q(c) - F.lit(m)) / F.lit(s)).alias(c) for c, m, s in zip(features, center, scale)])
+
+    return scaled
+
+
 def gaussian_nb_fit(train: DataFrame, features: list[str], var_smoothing: float = 1e-6) -> DataFrame:
     """One row per class: prior, means and smoothed variances (k x p values)."""
     n = F.count(F.lit(1))
     stats = train.where(F.col(LABEL).isNotNull()).groupBy(LABEL).agg(
         n.alias("n_c"), *[F.avg(q(c)).alias(f"mu{i}") for i, c in enumerate(features)],
         *[F.var_pop(q(c)).alias(f"var{i}") for i, c in enumerate(features)])
-    eps = train.agg(F.greatest(*[F.var_pop(q(c)) for c in features]) if len(features) > 1
-                    else F.var_pop(q(features[0]))).scalar() * F.lit(var_smoothing)
+    largest = train.agg(*[F.var_pop(q(c)) for c in features]).head()
+    eps = F.lit(max(v or 0.0 for v in largest) * var_smoothing)
     tot = stats.select(F.sum("n_c")).scalar()
     return stats.select(LABEL, (F.col("n_c") / tot).alias("prior"),
                         *[F.col(f"mu{i}") for i in range(len(features))],
@@ -223,8 +242,10 @@ def compare_models(train: DataFrame, splits: dict[str, DataFrame], features: lis
     for order, mt in enumerate(model_types):
         try:
             if mt == "naive_bayes":
-                stats = gaussian_nb_params(gaussian_nb_fit(train, features, MODEL_PARAMS[mt]["var_smoothing"]))
-                parts = [gaussian_nb_predict(d, stats, features, keep + (LABEL,)).withColumn("split", F.lit(s))
+                own = keep + (LABEL,)
+                scaled = scaler(train, features)
+                stats = gaussian_nb_params(gaussian_nb_fit(scaled(train, own), features, MODEL_PARAMS[mt]["var_smoothing"]))
+                parts = [gaussian_nb_predict(scaled(d, own), stats, features, own).withColumn("split", F.lit(s))
                          for s, d in splits.items()]
                 imp = None
             else:
@@ -269,8 +290,9 @@ def grid_search(folds: DataFrame, features: list[str], model_type: str, grid: di
         for i in range(n_splits):
             tr, va = fold_rows(folds, i)
             if model_type == "naive_bayes":
-                st = gaussian_nb_params(gaussian_nb_fit(tr, features, params.get("var_smoothing", 1e-6)))
-                p = gaussian_nb_predict(va, st, features, ("match_id", LABEL))
+                scaled = scaler(tr, features)
+                st = gaussian_nb_params(gaussian_nb_fit(scaled(tr), features, params.get("var_smoothing", 1e-6)))
+                p = gaussian_nb_predict(scaled(va), st, features, ("match_id", LABEL))
             else:
                 p = predict(fit(tr, features, model_type, params), va, ("match_id", LABEL))
             p = p.select(F.lit(model_type).alias("model"), F.lit(f"fold{i}").alias("split"),

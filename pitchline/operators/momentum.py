@@ -103,7 +103,7 @@ def _team_features(df: DataFrame, w) -> DataFrame:
     density = F.when(F.col("rest_days").isNotNull(), 1.0 / F.greatest(F.col("rest_days"), F.lit(1.0)))
     s1 = s1.select("*", *newer_count_columns(team_lags))
     s2 = s1.select(
-        "*",
+        *df.columns, "mom_volatility_5", "rest_days",      # the lags end here
         *[weighted_from_lags(src, k).alias(out) for src, k, out in TEAM_WEIGHTED],
         weighted_from_lags("opp_adj_points_elo", 5).alias("opp_adj_form_5_elo"),
         density.alias("match_density"),
@@ -118,7 +118,7 @@ def _team_features(df: DataFrame, w) -> DataFrame:
     s3 = s2.select("*", *lag_columns(w16, w))
     s3 = s3.select("*", *newer_count_columns(w16))
     return s3.select(
-        "*",
+        *s2.columns,
         weighted_from_lags("match_density", 5).alias("match_density_mom_5"),
         weighted_from_lags("travel_fatigue_score", 5).alias("travel_fatigue_mom_5"),
     )
@@ -128,7 +128,7 @@ def _venue_features(df: DataFrame, wv) -> DataFrame:
     vl = [("points", 5), ("xg_diff_proxy", 5)]
     v = df.select("*", *lag_columns(vl, wv, prefix="_vlag"))
     v = v.select("*", *newer_count_columns(vl, prefix="_vlag"))
-    return v.select("*", weighted_from_lags("points", 5, prefix="_vlag").alias("venue_form_pts_5"),
+    return v.select(*df.columns, weighted_from_lags("points", 5, prefix="_vlag").alias("venue_form_pts_5"),
                     weighted_from_lags("xg_diff_proxy", 5, prefix="_vlag").alias("venue_xg_diff_5_proxy"))
 
 
@@ -166,14 +166,11 @@ def _long_features_segmented(lt: DataFrame, seg_rows: int) -> DataFrame:
     return main.join(venue, ["match_id", "is_home"]).select(*KEEP, *LONG_FEATURES)
 
 
-def long_features(lt: DataFrame, seg_rows: int | str | None = "auto") -> DataFrame:
+def long_features(lt: DataFrame, seg_rows: int | None = None) -> DataFrame:
     """The momentum feature set, one row per (match, team).
-    ``seg_rows``: see ``pitchline.operators.segments`` ("auto" splits only
-    teams above the auto threshold)."""
-    from pitchline.operators.segments import needs_segments
-    rows = needs_segments(lt, ["team"], seg_rows)
-    if rows:
-        return _long_features_segmented(lt, rows)
+    ``seg_rows``: see ``pitchline.operators.segments``; the result is the same."""
+    if seg_rows:
+        return _long_features_segmented(lt, seg_rows)
     a = _windowed(lt)
     if "pre_match_elo" not in a.columns:
         a = a.withColumn("pre_match_elo", F.lit(None).cast("double"))
@@ -185,7 +182,7 @@ def long_features(lt: DataFrame, seg_rows: int | str | None = "auto") -> DataFra
     return out.select(*keep, *LONG_FEATURES)
 
 
-def match_features(m: DataFrame, seg_rows: int | str | None = "auto", **elo_kw) -> DataFrame:
+def match_features(m: DataFrame, seg_rows: int | None = None, **elo_kw) -> DataFrame:
     """J1 + P24: per match, ``home_*`` and ``away_*`` momentum features and
     the 28 home-minus-away differences (NULL when either side is NULL)."""
     from pitchline.operators.elo import with_elo

@@ -179,13 +179,24 @@ def impute(df: DataFrame, cols: list[str], fill: DataFrame, keep=()) -> DataFram
 
 def handle_missing_values(df: DataFrame, strategy: str = "median", fit_on: DataFrame | None = None,
                           keep=()) -> DataFrame:
-    """A4: numeric columns only, fill by strategy, then 0.  ``fit_on``
-    defaults to ``df`` itself (the reference fits on every split)."""
+    """A4: numeric columns only, fill by strategy, then 0.  The fill values come
+    from ``fit_on``: the training split for features of a model, so that
+    nothing of later splits leaks; None takes them from ``df`` itself."""
     cols = [c for c in numeric_columns(df) if c not in keep]
     fill = imputation_values(fit_on if fit_on is not None else df, cols, strategy)
     return impute(df, cols, fill, keep)
 
 
+def handle_missing_per_split(df: DataFrame, strategy: str = "median", split_col: str = "split",
+                             splits=("train", "val", "test"), keep=()) -> DataFrame:
+    """A4 as the reference's scripts do it: every split is filled from itself."""
+    out = None
+    for s in splits:
+        part = handle_missing_values(df.where(q(split_col) == s).drop(split_col), strategy, keep=keep).withColumn(split_col, F.lit(s))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 # ------------------------------------------------------------------ M3 / M4
 def standardize(df: DataFrame, cols: list[str], fit_on: DataFrame | None = None, keep=()) -> DataFrame:
     """M3: (x - mean) / population std (std 0 -> divide by 1, as a scaler does)."""

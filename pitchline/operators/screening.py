@@ -1,16 +1,19 @@
 """Feature screening.
 
-The feature matrix stays distributed: variances and all pairwise Pearson
-correlations are one aggregation pass (p columns -> p(p-1)/2 covariance
-aggregates, no matrix collected).  Only the tiny derived tables (pairs,
-components) are iterated, and those are bounded by p^2, not by rows.
+The feature matrix stays distributed: variances are one aggregation pass, all
+pairwise Pearson correlations one scan of partial moment matrices.  Only the
+tiny derived tables (pairs, components) are iterated, and those are bounded by
+p^2, not by rows.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitchline.operators.graph import components
 from pitchline.operators.prep import q
 
 CORR_GROUP_LIMIT = 0.8      # pairs reported and grouped
@@ -31,23 +34,40 @@ def low_variance(x: DataFrame, cols: list[str], limit: float = LOW_VARIANCE_LIMI
 
 
 def corr_pairs_all(x: DataFrame, cols: list[str]) -> DataFrame:
-    """Pearson r for every pair i < j (column order), NULL for a constant
-    column.  Two passes, as pandas does: the column means (one tiny scalar
-    subquery), then one scan of plain sums of centred products -- p(p+1)/2
-    codegen'd ``sum`` aggregates instead of p^2/2 stateful covariance
-    aggregates."""
+    """Pearson r for every pair i < j (column order) over the rows where
+    both are present, as pandas does; NULL for a constant column.
+
+    Two passes: the column means (one scalar subquery; any shift is exact, the
+    mean keeps the sums small), then one scan that turns every Arrow batch into
+    its p x p matrices of pair counts, sums and products.  The partial sums of
+    a batch are p^2 rows whatever its length; they are added per pair in one
+    aggregate, so the plan does not grow with p."""
     if len(cols) < 2:
         return x.sparkSession.createDataFrame([], "feature_1 string, feature_2 string, correlation double")
     means = x.select(F.struct(*[F.avg(q(c)).alias(f"m{i}") for i, c in enumerate(cols)])).scalar()
-    cen = x.select(*[(q(c) - means.getField(f"m{i}")).alias(f"c{i}") for i, c in enumerate(cols)])
-    k = len(cols)
-    sums = [F.sum(F.col(f"c{i}") * F.col(f"c{j}")).alias(f"s{i}_{j}") for i in range(k) for j in range(i, k)]
-    row = cen.agg(*sums)
-    idx = [(i, j) for i in range(k) for j in range(i + 1, k)]
-    r = [F.try_divide(F.col(f"s{i}_{j}"), F.nullif(F.sqrt(F.col(f"s{i}_{i}") * F.col(f"s{j}_{j}")), F.lit(0.0)))
-         for i, j in idx]
-    st = F.stack(F.lit(len(idx)), *[e for (i, j), rr in zip(idx, r) for e in (F.lit(cols[i]), F.lit(cols[j]), rr)])
-    return row.select(st.alias("feature_1", "feature_2", "correlation"))
+    cen = x.select(*[(q(c).cast("double") - means.getField(f"m{i}")).alias(f"c{i}") for i, c in enumerate(cols)])
+    names = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+
+    def moments(batches):
+        p = len(cols)
+        total = np.zeros((len(names), p, p))
+        for batch in batches:
+            a = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(p)], axis=1)
+            there = (~np.isnan(a)).astype(float)
+            a = np.where(there > 0, a, 0.0)
+            total += np.stack([there.T @ there, a.T @ there, there.T @ a, (a * a).T @ there, there.T @ (a * a), a.T @ a])
+        i, j = np.triu_indices(p, 1)
+        yield pa.RecordBatch.from_pydict({"i": i.astype(np.int32), "j": j.astype(np.int32), **{n: total[k][i, j] for k, n in enumerate(names)}})
+
+    parts = cen.mapInArrow(moments, "i int, j int, " + ", ".join(f"{n} double" for n in names))
+    t = parts.groupBy("i", "j").agg(*[F.sum(n).alias(n) for n in names])
+    # n * variance of each side over the common rows; 0 up to rounding if constant
+    vx, vy = (F.col(f"s{c}{c}") - F.col(f"s{c}") * F.col(f"s{c}") / F.col("n") for c in "xy")
+    flat = (vx <= F.lit(1e-12) * F.col("sxx")) | (vy <= F.lit(1e-12) * F.col("syy"))
+    r = F.when((F.col("n") > 0) & ~flat, (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / F.sqrt(vx * vy))
+    name = F.array(*[F.lit(c) for c in cols])
+    return t.select(F.element_at(name, F.col("i") + 1).alias("feature_1"), F.element_at(name, F.col("j") + 1).alias("feature_2"),
+                    r.alias("correlation"))
 
 
 def high_corr_pairs(pairs: DataFrame, limit: float = CORR_GROUP_LIMIT) -> DataFrame:
@@ -62,26 +82,10 @@ def redundant_features(pairs: DataFrame, limit: float = REDUNDANT_LIMIT) -> Data
     return high_corr_pairs(pairs, limit).select(F.col("feature_2").alias("feature")).distinct()
 
 
-def correlation_groups(pairs: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """Connected components of the pair graph by min-label propagation
-    (iterated joins until no label changes; each round is checkpointed so
-    the lineage stays short).  Returns (feature, group, group_size) with
-    ``group`` = smallest feature name of the component."""
-    e = pairs.select("feature_1", "feature_2").checkpoint(eager=True)  # at most p^2 rows, read every round
-    edges = e.unionByName(e.select(F.col("feature_2").alias("feature_1"), F.col("feature_1").alias("feature_2")))
-    labels = edges.groupBy(F.col("feature_1").alias("feature")).agg(
-        F.least(F.min("feature_2"), F.first("feature_1")).alias("label"))
-    for _ in range(max_rounds):
-        nxt = (edges.join(labels.withColumnRenamed("feature", "feature_2"), "feature_2")
-                    .groupBy(F.col("feature_1").alias("feature")).agg(F.min("label").alias("nl"))
-                    .join(labels, "feature")
-                    .select("feature", F.least("label", "nl").alias("label")))
-        nxt = nxt.checkpoint(eager=True)
-        changed = nxt.join(labels.withColumnRenamed("label", "old"), "feature").where(
-            F.col("label") != F.col("old")).limit(1).count()
-        labels = nxt
-        if changed == 0:
-            break
+def correlation_groups(pairs: DataFrame) -> DataFrame:
+    """Connected components of the pair graph.  Returns (feature, group,
+    group_size) with ``group`` = smallest feature name of the component."""
+    labels = components(pairs, "feature_1", "feature_2").withColumnRenamed("node", "feature")
     size = labels.groupBy("label").agg(F.count(F.lit(1)).alias("group_size"))
     return labels.join(size, "label").select("feature", F.col("label").alias("group"), "group_size")
 
@@ -106,31 +110,31 @@ def top_features(importance: DataFrame, n: int) -> DataFrame:
     return importance.orderBy(F.col("importance").desc(), F.col("feature")).limit(n)
 
 
-def corr_submatrix(pairs: DataFrame, n_pairs: int = 40, n_features: int = 30) -> DataFrame:
-    """T5: the features of the n_pairs strongest pairs (first appearance
-    order, at most n_features) and every correlation among them."""
-    valid = pairs.where(F.col("correlation").isNotNull() & ~F.isnan("correlation"))
+def corr_submatrix(pairs: DataFrame, n_pairs: int = 40, n_features: int = 30, limit: float = CORR_GROUP_LIMIT) -> DataFrame:
+    """T5: the features of the ``n_pairs`` strongest pairs above ``limit``, the
+    first ``n_features`` of them by name, and the square matrix among them
+    (both triangles and a diagonal of ones) in long form."""
     # strength rounded to 9 places: equal-by-construction pairs tie exactly
     strength = F.round(F.abs("correlation"), 9)
-    top = valid.orderBy(strength.desc(), "feature_1", "feature_2").limit(n_pairs)
-    ranked = top.select(F.row_number().over(Window.orderBy(strength.desc(), "feature_1", "feature_2"))
-                        .alias("rk"), "feature_1", "feature_2")
-    names = ranked.select(F.explode(F.array(F.struct((F.col("rk") * 2).alias("o"), F.col("feature_1").alias("f")),
-                                            F.struct((F.col("rk") * 2 + 1).alias("o"), F.col("feature_2").alias("f"))))
-                          .alias("x")).groupBy("x.f").agg(F.min("x.o").alias("o"))
-    chosen = names.orderBy("o").limit(n_features).select(F.col("f").alias("feature"))
-    a = chosen.withColumnRenamed("feature", "feature_1")
-    b = chosen.withColumnRenamed("feature", "feature_2")
-    return pairs.join(a, "feature_1", "left_semi").join(b, "feature_2", "left_semi")
+    top = high_corr_pairs(pairs, limit).orderBy(strength.desc(), "feature_1", "feature_2").limit(n_pairs)
+    names = top.select(F.explode(F.array("feature_1", "feature_2")).alias("feature")).distinct()
+    chosen = names.orderBy("feature").limit(n_features).checkpoint(eager=True)      # n_features rows
+    a, b = (chosen.withColumnRenamed("feature", f"feature_{i}") for i in (1, 2))
+    upper = pairs.join(a, "feature_1", "left_semi").join(b, "feature_2", "left_semi").select("feature_1", "feature_2", "correlation")
+    lower = upper.select(F.col("feature_2").alias("feature_1"), F.col("feature_1").alias("feature_2"), "correlation")
+    diagonal = a.select("feature_1", F.col("feature_1").alias("feature_2"), F.lit(1.0).alias("correlation"))
+    return upper.unionByName(lower).unionByName(diagonal)
 
 
 def screening_report(x: DataFrame, cols: list[str], importance: DataFrame | None = None,
                      n_top: int = 30) -> DataFrame:
-    """(feature, reason) for low variance, redundancy and, when
-    importances are given, selection by importance."""
+    """(feature, reason) for low variance, redundancy and, when importances
+    are given, selection by importance, and one row ``total_features`` with the
+    number of columns in place of a name."""
     pairs = corr_pairs_all(x, cols)
+    total = x.sparkSession.range(1).select(F.lit(str(len(cols))).alias("feature"), F.lit("total_features").alias("reason"))
     out = low_variance(x, cols).select("feature", F.lit("low_variance").alias("reason")).unionByName(
-        redundant_features(pairs).select("feature", F.lit("redundant").alias("reason")))
+        redundant_features(pairs).select("feature", F.lit("redundant").alias("reason"))).unionByName(total)
     if importance is not None:
         out = out.unionByName(top_features(importance, n_top).select("feature", F.lit("selected_by_importance")
                                                                      .alias("reason")))
