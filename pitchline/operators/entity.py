@@ -11,6 +11,9 @@ threshold, otherwise they shuffle.
 
 from __future__ import annotations
 
+from html.parser import HTMLParser
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,9 +41,14 @@ BUILTIN_TEAM_ALIAS_GROUPS = [
     ("deportivoalaves", "deportivoalaves"),
 ]
 
-# Fixed value: the anchor pattern of a team link on a competition page.
+# Fixed value: the path of a team link on a competition page.
 TEAM_LINK_PATTERN = r"/([^/]+)/startseite/verein/(\d+)/saison_id/(\d+)"
-ANCHOR_PATTERN = r'<a\s+[^>]*href="([^"]*)"[^>]*>([^<]*)</a>'
+
+# An anchor with its href in either kind of quotes; what it holds may be marked up.
+ANCHOR_PATTERN = r"""(?is)<a\s[^>]*?href\s*=\s*("[^"]*"|'[^']*')[^>]*>(.*?)</a\s*>"""
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+
+# Date columns of a master table, in order of preference.
 SKELETON_DATE_COLUMNS = ["match_date", "match_datetime_utc", "kickoff_utc", "datetime_utc"]
 
 
@@ -77,10 +85,12 @@ def alias_map(spark: SparkSession, alias_rows: DataFrame | None = None,
                                F.lit(-1).alias("src"), F.col("g").cast("long").alias("ord"))
     parts = [rows, self_rows]
     if alias_rows is not None:
-        cc, vc = alias_columns(alias_rows.drop(order_col) if order_col else alias_rows)
+        if order_col is None:
+            raise ValueError("alias rows need order_col: the last row wins")
+        cc, vc = alias_columns(alias_rows.drop(order_col))
         ar = alias_rows.where(F.col(cc).isNotNull() & F.col(vc).isNotNull()).select(
             team_key_expr(F.col(cc)).alias("c"), team_key_expr(F.col(vc)).alias("v"),
-            (F.col(order_col) if order_col else F.monotonically_increasing_id()).cast("long").alias("ord"))
+            F.col(order_col).cast("long").alias("ord"))
         ar = ar.where((F.col("c") != "") & (F.col("v") != "") & F.col("c").isNotNull() & F.col("v").isNotNull())
         parts.append(ar.select(F.col("v").alias("variant_key"), F.col("c").alias("canonical_key"),
                                F.lit(2).alias("src"), "ord"))
@@ -109,15 +119,23 @@ def canonical_key(df: DataFrame, c: str, amap: DataFrame, out: str = "team_key")
 
 
 # ------------------------------------------------------------------ X5 / X6
+def _plain(markup):
+    """Text of a piece of HTML: no tags, entities decoded, single spaces."""
+    text = F.regexp_replace(markup, "<[^>]*>", " ")
+    for entity, char in ENTITIES:
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
 def page_links(pages: DataFrame, pattern: str = ANCHOR_PATTERN) -> DataFrame:
     """Every anchor of every page (whole HTML) with non-empty text; first
     occurrence per (page_id, href)."""
-    hrefs = F.regexp_extract_all(F.col("html"), F.lit(pattern), 1)
-    texts = F.regexp_extract_all(F.col("html"), F.lit(pattern), 2)
-    ex = pages.select("page_id", F.posexplode(F.arrays_zip(hrefs.alias("href"), texts.alias("text"))))
-    ex = ex.select("page_id", F.col("pos"), F.col("col.href").alias("href"),
-                   F.trim(F.col("col.text")).alias("link_text")).where(F.col("link_text") != "")
-    return (ex.groupBy("page_id", "href")
+    anchors = F.regexp_extract_all(F.col("html"), F.lit(pattern), 0)
+    one = pages.select("page_id", F.posexplode(anchors).alias("pos", "a"))
+    href = F.regexp_extract("a", pattern, 1)
+    one = one.select("page_id", "pos", href.substr(F.lit(2), F.length(href) - 2).alias("href"),
+                     _plain(F.regexp_extract("a", pattern, 2)).alias("link_text")).where(F.col("link_text") != "")
+    return (one.groupBy("page_id", "href")
               .agg(F.min_by(F.struct("pos", "link_text"), "pos").alias("f"))
               .select("page_id", "href", F.col("f.pos").alias("pos"), F.col("f.link_text").alias("link_text")))
 
@@ -138,29 +156,93 @@ def team_links(pages: DataFrame, season_id_col: str = "season_id") -> DataFrame:
               .select(season_id_col, "team_id", "f.slug", F.col("f.link_text").alias("tm_team_name")))
 
 
-SQUAD_ROW_PATTERN = r'(?s)<tr[^>]*class="[^"]*\b(?:odd|even)\b[^"]*"[^>]*>(.*?)</tr>'
-CELL_PATTERN = r"(?s)<td[^>]*>(.*?)</td>"
-PLAYER_LINK_PATTERN = r'(?s)<a[^>]*href="[^"]*/profil/spieler/[^"]*"[^>]*>(.*?)</a>'
+class _SquadTable(HTMLParser):
+    """Rows of class odd / even in the body of the first ``table.items``: the
+    player link's text and the text of every cell, nested ones included."""
+
+    def __init__(self, html: str):
+        super().__init__(convert_charrefs=True)
+        self.rows: list[dict] = []
+        self.tables = self.body = 0         # depth of tables inside the items table; depth of its tbody
+        self.done = False
+        self.trs: list[dict | None] = []    # open rows, None for those of another class
+        self.cells: list[list[str]] = []
+        self.link: list[str] | None = None
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        if self.done:
+            return
+        have = {k: v or "" for k, v in attrs}
+        classes = have.get("class", "").split()
+        if tag == "table" and (self.tables or "items" in classes):
+            self.tables += 1
+        elif not self.tables:
+            return
+        elif tag == "tbody":
+            self.body += 1
+        elif tag == "tr":
+            row = {"link": "", "cells": []} if self.body and {"odd", "even"} & set(classes) else None
+            self.trs.append(row)
+            if row is not None:
+                self.rows.append(row)
+        elif tag == "td":
+            self.cells.append([])
+            for row in self.trs:
+                if row is not None:
+                    row["cells"].append(self.cells[-1])
+        elif tag == "a" and "/profil/spieler/" in have.get("href", ""):
+            self.link = []
+
+    def handle_endtag(self, tag):
+        if not self.tables or self.done:
+            return
+        if tag == "table":
+            self.tables -= 1
+            self.done = not self.tables
+        elif tag == "tbody":
+            self.body -= 1
+        elif tag == "tr" and self.trs:
+            self.trs.pop()
+        elif tag == "td" and self.cells:
+            self.cells.pop()
+        elif tag == "a" and self.link is not None:
+            text, self.link = " ".join(self.link), None
+            for row in self.trs:
+                if row is not None and not row["link"]:
+                    row["link"] = text
+
+    def handle_data(self, data):
+        if self.tables and not self.done and (text := " ".join(data.split())):
+            for cell in self.cells:
+                cell.append(text)
+            if self.link is not None:
+                self.link.append(text)
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("row_pos", T.IntegerType()), T.StructField("player_name", T.StringType()),
+                                        T.StructField("value_raw", T.StringType())])))
+def _squad_table(html: pd.Series) -> pd.Series:
+    def one(page):
+        out = []
+        for i, row in enumerate(_SquadTable(page or "").rows):
+            cells = [" ".join(c) for c in row["cells"]]
+            if cells:
+                out.append({"row_pos": i, "player_name": row["link"] or next((c for c in cells if c), ""), "value_raw": cells[-1]})
+        return out
+    return html.map(one)
 
 
 def squad_rows(pages: DataFrame) -> DataFrame:
-    """Player rows of squad pages: rows of class odd/even; the player
-    name is the profile link text, else the first non-empty cell; the value
-    is the last cell; rows without name or value are dropped."""
+    """Player rows of squad pages (page_id, html): rows of class odd / even
+    of ``table.items``; the player name is the profile link's text, else the
+    first non-empty cell; the value is the last cell; rows without name or
+    value are dropped."""
     from pitchline.functions.parse import with_market_value
-    rows = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(SQUAD_ROW_PATTERN), 1)))
-    strip = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", " "), r"\s+", " "))
-    cells = F.transform(F.regexp_extract_all(F.col("col"), F.lit(CELL_PATTERN), 1), lambda x: strip(x))
-    r = rows.select("page_id", F.col("pos").alias("row_pos"), cells.alias("cells"),
-                    strip(F.regexp_extract(F.col("col"), PLAYER_LINK_PATTERN, 1)).alias("link_name"))
-    r = r.where(F.size("cells") > 0).select(
-        "page_id", "row_pos",
-        F.coalesce(F.nullif(F.col("link_name"), F.lit("")),
-                   F.element_at(F.filter("cells", lambda x: x != ""), 1)).alias("player_name"),
-        F.element_at("cells", -1).alias("value_raw"))
+    r = pages.select("page_id", F.explode(_squad_table("html")).alias("r")).select("page_id", "r.*")
     r = with_market_value(r, "value_raw", "player_market_value_eur")
-    return r.where(F.col("player_name").isNotNull() & (F.col("player_name") != "")
-                   & F.col("player_market_value_eur").isNotNull()).drop("value_raw")
+    return r.where((F.col("player_name") != "") & F.col("player_market_value_eur").isNotNull()).drop("value_raw")
 
 
 # ------------------------------------------------------------------ U2

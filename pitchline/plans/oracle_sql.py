@@ -323,24 +323,27 @@ def long_table_sql() -> str:
 
 
 # ------------------------------------------------------------------ parsing
-TS_STRINGS = """
-ts AS (
-  SELECT o_orderkey, o_orderdate + (o_orderkey % 1440) * INTERVAL 1 MINUTE AS t FROM orders),
-d AS (
-  SELECT o_orderkey,
-    CASE WHEN o_orderkey % 50 = 0 THEN 'bad ' || CAST(o_orderkey AS VARCHAR)
-         WHEN o_orderkey % 4 = 0 THEN strftime(t, '%Y-%m-%d %H:%M:%S')
-         WHEN o_orderkey % 4 = 1 THEN strftime(t, '%b %-d %Y - %-I:%M%p')
-         WHEN o_orderkey % 4 = 2 THEN strftime(t, '%Y-%m-%d')
-         ELSE strftime(t, '%d/%m/%Y %H:%M') END AS raw
-  FROM ts)"""
-MIXED_FORMATS_SQL = ("['%Y-%m-%d %H:%M:%S', '%Y-%m-%dT%H:%M:%S', '%Y-%m-%d %H:%M', '%Y-%m-%d', "
-                     "'%b %d %Y - %I:%M%p', '%d/%m/%Y %H:%M', '%d/%m/%Y']")
-
-
 def parse_ts_mixed_sql() -> str:
-    return (f"WITH {TS_STRINGS.strip()} SELECT o_orderkey, raw, "
-            f"try_strptime(trim(raw), {MIXED_FORMATS_SQL}) AS parsed FROM d")
+    """Expected times from the order's own date, not from the text."""
+    return """
+WITH ts AS (
+  SELECT o_orderkey, o_orderkey % 7 AS k, o_orderdate + (o_orderkey % 1440) * INTERVAL 1 MINUTE AS t FROM orders)
+SELECT o_orderkey,
+  CASE WHEN o_orderkey % 50 = 0 THEN 'bad ' || CAST(o_orderkey AS VARCHAR)
+       WHEN k = 0 THEN strftime(t, '%Y-%m-%d %H:%M:%S')
+       WHEN k = 1 THEN strftime(t, '%b %-d %Y - %-I:%M%p')
+       WHEN k = 2 THEN strftime(t, '%Y-%m-%d')
+       WHEN k = 3 THEN strftime(t, '%Y-%m-%dT%H:%M:%SZ')
+       WHEN k = 4 THEN strftime(t, '%Y-%m-%dT%H:%M:%S.250')
+       WHEN k = 5 THEN strftime(t, '%Y-%m-%dT%H:%M:%S+02:00')
+       ELSE strftime(t, '%d/%m/%Y %H:%M') END AS raw,
+  CASE WHEN o_orderkey % 50 = 0 THEN NULL
+       WHEN k = 2 THEN date_trunc('day', t)
+       WHEN k = 4 THEN t + INTERVAL 250 MILLISECOND
+       WHEN k = 5 THEN t - INTERVAL 2 HOUR
+       WHEN k = 6 AND day(t) <= 12 THEN make_timestamp(year(t), day(t), month(t), hour(t), minute(t), 0.0)
+       ELSE t END AS parsed
+FROM ts"""
 
 
 def parse_kickoff_sql() -> str:
@@ -364,9 +367,8 @@ FROM p"""
 
 
 def coerce_numeric_sql() -> str:
-    raw = ("CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size AS VARCHAR) WHEN p_partkey % 3 = 1 THEN p_brand "
-           "ELSE ' ' || CAST(p_size AS VARCHAR) || '.5' END")
-    return f"SELECT p_partkey, {r6(f'TRY_CAST(trim({raw}) AS DOUBLE)', 'value')} FROM part"
+    value = "CASE WHEN p_partkey % 3 = 0 THEN p_size WHEN p_partkey % 3 = 1 THEN NULL ELSE p_size + 0.5E0 END"
+    return f"SELECT p_partkey, {r6(value, 'value')} FROM part"
 
 
 def _season_year(s: str) -> str:
@@ -393,7 +395,7 @@ def market_value_sql() -> str:
     raw = """CASE p_partkey % 7 WHEN 0 THEN '€' || CAST(p_size AS VARCHAR) || '.20m'
       WHEN 1 THEN '€' || CAST(p_size AS VARCHAR) || '50k' WHEN 2 THEN '-'
       WHEN 3 THEN '€' || CAST(p_size AS VARCHAR) || ',5m' WHEN 4 THEN '€1.' || CAST(p_size AS VARCHAR) || 'bn'
-      WHEN 5 THEN 'abc' ELSE ' ' END"""
+      WHEN 5 THEN '€' || CAST(p_size AS VARCHAR) || 'd' ELSE ' ' END"""
     val = """CASE WHEN s = '' OR s = '-' OR s IS NULL THEN NULL
       WHEN s LIKE '%bn' THEN TRY_CAST(substr(s, 1, length(s) - 2) AS DOUBLE) * 1e9
       WHEN s LIKE '%m' THEN TRY_CAST(substr(s, 1, length(s) - 1) AS DOUBLE) * 1e6
@@ -413,7 +415,7 @@ def team_key(x: str) -> str:
 def team_key_sql() -> str:
     return f"""
 WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '\\s+')) AS name
-           FROM documents WHERE lang IN ('fr', 'de', 'es'))
+           FROM documents)
 SELECT name, {team_key('name')} AS team_key FROM w WHERE name <> ''"""
 
 
@@ -451,21 +453,45 @@ def alias_map_sql() -> str:
 def canonical_team_sql() -> str:
     return f"""
 WITH {M}, {ALIAS_TABLE_SQL.strip()}, {_alias_map_cte().strip()},
-names AS (SELECT n_name AS name FROM nation UNION SELECT home_team FROM m)
+names AS (SELECT n_name AS name FROM nation UNION SELECT home_team FROM m UNION SELECT away_team FROM m)
 SELECT name, coalesce(amap.canonical_key, {team_key('name')}) AS team_key
 FROM names LEFT JOIN amap ON amap.variant_key = {team_key('name')}"""
 
 
-ANCHOR_SQL = '<a\\s+[^>]*href="([^"]*)"[^>]*>([^<]*)</a>'
+ANCHOR_SQL = """(?is)<a\\s[^>]*?href\\s*=\\s*("[^"]*"|''[^'']*'')[^>]*>(.*?)</a\\s*>"""
+TAG_SQL = "'<[^>]*>', ' ', 'g'"
 
 
 def page_links_sql() -> str:
+    text = f"regexp_replace(unnest(t), {TAG_SQL})"
+    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        text = f"replace({text}, '{entity}', '{char}')"
     return f"""
 WITH x AS (SELECT page_id, regexp_extract_all(html, '{ANCHOR_SQL}', 1) AS h,
                   regexp_extract_all(html, '{ANCHOR_SQL}', 2) AS t FROM pages),
-e AS (SELECT page_id, unnest(h) AS href, trim(unnest(t)) AS link_text, unnest(range(len(h))) AS pos FROM x),
-f AS (SELECT * FROM e WHERE link_text <> '')
-SELECT page_id, href, {i64('min(pos)', 'pos')}, arg_min(link_text, pos) AS link_text FROM f GROUP BY page_id, href"""
+e AS (SELECT page_id, unnest(h) AS q, {text} AS raw, unnest(range(len(h))) AS pos FROM x),
+f AS (SELECT page_id, substr(q, 2, length(q) - 2) AS href, trim(regexp_replace(raw, '\\s+', ' ', 'g')) AS link_text, pos FROM e)
+SELECT page_id, href, {i64('min(pos)', 'pos')}, arg_min(link_text, pos) AS link_text FROM f WHERE link_text <> '' GROUP BY page_id, href"""
+
+
+def team_links_sql() -> str:
+    """The teams from the customers themselves."""
+    return """
+SELECT CAST(2020 AS BIGINT) AS season_id, CAST(c_custkey AS VARCHAR) AS team_id, 'team-' || CAST(c_custkey AS VARCHAR) AS slug,
+  'Team & ' || c_name AS tm_team_name
+FROM customer WHERE c_custkey % 6 <> 0"""
+
+
+def squad_rows_sql() -> str:
+    """The players from the suppliers themselves."""
+    value = "(s_suppkey % 90 + 1 + 0.5E0) * CASE WHEN s_suppkey % 4 = 0 THEN 1e3 ELSE 1e6 END"
+    return f"""
+WITH s AS (SELECT *, s_nationkey * 10000000 + s_suppkey // 40 AS page_id,
+             row_number() OVER (PARTITION BY s_nationkey, s_suppkey // 40 ORDER BY s_suppkey) - 1 AS all_pos FROM supplier WHERE s_suppkey % 7 <> 0)
+SELECT CAST(page_id AS BIGINT) AS page_id, CAST(all_pos AS BIGINT) AS row_pos,
+  CASE WHEN s_suppkey % 5 = 0 OR s_suppkey % 2 = 1 THEN s_name ELSE 'A & ' || s_name END AS player_name,
+  {r6(value, 'player_market_value_eur')}
+FROM s WHERE s_suppkey % 11 <> 0"""
 
 
 MASTER_SQL = "mm AS (SELECT m.*, r.r_name AS league FROM m LEFT JOIN region r ON r.r_regionkey = m.league_id)"
@@ -696,20 +722,28 @@ def feature_subset_sql() -> str:
 
 def impute_sql(strategy: str) -> str:
     if strategy == "median":
-        fill = lambda c: f"(SELECT median({qi(c)}) FROM hx)"
+        fill = lambda c: f"(SELECT median({qi(c)}) FROM hx WHERE split = 'train')"
     elif strategy == "mean":
-        fill = lambda c: f"(SELECT avg({qi(c)}) FROM hx)"
+        fill = lambda c: f"(SELECT avg({qi(c)}) FROM hx WHERE split = 'train')"
     else:
         fill = lambda c: "0.0E0"
     cols = ", ".join(r6(f"coalesce(CAST({qi(c)} AS DOUBLE), {fill(c)}, 0.0E0)", qi(c)) for c in HT_NUMERIC)
     return _ht(f"SELECT match_id, {cols} FROM hx")
 
 
+def impute_per_split_sql() -> str:
+    med = ", ".join(f"median({qi(c)}) AS f{i}" for i, c in enumerate(HT_NUMERIC))
+    cols = ", ".join(r6(f"coalesce(CAST({qi(c)} AS DOUBLE), f{i}, 0.0E0)", qi(c)) for i, c in enumerate(HT_NUMERIC))
+    return _ht(f"SELECT match_id, split, {cols} FROM hx JOIN (SELECT split, {med} FROM hx GROUP BY split) USING (split)")
+
+
+def _standard(c: str, table: str) -> str:
+    return (f"({qi(c)} - (SELECT avg({qi(c)}) FROM {table} WHERE split = 'train')) / "
+            f"coalesce(nullif((SELECT stddev_pop({qi(c)}) FROM {table} WHERE split = 'train'), 0), 1)")
+
+
 def standardize_sql() -> str:
-    cols = ", ".join(
-        r6(f"({qi(c)} - (SELECT avg({qi(c)}) FROM hx)) / coalesce(nullif((SELECT stddev_pop({qi(c)}) FROM hx), 0), 1)",
-           qi(c)) for c in HT_NUMERIC)
-    return _ht(f"SELECT match_id, {cols} FROM hx")
+    return _ht(f"SELECT match_id, {', '.join(r6(_standard(c, 'hx'), qi(c)) for c in HT_NUMERIC)} FROM hx")
 
 
 def class_weights_sql() -> str:
@@ -802,23 +836,54 @@ def top_features_sql() -> str:
 
 
 def corr_submatrix_sql() -> str:
-    return _scr(f"""SELECT p.feature_1, p.feature_2, {r6('p.correlation', 'correlation')} FROM pairs p
-WHERE p.feature_1 IN (SELECT f FROM chosen) AND p.feature_2 IN (SELECT f FROM chosen)""").replace(
-        "\nSELECT p.feature_1", """,
-top AS (SELECT feature_1, feature_2, row_number() OVER (ORDER BY round(abs(correlation), 9) DESC, feature_1, feature_2) AS rk
-        FROM pairs WHERE correlation IS NOT NULL AND NOT isnan(correlation)),
-top40 AS (SELECT * FROM top WHERE rk <= 40),
-nm AS (SELECT f, min(o) AS o FROM (SELECT feature_1 AS f, rk * 2 AS o FROM top40 UNION ALL
-                                   SELECT feature_2, rk * 2 + 1 FROM top40) GROUP BY f),
-chosen AS (SELECT f FROM nm ORDER BY o LIMIT 30)
-SELECT p.feature_1""", 1)
+    return _scr(f"""SELECT a.f AS feature_1, b.f AS feature_2,
+  {r6('CASE WHEN a.f = b.f THEN 1.0E0 ELSE p.correlation END', 'correlation')}
+FROM chosen a CROSS JOIN chosen b
+LEFT JOIN pairs p ON (p.feature_1 = a.f AND p.feature_2 = b.f) OR (p.feature_1 = b.f AND p.feature_2 = a.f)""").replace(
+        "\nSELECT a.f", """,
+top AS MATERIALIZED (SELECT feature_1, feature_2 FROM hcp
+        ORDER BY round(abs_correlation, 9) DESC, feature_1, feature_2 LIMIT 40),
+chosen AS MATERIALIZED (SELECT f FROM (SELECT feature_1 AS f FROM top UNION SELECT feature_2 FROM top) ORDER BY f LIMIT 30)
+SELECT a.f""", 1).replace("pairs AS (", "pairs AS MATERIALIZED (", 1)
 
 
 def screening_report_sql() -> str:
     un = " UNION ALL ".join(f"SELECT '{c}' AS feature, var_samp({qi(c)}) AS variance FROM xt" for c in HT_NUMERIC)
     return _scr(f"""SELECT feature, 'low_variance' AS reason FROM ({un}) v WHERE variance < 0.01
 UNION ALL SELECT DISTINCT feature_2, 'redundant' FROM pairs WHERE correlation IS NOT NULL
-  AND NOT isnan(correlation) AND abs(correlation) > 0.9""")
+  AND NOT isnan(correlation) AND abs(correlation) > 0.9
+UNION ALL SELECT '{len(HT_NUMERIC)}', 'total_features'
+UNION ALL SELECT feature, 'selected_by_importance' FROM (SELECT feature FROM imp ORDER BY importance DESC, feature LIMIT 5) t""")
+
+
+def corr_with_gaps_sql() -> str:
+    cols = ["home_goals", "away_goals", "odds_move_home", "odds_move_away", "travel_km"]
+    un = " UNION ALL ".join(f"SELECT '{a}' AS feature_1, '{b}' AS feature_2, {r6(f'corr({a}, {b})', 'correlation')} FROM m"
+                            for i, a in enumerate(cols) for b in cols[i + 1:])
+    return f"WITH {M} {un}"
+
+
+def component_chain_sql() -> str:
+    return """
+WITH e AS (SELECT c_custkey AS a FROM customer WHERE c_custkey % 500 <> 499),
+n AS (SELECT a AS node FROM e UNION SELECT a + 1 FROM e)
+SELECT CAST(node AS BIGINT) AS node, CAST(min(node) OVER (PARTITION BY node // 500) AS BIGINT) AS label FROM n"""
+
+
+def with_odd_matches(sql: str, no_home: str = "NULL", no_away: str = "NULL",
+                     league: str = "CASE WHEN match_id % 10 = 0 THEN NULL ELSE league_id END") -> str:
+    """The same query on the match table with missing leagues and teams."""
+    odd = f"""m AS (SELECT * REPLACE ({league} AS league_id,
+  CASE WHEN match_id % 53 = 0 THEN {no_home} ELSE home_team END AS home_team,
+  CASE WHEN match_id % 53 = 0 THEN {no_away} ELSE away_team END AS away_team) FROM ({MATCHES_SQL}) m0)"""
+    return sql.replace(M, odd, 1)
+
+
+def venue_null_teams_sql() -> str:
+    """A row without a team has no history; its match stays, with NULLs."""
+    sql = with_odd_matches(venue_history_sql()).replace("FROM l)", "FROM l WHERE team IS NOT NULL)")
+    return (f"SELECT h.* REPLACE (o.match_id AS match_id) FROM (SELECT o_orderkey AS match_id FROM orders JOIN customer ON o_custkey = c_custkey) o "
+            f"LEFT JOIN ({sql}) h ON h.match_id = o.match_id")
 
 
 # ------------------------------------------------------------------ metrics
@@ -930,6 +995,7 @@ def gaussian_nb_sql() -> str:
     import math
     cols = ", ".join(f"coalesce(CAST({qi(c)} AS DOUBLE), (SELECT median({qi(c)}) FROM hx WHERE split = 'train'), 0.0E0) "
                      f"AS {qi(c)}" for c in HT_NUMERIC)
+    std = ", ".join(f"{_standard(c, 'xu')} AS {qi(c)}" for c in HT_NUMERIC)
     stats = ", ".join([f"avg({qi(c)}) AS mu{i}" for i, c in enumerate(HT_NUMERIC)]
                       + [f"var_pop({qi(c)}) AS var{i}" for i, c in enumerate(HT_NUMERIC)])
     eps = "greatest(" + ", ".join(f"var_pop({qi(c)})" for c in HT_NUMERIC) + ") * 1e-6"
@@ -937,11 +1003,12 @@ def gaussian_nb_sql() -> str:
                     f"(x.{qi(c)} - s.mu{i}) * (x.{qi(c)} - s.mu{i}) / (2 * (s.var{i} + e.eps)))"
                     for i, c in enumerate(HT_NUMERIC))
     return f"""WITH {M}, {HT_SQL.strip()}, {HT_ENCODED},
-xi AS (SELECT match_id, split, target_match_result, {cols} FROM hx),
+xu AS (SELECT match_id, split, target_match_result, {cols} FROM hx),
+xi AS (SELECT match_id, split, target_match_result, {std} FROM xu),
 s AS (SELECT target_match_result AS c, count(*) / (SELECT count(*) FROM xi WHERE split = 'train') AS prior, {stats}
       FROM xi WHERE split = 'train' GROUP BY target_match_result),
 e AS (SELECT {eps} AS eps FROM xi WHERE split = 'train'),
-j AS (SELECT x.match_id, x.split, s.c, ln(s.prior) + {ll} AS ll FROM xi x, s, e WHERE x.split IN ('val', 'test')),
+j AS (SELECT x.match_id, x.split, s.c, ln(s.prior) + {ll} AS ll FROM xi x, s, e),
 w AS (SELECT match_id, split, max(ll) FILTER (WHERE c = 'H') AS lh, max(ll) FILTER (WHERE c = 'D') AS ld,
         max(ll) FILTER (WHERE c = 'A') AS la FROM j GROUP BY match_id, split)
 SELECT match_id, split,
@@ -980,12 +1047,31 @@ def range_checks_sql() -> str:
 
 
 def feature_mismatches_sql() -> str:
-    return ("SELECT CAST(NULL AS BIGINT) AS match_id, CAST(NULL AS BIGINT) AS is_home, CAST(NULL AS VARCHAR) AS feature, "
-            "CAST(NULL AS DOUBLE) AS actual, CAST(NULL AS DOUBLE) AS expected WHERE false")
+    return f"""WITH {M}, {LONG_SQL}, {_venue_ctes().strip()}
+SELECT match_id, CAST(is_home AS BIGINT) AS is_home, 'goals_for' AS feature, {r6('goals_for + 1', 'actual')}, {r6('goals_for', 'expected')}
+FROM v WHERE match_id % 101 = 0
+UNION ALL SELECT match_id, CAST(is_home AS BIGINT), 'win_rate', NULL, {r6('w / matches_before', 'expected')}
+FROM v WHERE match_id % 103 = 0 AND matches_before > 0"""
+
+
+def momentum_mismatches_sql() -> str:
+    parts = " UNION ALL ".join(
+        f"SELECT s4.match_id, CAST(s4.is_home AS BIGINT) AS is_home, '{c}' AS feature, {r6(f'{t}.{c} + 1', 'actual')}, {r6(f'{t}.{c}', 'expected')} "
+        f"FROM s4 JOIN s5 USING (match_id, is_home) WHERE s4.match_id % {n} = 0 AND {t}.{c} IS NOT NULL"
+        for n, t, c in ((101, "s4", "form_pts_5"), (103, "s5", "odds_move_for_ewm_5"), (107, "s4", "rest_days")))
+    return f"WITH RECURSIVE {M}, {LONG_SQL}, {ELO_SQL}, {long_features_body()}\n{parts}"
 
 
 def diff_checks_sql() -> str:
-    return "SELECT * FROM (VALUES " + ", ".join(f"('{d}', 0)" for d, _ in DIFF_PAIRS) + ") t(diff_column, violations)"
+    body = match_diffs_sql()
+    cut = body.rindex("\nSELECT ")
+    parts = " UNION ALL ".join(f"SELECT '{d}' AS diff_column, CAST(count(*) AS BIGINT) AS violations FROM dd WHERE match_id % {50 + i} = 0 AND {d} IS NOT NULL"
+                               for i, (d, _) in enumerate(DIFF_PAIRS))
+    return f"{body[:cut]}, dd AS MATERIALIZED ({body[cut + 1:]})\n{parts}"
+
+
+def model_roundtrip_sql() -> str:
+    return _ht("SELECT match_id, split, CAST(1 AS BIGINT) AS same, CAST(1 AS BIGINT) AS sums_to_one FROM hsplit")
 
 
 VENUE_CTES = """
@@ -1039,7 +1125,3 @@ def drop_columns_sql() -> str:
 
 def epoch_check_sql() -> str:
     return f"WITH {M}, {HT_SQL.strip()} SELECT match_id, \"timestamp\" FROM ht"
-
-
-def momentum_mismatches_sql() -> str:
-    return feature_mismatches_sql()

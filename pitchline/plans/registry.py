@@ -84,11 +84,15 @@ def _ts_strings(spark, sf_dir):
     from pitchline.sources.tables import read_table
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     ts = F.timestamp_add("MINUTE", (F.col("o_orderkey") % 1440), F.col("o_orderdate"))
-    k = F.col("o_orderkey") % 4
+    k = F.col("o_orderkey") % 7
+    iso = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
     s = (F.when(F.col("o_orderkey") % 50 == 0, F.concat(F.lit("bad "), F.col("o_orderkey").cast("string")))
           .when(k == 0, F.date_format(ts, "yyyy-MM-dd HH:mm:ss"))
           .when(k == 1, F.date_format(ts, "MMM d yyyy - h:mma"))
           .when(k == 2, F.date_format(ts, "yyyy-MM-dd"))
+          .when(k == 3, F.concat(iso, F.lit("Z")))
+          .when(k == 4, F.concat(iso, F.lit(".250")))
+          .when(k == 5, F.concat(iso, F.lit("+02:00")))
           .otherwise(F.date_format(ts, "dd/MM/yyyy HH:mm")))
     return o.select("o_orderkey", s.alias("raw"))
 
@@ -129,7 +133,8 @@ def q_coerce_numeric(spark, sf_dir):
     from pitchline.sources.tables import read_table
     p = read_table(spark, sf_dir, "part")
     raw = (F.when(F.col("p_partkey") % 3 == 0, F.col("p_size").cast("string"))
-            .when(F.col("p_partkey") % 3 == 1, F.col("p_brand"))
+            .when(F.col("p_partkey") % 6 == 1, F.col("p_brand"))
+            .when(F.col("p_partkey") % 6 == 4, F.concat(F.col("p_size").cast("string"), F.lit("d")))
             .otherwise(F.concat(F.lit(" "), F.col("p_size").cast("string"), F.lit(".5"))))
     return finish(p.select("p_partkey", coerce_numeric(raw).alias("value")))
 
@@ -167,7 +172,7 @@ def q_market_value(spark, sf_dir):
             .when(k == 2, F.lit("-"))
             .when(k == 3, F.concat(F.lit("€"), sz, F.lit(",5m")))
             .when(k == 4, F.concat(F.lit("€1."), sz, F.lit("bn")))
-            .when(k == 5, F.lit("abc"))
+            .when(k == 5, F.concat(F.lit("€"), sz, F.lit("d")))
             .otherwise(F.lit(" ")))
     d = p.select("p_partkey", raw.alias("raw"))
     return finish(with_market_value(d, "raw", "value_eur"))
@@ -190,7 +195,7 @@ def q_team_key(spark, sf_dir):
     from pyspark.sql import functions as F
     from pitchline.functions.text import with_team_key
     from pitchline.sources.tables import read_table
-    d = read_table(spark, sf_dir, "documents").where(F.col("lang").isin("fr", "de", "es"))
+    d = read_table(spark, sf_dir, "documents")
     words = d.select(F.explode(F.split(F.col("text"), r"\s+")).alias("name")).where(F.col("name") != "").distinct()
     return with_team_key(words, "name")
 
@@ -209,8 +214,8 @@ def q_canonical_team(spark, sf_dir):
     from pitchline.sources.standins import alias_table
     from pitchline.sources.tables import read_table
     amap = alias_map(spark, alias_table(spark, sf_dir), order_col="row_no")
-    names = read_table(spark, sf_dir, "nation").select(F.col("n_name").alias("name")).unionByName(
-        matches(spark, sf_dir).select(F.col("home_team").alias("name"))).distinct()
+    sides = matches(spark, sf_dir).select(F.explode(F.array("home_team", "away_team")).alias("name"))
+    names = read_table(spark, sf_dir, "nation").select(F.col("n_name").alias("name")).unionByName(sides).distinct()
     return canonical_key(names, "name", amap)
 
 
@@ -221,6 +226,20 @@ def q_page_links(spark, sf_dir):
     return finish(page_links(read_table(spark, sf_dir, "pages")))
 
 
+@register("team_links", osql.team_links_sql)
+def q_team_links(spark, sf_dir):
+    from pitchline.operators.entity import team_links
+    from pitchline.sources.standins import competition_pages
+    return finish(team_links(competition_pages(spark, sf_dir)))
+
+
+@register("squad_rows", osql.squad_rows_sql)
+def q_squad_rows(spark, sf_dir):
+    from pitchline.operators.entity import squad_rows
+    from pitchline.sources.standins import squad_pages
+    return finish(squad_rows(squad_pages(spark, sf_dir)))
+
+
 def _enrichment(spark, sf_dir):
     from pitchline.operators import entity as E
     from pitchline.sources import standins as S
@@ -365,13 +384,13 @@ def q_split_counts(spark, sf_dir):
 @register("class_dist", osql.class_dist_sql)
 def q_class_dist(spark, sf_dir):
     from pitchline.operators.prep import class_distribution
-    return finish(class_distribution(_ht_split(spark, sf_dir)))
+    return finish(class_distribution(_ht_clean(spark, sf_dir)))
 
 
 @register("season_dist", osql.season_dist_sql)
 def q_season_dist(spark, sf_dir):
     from pitchline.operators.prep import season_distribution
-    return finish(season_distribution(_ht_split(spark, sf_dir)))
+    return finish(season_distribution(_ht_clean(spark, sf_dir)))
 
 
 @register("split_ranges", osql.split_ranges_sql)
@@ -383,7 +402,7 @@ def q_split_ranges(spark, sf_dir):
 @register("label_encode", osql.label_encode_sql)
 def q_label_encode(spark, sf_dir):
     from pitchline.operators.prep import encode_label
-    s = _ht_split(spark, sf_dir)
+    s = _ht_clean(spark, sf_dir)
     return finish(s.select("match_id", "target_match_result", encode_label("target_match_result").alias("label")))
 
 
@@ -412,12 +431,22 @@ def q_feature_subset(spark, sf_dir):
 
 def _impute(strategy):
     def q(spark, sf_dir):
+        """A4 with fill values of the training split."""
         from pitchline.operators.prep import handle_missing_values
-        x = _ht_x(spark, sf_dir).drop("split", "target_match_result")
-        return finish(handle_missing_values(x, strategy, keep=["match_id"]))
+        x = _ht_x(spark, sf_dir).drop("target_match_result")
+        train = x.where("split = 'train'").drop("split")
+        return finish(handle_missing_values(x.drop("split"), strategy, train, keep=["match_id"]))
     return q
 
 
+@register("impute_per_split", osql.impute_per_split_sql)
+def q_impute_per_split(spark, sf_dir):
+    """A4 with every split filled from itself."""
+    from pitchline.operators.prep import handle_missing_per_split
+    x = _ht_x(spark, sf_dir).drop("target_match_result")
+    return finish(handle_missing_per_split(x, "median", keep=["match_id"]))
+
+
 for _s in ("median", "mean", "zero"):
     register(f"impute_{_s}", (lambda s: lambda: osql.impute_sql(s))(_s))(_impute(_s))
 
@@ -425,8 +454,9 @@ for _s in ("median", "mean", "zero"):
 @register("standardize", osql.standardize_sql)
 def q_standardize(spark, sf_dir):
     from pitchline.operators.prep import numeric_columns, standardize
-    x = _ht_x(spark, sf_dir).drop("split", "target_match_result")
-    return finish(standardize(x, [c for c in numeric_columns(x) if c != "match_id"], keep=["match_id"]))
+    x = _ht_x(spark, sf_dir).drop("target_match_result")
+    train = x.where("split = 'train'")
+    return finish(standardize(x, [c for c in numeric_columns(x) if c != "match_id"], train, keep=["match_id"]))
 
 
 @register("class_weights", osql.class_weights_sql)
@@ -525,7 +555,30 @@ def q_corr_submatrix(spark, sf_dir):
 @register("screening_report", osql.screening_report_sql)
 def q_screening_report(spark, sf_dir):
     from pitchline.operators.screening import screening_report
-    return screening_report(_xt(spark, sf_dir), HT_NUMERIC)
+    x = _xt(spark, sf_dir)
+    return screening_report(x, HT_NUMERIC, _importance(spark, sf_dir, x), 5)
+
+
+@register("corr_with_gaps", osql.corr_with_gaps_sql)
+def q_corr_with_gaps(spark, sf_dir):
+    """A6 on columns with missing values: every pair over its common rows."""
+    from pyspark.sql import functions as F
+    from pitchline.operators.screening import corr_pairs_all
+    x = matches(spark, sf_dir)
+    cols = ["home_goals", "away_goals", "odds_move_home", "odds_move_away", "travel_km"]
+    return finish(corr_pairs_all(x.select(*[F.col(c).cast("double").alias(c) for c in cols]), cols))
+
+
+@register("component_chain", osql.component_chain_sql)
+def q_component_chain(spark, sf_dir):
+    """G3 on long chains: order keys linked to the next one in their block of
+    500 make one component per block."""
+    from pyspark.sql import functions as F
+    from pitchline.operators.graph import components
+    from pitchline.sources.tables import read_table
+    k = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("a"))
+    e = k.where(F.col("a") % 500 != 499).select("a", (F.col("a") + 1).alias("b"))
+    return finish(components(e, "a", "b"))
 
 
 # ------------------------------------------------------------------ metrics
@@ -592,7 +645,7 @@ def _model_data(spark, sf_dir):
     x = _ht_x(spark, sf_dir).select("match_id", "split", "target_match_result", *[f"`{c}`" for c in HT_NUMERIC])
     fill = imputation_values(x.where(F.col("split") == "train"), HT_NUMERIC, "median")
     xi = impute(x, HT_NUMERIC, fill, keep=["match_id", "split", "target_match_result"]).checkpoint(eager=True)
-    return {s: xi.where(F.col("split") == s) for s in ("train", "val", "test")}
+    return {"all": xi} | {s: xi.where(F.col("split") == s) for s in ("train", "val", "test")}
 
 
 def _nb_sql():
@@ -601,15 +654,13 @@ def _nb_sql():
 
 @register("gaussian_nb", _nb_sql)
 def q_gaussian_nb(spark, sf_dir):
-    from pyspark.sql import functions as F
-    from pitchline.operators.models import gaussian_nb_fit, gaussian_nb_params, gaussian_nb_predict
+    from pitchline.operators.models import gaussian_nb_fit, gaussian_nb_params, gaussian_nb_predict, scaler
     d = _model_data(spark, sf_dir)
-    stats = gaussian_nb_params(gaussian_nb_fit(d["train"], HT_NUMERIC))
-    out = None
-    for s in ("val", "test"):
-        p = gaussian_nb_predict(d[s], stats, HT_NUMERIC).withColumn("split", F.lit(s))
-        out = p if out is None else out.unionByName(p)
-    return finish(out.select("match_id", "split", "y_pred", "p_H", "p_D", "p_A"))
+    scaled = scaler(d["train"], HT_NUMERIC)
+    stats = gaussian_nb_params(gaussian_nb_fit(scaled(d["train"], ("match_id", "target_match_result")), HT_NUMERIC))
+    every = scaled(d["all"], ("match_id", "split"))
+    p = gaussian_nb_predict(every, stats, HT_NUMERIC, ("match_id", "split"))
+    return finish(p.select("match_id", "split", "y_pred", "p_H", "p_D", "p_A"))
 
 
 def _train_query(model_type):
@@ -617,7 +668,7 @@ def _train_query(model_type):
         from pitchline.operators.models import fit, predict
         d = _model_data(spark, sf_dir)
         m = fit(d["train"], HT_NUMERIC, model_type)
-        return predict(m, d["test"], ("match_id", "target_match_result"))
+        return predict(m, d["all"], ("match_id", "split", "target_match_result"))
     return run
 
 
@@ -625,14 +676,22 @@ for _m in ("random_forest", "logistic_regression", "xgboost", "svm", "fnn"):
     register(f"train_{_m}")(_train_query(_m))
 
 
-@register("model_roundtrip")
+@register("model_roundtrip", osql.model_roundtrip_sql)
 def q_model_roundtrip(spark, sf_dir):
-    """Save, load, predict with the loaded pipeline."""
+    """A saved and loaded pipeline predicts as before, row by row."""
+    from pyspark.sql import functions as F
     from pitchline.operators.models import fit, load_model, predict, save_model
     from pitchline.session import scratch_path
     d = _model_data(spark, sf_dir)
-    path = save_model(fit(d["train"], HT_NUMERIC, "logistic_regression"), scratch_path(spark, "model"))
-    return predict(load_model(path), d["test"])
+    model = fit(d["train"], HT_NUMERIC, "logistic_regression")
+    loaded = load_model(save_model(model, scratch_path(spark, "model")))
+    a, b = (predict(m, d["all"], ("match_id", "split")) for m in (model, loaded))
+    b = b.select("match_id", *[F.col(c).alias(f"{c}_loaded") for c in ("y_pred", "p_H", "p_D", "p_A")])
+    same = F.col("y_pred") == F.col("y_pred_loaded")
+    for c in ("p_H", "p_D", "p_A"):
+        same = same & (F.col(c) == F.col(f"{c}_loaded"))
+    one = F.abs(F.col("p_H") + F.col("p_D") + F.col("p_A") - 1) < 1e-9
+    return finish(a.join(b, "match_id").select("match_id", "split", same.alias("same"), one.alias("sums_to_one")))
 
 
 @register("trained_comparison")
@@ -642,7 +701,7 @@ def q_trained_comparison(spark, sf_dir):
     from pitchline.operators.models import compare_models
     d = _model_data(spark, sf_dir)
     preds, _, _ = compare_models(d["train"], {"train": d["train"], "val": d["val"], "test": d["test"]},
-                                 HT_NUMERIC, ["random_forest", "logistic_regression", "naive_bayes", "svm", "fnn"])
+                                 HT_NUMERIC)
     return metrics_long(classification_metrics(preds.checkpoint(eager=True)))
 
 
@@ -653,7 +712,7 @@ def q_importance_avg(spark, sf_dir):
     from pitchline.operators.screening import average_importance
     d = _model_data(spark, sf_dir)
     frames = []
-    for mt in ("random_forest", "logistic_regression", "svm"):
+    for mt in ("random_forest", "logistic_regression", "xgboost", "svm"):
         frames.append(importance_frame(spark, mt, feature_importance(fit(d["train"], HT_NUMERIC, mt), HT_NUMERIC)))
     allf = frames[0]
     for f in frames[1:]:
@@ -711,19 +770,27 @@ def q_first_match_checks(spark, sf_dir):
 
 @register("feature_mismatches", osql.feature_mismatches_sql)
 def q_feature_mismatches(spark, sf_dir):
+    """E4 on venue features with planted errors: exactly those are found."""
+    from pyspark.sql import functions as F
     from pitchline.operators.history import VENUE_FEATURES, venue_history_long
     from pitchline.operators.long_table import long_table
-    from pitchline.operators.quality import feature_mismatches, venue_history_recomputed
+    from pitchline.operators.quality import feature_mismatches, planted, venue_history_recomputed
     m = matches(spark, sf_dir)
-    actual = venue_history_long(long_table(m))
-    return feature_mismatches(actual, venue_history_recomputed(m), ["match_id", "is_home"], VENUE_FEATURES)
+    actual = planted(venue_history_long(long_table(m)), 101, "match_id", "goals_for", F.col("goals_for") + 1)
+    actual = planted(actual, 103, "match_id", "win_rate", F.lit(None))
+    return finish(feature_mismatches(actual, venue_history_recomputed(m), ["match_id", "is_home"], VENUE_FEATURES))
 
 
 @register("diff_checks", osql.diff_checks_sql)
 def q_diff_checks(spark, sf_dir):
+    """E7 with planted errors in every difference column."""
+    from pyspark.sql import functions as F
     from pitchline.operators.momentum import DIFF_PAIRS, match_features
-    from pitchline.operators.quality import diff_checks
-    return diff_checks(match_features(matches(spark, sf_dir)), DIFF_PAIRS)
+    from pitchline.operators.quality import diff_checks, planted
+    mf = match_features(matches(spark, sf_dir))
+    for i, (d, _) in enumerate(DIFF_PAIRS):
+        mf = planted(mf, 50 + i, "match_id", d, F.col(d) + 1)
+    return finish(diff_checks(mf, DIFF_PAIRS))
 
 
 # ------------------------------------------------------------------ window operators one by one
@@ -852,12 +919,39 @@ def q_kickoff_epoch(spark, sf_dir):
 
 @register("momentum_mismatches", osql.momentum_mismatches_sql)
 def q_momentum_mismatches(spark, sf_dir):
-    """E4 for the long table: weighted means and volatility against the array
-    formulation; every disagreeing cell (expected: none)."""
+    """E4 for the long table, every feature by a second route, with planted
+    errors in a weighted mean, the EWM and the rest days."""
+    from pyspark.sql import functions as F
+    from pitchline.operators.elo import with_elo
     from pitchline.operators.long_table import long_table
-    from pitchline.operators.momentum import long_features
-    from pitchline.operators.quality import MOMENTUM_RECHECK, feature_mismatches, momentum_recomputed
-    lt = long_table(matches(spark, sf_dir))
-    cols = [o for _, _, o in MOMENTUM_RECHECK] + ["mom_volatility_5"]
-    return feature_mismatches(long_features(lt).where("team IS NOT NULL"), momentum_recomputed(lt),
-                              ["match_id", "is_home"], cols)
+    from pitchline.operators.momentum import LONG_FEATURES, long_features
+    from pitchline.operators.quality import feature_mismatches, momentum_recomputed, planted
+    lt = long_table(with_elo(matches(spark, sf_dir)))
+    actual = long_features(lt).where("team IS NOT NULL")
+    for every, c in ((101, "form_pts_5"), (103, "odds_move_for_ewm_5"), (107, "rest_days")):
+        actual = planted(actual, every, "match_id", c, F.col(c) + 1)
+    return finish(feature_mismatches(actual, momentum_recomputed(lt), ["match_id", "is_home"], LONG_FEATURES))
+
+
+def _odd_matches(spark, sf_dir, sides=("home_team", "away_team")):
+    """The match table with missing leagues, and missing teams on ``sides``."""
+    from pyspark.sql import functions as F
+    m, k, none = matches(spark, sf_dir), F.col("match_id"), F.lit(None)
+    return m.withColumns({"league_id": F.when(k % 10 == 0, none).otherwise(F.col("league_id")),
+                          **{c: F.when(k % 53 == 0, none).otherwise(F.col(c)) for c in sides}})
+
+
+@register("venue_history_null_teams", osql.venue_null_teams_sql)
+def q_venue_history_null_teams(spark, sf_dir):
+    """W7 in segments of 97 rows with matches that lack both teams."""
+    from pitchline.operators.history import venue_history
+    return finish(venue_history(_odd_matches(spark, sf_dir), seg_rows=97))
+
+
+@register("elo_null_leagues", lambda: osql.with_odd_matches(osql.elo_sql(), "'None'", "away_team", "0"))
+def q_elo_null_leagues(spark, sf_dir):
+    """G1 in chunks of 1,000 with matches that lack a league or the home team
+    (one team that plays in every league): ratings carry over between leagues
+    and every match has a row."""
+    from pitchline.operators.elo import elo_ratings
+    return finish(elo_ratings(_odd_matches(spark, sf_dir, ("home_team",)), chunk_rows=1000))

@@ -164,12 +164,137 @@ def test_skeleton_date_column_choice(spark):
     assert sorted(r.team_name for r in sk) == ["A", "B"]
 
 
-def test_exact_medians_sorted_path(spark):
+def test_exact_medians_many_values(spark):
     from pitchline.operators.splits import exact_medians
-    df = spark.range(1001).select((F.col("id") * 1.5).alias("a"), (F.col("id") % 7).cast("double").alias("b"))
-    both = exact_medians(df, ["a", "b"], distinct_limit=500).collect()[0]    # a sorted, b aggregate
+    df = spark.range(1001).select((F.col("id") * 1.5).alias("a"), (F.col("id") % 7).cast("double").alias("b"),
+                                  F.lit(None).cast("double").alias("c"), F.lit(4.0).alias("d")).repartition(7)
+    got = exact_medians(df, ["a", "b", "c", "d"]).collect()[0]
     ref = df.agg(F.median("a"), F.median("b")).collect()[0]
-    assert both["a"] == ref[0] and both["b"] == ref[1]
+    assert (got["a"], got["b"], got["c"], got["d"]) == (ref[0], ref[1], None, 4.0)
+
+
+def test_components_of_a_long_chain(spark):
+    from pitchline.operators.graph import components
+    got = components(spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")), "a", "b").collect()
+    assert len(got) == 301 and {r["label"] for r in got} == {0}
+
+
+def test_correlation_with_gaps_equals_pandas(spark):
+    import numpy as np
+    import pandas as pd
+    from pitchline.operators.screening import corr_pairs_all
+    rng = np.random.default_rng(5)
+    a = rng.normal(size=(300, 4)) @ rng.normal(size=(4, 4)) + 1e3
+    a[rng.random(a.shape) < 0.2] = np.nan
+    pdf = pd.DataFrame(a, columns=list("abcd"))
+    rows = [tuple(None if np.isnan(v) else float(v) for v in r) for r in a]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(3)
+    want = pdf.corr()
+    for r in corr_pairs_all(df, list("abcd")).collect():
+        assert abs(r.correlation - want.loc[r.feature_1, r.feature_2]) < 1e-9
+
+
+@pytest.mark.parametrize("span,gap", [(5, 3), (5, 4000), (2000, 5000)])
+def test_ewm_continues_over_any_gap(span, gap):
+    import numpy as np
+    import pandas as pd
+    from pitchline.operators.ewm import _after, _continued
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=40), np.full(gap, np.nan), rng.normal(size=30), [np.nan] * 5, rng.normal(size=5)])
+    want = pd.Series(x).ewm(span=span, adjust=False).mean().to_numpy()
+    alpha, y, g, got = 2 / (span + 1), float("nan"), 0, []
+    for part in np.array_split(x, 17):
+        states = _continued(y, g, part, alpha)
+        got.extend(states)
+        y, g = _after(y, g, part, states)
+    np.testing.assert_allclose(got, want, rtol=1e-12)
+
+
+def test_prior_ewm_orders_its_input(spark):
+    import pandas as pd
+    from pitchline.operators.ewm import with_prior_ewm
+    rows = [(i, f"t{i % 3}", float(i * 7 % 11)) for i in range(60)]
+    df = spark.createDataFrame(rows, "match_id long, team string, x double").withColumn(
+        "kickoff", F.timestamp_seconds(F.col("match_id") * 60).cast("timestamp_ntz")).orderBy(F.rand(1)).repartition(5)
+    got = {r.match_id: r.e for r in with_prior_ewm(df, [("x", "e")], 4).collect()}
+    for t in range(3):
+        mine = [r for r in rows if r[1] == f"t{t}"]
+        want = pd.Series([r[2] for r in mine]).ewm(span=4, adjust=False).mean().shift(1)
+        for r, w in zip(mine, want):
+            assert got[r[0]] is None if pd.isna(w) else abs(got[r[0]] - w) < 1e-12
+
+
+@pytest.mark.parametrize("chunk_rows", [None, 2])
+def test_elo_carries_over_between_leagues(spark, chunk_rows):
+    from pitchline.operators.elo import elo_ratings
+    rows = [(1, 0, "A", "B", 3, 0), (2, 0, "B", "C", 1, 1), (3, 1, "A", "D", 0, 1), (4, None, "D", "A", 2, 0), (5, 2, "X", None, 1, 0)]
+    m = spark.createDataFrame(rows, "match_id long, league_id int, home_team string, away_team string, home_goals int, away_goals int").withColumn(
+        "kickoff", F.timestamp_seconds(F.col("match_id") * 60).cast("timestamp_ntz"))
+    got = {r.match_id: r for r in elo_ratings(m, chunk_rows=chunk_rows).collect()}
+    ratings, want = {}, {}
+    for i, _, h, a, hg, ag in rows:
+        x, y = ratings.get(h, 1500.0), ratings.get(a, 1500.0)
+        e = 1 / (1 + 10 ** ((y - x - 65) / 400))
+        s = 1.0 if hg > ag else 0.5 if hg == ag else 0.0
+        want[i] = (x, y)
+        ratings[h], ratings[a] = x + 20 * (s - e), y + 20 * (e - s)
+    assert set(got) == set(want)
+    for i, (x, y) in want.items():
+        assert abs(got[i].home_elo_pre - x) < 1e-9 and abs(got[i].away_elo_pre - y) < 1e-9
+
+
+def test_segmented_paths_keep_rows_without_team(spark, sf_small):
+    from pitchline.operators.history import venue_history
+    from pitchline.plans.registry import _odd_matches
+    m = _odd_matches(spark, sf_small)
+    a, b = (venue_history(m, seg_rows=s).orderBy("match_id").toPandas() for s in (None, 97))
+    assert len(a) == m.count()
+    import pandas as pd
+    pd.testing.assert_frame_equal(a, b[a.columns], check_dtype=False, rtol=1e-9)
+
+
+def test_population_scaling_of_pipelines(spark):
+    import numpy as np
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.functions import vector_to_array
+    from pitchline.operators.models import fit, scaler
+    df = spark.range(40).select("id", F.col("id").cast("double").alias("x"), F.lit(3.0).alias("c"),
+                                F.when(F.col("id") % 3 == 0, "H").when(F.col("id") % 3 == 1, "D").otherwise("A").alias("target_match_result"))
+    model = fit(df, ["x", "c"], "logistic_regression")
+    v = PipelineModel(model.stages[:3]).transform(df).orderBy("id").select(vector_to_array("features").alias("v")).toPandas().v
+    own = scaler(df, ["x", "c"])(df, ["id"]).orderBy("id").toPandas()
+    np.testing.assert_allclose(np.stack(v)[:, 0], own.x, atol=1e-12)
+    assert (own.c == 0).all() and abs(own.x.std(ddof=0) - 1) < 1e-12
+
+
+def test_checkpoint_folder_is_required_on_a_cluster():
+    from pitchline.session import ensure_checkpoint_dir
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(Session())
+
+
+def test_feature_subsets_and_decoding(spark):
+    from pitchline.operators.prep import clean_features, decode_label, encode_label
+    df = spark.createDataFrame([("H", 1, 2.0, 3.0)], "r string, ht_result_encoded int, odds_open_home double, capacity double")
+    assert clean_features(df, "minimal").columns == ["r", "odds_open_home", "capacity"]
+    assert clean_features(df, "conservative").columns == ["r", "capacity"]
+    assert clean_features(df, "aggressive").columns == ["capacity"]
+    assert df.select(decode_label(encode_label("r")).alias("x")).head().x == "H"
 
 
 def test_feature_mismatches_detects(spark):
