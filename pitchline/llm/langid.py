@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitchline.llm.common import col, without
+from pitchline.llm.common import col, lookup_join, without
 
 # Bounds of the training sample, per language: documents picked by hash,
 # characters of each and bytes kept.  Prediction reads whole texts.
@@ -33,7 +33,6 @@ SAMPLE_BYTES = 48_000
 
 BLOCK = 4096
 BATCH_BYTES = 8 << 20
-BROADCAST_ROWS = 100_000
 
 _OTHER = re.compile(r"[\W\d_]+")
 _STATE = (1 << 28) - 1
@@ -158,10 +157,11 @@ def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     partial aggregate, no sort), the first ``sample_chars`` characters of each,
     ``sample_bytes`` bytes in all.  The parameters bound what the driver gets."""
     rows = docs.select(col(lang_col).cast("string").alias("lang"), col(id_col).cast("string").alias("id"), col(text_col).alias("text"))
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("id"))
-    picked = rows.groupBy("lang", F.pmod("h", F.lit(sample_docs)).alias("cls")).agg(F.min("h").alias("h"))
-    parts = picked.join(rows.select("lang", "h", F.substring("text", 1, sample_chars).alias("t"), F.pmod("h", F.lit(sample_docs)).alias("cls")),
-                        ["lang", "cls", "h"]).groupBy("lang", "cls").agg(F.min("t").alias("t"))
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    rows = rows.withColumn("h", F.xxhash64("id")).withColumn("cls", F.pmod("h", F.lit(sample_docs)))
+    picked = rows.groupBy("lang", "cls").agg(F.min("h").alias("h"))
+    texts = rows.select("lang", "cls", "h", F.substring("text", 1, sample_chars).alias("t"))
+    parts = lookup_join(texts, picked, ["lang", "cls", "h"], "left_semi").groupBy("lang", "cls").agg(F.min("t").alias("t"))
     samples: dict[str, list[str]] = {}
     for r in parts.orderBy("lang", "cls").toLocalIterator():
         samples.setdefault(r["lang"], []).append(r["t"])

@@ -33,7 +33,6 @@ OFTEN = 3                      # a stem this frequent in a document is a feature
 L2 = 3e-4
 SWAP_WEIGHT = 1.0              # weight of the counterfactual penalty
 THRESHOLD = 0.7
-BROADCAST_ROWS = 100_000
 
 # Identity terms by group, the neutral word of each group first.
 IDENTITY_GROUPS = (
