@@ -15,10 +15,18 @@ from pitchline.session import ensure_checkpoint_dir, scratch_path, ship_package
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+BATCH_ROWS = 2000              # texts that a Python worker gets at a time
+
+
 def prepare(spark) -> None:
-    """Checkpoint folder and package shipping, for callers outside ``queries()``."""
+    """What queries and pipeline stages need of a session: the checkpoint folder,
+    the package on executors, and Arrow batches of at most ``BATCH_ROWS`` rows
+    (whole texts are large; a session that asks for less is left alone)."""
     ensure_checkpoint_dir(spark)
     ship_package(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def col(name: str) -> Column:
