@@ -76,36 +76,40 @@ def lag_value(x: str, j: int, prefix: str = "_lag") -> Column:
 
 
 def newer_count_columns(specs, prefix: str = "_lag") -> list[Column]:
-    """For each x: ``{prefix}n_x``, an array whose item j - 1 is the number of
-    non-null values among lags 1..j-1 (the more recent ones).  Shared by every
-    window length over the same x; keeps ``weighted_from_lags`` linear in k."""
+    """For each x: ``{prefix}n_x``, an array whose item j is the number of
+    non-null values among lags 1..j.  Shared by every window length over the
+    same x; keeps ``weighted_from_lags`` linear in k."""
     out = []
     for x, k in _longest(specs).items():
-        run, items = F.lit(0), []
+        run = F.lit(0)
+        items = [run]
         for j in range(1, k + 1):
-            items.append(run)
             run = run + lag_value(x, j, prefix).isNotNull().cast("int")
+            items.append(run)
         out.append(F.array(*items).alias(f"{prefix}n_{x}"))
     return out
 
 
-def weighted_from_lags(x: str, k: int, prefix: str = "_lag") -> Column:
+def weighted_from_lags(x: str, k: int, prefix: str = "_lag", weights: str = "suffix") -> Column:
     """Linearly weighted mean of the non-null values among the k previous rows.
 
     With n non-null values in the frame, oldest..newest get weights
-    k-n+1 .. k (the newest always weighs k): the weight of lag j is k minus
-    the number of non-null lags newer than it.  NULL when n == 0.  Plain
-    arithmetic over lag and count columns (``lag_columns``,
-    ``newer_count_columns``): no per-row arrays, small generated code.
+    k-n+1 .. k ("suffix": the newest always weighs k) or 1 .. n ("restart"):
+    the weight of lag j is the top weight minus the number of non-null lags
+    newer than it, and the weights sum to a closed form of n.  NULL when
+    n == 0.  Plain arithmetic over lag and count columns (``lag_columns``,
+    ``newer_count_columns``): small generated code.
     """
+    if weights not in ("suffix", "restart"):
+        raise ValueError(f"unknown weights {weights!r}")
+    counts = F.col(f"{prefix}n_{x}")
+    n = counts[k]
+    top = F.lit(k) if weights == "suffix" else n
     num = F.lit(0.0)
-    den = F.lit(0.0)
     for j in range(1, k + 1):
-        v = lag_value(x, j, prefix)
-        wt = (F.lit(k) - F.col(f"{prefix}n_{x}")[j - 1]).cast("double")
-        num = num + F.coalesce(v * wt, F.lit(0.0))
-        den = den + F.when(v.isNotNull(), wt).otherwise(F.lit(0.0))
-    return F.when(den > 0, num / den)
+        num = num + F.coalesce(lag_value(x, j, prefix) * (top - counts[j - 1]).cast("double"), F.lit(0.0))
+    den = (n * top).cast("double") - (n * (n - 1)).cast("double") / 2.0
+    return F.when(n > 0, num / den)
 
 
 def prior_std(x, k: int, w: WindowSpec, min_count: int = 2) -> Column:

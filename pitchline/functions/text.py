@@ -36,11 +36,18 @@ def with_team_key(df: DataFrame, c: str, out: str = "team_key") -> DataFrame:
     return df.join(keys, df[c] == keys["__name"], "left").drop("__name")
 
 
-# Fixed value: path layout of a squad page (host is a parameter).
+# Path layouts of a squad page and a competition page (the host
+# and the competition are parameters).
 SQUAD_URL_PATH = "/%s/kader/verein/%s/saison_id/%d"
+COMPETITION_URL_PATH = "/%s/startseite/wettbewerb/%s?saison_id=%d"
 
 
 def squad_url(base, slug, team_id, season_id) -> Column:
     """URL templating with ``format_string``."""
     return F.format_string("%s" + SQUAD_URL_PATH, col(base), col(slug), col(team_id).cast("string"),
                            col(season_id).cast("int"))
+
+
+def competition_url(base, slug, competition, season_id) -> Column:
+    """X7 for the page that links a season's teams."""
+    return F.format_string("%s" + COMPETITION_URL_PATH, col(base), col(slug), col(competition), col(season_id).cast("int"))

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from pitchline.operators.long_table import order_by
 
-def _continued(y: float, g: int, x: np.ndarray, alpha: float) -> np.ndarray:
+def _continued(y: float, g: int, x: np.ndarray, alpha: float, ignore_na: bool = False) -> np.ndarray:
     """State after each value of ``x`` when ``(y, g)`` came before: the mean
     ``y`` (NaN: nothing yet) and ``g`` null slots after its last observation.
 
@@ -35,14 +35,14 @@ def _continued(y: float, g: int, x: np.ndarray, alpha: float) -> np.ndarray:
     state moves it by ``y - x1`` times the weight it keeps, a product of
     ``c / (c + alpha)`` over the observations with ``c = beta ** (gap + 1)``.
     Exact for any gap and span."""
-    fresh = pd.Series(x).ewm(alpha=alpha, adjust=False).mean().to_numpy()
+    fresh = pd.Series(x).ewm(alpha=alpha, adjust=False, ignore_na=ignore_na).mean().to_numpy()
     if math.isnan(y):
         return fresh
     obs = np.flatnonzero(~np.isnan(x))
     if not len(obs):
         return np.full(len(x), y)
-    gaps = np.diff(obs, prepend=-1 - g)
-    c = (1.0 - alpha) ** gaps.astype(float)
+    gaps = np.ones(len(obs)) if ignore_na else np.diff(obs, prepend=-1 - g).astype(float)
+    c = (1.0 - alpha) ** gaps
     shift = np.cumprod(c / (c + alpha)) * (y - x[obs[0]])
     out = np.full(len(x), y)
     out[obs[0]:] = fresh[obs[0]:] + np.repeat(shift, np.diff(np.append(obs, len(x))))
@@ -66,7 +66,7 @@ def _starts(pdf: pd.DataFrame, keys) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _scan(specs, span: float, key: str):
+def _scan(specs, span: float, key: str, ignore_na: bool):
     alpha = 2.0 / (span + 1.0)
 
     def run(batches):
@@ -86,7 +86,7 @@ def _scan(specs, span: float, key: str):
                 res = np.empty(n)
                 for s, e in zip(starts, ends):
                     y, g = state[src] if s == 0 and goes_on else (math.nan, 0)
-                    states = _continued(y, g, x[s:e], alpha)
+                    states = _continued(y, g, x[s:e], alpha, ignore_na)
                     res[s], res[s + 1:e] = y, states[:-1]     # a row's value: the state after the rows before it
                 after[src] = _after(y, g, x[s:e], states)
                 outs[out] = res
@@ -95,9 +95,10 @@ def _scan(specs, span: float, key: str):
     return run
 
 
-def with_prior_ewm(df: DataFrame, specs, span: float = 5, key: str = "team") -> DataFrame:
+def with_prior_ewm(df: DataFrame, specs, span: float = 5, key: str = "team", ignore_na: bool = False) -> DataFrame:
     """Append ``out`` = EWM of the earlier ``src`` values of the same ``key``
     for each ``(src, out)`` in ``specs``.  Rows with a NULL key get NULL.
+    ``ignore_na``: null slots do not decay.
 
     The running number below needs all rows of a key in order in one
     partition, so the planner adds that exchange and sort for any input, and
@@ -105,7 +106,7 @@ def with_prior_ewm(df: DataFrame, specs, span: float = 5, key: str = "team") ->
     w = Window.partitionBy(key).orderBy(*order_by())
     sorted_df = df.withColumn("_ewm_row", F.row_number().over(w)).where("_ewm_row > 0").drop("_ewm_row")
     schema = T.StructType(df.schema.fields + [T.StructField(out, T.DoubleType(), True) for _, out in specs])
-    res = sorted_df.mapInPandas(_scan(specs, span, key), schema)
+    res = sorted_df.mapInPandas(_scan(specs, span, key, ignore_na), schema)
     return res.select(*df.columns, *[F.when(F.col(key).isNotNull(), F.col(out)).alias(out) for _, out in specs])
 
 
@@ -124,7 +125,7 @@ def with_prior_ewm(df: DataFrame, specs, span: float = 5, key: str = "team") ->
 _SUMMARY_FIELDS = ["has", "n_lead", "x1", "P", "R", "g_end", "n"]
 
 
-def _segment_summary(specs, span: float, keys):
+def _segment_summary(specs, span: float, keys, ignore_na: bool):
     alpha = 2.0 / (span + 1.0)
     beta = 1.0 - alpha
 
@@ -138,10 +139,10 @@ def _segment_summary(specs, span: float, keys):
             if len(obs) == 0:
                 vals = dict(has=False, n_lead=n, x1=np.nan, P=np.nan, R=np.nan, g_end=n, n=n)
             else:
-                gaps = np.diff(obs) - 1
+                gaps = np.diff(obs) * 0 if ignore_na else np.diff(obs) - 1
                 c = beta ** (gaps + 1.0)
                 P = float(np.prod(c / (c + alpha))) if len(gaps) else 1.0
-                R = float(pd.Series(x[obs[0]:]).ewm(span=span, adjust=False).mean().iloc[-1])
+                R = float(pd.Series(x[obs[0]:]).ewm(span=span, adjust=False, ignore_na=ignore_na).mean().iloc[-1])
                 vals = dict(has=True, n_lead=int(obs[0]), x1=float(x[obs[0]]), P=P, R=R,
                             g_end=int(n - 1 - obs[-1]), n=n)
             for f in _SUMMARY_FIELDS:
@@ -150,7 +151,7 @@ def _segment_summary(specs, span: float, keys):
     return run
 
 
-def _incoming_states(specs, span: float, keys):
+def _incoming_states(specs, span: float, keys, ignore_na: bool):
     alpha = 2.0 / (span + 1.0)
     beta = 1.0 - alpha
 
@@ -171,7 +172,7 @@ def _incoming_states(specs, span: float, keys):
                 if math.isnan(y):
                     y = R
                 else:
-                    c = beta ** (g + n_lead + 1.0)
+                    c = beta ** (1.0 if ignore_na else g + n_lead + 1.0)
                     y = R + P * (c / (c + alpha)) * (y - x1)
                 g = int(g_end)
             out[f"_y0_{src}"] = ys
@@ -180,7 +181,7 @@ def _incoming_states(specs, span: float, keys):
     return run
 
 
-def _seeded_scan(specs, span: float, keys):
+def _seeded_scan(specs, span: float, keys, ignore_na: bool):
     alpha = 2.0 / (span + 1.0)
 
     def run(batches):
@@ -202,7 +203,7 @@ def _seeded_scan(specs, span: float, keys):
                 res = np.empty(n)
                 for s, e in zip(starts, ends):
                     y, g = state[src] if s == 0 and first == last else (y0[s], 0 if math.isnan(g0[s]) else int(g0[s]))
-                    states = _continued(y, g, x[s:e], alpha)
+                    states = _continued(y, g, x[s:e], alpha, ignore_na)
                     res[s], res[s + 1:e] = y, states[:-1]
                 after[src] = _after(y, g, x[s:e], states)
                 outs[out] = res
@@ -211,7 +212,7 @@ def _seeded_scan(specs, span: float, keys):
     return run
 
 
-def with_prior_ewm_segmented(seg_df: DataFrame, specs, span: float = 5, keys=("team",)) -> DataFrame:
+def with_prior_ewm_segmented(seg_df: DataFrame, specs, span: float = 5, keys=("team",), ignore_na: bool = False) -> DataFrame:
     """``with_prior_ewm`` on segmented rows (columns ``_pos``, ``_seg``; halo
     rows already removed).  Exact: the three passes reproduce the full-history
     recurrence; no task sees more than one segment's rows."""
@@ -222,15 +223,15 @@ def with_prior_ewm_segmented(seg_df: DataFrame, specs, span: float = 5, keys=("t
                        (T.LongType() if f in ("n_lead", "g_end", "n") else T.DoubleType()))
          for src, _ in specs for f in _SUMMARY_FIELDS])
     summ = seg_df.select(*keys, "_seg", "_pos", *[src for src, _ in specs]) \
-        .groupBy(*keys, "_seg").applyInPandas(_segment_summary(specs, span, keys), sum_schema)
+        .groupBy(*keys, "_seg").applyInPandas(_segment_summary(specs, span, keys, ignore_na), sum_schema)
     st_schema = T.StructType(
         [seg_df.schema[k] for k in keys] + [T.StructField("_seg", T.LongType())] +
         [T.StructField(f"_{p}0_{src}", T.DoubleType() if p == "y" else T.LongType())
          for src, _ in specs for p in ("y", "g")])
-    states = summ.groupBy(*keys).applyInPandas(_incoming_states(specs, span, keys), st_schema)
+    states = summ.groupBy(*keys).applyInPandas(_incoming_states(specs, span, keys, ignore_na), st_schema)
     j = seg_df.join(states, [*keys, "_seg"], "left")   # one row per segment
     j = j.repartition(*keys, "_seg").sortWithinPartitions(*keys, "_seg", "_pos")
     schema = T.StructType(j.schema.fields + [T.StructField(out, T.DoubleType(), True) for _, out in specs])
-    res = j.mapInPandas(_seeded_scan(specs, span, keys), schema)
+    res = j.mapInPandas(_seeded_scan(specs, span, keys, ignore_na), schema)
     return res.select(*seg_df.columns, *[F.when(F.col(keys[0]).isNotNull(), F.col(out)).alias(out)
                                          for _, out in specs])

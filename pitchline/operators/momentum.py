@@ -91,7 +91,7 @@ TEAM_HALO = 8
 VENUE_HALO = 5
 
 
-def _team_features(df: DataFrame, w) -> DataFrame:
+def _team_features(df: DataFrame, w, weights: str = "suffix") -> DataFrame:
     """Team-window features (everything but the venue ones) for window ``w``."""
     team_lags = [(src, k) for src, k, _ in TEAM_WEIGHTED] + [("opp_adj_points_elo", 5)]
     s1 = df.select(
@@ -104,8 +104,8 @@ def _team_features(df: DataFrame, w) -> DataFrame:
     s1 = s1.select("*", *newer_count_columns(team_lags))
     s2 = s1.select(
         *df.columns, "mom_volatility_5", "rest_days",      # the lags end here
-        *[weighted_from_lags(src, k).alias(out) for src, k, out in TEAM_WEIGHTED],
-        weighted_from_lags("opp_adj_points_elo", 5).alias("opp_adj_form_5_elo"),
+        *[weighted_from_lags(src, k, weights=weights).alias(out) for src, k, out in TEAM_WEIGHTED],
+        weighted_from_lags("opp_adj_points_elo", 5, weights=weights).alias("opp_adj_form_5_elo"),
         density.alias("match_density"),
     ).select(
         "*",
@@ -119,31 +119,31 @@ def _team_features(df: DataFrame, w) -> DataFrame:
     s3 = s3.select("*", *newer_count_columns(w16))
     return s3.select(
         *s2.columns,
-        weighted_from_lags("match_density", 5).alias("match_density_mom_5"),
-        weighted_from_lags("travel_fatigue_score", 5).alias("travel_fatigue_mom_5"),
+        weighted_from_lags("match_density", 5, weights=weights).alias("match_density_mom_5"),
+        weighted_from_lags("travel_fatigue_score", 5, weights=weights).alias("travel_fatigue_mom_5"),
     )
 
 
-def _venue_features(df: DataFrame, wv) -> DataFrame:
+def _venue_features(df: DataFrame, wv, weights: str = "suffix") -> DataFrame:
     vl = [("points", 5), ("xg_diff_proxy", 5)]
     v = df.select("*", *lag_columns(vl, wv, prefix="_vlag"))
     v = v.select("*", *newer_count_columns(vl, prefix="_vlag"))
-    return v.select(*df.columns, weighted_from_lags("points", 5, prefix="_vlag").alias("venue_form_pts_5"),
-                    weighted_from_lags("xg_diff_proxy", 5, prefix="_vlag").alias("venue_xg_diff_5_proxy"))
+    return v.select(*df.columns, weighted_from_lags("points", 5, "_vlag", weights).alias("venue_form_pts_5"),
+                    weighted_from_lags("xg_diff_proxy", 5, "_vlag", weights).alias("venue_xg_diff_5_proxy"))
 
 
-def _windowed(lt: DataFrame) -> DataFrame:
+def _windowed(lt: DataFrame, weights: str) -> DataFrame:
     """All window features on the plain team / team-venue windows."""
     w = team_window()
     wv = Window.partitionBy("team", "is_home").orderBy(*order_by())
-    return _team_features(_venue_features(_base(lt), wv), w)
+    return _team_features(_venue_features(_base(lt), wv, weights), w, weights)
 
 
 KEEP = ["match_id", "is_home", "team", "opponent", "kickoff", "league_id", "season"]
 VENUE_OUT = ["venue_form_pts_5", "venue_xg_diff_5_proxy"]
 
 
-def _long_features_segmented(lt: DataFrame, seg_rows: int) -> DataFrame:
+def _long_features_segmented(lt: DataFrame, seg_rows: int, weights: str, ignore_na: bool) -> DataFrame:
     """Skew-safe form: team features on (team, segment) windows with a halo
     of 8 rows, venue features on (team, is_home, segment) windows with a
     halo of 5, the EWM by the segmented exact scan; joined on the row key."""
@@ -153,40 +153,42 @@ def _long_features_segmented(lt: DataFrame, seg_rows: int) -> DataFrame:
     if "pre_match_elo" not in base.columns:
         base = base.withColumn("pre_match_elo", F.lit(None).cast("double"))
     ts = segment(base, ["team"], seg_rows, TEAM_HALO)
-    a = _team_features(ts, segment_window(["team"])).where(~F.col("_halo"))
+    a = _team_features(ts, segment_window(["team"]), weights).where(~F.col("_halo"))
     ewm_out = {o for _, o in TEAM_EWM}
     ewm_src = [s for s, _ in TEAM_EWM if s not in LONG_FEATURES]
     main = a.select(*KEEP, "_pos", "_seg", *ewm_src,
                     *[c for c in LONG_FEATURES if c not in ewm_out and c not in VENUE_OUT])
-    main = with_prior_ewm_segmented(main, TEAM_EWM, EWM_SPAN, ["team"])
+    main = with_prior_ewm_segmented(main, TEAM_EWM, EWM_SPAN, ["team"], ignore_na)
     vs = segment(base.select("match_id", "team", "is_home", "kickoff", "points", "xg_diff_proxy"),
                  ["team", "is_home"], seg_rows, VENUE_HALO)
-    venue = _venue_features(vs, segment_window(["team", "is_home"])).where(~F.col("_halo")) \
+    venue = _venue_features(vs, segment_window(["team", "is_home"]), weights).where(~F.col("_halo")) \
         .select("match_id", "is_home", *VENUE_OUT)
     return main.join(venue, ["match_id", "is_home"]).select(*KEEP, *LONG_FEATURES)
 
 
-def long_features(lt: DataFrame, seg_rows: int | None = None) -> DataFrame:
+def long_features(lt: DataFrame, seg_rows: int | None = None, weights: str = "suffix", ignore_na: bool = False) -> DataFrame:
     """The momentum feature set, one row per (match, team).
-    ``seg_rows``: see ``pitchline.operators.segments``; the result is the same."""
+    ``seg_rows``: see ``pitchline.operators.segments``; the result is the same.
+    ``weights``: see ``weighted_from_lags``; ``ignore_na``: null slots do not
+    decay the exponential means."""
     if seg_rows:
-        return _long_features_segmented(lt, seg_rows)
-    a = _windowed(lt)
+        return _long_features_segmented(lt, seg_rows, weights, ignore_na)
+    a = _windowed(lt, weights)
     if "pre_match_elo" not in a.columns:
         a = a.withColumn("pre_match_elo", F.lit(None).cast("double"))
     keep = KEEP
     ewm_out = {o for _, o in TEAM_EWM}
     ewm_src = [s for s, _ in TEAM_EWM if s not in LONG_FEATURES]
     narrow = a.select(*keep, *ewm_src, *[c for c in LONG_FEATURES if c not in ewm_out])
-    out = with_prior_ewm(narrow, TEAM_EWM, EWM_SPAN)
+    out = with_prior_ewm(narrow, TEAM_EWM, EWM_SPAN, ignore_na=ignore_na)
     return out.select(*keep, *LONG_FEATURES)
 
 
-def match_features(m: DataFrame, seg_rows: int | None = None, **elo_kw) -> DataFrame:
+def match_features(m: DataFrame, seg_rows: int | None = None, weights: str = "suffix", ignore_na: bool = False, **elo_kw) -> DataFrame:
     """J1 + P24: per match, ``home_*`` and ``away_*`` momentum features and
     the 28 home-minus-away differences (NULL when either side is NULL)."""
     from pitchline.operators.elo import with_elo
-    lf = long_features(long_table(with_elo(m, **elo_kw)), seg_rows)
+    lf = long_features(long_table(with_elo(m, **elo_kw)), seg_rows, weights, ignore_na)
     wide = to_match_rows(lf, LONG_FEATURES)
     return wide.select(
         "*", *[(F.col(f"home_{f}") - F.col(f"away_{f}")).alias(d) for d, f in DIFF_PAIRS])

@@ -141,9 +141,13 @@ def screening_report(x: DataFrame, cols: list[str], importance: DataFrame | None
     return out
 
 
-def average_importance(importances: DataFrame) -> DataFrame:
+def average_importance(importances: DataFrame, normalise: bool = False) -> DataFrame:
     """(model, feature, importance) -> mean over the models that scored
-    the feature (raw scales, as in the reference)."""
+    the feature: raw scales as in the reference, or, with ``normalise``, each
+    model's scores divided by their sum."""
+    if normalise:
+        total = F.sum("importance").over(Window.partitionBy("model"))
+        importances = importances.withColumn("importance", F.try_divide("importance", total))
     return importances.groupBy("feature").agg(F.avg("importance").alias("importance"))
 
 

@@ -10,8 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-REPLACEMENT_CHAR = "�"
-
 
 class MissingColumns(ValueError):
     pass
@@ -27,30 +25,27 @@ def ensure_columns(df: DataFrame, required, name: str = "DataFrame") -> DataFram
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
              encodings=("UTF-8", "ISO-8859-1")) -> DataFrame:
-    """S1 + S2: header CSV.  Spark does not fail on undecodable bytes, it
-    substitutes U+FFFD; if any string value of the UTF-8 read contains it,
-    the file is read again as ISO-8859-1 (which accepts every byte, so the
-    reference's later fallbacks can never be reached).  The probe is one
-    aggregate with ``limit(1)``."""
-    def load(enc):
+    """S1 + S2: header CSV files, each in its own encoding: a file with a line
+    that is not valid in the first one (UTF-8) is read in the second, which
+    accepts every byte, so the reference's later fallbacks can never be
+    reached.  Only the names of such files come to the driver."""
+    def load(paths, enc):
         r = spark.read.option("header", True).option("encoding", enc).option("mode", "PERMISSIVE")
         r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
-        return r.csv(path)
-    df = load(encodings[0])
-    strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    if strings and len(encodings) > 1:
-        bad = F.lit(False)
-        for c in strings:
-            bad = bad | F.coalesce(F.col(f"`{c}`").contains(REPLACEMENT_CHAR), F.lit(False))
-        if df.where(bad).limit(1).count() > 0:
-            df = load(encodings[1])
-    return df
+        return r.csv(paths)
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    good = lines.groupBy("file").agg(F.bool_and(F.is_valid_utf8("value")).alias("ok")).collect()     # one row per file
+    if all(r["ok"] for r in good) or len(encodings) < 2:
+        return load(path, encodings[0])
+    parts = [load(files, enc) for enc, ok in zip(encodings, (True, False)) if (files := [r["file"] for r in good if r["ok"] == ok])]
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
-                partition_by=None) -> str:
-    """Table sink (parquet by default; csv with a header)."""
-    w = df.write.mode(mode)
+                partition_by=None, sort_by=None) -> str:
+    """Table sink (parquet by default; csv with a header); ``sort_by``:
+    the written files follow the total order of these columns."""
+    w = (df.orderBy(*sort_by) if sort_by else df).write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":

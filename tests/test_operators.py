@@ -134,6 +134,57 @@ def test_csv_encoding_fallback_and_guard(spark, tmp_path):
         ensure_columns(df, ["team", "season"])
 
 
+def test_csv_files_keep_their_own_encoding(spark, tmp_path):
+    from pitchline.sources.io import read_csv
+    (tmp_path / "a.csv").write_bytes("team,goals\nAlavés,2\n".encode("latin-1"))
+    (tmp_path / "b.csv").write_bytes("team,goals\nCádiz,1\nodd\ufffd,0\n".encode())
+    assert sorted(r.team for r in read_csv(spark, str(tmp_path), "team string, goals int").collect()) == ["Alavés", "Cádiz", "odd\ufffd"]
+
+
+def test_sorted_sink(spark):
+    from pitchline.session import scratch_path
+    from pitchline.sources.io import write_table
+    df = spark.range(100).select((F.col("id") * 37 % 100).alias("k")).repartition(6)
+    path = write_table(df, scratch_path(spark, "sorted"), sort_by=["k"])
+    files = spark.read.parquet(path).select("k", F.col("_metadata.file_name").alias("f")).collect()
+    assert [r.k for r in sorted(files, key=lambda r: r.f)] == list(range(100))
+
+
+@pytest.mark.parametrize("seg_rows", [None, 16])
+def test_weights_and_null_options(spark, seg_rows):
+    import numpy as np
+    import pandas as pd
+    from pitchline.operators.long_table import long_table
+    from pitchline.operators.momentum import long_features
+    from pitchline.sources.tables import matches
+    lt = long_table(matches(spark, "/root/testdata/sf0.001")).where("team = 'NATION_3'")
+    got = long_features(lt, seg_rows, weights="restart", ignore_na=True).orderBy("kickoff", "match_id").toPandas()
+    rows = lt.orderBy("kickoff", "match_id").toPandas()
+    ewm = rows.odds_move_for.astype(float).ewm(span=5, adjust=False, ignore_na=True).mean().shift(1)
+    np.testing.assert_allclose(got.odds_move_for_ewm_5.astype(float), ewm, rtol=1e-9, atol=1e-12)
+    for i in range(len(rows)):
+        v = [x for x in rows.odds_move_for[max(0, i - 5):i] if not pd.isna(x)]
+        want = np.dot(v, range(1, len(v) + 1)) / sum(range(1, len(v) + 1)) if v else np.nan
+        np.testing.assert_allclose(float(got.odds_move_for_mom_5[i]), want, rtol=1e-9, atol=1e-12)
+
+
+def test_urls_and_model_info(spark):
+    from pitchline.functions.text import competition_url, squad_url
+    from pitchline.operators.models import model_info
+    df = spark.range(1).select(competition_url(F.lit("https://h"), F.lit("laliga"), F.lit("ES1"), F.lit(2019)).alias("c"),
+                               squad_url(F.lit("https://h"), F.lit("x"), F.lit("7"), F.lit(2019)).alias("s"))
+    assert tuple(df.head()) == ("https://h/laliga/startseite/wettbewerb/ES1?saison_id=2019", "https://h/x/kader/verein/7/saison_id/2019")
+    info = model_info("naive_bayes", ["a", "b"])
+    assert info["uses_scaler"] and info["n_features"] == 2
+
+
+def test_missing_path_is_an_error(spark, tmp_path):
+    from pyspark.errors import AnalysisException
+    from pitchline.sources.io import read_csv
+    with pytest.raises(AnalysisException):
+        read_csv(spark, str(tmp_path / "none.csv"), "a int").collect()
+
+
 def test_report_roundtrip(spark):
     from pitchline.session import scratch_path
     from pitchline.sources.io import load_report, save_report

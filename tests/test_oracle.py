@@ -12,7 +12,9 @@ FAST = ["venue_history", "match_features", "elo_pre", "long_table", "match_flags
         "time_split", "walk_forward", "impute_median", "season_dist", "corr_groups", "corr_keep_drop",
         "class_metrics", "per_class_metrics", "best_model", "gaussian_nb", "range_checks",
         "feature_mismatches", "diff_checks", "duplicate_keys", "venue_history_segmented",
-        "match_features_segmented", "elo_pre_chunked", "ewm_span5"]
+        "match_features_segmented", "elo_pre_chunked", "ewm_span5", "team_links", "squad_rows", "corr_with_gaps",
+        "component_chain", "venue_history_null_teams", "elo_null_leagues", "momentum_mismatches", "impute_per_split",
+        "corr_submatrix", "screening_report", "parse_ts_mixed", "coerce_numeric", "canonical_team"]
 
 
 @pytest.mark.parametrize("name", FAST)
