@@ -62,31 +62,25 @@ def _longest(specs) -> dict[str, int]:
     return kmax
 
 
-def lag_columns(specs, w: WindowSpec, prefix: str = "_lag") -> list[Column]:
-    """One struct column per offset, ``{prefix}{j}``: the values of the row j
-    before of every x whose longest window reaches it; feed
-    ``weighted_from_lags``."""
-    kmax = _longest(specs)
-    return [F.lag(F.struct(*[F.col(x).cast("double").alias(x) for x, k in kmax.items() if k >= j]), j).over(w).alias(f"{prefix}{j}")
-            for j in range(1, max(kmax.values()) + 1)]
+def lag_name(x: str, j: int, prefix: str = "_lag") -> str:
+    return f"{prefix}{j}_{x}"
 
 
-def lag_value(x: str, j: int, prefix: str = "_lag") -> Column:
-    return F.col(f"{prefix}{j}").getField(x)
+def lag_columns(specs, w: WindowSpec, prefix: str = "_lag") -> list[Column]:
+    """``lag(x, 1..k)`` columns for each (x, k); feed ``weighted_from_lags``."""
+    return [F.lag(x, j).over(w).alias(lag_name(x, j, prefix)) for x, k in _longest(specs).items() for j in range(1, k + 1)]
 
 
 def newer_count_columns(specs, prefix: str = "_lag") -> list[Column]:
-    """For each x: ``{prefix}n_x``, an array whose item j is the number of
-    non-null values among lags 1..j.  Shared by every window length over the
-    same x; keeps ``weighted_from_lags`` linear in k."""
+    """For each x: ``{prefix}n{j}_x`` = number of non-null values among lags
+    1..j.  Shared by every window length over the same x; keeps
+    ``weighted_from_lags`` linear in k."""
     out = []
     for x, k in _longest(specs).items():
         run = F.lit(0)
-        items = [run]
         for j in range(1, k + 1):
-            run = run + lag_value(x, j, prefix).isNotNull().cast("int")
-            items.append(run)
-        out.append(F.array(*items).alias(f"{prefix}n_{x}"))
+            run = run + F.col(lag_name(x, j, prefix)).isNotNull().cast("int")
+            out.append(run.alias(f"{prefix}n{j}_{x}"))
     return out
 
 
@@ -102,12 +96,12 @@ def weighted_from_lags(x: str, k: int, prefix: str = "_lag", weights: str = "suf
     """
     if weights not in ("suffix", "restart"):
         raise ValueError(f"unknown weights {weights!r}")
-    counts = F.col(f"{prefix}n_{x}")
-    n = counts[k]
+    newer = [F.lit(0), *[F.col(f"{prefix}n{j}_{x}") for j in range(1, k + 1)]]
+    n = newer[k]
     top = F.lit(k) if weights == "suffix" else n
     num = F.lit(0.0)
     for j in range(1, k + 1):
-        num = num + F.coalesce(lag_value(x, j, prefix) * (top - counts[j - 1]).cast("double"), F.lit(0.0))
+        num = num + F.coalesce(F.col(lag_name(x, j, prefix)) * (top - newer[j - 1]).cast("double"), F.lit(0.0))
     den = (n * top).cast("double") - (n * (n - 1)).cast("double") / 2.0
     return F.when(n > 0, num / den)
 

@@ -12,6 +12,8 @@ once and survive executor loss.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +52,31 @@ def time_split(df: DataFrame, order: list[Column] | None = None, train_ratio=TRA
                     .otherwise("test").alias("split"))
 
 
+def _before(keys: list[str], cut) -> Column:
+    """Row key < ``cut``, column by column, NULL last."""
+    out = F.lit(False)
+    for k in reversed(keys):
+        c, v = F.col(k), cut[k]
+        if v is None:
+            out = c.isNotNull() | (c.isNull() & out)
+        else:
+            out = F.coalesce(c < F.lit(v), F.lit(False)) | (F.coalesce(c == F.lit(v), F.lit(False)) & out)
+    return out
+
+
+def split_labels(df: DataFrame, keys: list[str], train_ratio=TRAIN_RATIO, val_ratio=VAL_RATIO) -> DataFrame:
+    """D1 without positions: ``split`` by the order of ``keys`` (unique,
+    ascending, NULL last).  Only the keys are sorted; the keys at the two cuts,
+    two rows, come to the driver and the rows themselves are compared with
+    them where they are."""
+    p = positional_index(df.select(*keys), [F.col(k).asc_nulls_last() for k in keys], "pos")
+    n = p.count()
+    at = [math.floor(n * train_ratio), math.floor(n * (train_ratio + val_ratio))]
+    cut = {r["pos"]: r for r in p.where(F.col("pos").isin(at)).collect()}
+    val, test = (F.lit(True) if a not in cut else _before(keys, cut[a]) for a in at)
+    return df.select("*", F.when(val, "train").when(test, "val").otherwise("test").alias("split"))
+
+
 def walk_forward(df: DataFrame, n_splits: int = 5, order: list[Column] | None = None) -> DataFrame:
     """Expanding-window folds; fold = n // (k+1).  Row at position p is
     in the training part of every fold i >= p // fold and validates fold

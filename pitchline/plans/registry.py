@@ -330,9 +330,8 @@ def _ht_clean(spark, sf_dir):
 
 
 def _ht_split(spark, sf_dir):
-    from pyspark.sql import functions as F
-    from pitchline.operators.splits import time_split
-    return time_split(_ht_clean(spark, sf_dir), [F.col("date_GMT").asc_nulls_last(), F.col("match_id").asc()])
+    from pitchline.operators.splits import split_labels
+    return split_labels(_ht_clean(spark, sf_dir), ["date_GMT", "match_id"])
 
 
 def _ht_x(spark, sf_dir):
@@ -358,14 +357,18 @@ def q_filter_seasons(spark, sf_dir):
 
 @register("time_split", osql.time_split_sql)
 def q_time_split(spark, sf_dir):
-    return finish(_ht_split(spark, sf_dir).select("match_id", "pos", "split"))
+    from pyspark.sql import functions as F
+    from pitchline.operators.splits import time_split
+    keys = _ht_clean(spark, sf_dir).select("match_id", "date_GMT")
+    split = time_split(keys, [F.col("date_GMT").asc_nulls_last(), F.col("match_id").asc()])
+    return finish(split.select("match_id", "pos", "split"))
 
 
 @register("walk_forward", osql.walk_forward_sql)
 def q_walk_forward(spark, sf_dir):
     from pyspark.sql import functions as F
     from pitchline.operators.splits import walk_forward
-    wf = walk_forward(_ht_clean(spark, sf_dir), 5, [F.col("date_GMT").asc_nulls_last(), F.col("match_id").asc()])
+    wf = walk_forward(_ht_clean(spark, sf_dir).select("match_id", "date_GMT"), 5, [F.col("date_GMT").asc_nulls_last(), F.col("match_id").asc()])
     return finish(wf.select("match_id", "pos", "fold_size", "train_from_fold", "val_fold"))
 
 
