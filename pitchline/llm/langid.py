@@ -5,7 +5,9 @@ bytes.  A text is cross-parsed against it: from the current place the longest
 match that occurs in the labelled text is one phrase, and the next phrase
 starts after it (a byte that the language never has is a phrase of its own).
 ``c`` phrases into a labelled text of ``N`` bytes cost ``c * log2(N)`` bits
-(Ziv and Merhav, 1993); the language with the fewest bits per byte wins.
+(Ziv and Merhav, 1993); a byte that the language never has is a literal and costs
+8 bits and a pointer into the largest labelled text, whatever the language.  The
+language with the fewest bits per byte wins.
 
 Texts are parsed in blocks of ``BLOCK`` bytes, all blocks and languages of a
 batch in lockstep, so that a long text is as parallel as many short ones; a
@@ -77,11 +79,13 @@ def suffix_automaton(data: bytes) -> list[dict[int, int]]:
 
 class CrossParser:
     """The automata of all languages in one table: row = state, column = byte
-    class, value = next state plus, in the high bits, the phrases that end."""
+    class, value = next state plus, in the high bits, the phrases that end (two
+    bits) and whether the byte is a literal.  Languages without a byte are left out."""
 
     def __init__(self, samples: dict[str, bytes]):
-        self.langs = sorted(samples)
+        self.langs = sorted(x for x in samples if samples[x])
         self.cost = np.array([np.log2(max(2, len(samples[x]))) for x in self.langs])
+        self.literal = 8 + self.cost.max(initial=1.0)
         seen = sorted({b for s in samples.values() for b in s})
         self.width = len(seen) + 1                       # the last class: a byte of no language
         self.code = np.full(256, len(seen), dtype=np.int64)
@@ -94,11 +98,11 @@ class CrossParser:
                 if row:
                     t[s, self.code[list(row)]] = list(row.values())
             # no transition: the phrase ends and the byte begins the next one,
-            # or is a phrase itself if the root has no transition either
+            # or is a literal if the root has no transition either
             first = t[0]
-            lost = np.where(first >= 0, first + base + (1 << 28), base + (2 << 28)).astype(np.int32)
+            lost = np.where(first >= 0, first + base + (1 << 28), base + (6 << 28)).astype(np.int32)
             t = np.where(t >= 0, t + base, lost[None, :]).astype(np.int32)
-            t[0] = np.where(first >= 0, first + base, base + (1 << 28))
+            t[0] = np.where(first >= 0, first + base, base + (5 << 28))
             parts.append(t)
             self.root.append(base)
             base += len(step)
@@ -106,13 +110,17 @@ class CrossParser:
 
     def phrases(self, texts: list[bytes]) -> np.ndarray:
         """Phrase counts, languages x texts."""
-        out = np.zeros((len(self.langs), len(texts)), dtype=np.int64)
+        return self.counts(texts)[0]
+
+    def counts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases, and the literals among them, languages x texts."""
+        out, lit = np.zeros((2, len(self.langs), len(texts)), dtype=np.int64)
         lens = np.array([len(t) for t in texts], dtype=np.int64)
         codes = self.code[np.frombuffer(b"".join(texts), dtype=np.uint8)].astype(np.int16)
         n_blocks = -(-lens // BLOCK)
         owner = np.repeat(np.arange(len(texts)), n_blocks)
         if not len(owner) or not self.langs:
-            return out
+            return out, lit
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(n_blocks) - n_blocks, n_blocks)
         start = np.repeat(np.cumsum(lens) - lens, n_blocks) + nth * BLOCK
         size = np.minimum(BLOCK, lens[owner] - nth * BLOCK)
@@ -120,16 +128,18 @@ class CrossParser:
         owner, start, size = owner[order], start[order], size[order]
         root = np.array(self.root, dtype=np.int32)[:, None]
         state = np.repeat(root, len(owner), axis=1)
-        count = np.zeros(state.shape, dtype=np.int32)
+        count, alone = np.zeros((2, *state.shape), dtype=np.int32)
         active = np.searchsorted(-size, -np.arange(int(size[0])), side="left")   # blocks longer than t
         for t, m in enumerate(active):
             v = self.table[state[:, :m] * np.int64(self.width) + codes[start[:m] + t]]
-            count[:, :m] += v >> 28
+            count[:, :m] += (v >> 28) & 3
+            alone[:, :m] += v >> 30
             state[:, :m] = v & _STATE
         count += state != root                           # the phrase that the end cuts
         for i in range(len(self.langs)):
             out[i] = np.bincount(owner, weights=count[i], minlength=len(texts))
-        return out
+            lit[i] = np.bincount(owner, weights=alone[i], minlength=len(texts))
+        return out, lit
 
     def predict(self, texts: list[str | None]) -> pd.DataFrame:
         plain = [normalised(t) for t in texts]
@@ -142,7 +152,8 @@ class CrossParser:
                     part.append(todo[at])
                     held += len(plain[todo[at]])
                     at += 1
-                bits = self.phrases([plain[i] for i in part]) * self.cost[:, None]
+                phrases, literals = self.counts([plain[i] for i in part])
+                bits = (phrases - literals) * self.cost[:, None] + literals * self.literal
                 best = bits.argmin(axis=0)               # ties: the first language in code point order
                 odds = np.exp2(np.clip(bits.min(axis=0) - bits, -1000, 0))
                 pred[part] = np.array(self.langs, dtype=object)[best]
@@ -154,13 +165,13 @@ def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, sample_bytes: int = SAMPLE_BYTES) -> dict[str, bytes]:
     """Labelled text per language: of ``docs`` with a language and a letter, the
     document with the least hash in each of ``sample_docs`` hash classes (one
-    partial aggregate, no sort), the first ``sample_chars`` characters of each,
-    ``sample_bytes`` bytes in all.  The parameters bound what the driver gets."""
+    partial aggregate, no sort), ``sample_chars`` characters of each from its first
+    letter on, ``sample_bytes`` bytes in all.  The parameters bound what the driver gets."""
     rows = docs.select(col(lang_col).cast("string").alias("lang"), col(id_col).cast("string").alias("id"), col(text_col).alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     rows = rows.withColumn("h", F.xxhash64("id")).withColumn("cls", F.pmod("h", F.lit(sample_docs)))
     picked = rows.groupBy("lang", "cls").agg(F.min("h").alias("h"))
-    texts = rows.select("lang", "cls", "h", F.substring("text", 1, sample_chars).alias("t"))
+    texts = rows.select("lang", "cls", "h", F.regexp_extract("text", rf"(?s)\p{{L}}.{{0,{sample_chars - 1}}}", 0).alias("t"))
     parts = lookup_join(texts, picked, ["lang", "cls", "h"], "left_semi").groupBy("lang", "cls").agg(F.min("t").alias("t"))
     samples: dict[str, list[str]] = {}
     for r in parts.orderBy("lang", "cls").toLocalIterator():

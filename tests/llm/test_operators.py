@@ -55,6 +55,22 @@ def test_language_id_held_out(spark, sf_small):
     assert rows.score.between(0, 1).all()
 
 
+def test_a_tiny_or_empty_sample_does_not_win():
+    rng = random.Random(7)
+    vocabulary = prose(rng, 400)
+    text = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    samples = {"big": langid.normalised(text(8000)), "tiny": langid.normalised("ok"), "word": langid.normalised(text(2)), "void": b""}
+    got = langid.CrossParser(samples).predict([text(300) for _ in range(20)] + ["ok", "¡ñandú!"])
+    assert list(got.lang_pred[:20]) == ["big"] * 20 and got.lang_pred[20] == "tiny"
+    assert langid.CrossParser({"void": b""}).predict(["text"]).values.tolist() == [["und", 0.0]]
+
+
+def test_sampled_characters_begin_at_the_first_letter(spark):
+    rows = [(1, "1234 " * 1000 + "Kalo\nmine", "a"), (2, "rute", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.training_sample(docs) == {"a": b" kalo mine ", "b": b" rute "}
+
+
 # --- 2 sharding -------------------------------------------------------------
 
 @pytest.mark.parametrize("dims,bits", [(2, 3), (3, 2), (4, 2)])
