@@ -76,6 +76,10 @@ UNKNOWN = "?"
 WRAPPED = r"\r?\n[ \t]*([a-z(])"
 END = r"[\n\r]+|[.!?;:][ \t\n\r]+"
 OTHER = r"[^\p{L}\p{N}]+"
+# The next line of a wrapped notice may begin with comment marks.  List numbers
+# are no words of a sentence: alone they are dropped, before one they are cut.
+COMMENTED = r"\r?\n[ \t]*(?:(?:\*+|//+|#+|;+|%+|--+|>+|!+)[ \t]+)*([a-z(])"
+NUMBER = r"(?:[0-9]{1,2}|[a-z]|[ivx]{2,4})"
 
 
 def normalised(sentence: str) -> str:
@@ -110,21 +114,38 @@ def rule_patterns(sentences=SENTENCES, rules=RULES) -> dict[str, str]:
     return out
 
 
+def scan_patterns(sentences=SENTENCES, rules=RULES) -> dict[str, str]:
+    """``rule_patterns`` where a part that several notices share (GPL-2 and GPL-3
+    begin alike) stands under the one identifier that ``keys`` gives it."""
+    import re
+    known, shared = keys(sentences), {}
+    for name, text in sentences:
+        parts = [normalised(p) for p in re.split(END, text + "\n") if normalised(p)]
+        for i, p in enumerate(parts):
+            if len(parts) > 1:
+                shared[f"<{name}.{i + 1}>"] = f"<{known[p]}>"
+    return {re.sub("<[^>]*>", lambda m: shared.get(m[0], m[0]), ids): licence for ids, licence in rule_patterns(sentences, rules).items()}
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences=SENTENCES, rules=RULES) -> DataFrame:
     """(id, licence, identifiers, occurrences): per row of ``docs`` each rule
     that matches its whole text and how often.
 
+    List numbers and the comment marks of wrapped lines belong to no sentence.
     Null and empty texts match nothing.  Rows that share an id are scanned
     each; equal rows give equal results.  Nothing is shuffled but the matches.
     """
     known = keys(sentences)
-    patterns = rule_patterns(sentences, rules)
+    patterns = scan_patterns(sentences, rules)
     ids = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
     licences = F.create_map(*[F.lit(x) for kv in patterns.items() for x in kv])
     anyrule = "|".join(p.replace(".", r"\.") for p in patterns)
-    text = F.regexp_replace(F.coalesce(col(text_col).cast("string"), F.lit("")), WRAPPED, " $1")
+    text = F.regexp_replace(F.coalesce(col(text_col).cast("string"), F.lit("")), COMMENTED, " $1")
     clean = F.transform(F.split(text, END), lambda s: F.trim(F.regexp_replace(F.lower(s), OTHER, " ")))
-    marks = F.transform(F.filter(clean, lambda s: s != ""), lambda s: F.concat(F.lit("<"), F.coalesce(F.try_element_at(ids, s), F.lit(UNKNOWN)), F.lit(">")))
+    name = lambda s: F.coalesce(
+        F.try_element_at(ids, s), F.when(s.rlike(f"^{NUMBER} "), F.try_element_at(ids, F.regexp_replace(s, f"^{NUMBER} ", ""))),
+        F.when(s.rlike(r"\p{L}") & ~s.rlike(f"^{NUMBER}$"), F.lit(UNKNOWN)))
+    marks = F.transform(F.filter(F.transform(clean, name), lambda n: n.isNotNull()), lambda n: F.concat(F.lit("<"), n, F.lit(">")))
     d = docs.select(col(id_col).alias("id"), F.array_join(marks, "").alias("seq"))
     d = d.withColumn("hits", F.regexp_extract_all("seq", F.lit(f"({anyrule})"), F.lit(1))).where(F.size("hits") > 0)
     each = d.select("id", F.col("hits"), F.explode(F.array_distinct("hits")).alias("identifiers"))

@@ -205,6 +205,51 @@ def test_licence_rules(spark):
     assert next(r["identifiers"] for r in got if r["doc_id"] == 1).startswith("<MITGrant")
 
 
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+{}Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+{}Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+{}Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+GPL3 = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+GPL2 = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version."""
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."
+
+
+def test_numbered_and_commented_notices(spark):
+    bsd = [BSD.format(*n) for n in (("1. ", "2. ", "3. "), ("(1) ", "(2) ", "(3) "), ("a) ", "b) ", "c) "), ("a. ", "b. ", "c. "), ("* ", "* ", "* "))]
+    notices = [(t, "BSD-3-Clause") for t in bsd] + [(" ".join(t.split()), "BSD-3-Clause") for t in bsd]
+    notices += [(MIT, "MIT"), (GPL3, "GPL-3.0-or-later"), (GPL2, "GPL-2.0-or-later"), (MPL, "MPL-2.0")]
+    rows, want = [], []
+    for text, licence in notices:
+        for head, mark, tail in (("", "", ""), ("/*\n", " * ", "\n */"), ("", "# ", ""), ("", "// ", ""), ("", "-- ", "")):
+            want.append((len(rows), licence, 1))
+            rows.append((len(rows), head + "\n".join((mark + x).rstrip() for x in text.split("\n")) + tail))
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = sorted((r["doc_id"], r["licence"], r["occurrences"]) for r in got)
+    assert found == want, set(want) - set(found)
+
+
 # --- 6 passages -----------------------------------------------------------------------
 
 def test_chain_equals_quadratic_search():
