@@ -291,6 +291,30 @@ def test_passages_find_shared_runs(spark, monkeypatch, large):
     assert passages.passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("identity", [0.8, 0.85, 0.9, 0.95])
+def test_passages_recall_of_planted_edits(spark, identity):
+    rng = random.Random(11)
+    pairs, rows = 100, []
+    for i in range(pairs):
+        body = prose(rng, 60)
+        other = list(body)
+        for at in rng.sample(range(60), round(60 * (1 - identity))):
+            other[at] = f"changed{i}x{at}"
+        for n, part in ((0, body), (1, other)):
+            rows.append((2 * i + n, " ".join(prose(rng, 40) + part + prose(rng, 40))))
+    got = passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert (got.identity >= passages.MIN_IDENTITY).all()
+    text = {i: passages.words(t) for i, t in rows}
+    for r in got.itertuples():
+        a, b = text[r.doc_id][int(r.begin):int(r.end)], text[r.partner][int(r.partner_begin):int(r.partner_end)]
+        assert min(len(a), len(b)) >= passages.MIN_WORDS
+        assert 1 - passages.distance(a, b) / max(len(a), len(b)) >= r.identity - 1e-9
+    found = {(r.doc_id, r.partner) for r in got.itertuples()}
+    recall = sum((2 * i + 1, 2 * i) in found for i in range(pairs)) / pairs
+    print("recall", identity, recall)
+    assert recall >= 0.95
+
+
 # --- 7 toxicity --------------------------------------------------------------------------
 
 def test_counterfactual_penalty_clears_neutral_mentions():
