@@ -17,10 +17,8 @@ import unicodedata
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from hashlib import sha256
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -29,8 +27,8 @@ from pyspark.sql import types as T
 
 from pitchline.llm.common import without
 
-KNOWN_WORDS = 400_000          # distinct words that a task remembers; then it starts afresh
-BLOCK_CHARS = 4_000_000        # characters that are encoded together
+KNOWN_WORDS = 200_000          # distinct words that a task remembers; then it starts afresh
+BLOCK_CHARS = 1_000_000        # characters that are encoded together
 STREAMED_CHARS = 1_000_000     # longer texts give their words one by one
 SHIFT = 20                     # a pair of symbols is one integer
 
@@ -255,14 +253,15 @@ def _read(spark, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids", packed: bool = False) -> DataFrame:
     """``docs`` with ``out``, the ids of the whole text under the vocabulary file
-    at ``path`` (read where this is called, sent to the tasks).
+    at ``path`` (read where this is called, sent to the tasks): an array, or with
+    ``packed`` the bytes of little-endian unsigned 32-bit integers.
 
-    Null text and text without a word: no ids (an empty array).  Equal texts have
-    equal ids.  No row is dropped or added; a column of ``docs`` that is named
-    like ``out`` is replaced.  Characters newer than Python's Unicode tables
-    are lower-cased and classed by these tables."""
+    Null text and text without a word: no ids (empty).  Equal texts have equal
+    ids.  No row is dropped or added; a column of ``docs`` that is named like
+    ``out`` is replaced.  Characters newer than Python's Unicode tables are
+    lower-cased and classed by these tables."""
     spec = _read(docs.sparkSession, path)
     kept = without(docs, out)
     at = kept.columns.index(text_col)
@@ -272,40 +271,40 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids")
         for batch in batches:
             for first, texts in blocks(batch.column(at)):
                 ids = bpe.encode(texts)
-                ends = np.concatenate([[0], np.cumsum([len(i) for i in ids])])
-                col = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
+                if packed:
+                    col = pa.array([i.astype("<u4").tobytes() for i in ids], pa.binary())
+                else:
+                    ends = np.concatenate([[0], np.cumsum([len(i) for i in ids])])
+                    col = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
                 part = batch.slice(first, len(texts))
                 yield pa.RecordBatch.from_arrays([*part.columns, col], names=[*part.schema.names, out])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))
+    kind = T.BinaryType() if packed else T.ArrayType(T.IntegerType())
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(out, kind)]))
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
-    """``df`` with ``out``, the text of the ids in ``ids_col``; null for null.
-    Ids that the vocabulary lacks are left out."""
+    """``df`` with ``out``, the text of the ids in ``ids_col`` (array or packed
+    bytes); null for null.  Ids that the vocabulary lacks are left out."""
     spec = _read(df.sparkSession, path)
     kept = without(df, out)
     at = kept.columns.index(ids_col)
+    packed = isinstance(kept.schema[ids_col].dataType, T.BinaryType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(spec.value)
         for batch in batches:
-            text = [None if not i.is_valid else bpe.decode(i.values.to_pylist()) for i in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string())], names=[*batch.schema.names, out])
+            ids = (None if not i.is_valid else np.frombuffer(i.as_py(), dtype="<u4").tolist() if packed else i.values.to_pylist() for i in batch.column(at))
+            text = pa.array([None if i is None else bpe.decode(i) for i in ids], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, text], names=[*batch.schema.names, out])
 
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(out, T.StringType())]))
 
 
-@F.pandas_udf(T.StringType())
-def ids_sha256(ids: pd.Series) -> pd.Series:
-    """Digest of the ids as little-endian unsigned 32-bit integers."""
-    return ids.map(lambda i: sha256(i.astype("<u4").tobytes()).hexdigest())
-
-
 def op13_word_bpe(spark, sf_dir):
     from public_tokenizers import path
     vocabulary = path("word_bpe_49k.json")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    done = decode(encode(docs, vocabulary).drop("text"), vocabulary)
-    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_sha256("ids").alias("ids_sha256"),
+    done = decode(encode(docs, vocabulary, packed=True).drop("text"), vocabulary)
+    return done.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
