@@ -1,33 +1,33 @@
 """Classifiers and their evaluation.
 
-Each model is an MLlib ``Pipeline``: VectorAssembler -> (StandardScaler) ->
-label indexer -> estimator, trained distributed; predictions come back as
-the long prediction table the metric operators read (model, split, y_true,
-y_pred, p_H, p_D, p_A).  Gaussian naive Bayes is native DataFrame code (the
-MLlib one lacks variance smoothing): class statistics are one grouped
-aggregation (k x p values), applied to rows as a scalar-subquery struct.
+Every model is fitted by Spark jobs over one packed table (``fitting``): forest,
+logistic regression, boosted trees and net by sums over tasks, the support vector
+classifier by MLlib's hinge models.  A fitted model is a few numbers (``Fitted``),
+saved as JSON.  Predictions are the long prediction table the metric operators
+read (model, split, y_true, y_pred, p_H, p_D, p_A).  Gaussian naive Bayes is
+native DataFrame code: class statistics are one grouped aggregation (k x p
+values), applied to rows as literals.
 """
 
 from __future__ import annotations
 
 import json
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
-                                       MultilayerPerceptronClassifier, OneVsRest,
-                                       RandomForestClassifier)
-from pyspark.ml.feature import ElementwiseProduct, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from pitchline.operators import boosting, forest, logistic, net, svm
+from pitchline.operators.fitting import Fitted, Packed, pack, softmax
 from pitchline.operators.prep import q
+from pitchline.operators.splits import before_cut
+from pitchline.session import scratch_path
 
 LABEL = "target_match_result"
 CLASSES = ["A", "D", "H"]          # alphabetical index order (label encoder)
 SCALED_MODELS = {"svm", "fnn", "logistic_regression", "naive_bayes"}
-SEED = 42
 
 # Model parameters of the reference configuration.
 MODEL_PARAMS = {
@@ -45,102 +45,80 @@ MODEL_PARAMS = {
 MODEL_TYPES = list(MODEL_PARAMS)
 
 
-def _estimator(model_type: str, n_train: int, params: dict, n_features: int):
-    p = {**MODEL_PARAMS.get(model_type, {}), **(params or {})}
-    w = "weight" if p.get("class_weight") == "balanced" else None
-    if model_type == "random_forest":
-        est = RandomForestClassifier(numTrees=p["n_estimators"], maxDepth=p["max_depth"],
-                                     minInstancesPerNode=p["min_samples_leaf"],
-                                     featureSubsetStrategy=p["max_features"], seed=p["random_state"])
-    elif model_type == "logistic_regression":
-        # sklearn: C * sum(loss) + |w|^2 / 2  ==  mean(loss) + (1/(C n)) |w|^2 / 2
-        est = LogisticRegression(family="multinomial", regParam=1.0 / (p["C"] * n_train), elasticNetParam=0.0,
-                                 maxIter=p["max_iter"], standardization=False)
-    elif model_type == "xgboost":
-        est = OneVsRest(classifier=GBTClassifier(maxDepth=p["max_depth"], stepSize=p["learning_rate"],
-                                                 subsamplingRate=p["subsample"], maxIter=p["n_estimators"],
-                                                 featureSubsetStrategy=str(p["colsample_bytree"]),
-                                                 seed=p["random_state"]))
-    elif model_type == "svm":
-        est = OneVsRest(classifier=LinearSVC(regParam=1.0 / (p["C"] * n_train), standardization=False))
-    elif model_type == "fnn":
-        est = MultilayerPerceptronClassifier(layers=[n_features, *p["hidden_layer_sizes"], len(CLASSES)],
-                                             maxIter=p["max_iter"], seed=p["random_state"])
-    else:
+def time_columns(df: DataFrame) -> list[str]:
+    """The columns that order rows in time, as far as there are any."""
+    when = [c for c in ("kickoff", "date_GMT", "timestamp") if c in df.columns][:1]
+    return when + [c for c in ("match_id",) if when and c in df.columns]
+
+
+def _last_tenth(data: Packed, order: list[str], share: float) -> F.Column:
+    """Condition of the packed rows that come last in time; without a time a
+    share of the rows by hash."""
+    keys = [f"o{i}" for i in range(len(order))]
+    if not keys:
+        return F.pmod(F.xxhash64("id"), F.lit(1000)) < int(1000 * share)
+    return ~before_cut(data.rows, keys, 1 - share)
+
+
+def fit(train: DataFrame, features: list[str], model_type: str, params: dict | None = None) -> Fitted:
+    """M1-M3: pack the labelled rows (labels in alphabetical order, features
+    scaled where the model wants it) and fit."""
+    if model_type not in MODEL_TYPES or model_type == "naive_bayes":
         raise ValueError(f"unknown model type {model_type!r}; supported: {MODEL_TYPES}")
-    if w is not None and hasattr(est, "setWeightCol"):
-        est.setWeightCol(w)
-    return est
-
-
-def with_class_weight(df: DataFrame, label: str = LABEL) -> DataFrame:
-    """M4 as a column: n / (k * n_c) through one small aggregate."""
-    from pitchline.operators.prep import class_weights
-    cw = class_weights(df, label).select(label, "weight")
-    return df.join(F.broadcast(cw), label, "left")  # k rows: bounded by the label set
-
-
-def build_pipeline(model_type: str, features: list[str], n_train: int, params: dict | None = None) -> Pipeline:
-    """M1-M3: assembler, optional scaler, label indexer (A < D < H), model."""
-    stages = [VectorAssembler(inputCols=features, outputCol="raw_features", handleInvalid="keep")]
-    if model_type in SCALED_MODELS:
-        # the scaler divides by the sample deviation; the factor makes it the population's
-        factor = (n_train / max(1, n_train - 1)) ** 0.5
-        stages.append(StandardScaler(inputCol="raw_features", outputCol="sample_scaled", withMean=True, withStd=True))
-        stages.append(ElementwiseProduct(inputCol="sample_scaled", outputCol="features", scalingVec=Vectors.dense([factor] * len(features))))
+    p = {**MODEL_PARAMS[model_type], **(params or {})}
+    balanced = p.pop("class_weight", None) == "balanced"
+    order = time_columns(train) if model_type == "fnn" else []
+    data = pack(train, features, LABEL, model_type in SCALED_MODELS, balanced, order=order)
+    try:
+        if model_type == "random_forest":
+            return forest.fit_forest(data, **p)
+        if model_type == "logistic_regression":
+            return logistic.fit_logistic(data, p["C"], p["max_iter"])
+        if model_type == "xgboost":
+            return boosting.fit_boosted(data, **p)
+        if model_type == "svm":
+            return svm.fit_svm(data, p["C"])
+        return net.fit_net(data, _last_tenth(data, order, p.pop("validation_fraction")), **{k: v for k, v in p.items() if k != "activation"})
+    finally:
+        data.close()
+
+
+def _scores(model: Fitted, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(class index, class probabilities) of feature rows."""
+    if model.kind == "svm":
+        return svm.scores(model, x)
+    if model.kind == "random_forest":
+        prob = forest.distribution(model, x)
+    elif model.kind == "xgboost":
+        prob = softmax(boosting.margins_of(model, x))
     else:
-        stages[0].setOutputCol("features")
-    stages.append(StringIndexer(inputCol=LABEL, outputCol="label", stringOrderType="alphabetAsc",
-                                handleInvalid="skip"))
-    stages.append(_estimator(model_type, n_train, params or {}, len(features)))
-    return Pipeline(stages=stages)
-
-
-def fit(train: DataFrame, features: list[str], model_type: str, params: dict | None = None) -> PipelineModel:
-    n = train.count()
-    data = with_class_weight(train) if (MODEL_PARAMS.get(model_type, {}).get("class_weight") == "balanced"
-                                        or (params or {}).get("class_weight") == "balanced") else train
-    return build_pipeline(model_type, features, n, params).fit(data)
-
-
-def _probabilities(scored: DataFrame) -> F.Column:
-    """Class probabilities in A, D, H order; softmax of rawPrediction when
-    the model has no probability column (one-vs-rest)."""
-    if "probability" in scored.columns:
-        return vector_to_array("probability")
-    raw = vector_to_array("rawPrediction")
-    mx = F.array_max(raw)
-    ex = F.transform(raw, lambda v: F.exp(v - mx))
-    tot = F.aggregate(ex, F.lit(0.0), lambda a, b: a + b)
-    return F.transform(ex, lambda v: v / tot)
-
-
-def predict(model: PipelineModel, df: DataFrame, keep=("match_id",)) -> DataFrame:
-    """(keep..., y_pred, p_H, p_D, p_A)."""
-    s = model.transform(df)
-    pr = _probabilities(s)
-    pred = F.element_at(F.array(*[F.lit(c) for c in CLASSES]), F.col("prediction").cast("int") + 1)
-    return s.select(*keep, pred.alias("y_pred"), pr[2].alias("p_H"), pr[1].alias("p_D"), pr[0].alias("p_A"))
-
-
-def feature_importance(model: PipelineModel, features: list[str]) -> dict[str, float] | None:
-    """Tree importances, else mean |coefficient| over classes, else None."""
-    est = model.stages[-1]
-    if hasattr(est, "featureImportances"):
-        return dict(zip(features, est.featureImportances.toArray().tolist()))
-    if hasattr(est, "coefficientMatrix"):
-        m = est.coefficientMatrix.toArray()
-        return dict(zip(features, abs(m).mean(axis=0).tolist()))
-    if hasattr(est, "models"):  # one-vs-rest
-        subs = est.models
-        if all(hasattr(s, "featureImportances") for s in subs):
-            vals = [s.featureImportances.toArray() for s in subs]
-        elif all(hasattr(s, "coefficients") for s in subs):
-            vals = [abs(s.coefficients.toArray()) for s in subs]
-        else:
-            return None
-        return dict(zip(features, (sum(vals) / len(vals)).tolist()))
-    return None
+        prob = net.probabilities(model, x)
+    return prob.argmax(axis=1), prob
+
+
+def predict(model: Fitted, df: DataFrame, keep=("match_id",)) -> DataFrame:
+    """(keep..., y_pred, p_H, p_D, p_A); a class that training did not see has
+    probability 0."""
+    if model.kind == "logistic_regression":
+        s = df.select(*[q(c) for c in keep], logistic.probabilities(model).alias("_prob"))
+        s = s.withColumn("_pred", F.array_position("_prob", F.array_max("_prob")) - 1)
+    else:
+        @F.pandas_udf(T.ArrayType(T.DoubleType()))
+        def score(x: pd.Series) -> pd.Series:
+            pred, prob = _scores(model, np.stack(x.to_numpy()).astype(float)) if len(x) else (np.zeros(0), np.zeros((0, 1)))
+            return pd.Series(list(np.column_stack([pred, prob])))
+
+        s = df.select(*[q(c) for c in keep], score(model.inputs()).alias("_s"))
+        s = s.select(*[q(c) for c in keep], F.slice("_s", 2, len(model.classes)).alias("_prob"), F.get("_s", F.lit(0)).alias("_pred"))
+    prob = {c: F.get("_prob", F.lit(i)) for i, c in enumerate(model.classes)}
+    label = F.element_at(F.array(*[F.lit(c) for c in model.classes]), F.col("_pred").cast("int") + 1)
+    return s.select(*[q(c) for c in keep], label.alias("y_pred"), *[prob.get(c, F.lit(0.0)).alias(f"p_{c}") for c in ("H", "D", "A")])
+
+
+def feature_importance(model: Fitted, features: list[str] | None = None) -> dict[str, float] | None:
+    """Tree importances, mean |coefficient| of the linear models, else None."""
+    kinds = {"random_forest": forest, "xgboost": boosting, "logistic_regression": logistic, "svm": svm}
+    return kinds[model.kind].importance(model) if model.kind in kinds else None
 
 
 def importance_frame(spark, model_type: str, imp: dict | None) -> DataFrame:
@@ -156,15 +134,14 @@ def model_info(model_type: str, features: list[str], params: dict | None = None)
             "uses_scaler": model_type in SCALED_MODELS}
 
 
-def save_model(model: PipelineModel, path: str) -> str:
-    """MLlib persistence; the pipeline carries assembler, scaler and
-    label indexer with the model."""
-    model.write().overwrite().save(path)
+def save_model(spark, model: Fitted, path: str) -> str:
+    """The model with its scaling, classes and feature names, as one JSON text."""
+    spark.createDataFrame([(model.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(path)
     return path
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(spark, path: str) -> Fitted:
+    return Fitted.from_json(spark.read.option("wholetext", True).text(path).head()[0])
 
 
 # ------------------------------------------------------------------ M8 native Gaussian NB
@@ -232,39 +209,53 @@ def gaussian_nb_predict(df: DataFrame, stats, features: list[str], keep=("match_
 
 
 # ------------------------------------------------------------------ E1
+STATUS = "model string, stage string, message string"
+
+
+def _fit_scorer(train: DataFrame, features, model_type, params, keep):
+    """Fit one model: (function that scores a frame, importances)."""
+    own = (*keep, LABEL)
+    if model_type == "naive_bayes":
+        scaled = scaler(train, features)
+        stats = gaussian_nb_params(gaussian_nb_fit(scaled(train, own), features, {**MODEL_PARAMS[model_type], **(params or {})}["var_smoothing"]))
+        score, imp = (lambda d: gaussian_nb_predict(scaled(d, own), stats, features, own)), None
+    else:
+        model = fit(train, features, model_type, params)
+        score, imp = (lambda d: predict(model, d, own)), feature_importance(model)
+    return score, imp
+
+
 def compare_models(train: DataFrame, splits: dict[str, DataFrame], features: list[str],
-                   model_types=MODEL_TYPES, keep=("match_id",)):
-    """Train each model on ``train`` and predict every split; a model
-    that fails is skipped.  Returns (long prediction table, importances,
-    {model: error})."""
+                   model_types=MODEL_TYPES, keep=("match_id",), params: dict[str, dict] | None = None):
+    """Train each model on ``train`` and predict every split.
+
+    Returns (long prediction table, importances, status).  Predictions are
+    written model by model and split by split, so that an error shows where it
+    happens.  ``status`` has one row per model (model, stage, message): stage
+    ``done``, or ``fit`` or ``predict <split>`` with the error that ended it; the
+    predictions that a failed model had made before are left out."""
     spark = train.sparkSession
-    preds, imps, errors = None, None, {}
+    preds, imps, status = None, None, []
     for order, mt in enumerate(model_types):
+        stage, parts = "fit", None
         try:
-            if mt == "naive_bayes":
-                own = keep + (LABEL,)
-                scaled = scaler(train, features)
-                stats = gaussian_nb_params(gaussian_nb_fit(scaled(train, own), features, MODEL_PARAMS[mt]["var_smoothing"]))
-                parts = [gaussian_nb_predict(scaled(d, own), stats, features, own).withColumn("split", F.lit(s))
-                         for s, d in splits.items()]
-                imp = None
-            else:
-                mdl = fit(train, features, mt)
-                parts = [predict(mdl, d, keep + (LABEL,)).withColumn("split", F.lit(s)) for s, d in splits.items()]
-                imp = feature_importance(mdl, features)
-        except Exception as e:  # noqa: BLE001 - the reference skips a failing model
-            errors[mt] = f"{type(e).__name__}: {e}"
+            score, imp = _fit_scorer(train, features, mt, (params or {}).get(mt), keep)
+            for s, d in splits.items():
+                stage, path = f"predict {s}", scratch_path(spark, f"predictions-{mt}")
+                score(d).withColumn("split", F.lit(s)).write.parquet(path)
+                one = spark.read.parquet(path)
+                parts = one if parts is None else parts.unionByName(one)
+        except Exception as e:  # noqa: BLE001 - a failed model is a row of the result
+            status.append((mt, stage, f"{type(e).__name__}: {str(e).strip().splitlines()[0] if str(e).strip() else ''}"))
             continue
-        p = parts[0]
-        for x in parts[1:]:
-            p = p.unionByName(x)
-        p = p.select(F.lit(mt).alias("model"), F.lit(order).alias("model_ord"), "split", *keep,
-                     F.col(LABEL).alias("y_true"), "y_pred", "p_H", "p_D", "p_A")
+        status.append((mt, "done", None))
+        p = parts.select(F.lit(mt).alias("model"), F.lit(order).alias("model_ord"), "split", *keep,
+                         F.col(LABEL).alias("y_true"), "y_pred", "p_H", "p_D", "p_A")
         preds = p if preds is None else preds.unionByName(p)
         if imp:
             f = importance_frame(spark, mt, imp)
             imps = f if imps is None else imps.unionByName(f)
-    return preds, imps, errors
+    return preds, imps, spark.createDataFrame(status, STATUS)
 
 
 # ------------------------------------------------------------------ M13
@@ -280,7 +271,7 @@ def grid_search(folds: DataFrame, features: list[str], model_type: str, grid: di
     """Every parameter combination trained on each walk-forward fold's
     training rows and scored on its validation rows (``walk_forward``
     output); one row per combination with the mean score.  Each fit is a
-    distributed MLlib job; the loop runs over combinations x folds only."""
+    distributed job; the loop runs over combinations x folds only."""
     from pitchline.operators.metrics import classification_metrics
     from pitchline.operators.splits import fold_rows
     spark = folds.sparkSession

@@ -167,3 +167,25 @@ def target_correlation(x: DataFrame, cols: list[str], label: str) -> DataFrame:
     # of a column) tie exactly and the name decides, in any engine
     return row.select(st.alias("feature", "importance")).withColumn(
         "importance", F.round(F.coalesce(F.col("importance"), F.lit(0.0)), 9))
+
+
+def permutation_importance(df: DataFrame, features: list[str], predict, label: str, key: str, seed: int = 42) -> DataFrame:
+    """M11 for any classifier: the fall of accuracy when one feature's values are
+    shuffled over the rows, (feature, accuracy, permuted_accuracy, importance).
+
+    ``predict`` maps {feature: column} to the predicted label.  The row at place r
+    of the order of ``key`` (unique) takes the value of the row at place r of an
+    order by hash, one shuffle for all features: two range sorts of narrow rows and
+    a join by place.  Rows without a label do not count."""
+    from pitchline.operators.fitting import draw_column
+    from pitchline.operators.splits import positional_index
+    rows = df.where(q(label).isNotNull()).select(key, q(label).alias("_label"), *[q(c) for c in features])
+    mine = positional_index(rows, [F.col(key)], "_pos")
+    other = positional_index(rows.select(key, *[q(c).alias(f"_other{i}") for i, c in enumerate(features)]), [draw_column(F.col(key), seed), F.col(key)], "_pos")
+    j = mine.join(other.drop(key), "_pos")
+    own = {c: q(c) for c in features}
+    hit = lambda values: F.count_if(predict(values) == F.col("_label"))
+    r = j.agg(F.count(F.lit(1)).alias("n"), hit(own).alias("all"), *[hit(own | {c: F.col(f"_other{i}")}).alias(f"f{i}") for i, c in enumerate(features)])
+    wide = r.select("n", "all", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"f{i}").alias("hits")) for i, c in enumerate(features)])).alias("f"))
+    share = lambda c: F.try_divide(F.col(c), F.col("n"))
+    return wide.select("f.feature", share("all").alias("accuracy"), share("f.hits").alias("permuted_accuracy"), (share("all") - share("f.hits")).alias("importance"))

@@ -77,6 +77,14 @@ def split_labels(df: DataFrame, keys: list[str], train_ratio=TRAIN_RATIO, val_ra
     return df.select("*", F.when(val, "train").when(test, "val").otherwise("test").alias("split"))
 
 
+def before_cut(df: DataFrame, keys: list[str], share: float) -> Column:
+    """Condition: among the first ``share`` of the rows in the order of ``keys``
+    (unique, ascending, NULL last); the key at the cut comes to the driver."""
+    p = positional_index(df.select(*keys), [F.col(k).asc_nulls_last() for k in keys], "pos")
+    cut = p.where(F.col("pos") == math.floor(p.count() * share)).head()
+    return F.lit(True) if cut is None else _before(keys, cut)
+
+
 def walk_forward(df: DataFrame, n_splits: int = 5, order: list[Column] | None = None) -> DataFrame:
     """Expanding-window folds; fold = n // (k+1).  Row at position p is
     in the training part of every fold i >= p // fold and validates fold

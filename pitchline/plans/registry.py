@@ -687,7 +687,7 @@ def q_model_roundtrip(spark, sf_dir):
     from pitchline.session import scratch_path
     d = _model_data(spark, sf_dir)
     model = fit(d["train"], HT_NUMERIC, "logistic_regression")
-    loaded = load_model(save_model(model, scratch_path(spark, "model")))
+    loaded = load_model(spark, save_model(spark, model, scratch_path(spark, "model")))
     a, b = (predict(m, d["all"], ("match_id", "split")) for m in (model, loaded))
     b = b.select("match_id", *[F.col(c).alias(f"{c}_loaded") for c in ("y_pred", "p_H", "p_D", "p_A")])
     same = F.col("y_pred") == F.col("y_pred_loaded")
@@ -699,13 +699,15 @@ def q_model_roundtrip(spark, sf_dir):
 
 @register("trained_comparison")
 def q_trained_comparison(spark, sf_dir):
-    """E1 + E3 on trained models: test metrics per model, long form."""
+    """E1 + E3 on trained models: metrics per model and split, long form; a model
+    that failed has one row, whose metric is the error."""
+    from pyspark.sql import functions as F
     from pitchline.operators.metrics import classification_metrics, metrics_long
     from pitchline.operators.models import compare_models
     d = _model_data(spark, sf_dir)
-    preds, _, _ = compare_models(d["train"], {"train": d["train"], "val": d["val"], "test": d["test"]},
-                                 HT_NUMERIC)
-    return metrics_long(classification_metrics(preds.checkpoint(eager=True)))
+    preds, _, status = compare_models(d["train"], {"train": d["train"], "val": d["val"], "test": d["test"]}, HT_NUMERIC)
+    failed = status.where("stage <> 'done'").select("model", F.col("stage").alias("split"), F.col("message").alias("metric"), F.lit(None).cast("double").alias("value"))
+    return failed if preds is None else metrics_long(classification_metrics(preds)).unionByName(failed)
 
 
 @register("importance_avg")
@@ -958,3 +960,12 @@ def q_elo_null_leagues(spark, sf_dir):
     and every match has a row."""
     from pitchline.operators.elo import elo_ratings
     return finish(elo_ratings(_odd_matches(spark, sf_dir, ("home_team",)), chunk_rows=1000))
+
+
+def _register_models():
+    from pitchline.plans.model_queries import REGISTERED
+    for name, sql, fn in REGISTERED:
+        register(name, sql)(fn)
+
+
+_register_models()

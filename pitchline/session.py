@@ -72,6 +72,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def remove_scratch(spark: SparkSession, path: str) -> None:
+    """Remove a scratch table that nothing reads any more, on any file system."""
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    if not path.startswith(base + "/"):
+        raise ValueError(f"{path} is not a scratch table")
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 _SHIPPED: set = set()
 
 

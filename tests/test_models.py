@@ -43,14 +43,20 @@ def test_roundtrip(spark, separable):
     from pitchline.operators.models import fit, load_model, predict, save_model
     from pitchline.session import scratch_path
     m = fit(separable, FEATURES, "logistic_regression")
-    m2 = load_model(save_model(m, scratch_path(spark, "m")))
+    m2 = load_model(spark, save_model(spark, m, scratch_path(spark, "m")))
     a = predict(m, separable).orderBy("match_id").toPandas()
     b = predict(m2, separable).orderBy("match_id").toPandas()
     assert a.equals(b)
 
 
-def test_compare_skips_failing_model(spark, separable):
+def test_failed_models_are_rows(spark, separable):
     from pitchline.operators.models import compare_models
-    preds, _, errors = compare_models(separable, {"test": separable}, FEATURES,
-                                      ["naive_bayes", "no_such_model"])
-    assert "no_such_model" in errors and preds.select("model").distinct().count() == 1
+    broken = separable.withColumn("f1", F.raise_error(F.lit("planted")).cast("double"))
+    preds, _, status = compare_models(separable, {"test": separable, "bad": broken}, FEATURES, ["naive_bayes", "no_such_model"])
+    rows = {r["model"]: (r["stage"], r["message"]) for r in status.collect()}
+    assert preds is None
+    assert rows["naive_bayes"][0] == "predict bad" and rows["naive_bayes"][1]
+    assert rows["no_such_model"][0] == "fit" and "no_such_model" in rows["no_such_model"][1]
+    preds, _, status = compare_models(separable, {"test": separable}, FEATURES, ["naive_bayes", "logistic_regression"], params={"logistic_regression": {"C": 0}})
+    assert [r["model"] for r in preds.select("model").distinct().collect()] == ["naive_bayes"]
+    assert {r["model"]: r["stage"] for r in status.collect()} == {"naive_bayes": "done", "logistic_regression": "fit"}
