@@ -34,6 +34,8 @@ SHIFT = 20                     # a pair of symbols is one integer
 
 # The split of byte-level files that name no pattern of their own.
 BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+ASCII_SPACES = regex.compile(r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]")
+SPACES = regex.compile(r"\p{White_Space}{2,}|[^\P{White_Space}\x20]")
 
 
 def byte_letters() -> list[str]:
@@ -98,10 +100,8 @@ class Codec:
     def normalised(self, text: str) -> str:
         if self.nfc:
             text = unicodedata.normalize("NFC", text)
-        if self.one_space and not text.isascii():
-            text = regex.sub(r"\p{White_Space}+", " ", text)
-        elif self.one_space:
-            text = regex.sub(r"[\x20\x09-\x0D]+", " ", text)
+        if self.one_space:                               # single spaces stay as they are
+            text = (ASCII_SPACES if text.isascii() else SPACES).sub(" ", text)
         if self.lower:                                   # letter by letter: no final sigma
             text = text.replace("Σ", "σ").lower()
         return text
