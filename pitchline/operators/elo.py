@@ -14,14 +14,14 @@ the leagues are those sets, else the connected components of the teams are.
 The sets are folded in parallel over the six narrow columns the fold needs;
 the result is joined back on ``match_id``.
 
-With ``chunk_rows`` no set is handed to one task as a whole: its matches are
-cut into consecutive chunks (exact positions from a range-partitioned sort),
-written once under the checkpoint folder partitioned by chunk, and folded chunk
-by chunk -- all sets advance together, and the ratings map (one row per team:
-bounded by the number of teams, not by matches) travels from one step to the
-next as a small state table through ``cogroup``.  Each step's output is
-written, so a lost executor only repeats the current step.  Both forms return
-the same rows.
+No set of more than ``CHUNK_ROWS`` matches is handed to one task as a whole (one
+count tells): the matches are cut into consecutive chunks (exact positions from a
+range-partitioned sort), written once under the checkpoint folder partitioned by
+chunk, and folded chunk by chunk -- all sets advance together, and the ratings map
+(one row per team: bounded by the number of teams, not by matches) travels from
+one step to the next as a small state table through ``cogroup``.  Each step's
+output is written, so a lost executor only repeats the current step.  Both forms
+return the same rows.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ ELO_START = 1500.0
 ELO_K = 20.0
 ELO_HOME_ADV = 65.0
 
+CHUNK_ROWS = 250_000           # matches of a set that one task folds at a time: some 50 MB
+
 ELO_COLUMNS = ["home_elo_pre", "away_elo_pre", "elo_diff_pre", "elo_home_win_prob_pre"]
 _OUT_SCHEMA = ("match_id long, home_elo_pre double, away_elo_pre double, "
                "elo_diff_pre double, elo_home_win_prob_pre double")
@@ -131,16 +133,17 @@ def _with_group(narrow: DataFrame, league_col: str) -> DataFrame:
 
 def elo_ratings(m: DataFrame, k: float = ELO_K, home_adv: float = ELO_HOME_ADV,
                 skip_unplayed: bool = False, league_col: str = "league_id",
-                chunk_rows: int | None = None) -> DataFrame:
+                chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """``match_id`` + the four pre-match Elo columns, one row per match (also
-    without a league or a team).  ``chunk_rows``: fold every set of teams in
-    chunks of so many matches."""
+    without a league or a team).  A task folds at most ``chunk_rows`` matches of a
+    set of teams at a time."""
     narrow = m.select(league_col, "match_id", "kickoff", F.col("kickoff").isNull().alias("_ko_null"),
                       "home_team", "away_team",
                       F.col("home_goals").cast("double").alias("home_goals"),
                       F.col("away_goals").cast("double").alias("away_goals"))
     narrow = _with_group(narrow, league_col).drop(league_col)
-    if chunk_rows:
+    largest = narrow.groupBy("g").count().agg(F.max("count")).head()[0] or 0
+    if largest > chunk_rows:
         return _chunked(narrow, chunk_rows, k, home_adv, skip_unplayed)
     return narrow.groupBy("g").applyInPandas(_fold(k, home_adv, skip_unplayed), _OUT_SCHEMA)
 

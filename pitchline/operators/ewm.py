@@ -230,7 +230,10 @@ def with_prior_ewm_segmented(seg_df: DataFrame, specs, span: float = 5, keys=("t
          for src, _ in specs for p in ("y", "g")])
     states = summ.groupBy(*keys).applyInPandas(_incoming_states(specs, span, keys, ignore_na), st_schema)
     j = seg_df.join(states, [*keys, "_seg"], "left")   # one row per segment
-    j = j.repartition(*keys, "_seg").sortWithinPartitions(*keys, "_seg", "_pos")
+    # the running number needs every segment whole and in order in one partition; a
+    # plain repartition after the join may be planned away and split by a local read
+    w = Window.partitionBy(*keys, "_seg").orderBy("_pos")
+    j = j.withColumn("_ewm_row", F.row_number().over(w)).where("_ewm_row > 0").drop("_ewm_row")
     schema = T.StructType(j.schema.fields + [T.StructField(out, T.DoubleType(), True) for _, out in specs])
     res = j.mapInPandas(_seeded_scan(specs, span, keys, ignore_na), schema)
     return res.select(*seg_df.columns, *[F.when(F.col(keys[0]).isNotNull(), F.col(out)).alias(out)

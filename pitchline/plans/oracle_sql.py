@@ -839,12 +839,13 @@ def corr_submatrix_sql() -> str:
     return _scr(f"""SELECT a.f AS feature_1, b.f AS feature_2,
   {r6('CASE WHEN a.f = b.f THEN 1.0E0 ELSE p.correlation END', 'correlation')}
 FROM chosen a CROSS JOIN chosen b
-LEFT JOIN pairs p ON (p.feature_1 = a.f AND p.feature_2 = b.f) OR (p.feature_1 = b.f AND p.feature_2 = a.f)""").replace(
+LEFT JOIN pairs2 p ON p.feature_1 = a.f AND p.feature_2 = b.f""").replace(
         "\nSELECT a.f", """,
 top AS MATERIALIZED (SELECT feature_1, feature_2 FROM hcp
         ORDER BY round(abs_correlation, 9) DESC, feature_1, feature_2 LIMIT 40),
-chosen AS MATERIALIZED (SELECT f FROM (SELECT feature_1 AS f FROM top UNION SELECT feature_2 FROM top) ORDER BY f LIMIT 30)
-SELECT a.f""", 1).replace("pairs AS (", "pairs AS MATERIALIZED (", 1)
+chosen AS MATERIALIZED (SELECT f FROM (SELECT feature_1 AS f FROM top UNION SELECT feature_2 FROM top) ORDER BY f LIMIT 30),
+pairs2 AS MATERIALIZED (SELECT feature_1, feature_2, correlation FROM pairs UNION ALL SELECT feature_2, feature_1, correlation FROM pairs)
+SELECT a.f""", 1).replace("pairs AS (", "pairs AS MATERIALIZED (", 1).replace("xt AS (", "xt AS MATERIALIZED (", 1)
 
 
 def screening_report_sql() -> str:

@@ -962,10 +962,10 @@ def q_elo_null_leagues(spark, sf_dir):
     return finish(elo_ratings(_odd_matches(spark, sf_dir, ("home_team",)), chunk_rows=1000))
 
 
-def _register_models():
-    from pitchline.plans.model_queries import REGISTERED
-    for name, sql, fn in REGISTERED:
+def _register_more():
+    from pitchline.plans import model_queries, sink_queries
+    for name, sql, fn in (*model_queries.REGISTERED, *sink_queries.REGISTERED):
         register(name, sql)(fn)
 
 
-_register_models()
+_register_more()

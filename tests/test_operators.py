@@ -275,7 +275,7 @@ def test_prior_ewm_orders_its_input(spark):
             assert got[r[0]] is None if pd.isna(w) else abs(got[r[0]] - w) < 1e-12
 
 
-@pytest.mark.parametrize("chunk_rows", [None, 2])
+@pytest.mark.parametrize("chunk_rows", [250_000, 2])
 def test_elo_carries_over_between_leagues(spark, chunk_rows):
     from pitchline.operators.elo import elo_ratings
     rows = [(1, 0, "A", "B", 3, 0), (2, 0, "B", "C", 1, 1), (3, 1, "A", "D", 0, 1), (4, None, "D", "A", 2, 0), (5, 2, "X", None, 1, 0)]
