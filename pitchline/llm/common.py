@@ -3,7 +3,9 @@ global positions, word counts."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import wraps
+from inspect import signature
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -40,6 +42,41 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[col(c) for c in df.columns if c.lower() not in drop])
 
 
+def _texts(value) -> set[str]:
+    if isinstance(value, str):
+        return {value}
+    return set().union(*map(_texts, value)) if isinstance(value, (list, tuple)) else set()
+
+
+def shielded(*reads: str) -> Callable:
+    """Decorator of an operator on a table (its first argument): columns that the
+    operator neither reads (``reads`` and the names among its arguments) nor adds
+    pass through under names of their own, so that no internal column can meet
+    one of the user's.  A column named like one that is added is replaced."""
+
+    def decorate(fn):
+        @wraps(fn)
+        def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+            bound = signature(fn).bind(docs, *args, **kwargs)
+            bound.apply_defaults()
+            known = set(reads).union(*[_texts(v) for v in bound.arguments.values()])
+            away = {c: f"user column {i}" for i, c in enumerate(docs.columns) if c not in known}
+            back = {v: k for k, v in away.items()}
+            out = fn(docs.select(*[col(c).alias(away.get(c, c)) for c in docs.columns]), *args, **kwargs)
+            made = {c.lower() for c in out.columns if c not in back}
+            return out.select(*[col(c).alias(back.get(c, c)) for c in out.columns if c not in back or back[c].lower() not in made])
+        return run
+    return decorate
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with more marks before it if ``df`` has such a column."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name = "_" + name
+    return name
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` under the shared checkpoint folder and read it back: the
     lineage is cut, and a lost executor rereads files instead of recomputing."""

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitchline.llm.common import col, without
+from pitchline.llm.common import col, shielded, without
 
 ERROR_RATE = 0.06
 BLOCK_CHARS = 4 << 20          # characters of items that one scan looks for
@@ -69,10 +69,12 @@ def bits(item: str) -> dict[str, int]:
 
 
 class Matcher:
-    """Items (id, normalised text) compiled for scanning."""
+    """Items (id, normalised text) compiled for scanning.  Items and texts are
+    searched with a space before and after them, so that an occurrence begins and
+    ends with words; a word that is cut there costs an edit of the budget."""
 
     def __init__(self, items: list[tuple[int, str]], error_rate: float):
-        self.items = [(i, t, int(len(t) * error_rate), bits(t)) for i, t in items]
+        self.items = [(i, f" {t} ", int(len(t) * error_rate), bits(f" {t} ")) for i, t in items]
         self.scan = ahocorasick.Automaton()
         where: dict[str, list[tuple[int, int]]] = {}
         for k, (_, text, errors, _) in enumerate(self.items):
@@ -84,32 +86,46 @@ class Matcher:
             self.scan.make_automaton()
 
     def __call__(self, raw: str | None) -> list[dict]:
-        """Matches in one document: per item the best verified place."""
+        """Matches in one document: every verified place of every item; of places
+        that overlap the nearest, the first on ties."""
         text = normalised(raw)
         if not text or not self.items:
             return []
+        padded = f" {text} "
         starts: dict[int, set[int]] = {}
-        for last, (n, places) in self.scan.iter(text):
+        for last, (n, places) in self.scan.iter(padded):
             for k, at in places:
                 starts.setdefault(k, set()).add(last + 1 - n - at)
         found = []
         for k, at in starts.items():
             item, pattern, errors, peq = self.items[k]
-            best, until = None, -1
+            mine, until = [], -1
             for s in sorted(at):
                 if s + len(pattern) + errors <= until:      # inside the window that was searched
                     continue
                 begin = max(0, s - errors)
                 # neighbouring hits of the same occurrence share one window
                 until = s + len(pattern) + 2 * errors
-                distance, end = myers(peq, len(pattern), text[begin:until])
-                if distance <= errors and (best is None or distance < best["distance"]):
-                    best = {"item_id": item, "distance": distance, "begin": max(0, begin + end - len(pattern)), "end": begin + end}
-                    if not distance:
-                        break
-            if best:
-                found.append(best)
-        return sorted(found, key=lambda x: x["item_id"])
+                distance, end = myers(peq, len(pattern), padded[begin:until])
+                if distance > errors:
+                    continue
+                # without the spaces around it
+                first = max(0, begin + end - len(pattern))
+                place = {"item_id": item, "distance": distance, "begin": min(first, len(text)), "end": max(0, min(begin + end - 2, len(text)))}
+                if mine and place["begin"] < mine[-1]["end"]:
+                    mine[-1] = min(mine[-1], place, key=lambda p: p["distance"])
+                else:
+                    mine.append(place)
+            found += mine
+        return sorted(found, key=lambda x: (x["item_id"], x["begin"]))
+
+
+def item_members(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(item_id, representative) of every item with a text: items of one text are
+    searched as the one of the least id, which is the id that matches carry."""
+    rows = items.select(col(id_col).cast("long").alias("item_id"), col(text_col).cast("string").alias("text")).where("text is not null")
+    least = rows.groupBy("text").agg(F.min("item_id").alias("representative"))
+    return rows.join(least, "text").select("item_id", "representative")
 
 
 def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
@@ -150,14 +166,17 @@ def with_matches(docs: DataFrame, block: list[tuple[int, str]], out: str, text_c
     return without(docs, out).withColumn(out, search(col(text_col).cast("string")))
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", error_rate: float = ERROR_RATE) -> DataFrame:
-    """(id, item_id, distance, begin, end): every document with every item that
-    occurs in it with at most ``floor(length * error_rate)`` edits; begin and
-    end are characters of the normalised text.  Null and empty texts and items
-    match nothing; equal items are one (the least id); repeated documents each
-    give their rows.  No items: empty result."""
+def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", error_rate: float = ERROR_RATE,
+                 block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(id, item_id, distance, begin, end): every document with every place where
+    an item occurs in it with at most ``floor(length * error_rate)`` edits; begin
+    and end are characters of the normalised text.  An occurrence begins and ends
+    with words; a short item without a budget is found as whole words only.  Null
+    and empty texts and items match nothing; equal items are one (the least id,
+    ``item_members`` has the others); repeated documents each give their rows.  No
+    items: empty result."""
     base, result = docs.select(col(id_col).alias("id"), col(text_col).alias("text")), None
-    for block in item_blocks(items):
+    for block in item_blocks(items, block_chars=block_chars):
         rows = with_matches(base, block, "m", "text", error_rate).select(F.col("id").alias(id_col), F.explode("m").alias("m")).select(id_col, "m.*")
         result = rows if result is None else result.union(rows)
     if result is None:
@@ -165,6 +184,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     return result
 
 
+@shielded()
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", error_rate: float = ERROR_RATE) -> DataFrame:
     """``docs`` less the rows in which an item occurs."""
     names = docs.columns

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitchline.llm.common import col, lookup_join, without
+from pitchline.llm.common import col, lookup_join, shielded, without
 
 # Bounds of the training sample, per language: documents picked by hash,
 # characters of each and bytes kept.  Prediction reads whole texts.
@@ -182,6 +182,7 @@ def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 _PARSERS: dict[str, CrossParser] = {}
 
 
+@shielded()
 def identify(docs: DataFrame, samples: dict[str, bytes], text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (the winner's share of
     ``2 ** -bits`` over the languages).  ``und`` and 0 for a null text, one

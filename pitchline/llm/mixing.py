@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pitchline.llm.common import WORD, col, running_total_before, stored, with_position, without, word_count
+from pitchline.llm.common import WORD, col, running_total_before, shielded, stored, with_position, without, word_count
 
 OUT = ("size", "source_size", "target", "taken")
 KEY_DIGITS = 3          # 16 ** 3 ranges of each source
@@ -47,6 +47,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, cap
     return ranked.select("skey", "source_size", F.least(limit, F.lit(level) * F.col("w")).alias("target"))
 
 
+@shielded()
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0,
         id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs`` with ``size`` (words), ``source_size``, ``target`` and ``taken``
@@ -54,8 +55,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
 
     Each source's ``taken`` sums to ``floor(target)``: the document at the cut
     gives only its first words.  Null text: size 0, taken 0.  Null source: a
-    source of its own, last in order.  Null ids share one key.  Rows tied on
-    key and id are ordered by size and text hash; identical rows are
+    source of its own, last in order.  A null id gets its key from the text.  Rows
+    tied on key and id are ordered by size and text hash; identical rows are
     interchangeable.  Empty table: empty result.  Columns of ``docs`` named
     like an output are replaced, all others are kept.
     """
@@ -64,8 +65,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     d = d.withColumns({
         "size": word_count(col(text_col)),
         "__skey": F.when(src.isNull(), "t").otherwise(F.concat(F.lit("s"), src.cast("string"))),
-        "__key": F.md5(F.coalesce(col(id_col).cast("string"), F.lit("")).cast("binary")),
         "__tie": F.xxhash64(col(text_col))})
+    # null ids are spread by their texts
+    d = d.withColumn("__key", F.md5(F.coalesce(col(id_col).cast("string"), F.concat(F.lit("#"), F.col("__tie"))).cast("binary")))
     d = d.withColumn("__range", F.substring("__key", 1, KEY_DIGITS))
     sums = stored(d.groupBy(F.col("__skey").alias("skey"), F.col("__range").alias("rng"))
                   .agg(F.sum("size").alias("part")), "mix-sums")
@@ -88,6 +90,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     return j.select(*[col(c) for c in keep], *OUT)
 
 
+@shielded(*OUT)
 def copies(mixed: DataFrame, text_col: str = "text") -> DataFrame:
     """The mix as rows: a document once per whole epoch, plus, for the one
     document at each source's cut, its first words joined by single spaces.

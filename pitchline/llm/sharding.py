@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitchline.llm.common import col, stored, with_position, without
+from pitchline.llm.common import col, shielded, stored, with_position, without
 
 DIMS = (("lang", "text"), ("source", "text"), ("size", "log"), ("doc_id", "linear"))
 BITS = 8
@@ -112,6 +112,7 @@ def with_hilbert(df: DataFrame, out: str, dims: Sequence[tuple[str, str]] = DIMS
 OUT = ("size", "text_crc32", "law", "shard", "slot", "grown_shard", "hilbert")
 
 
+@shielded()
 def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``size`` (UTF-8 bytes of the text plus 8; null: 8) and
     ``text_crc32`` (unsigned; a null text counts as empty)."""
@@ -120,13 +121,15 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "size": F.octet_length(text).cast("long") + 8, "text_crc32": F.crc32(text.cast("binary"))})
 
 
+@shielded("size", "text_crc32")
 def hilbert_shards(rows: DataFrame, n_shards: int = 24, id_col: str = "doc_id",
                    dims: Sequence[tuple[str, str]] = DIMS, bits: int = BITS) -> DataFrame:
     """``measured`` rows with ``hilbert``, ``shard``, ``slot`` (gapless place in
     the shard), ``law`` = ``rows`` and ``grown_shard`` (null under this law).
 
     The order is (hilbert, text_crc32, id, size): equal texts of one cell are
-    neighbours, rows tied on all four are interchangeable.  Null dimensions
+    neighbours, rows tied on all four are interchangeable (the id is a dimension,
+    so equal texts of far ids lie in different shards).  Null dimensions
     sort first.  Empty table: empty result.  Columns named like an output are
     replaced, all others are kept.
     """

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from pitchline.llm.common import col, lookup_join, stored, without
+from pitchline.llm.common import col, lookup_join, shielded, stored, without
 from pitchline.llm.components import components
 
 GOLAY_POLY = 0xC75             # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
@@ -245,6 +245,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         (F.col("id").eqNullSafe(F.col("low.id")) & (F.col("text_hash") == F.col("low.text_hash"))).alias("stays"))
 
 
+@shielded()
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """``docs`` with one row of each component: that of the least id."""
     names = docs.columns

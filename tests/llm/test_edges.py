@@ -56,6 +56,21 @@ def test_edge_rows(spark, docs, name):
     assert len({c.lower() for c in out.columns}) == len(out.columns)
 
 
+CLASHING = ["__key", "__skey", "__RANGE", "__before", "__tie", "offset", "skey", "rng", "target2", "__pos", "__mid", "__lang", "__m", "__id", "__hash",
+            "id", "part", "rank", "w", "stays", "text_hash", "user column 3", "m", "l", "bin"]
+
+
+@pytest.mark.parametrize("name", ["language", "sharding", "decontamination", "one of each", "toxicity", "mixing", "mixed rows"])
+def test_clashing_columns_keep_their_values(spark, docs, name):
+    rows = docs.select("doc_id", "text", "lang", "source", "n_chars").where("doc_id is not null")
+    rows = rows.select("*", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in CLASHING])
+    out = ops(spark)[name](rows)
+    got = out.collect()
+    assert got and set(CLASHING) <= set(out.columns)
+    for c in CLASHING:
+        assert all(r[c] == f"{c}{r['doc_id']}" for r in got), c
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_empty_table(spark, docs, name):
     out = ops(spark)[name](docs.where("false"))

@@ -180,6 +180,33 @@ def test_every_item_within_the_budget_is_found():
         assert {m["item_id"]: m["distance"] for m in match(text)}.keys() == want.keys()
 
 
+def test_short_items_are_whole_words_and_all_places_come(spark):
+    docs = spark.createDataFrame([(1, "In her eyes."), (2, "Yes, she said: yes!"), (3, "yes")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "yes"), (5, "YES"), (9, None), (8, "no")], "item_id long, text string")
+    got = decontaminate.contaminated(docs, items).where("item_id = 7")
+    assert sorted((r["doc_id"], r["begin"], r["end"]) for r in got.collect()) == [(2, 0, 3), (2, 13, 16), (3, 0, 3)]
+    assert [r["doc_id"] for r in decontaminate.clean(docs, items).collect()] == [1]
+    pairs = decontaminate.item_members(spark.createDataFrame([(7, "a b"), (5, "a b"), (9, None), (8, "c")], "item_id long, text string")).collect()
+    assert sorted(map(tuple, pairs)) == [(5, 5), (7, 5), (8, 8)]
+
+
+def test_blocks_of_items_change_nothing(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(400)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 25)))) for i in range(30)]
+    texts = []
+    for i in range(60):
+        t = " ".join(rng.choice(words) for _ in range(60))
+        if i % 2:
+            t += " " + " ".join(w for j, w in enumerate(items[i % 30][1].split()) if j % 19 != 18) + " " + t[:50] + " " + items[i % 30][1]
+        texts.append((i, t))
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    it = spark.createDataFrame(items, "item_id long, text string")
+    one, many = (sorted(map(tuple, decontaminate.contaminated(d, it, block_chars=n).collect())) for n in (1 << 22, 200))
+    assert one == many and len({r[0] for r in one}) >= 30
+    assert len(list(decontaminate.item_blocks(it, block_chars=200))) > 5
+
+
 def test_contaminated_and_clean(spark):
     items = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog again"), (2, None), (3, ""), (4, "the quick brown fox jumps over the lazy dog again")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "So: THE QUICK, brown fox jumps over the lazy dog AGAIN!", "x"), (2, "nothing", "y"), (3, None, "z"), (4, "", "z")], "doc_id long, text string, m string")

@@ -63,8 +63,9 @@ def test_pipeline_equals_brute_force(spark, corpus):
     rows = list(best.values())
     # 4: every item searched in every document
     items = [decontaminate.normalised(r["text"]) for r in spark.read.parquet(f"{corpus}/benchmark.parquet").collect()]
-    found = [(decontaminate.bits(t), len(t), int(len(t) * decontaminate.ERROR_RATE)) for t in items if t]
-    rows = [r for r in rows if not any(decontaminate.myers(b, n, decontaminate.normalised(r["text"]))[0] <= e for b, n, e in found)]
+    # whole words: a space on both sides of item and text
+    found = [(decontaminate.bits(f" {t} "), len(t) + 2, int(len(t) * decontaminate.ERROR_RATE)) for t in items if t]
+    rows = [r for r in rows if not any(decontaminate.myers(b, n, f" {decontaminate.normalised(r['text'])} ")[0] <= e for b, n, e in found)]
     # 10: the mix of what is left, by its own SQL-checked query
     left = spark.createDataFrame([tuple(r.values()) for r in rows], docs.schema)
     want = mixing.copies(mixing.mix(left)).toPandas()
@@ -85,3 +86,14 @@ def test_stages_keep_the_columns(spark, corpus):
         out = stage(spark, docs, corpus)
         assert out.columns == docs.columns, name
         assert stage(spark, docs.where("false"), corpus).count() == 0
+
+
+def test_stages_let_clashing_columns_through(spark, corpus):
+    import corpus_pipeline as p
+    names = ["__key", "__skey", "__range", "__before", "__tie", "offset", "__pos", "__mid", "__score", "score", "__id", "__hash", "__m", "__n", "__whole", "__part", "__copy", "rank"]
+    docs = spark.read.parquet(f"{corpus}/documents.parquet").limit(80).selectExpr("*", *[f"concat('{n}', doc_id) as `{n}`" for n in names])
+    for name, stage in p.STAGES:
+        out = stage(spark, docs, corpus)
+        assert [c for c in out.columns if c in docs.columns] == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names), name
