@@ -2,7 +2,7 @@
 
 Each stage gets the rows that its predecessor kept, written as Parquet and
 read again, and returns the columns of ``documents``; the last one adds its
-shards.
+shards (a column of the input named like one of these is replaced).
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchline.llm.common import col, prepare, stored
+from pitchline.llm.common import col, free_name, prepare, stored
 from pitchline.llm.decontaminate import clean
 from pitchline.llm.mixing import copies, mix
 from pitchline.llm.sharding import hilbert_shards, measured
@@ -19,41 +19,47 @@ from pitchline.llm.toxicity import THRESHOLD, learned_rows, train, with_score
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the threshold."""
+    """Documents that score below the threshold; a null or empty text has the
+    model's base score and stays, equal texts have equal scores."""
     prepare(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = train(*learned_rows(docs, labels))
-    return with_score(docs, model, "__score").where(F.col("__score") < THRESHOLD).select(*[col(c) for c in docs.columns])
+    score = free_name(docs, "score")
+    return with_score(docs, model, score).where(F.col(score) < THRESHOLD).select(*[col(c) for c in docs.columns])
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each near-duplicate group."""
+    """The document of the least id of each near-duplicate group; texts without
+    words are one group, repeated rows are one, a null id comes last."""
     prepare(spark)
     return keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item."""
+    """Documents without a benchmark item; null and empty texts hold none."""
     prepare(spark)
     return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; the one at each source's cut
-    gives its first words only."""
+    gives its first words only.  Documents without words cost nothing and stay
+    once; a null source is a source of its own."""
     prepare(spark)
     return copies(mix(docs))
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows with their shard and place, in Hilbert order."""
+    """Rows with their shard and place, in Hilbert order; null dimensions first,
+    repeated rows side by side."""
     prepare(spark)
     return hilbert_shards(measured(docs))
 
 
 STAGES = [("toxicity", toxicity), ("simhash", simhash), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding)]
 
-# The classifier and XXH64 have no SQL; tests/llm/test_pipeline.py has a brute-force version.
+# The classifier and XXH64 have no SQL; tests/llm/test_queries.py has a brute-force version.
+# Empty tables give empty results, and further columns pass through every stage.
 ORACLE_SQL = None
 
 
