@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pitchline.llm.common import col
 
 # Licence sentences (normalised below) by identifier, the public
-# wording of each licence's notice.
+# wording of each licence's notice.  {} is a hole: a name, some words at most.
 SENTENCES = (
     ("ApacheShort", "Licensed under the Apache License, Version 2.0"),
     ("ApacheHead", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License'),
@@ -30,7 +30,32 @@ SENTENCES = (
     ("BSDHead", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("BSDSource", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
     ("BSDBinary", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"),
-    ("BSDEndorse", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("BSDEndorse", "Neither the name of {} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("BSDEndorse", "Neither the name of {} nor the names of any contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("BSDEndorse", "Neither the name of {} nor the names of contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("BSDEndorse", "The name of {} may not be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("BSDEndorseInc", "Neither the name of {}. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("BSDAsIs", 'THIS SOFTWARE IS PROVIDED BY {} "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED'),
+    ("ISCGrant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("ISCGrant", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("ZlibGrant", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain"),
+    ("Boost", "Distributed under the Boost Software License, Version 1.0"),
+    ("LGPL21Redist", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"),
+    ("LGPL3Redist", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("AGPL3Redist", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("EPL2", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0"),
+    ("EPL2", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v. 2.0 which is available at http://www.eclipse.org/legal/epl-2.0"),
+    ("CCZEROWaiver", "To the extent possible under law, {} has waived all copyright and related or neighboring rights to {}"),
+    ("SPDXMIT", "SPDX-License-Identifier: MIT"),
+    ("SPDXApache2", "SPDX-License-Identifier: Apache-2.0"),
+    ("SPDXBSD2", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("SPDXBSD3", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("SPDXGPL2", "SPDX-License-Identifier: GPL-2.0-only"),
+    ("SPDXGPL2Later", "SPDX-License-Identifier: GPL-2.0-or-later"),
+    ("SPDXGPL3Later", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    ("SPDXMPL2", "SPDX-License-Identifier: MPL-2.0"),
+    ("SPDXISC", "SPDX-License-Identifier: ISC"),
     ("GPL3Short", "This work is licensed under the GNU General Public License, version 3"),
     ("GPL3Short", "Licensed under the GNU General Public License, version 3"),
     ("GPL2Short", "Licensed under the GNU General Public License, version 2"),
@@ -54,8 +79,20 @@ RULES = (
     ("MIT", ("MITGrant", "MITNotice", "MITAsIs")),
     ("MIT", ("MITGrant", "MITNotice")),
     ("MIT", ("MITShort",)),
+    ("BSD-3-Clause", ("BSDHead", "BSDSource", "BSDBinary", "BSDEndorse", "BSDAsIs")),
     ("BSD-3-Clause", ("BSDHead", "BSDSource", "BSDBinary", "BSDEndorse")),
+    ("BSD-3-Clause", ("BSDHead", "BSDSource", "BSDBinary", "BSDEndorseInc", "BSDAsIs")),
+    ("BSD-3-Clause", ("BSDHead", "BSDSource", "BSDBinary", "BSDEndorseInc")),
+    ("BSD-2-Clause", ("BSDHead", "BSDSource", "BSDBinary", "BSDAsIs")),
     ("BSD-2-Clause", ("BSDHead", "BSDSource", "BSDBinary")),
+    ("ISC", ("ISCGrant",)),
+    ("Zlib", ("ZlibGrant",)),
+    ("Unlicense", ("Unlicense",)),
+    ("BSL-1.0", ("Boost",)),
+    ("LGPL-2.1-or-later", ("LGPL21Redist",)),
+    ("LGPL-3.0-or-later", ("LGPL3Redist",)),
+    ("AGPL-3.0-or-later", ("AGPL3Redist",)),
+    ("EPL-2.0", ("EPL2",)),
     ("GPL-3.0-or-later", ("GPL3Redist", "GPLHope")),
     ("GPL-3.0-or-later", ("GPL3Redist",)),
     ("GPL-2.0-or-later", ("GPL2Redist", "GPLHope")),
@@ -67,19 +104,30 @@ RULES = (
     ("CC-BY-SA-4.0", ("CCBYSA4",)),
     ("CC-BY-NC-4.0", ("CCBYNC4",)),
     ("CC0-1.0", ("CCZERO",)),
+    ("CC0-1.0", ("CCZEROWaiver",)),
+    ("MIT", ("SPDXMIT",)),
+    ("Apache-2.0", ("SPDXApache2",)),
+    ("BSD-2-Clause", ("SPDXBSD2",)),
+    ("BSD-3-Clause", ("SPDXBSD3",)),
+    ("GPL-2.0-only", ("SPDXGPL2",)),
+    ("GPL-2.0-or-later", ("SPDXGPL2Later",)),
+    ("GPL-3.0-or-later", ("SPDXGPL3Later",)),
+    ("MPL-2.0", ("SPDXMPL2",)),
+    ("ISC", ("SPDXISC",)),
     ("all-rights-reserved", ("Reserved",)),
 )
 
 UNKNOWN = "?"
 # A sentence ends at a line end or at . ! ? ; : before white space.  Lines are
-# joined first where the next one goes on in lower case (wrapped notices).
-WRAPPED = r"\r?\n[ \t]*([a-z(])"
+# joined first where the next one goes on in lower case or with a bracket (wrapped
+# notices); it may begin with comment marks.
 END = r"[\n\r]+|[.!?;:][ \t\n\r]+"
 OTHER = r"[^\p{L}\p{N}]+"
-# The next line of a wrapped notice may begin with comment marks.  List numbers
-# are no words of a sentence: alone they are dropped, before one they are cut.
 COMMENTED = r"\r?\n[ \t]*(?:(?:\*+|//+|#+|;+|%+|--+|>+|!+)[ \t]+)*([a-z(])"
+# List numbers are no words of a sentence: alone they are dropped, before one they
+# are cut.
 NUMBER = r"(?:[0-9]{1,2}|[a-z]|[ivx]{2,4})"
+HOLE, IN_HOLE = "xholex", r"[\p{L}\p{N} ]{1,100}"
 
 
 def normalised(sentence: str) -> str:
@@ -88,63 +136,74 @@ def normalised(sentence: str) -> str:
     return re.sub(r"[\W_]+", " ", sentence.lower()).strip()
 
 
-def keys(sentences=SENTENCES) -> dict[str, str]:
-    """Normalised sentences by text; a notice that itself holds a sentence end
-    (``; : .``) is known by its parts, each with the notice's identifier and
-    the part's number."""
+def parts_of(text: str) -> list[str]:
+    """Keys of the sentences of a notice; a hole is the word ``HOLE``."""
     import re
+    return [n for p in re.split(END, text.replace("{}", HOLE) + "\n") if (n := normalised(p))]
+
+
+def keys(sentences=SENTENCES) -> dict[str, str]:
+    """Identifier by key; a notice that itself holds a sentence end (``; : .``) is
+    known by its parts, each with the notice's identifier and the part's number.
+    A part that several notices share (GPL-2 and GPL-3 begin alike) has one."""
     out: dict[str, str] = {}
     for name, text in sentences:
-        parts = [normalised(p) for p in re.split(END, text + "\n") if normalised(p)]
+        parts = parts_of(text)
         for i, p in enumerate(parts):
             out[p] = name if len(parts) == 1 else f"{name}.{i + 1}"
     return out
 
 
-def rule_patterns(sentences=SENTENCES, rules=RULES) -> dict[str, str]:
-    """Licence by the identifier string of its rule, in order of the rules."""
-    parts: dict[str, int] = {}
-    for name in keys(sentences).values():
-        base, _, no = name.partition(".")
-        parts[base] = max(parts.get(base, 0), int(no or 0))
-    out: dict[str, str] = {}
-    for licence, ids in rules:
-        names = [f"<{i}>" if not parts.get(i) else "".join(f"<{i}.{n + 1}>" for n in range(parts[i])) for i in ids]
-        out.setdefault("".join(names), licence)
-    return out
+def templates(sentences=SENTENCES) -> list[tuple[str, str]]:
+    """(pattern, identifier) of the keys with holes, the longest first."""
+    known = [(k, v) for k, v in keys(sentences).items() if HOLE in k]
+    return [(f"^(?:{NUMBER} )?{k.replace(HOLE, IN_HOLE)}$", v) for k, v in sorted(known, key=lambda kv: -len(kv[0]))]
 
 
 def scan_patterns(sentences=SENTENCES, rules=RULES) -> dict[str, str]:
-    """``rule_patterns`` where a part that several notices share (GPL-2 and GPL-3
-    begin alike) stands under the one identifier that ``keys`` gives it."""
-    import re
-    known, shared = keys(sentences), {}
+    """Licence by the identifier string of its rule, longer rules of a licence
+    before shorter ones, otherwise in order of the rules."""
+    known, named = keys(sentences), {}
     for name, text in sentences:
-        parts = [normalised(p) for p in re.split(END, text + "\n") if normalised(p)]
-        for i, p in enumerate(parts):
-            if len(parts) > 1:
-                shared[f"<{name}.{i + 1}>"] = f"<{known[p]}>"
-    return {re.sub("<[^>]*>", lambda m: shared.get(m[0], m[0]), ids): licence for ids, licence in rule_patterns(sentences, rules).items()}
+        named.setdefault(name, []).append("".join(f"<{known[p]}>" for p in parts_of(text)))
+    out: dict[str, str] = {}
+    for licence, ids in rules:
+        strings = [""]
+        for i in ids:                                    # the wordings of one identifier may have different parts
+            strings = [a + b for a in strings for b in dict.fromkeys(named[i])]
+        for x in strings:
+            out.setdefault(x, licence)
+    return out
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences=SENTENCES, rules=RULES) -> DataFrame:
     """(id, licence, identifiers, occurrences): per row of ``docs`` each rule
     that matches its whole text and how often.
 
-    List numbers and the comment marks of wrapped lines belong to no sentence.
-    Null and empty texts match nothing.  Rows that share an id are scanned
-    each; equal rows give equal results.  Nothing is shuffled but the matches.
+    List numbers and the comment marks of wrapped lines belong to no sentence; a
+    hole of a sentence takes up to 100 characters of words.  Null and empty texts
+    match nothing.  Rows that share an id are scanned each; equal rows give equal
+    results.  Nothing is shuffled but the matches.
     """
-    known = keys(sentences)
-    patterns = scan_patterns(sentences, rules)
+    known = {k: v for k, v in keys(sentences).items() if HOLE not in k}
+    holed, patterns = templates(sentences), scan_patterns(sentences, rules)
     ids = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
     licences = F.create_map(*[F.lit(x) for kv in patterns.items() for x in kv])
     anyrule = "|".join(p.replace(".", r"\.") for p in patterns)
     text = F.regexp_replace(F.coalesce(col(text_col).cast("string"), F.lit("")), COMMENTED, " $1")
     clean = F.transform(F.split(text, END), lambda s: F.trim(F.regexp_replace(F.lower(s), OTHER, " ")))
+
+    def in_hole(s):
+        if not holed:
+            return F.lit(None).cast("string")
+        which = F.lit(None).cast("string")
+        for pattern, name in reversed(holed):
+            which = F.when(s.rlike(pattern), F.lit(name)).otherwise(which)
+        return F.when(s.rlike("|".join(p for p, _ in holed)), which)
+
     name = lambda s: F.coalesce(
         F.try_element_at(ids, s), F.when(s.rlike(f"^{NUMBER} "), F.try_element_at(ids, F.regexp_replace(s, f"^{NUMBER} ", ""))),
-        F.when(s.rlike(r"\p{L}") & ~s.rlike(f"^{NUMBER}$"), F.lit(UNKNOWN)))
+        in_hole(s), F.when(s.rlike(r"\p{L}") & ~s.rlike(f"^{NUMBER}$"), F.lit(UNKNOWN)))
     marks = F.transform(F.filter(F.transform(clean, name), lambda n: n.isNotNull()), lambda n: F.concat(F.lit("<"), n, F.lit(">")))
     d = docs.select(col(id_col).alias("id"), F.array_join(marks, "").alias("seq"))
     d = d.withColumn("hits", F.regexp_extract_all("seq", F.lit(f"({anyrule})"), F.lit(1))).where(F.size("hits") > 0)
@@ -158,20 +217,26 @@ def op5_license_rules(spark, sf_dir):
 
 
 def _sql() -> str:
+    """The same sentences and rules as joins: exact keys, keys behind a list
+    number, holes, then unknown; pieces without a letter go."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    known = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in keys().items())
-    patterns = rule_patterns()
+    known = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in keys().items() if HOLE not in k)
+    patterns = scan_patterns()
     licences = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in patterns.items())
     anyrule = "|".join(p.replace(".", r"\.") for p in patterns)
+    holes = " ".join(f"WHEN regexp_matches(n.s, {quote(p)}) THEN {quote(v)}" for p, v in templates())
     return rf"""
 WITH known(s, name) AS (VALUES {known}),
 rules(identifiers, licence) AS (VALUES {licences}),
-d AS (SELECT row_number() OVER () AS r, doc_id, regexp_replace(coalesce(text, ''), '{WRAPPED}', ' \1', 'g') AS t FROM documents),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_replace(coalesce(text, ''), '{COMMENTED}', ' \1', 'g') AS t FROM documents),
 s AS (SELECT r, doc_id, unnest(string_split_regex(t, '{END}')) AS raw, generate_subscripts(string_split_regex(t, '{END}'), 1) AS i FROM d),
 n AS (SELECT r, doc_id, i, trim(regexp_replace(lower(raw), '{OTHER}', ' ', 'g')) AS s FROM s),
-m AS (SELECT r, doc_id, string_agg(concat('<', coalesce(name, '{UNKNOWN}'), '>'), '' ORDER BY i) AS seq
-      FROM n LEFT JOIN known USING (s) WHERE s <> '' GROUP BY r, doc_id),
-h AS (SELECT r, doc_id, unnest(regexp_extract_all(seq, '({anyrule})')) AS identifiers FROM m)
+m AS (SELECT r, doc_id, i, coalesce(a.name, b.name, CASE {holes} END,
+        CASE WHEN regexp_matches(n.s, '\p{{L}}') AND NOT regexp_full_match(n.s, '{NUMBER}') THEN '{UNKNOWN}' END) AS name
+      FROM n LEFT JOIN known a ON a.s = n.s
+      LEFT JOIN known b ON regexp_matches(n.s, '^{NUMBER} ') AND b.s = regexp_replace(n.s, '^{NUMBER} ', '')),
+q AS (SELECT r, doc_id, string_agg(concat('<', name, '>'), '' ORDER BY i) AS seq FROM m WHERE name IS NOT NULL GROUP BY r, doc_id),
+h AS (SELECT r, doc_id, unnest(regexp_extract_all(seq, '({anyrule})')) AS identifiers FROM q)
 SELECT doc_id, licence, identifiers, CAST(count(*) AS BIGINT) AS occurrences
 FROM h JOIN rules USING (identifiers) GROUP BY r, doc_id, licence, identifiers
 """

@@ -277,6 +277,41 @@ def test_numbered_and_commented_notices(spark):
     assert found == want, set(want) - set(found)
 
 
+def published_notices() -> list[tuple[str, str]]:
+    bsd = BSD.replace("of the copyright holder", "of {name}")
+    asis = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER BE LIABLE."""
+    out = [(bsd.replace("{}", n).replace("{name}", who) + tail, "BSD-3-Clause") for who in ("Example Inc.", "the University of Somewhere", "Zoë Müller", "3D Labs, Ltd.")
+           for n, tail in (("* ", ""), ("- ", "\n\n" + " ".join(asis.split())))]
+    two = BSD.replace("{}", "* ").split("* Neither")[0]
+    out += [(two, "BSD-2-Clause"), (two + "\n" + " ".join(asis.split()), "BSD-2-Clause")]
+    out += [("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.", "ISC"),
+            ("This is free and unencumbered software released into the public domain.", "Unlicense"),
+            ("Distributed under the Boost Software License, Version 1.0. (See accompanying file)", "BSL-1.0"),
+            (GPL2.replace("This program", "This library").replace("GNU General", "GNU Lesser General").replace("version 2", "version 2.1"), "LGPL-2.1-or-later"),
+            (GPL3.replace("GNU General", "GNU Lesser General"), "LGPL-3.0-or-later"), (GPL3.replace("GNU General", "GNU Affero General"), "AGPL-3.0-or-later"),
+            ("To the extent possible under law, Ana Prieto has waived all copyright and\nrelated or neighboring rights to this work.", "CC0-1.0"),
+            ("Permission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:", "Zlib")]
+    return out + [(f"// SPDX-License-Identifier: {x}\n", x) for x in ("MIT", "Apache-2.0", "BSD-3-Clause", "GPL-2.0-only", "MPL-2.0", "ISC")] + [(MIT, "MIT"), (MPL, "MPL-2.0")]
+
+
+def test_published_notices_and_their_sql(spark, tmp_path):
+    import duckdb
+    notices = published_notices()
+    assert len(notices) >= 20
+    rows = [(i, f"Copyright (c) 2020 Somebody\n\n{t}\n\nint main() {{ return 0; }}") for i, (t, _) in enumerate(notices)]
+    rows += [(1000, None), (1001, ""), (1002, "Neither the name of the game nor the rules.\n1.\n2. Licensed under CC BY 4.0."), (1003, notices[0][0].replace("Neither", "Never"))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, licenses.scan(d).collect()))
+    assert [(r[0], r[1]) for r in got if r[0] < 1000] == [(i, licence) for i, (_, licence) in enumerate(notices)]
+    d.write.parquet(str(tmp_path / "documents"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents/*.parquet')")
+    assert sorted(con.sql(licenses.OP5_SQL).fetchall()) == got
+
+
 # --- 6 passages -----------------------------------------------------------------------
 
 def test_chain_equals_quadratic_search():
