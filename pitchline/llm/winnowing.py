@@ -1,7 +1,7 @@
 """Document fingerprints by winnowing, with DataFrame functions only.
 
-A text is a sequence of tokens (words; letters of scripts without spaces are
-tokens of their own).  Every run of ``K`` tokens has a rolling polynomial hash
+A text is a sequence of tokens (words, in pieces of ``PIECE`` characters; letters
+of scripts without spaces are tokens of their own).  Every run of ``K`` tokens has a rolling polynomial hash
 of its tokens' hashes, and of every window of ``WINDOW`` successive hashes the
 least is kept, the rightmost one on ties, with its position (Schleimer,
 Wilkerson and Aiken, 2003).  Two texts that share ``K + WINDOW - 1`` tokens in
@@ -19,11 +19,12 @@ from pitchline.llm.common import col, without
 
 K = 4
 WINDOW = 8
+PIECE = 16              # characters of a token at most: longer words are cut
 # Base and modulus of the rolling hash.
 BASE = 1_000_003
 MOD = (1 << 31) - 1
 _LONE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}"
-TOKEN = rf"[{_LONE}]|[^\x20\x09-\x0D{_LONE}]+"
+TOKEN = rf"[{_LONE}]|[^\x20\x09-\x0D{_LONE}]{{1,{PIECE}}}"
 _LAST = (1 << 31) - 1          # positions count down from here, so that the least value is the rightmost
 
 
@@ -154,7 +155,7 @@ x AS (SELECT *, length(text) AS n,
 e AS (SELECT *, concat(substr(text, 1, n - n // 2), substr(nx, 1, n // 2)) AS ed FROM x),
 v AS (SELECT doc_id, 't' AS kind, text AS s FROM e UNION ALL SELECT doc_id, 'e', ed FROM e),
 tok AS (SELECT doc_id, kind, list_transform(
-  regexp_extract_all(s, '[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]|[^\x20\x09-\x0D\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]+'),
+  regexp_extract_all(s, '[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]|[^\x20\x09-\x0D\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]{1,16}'),
   lambda t: CAST(concat('0x', substr(md5(t), 1, 7)) AS BIGINT)) AS a FROM v),
 grams AS (SELECT doc_id, kind, list_transform(range(CASE WHEN len(a) = 0 THEN 0 ELSE greatest(len(a) - 3, 1) END), lambda i:
   (list_reduce(list_concat([CAST(0 AS BIGINT)], a[i + 1:i + 4]), lambda p, q: (p * 1000003 + q) % 2147483647)) * 4294967296 + (2147483647 - i)) AS b FROM tok),

@@ -560,3 +560,11 @@ def test_mix_reaches_each_target_exactly(spark):
     key = ["doc_id", "size", "taken"]
     pd.testing.assert_frame_equal(got[key].sort_values(key).reset_index(drop=True), again[key].sort_values(key).reset_index(drop=True))
     assert mixing.mix(docs.where("false")).count() == 0
+
+
+def test_text_without_spaces_keeps_half_its_fingerprint(spark):
+    rng = random.Random(2)
+    long = ["".join(rng.choice("0123456789abcdef") for _ in range(4000)) for _ in range(3)]
+    d = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")
+    for r in winnowing.fingerprints(d).collect():
+        assert 0.4 < r["near_edited"] < 0.6 and r["near_next"] == 0
