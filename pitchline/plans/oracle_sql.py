@@ -720,6 +720,22 @@ def feature_subset_sql() -> str:
     return f"WITH {M}, {HT_SQL.strip()} SELECT match_id, {cols} FROM ht"
 
 
+def feature_subset_modes_sql() -> str:
+    from pitchline.operators.prep import CORE_FEATURES, FEATURES_TO_DROP
+    from pitchline.sources.training import TABLE_COLUMNS
+    have = [c for c in TABLE_COLUMNS if c != "ht_result"] + ["ht_result_encoded"]
+    modes = {"aggressive": [c for c in have if c in CORE_FEATURES], "conservative": [c for c in have if c not in FEATURES_TO_DROP],
+             "minimal": [c for c in have if c != "ht_result_encoded"], "none": have}
+    rows = [f"SELECT '{m}' AS mode, '{c}' AS feature, count({qi(c) if c != 'ht_result_encoded' else 'ht_result'}) AS filled FROM ht" for m, cs in modes.items() for c in cs]
+    return f"WITH {M}, {HT_SQL.strip()} " + " UNION ALL ".join(rows)
+
+
+def skeleton_date_columns_sql() -> str:
+    rows = " UNION ALL ".join(f"SELECT '{c}' AS league, * FROM t" for c in ("match_date", "match_datetime_utc", "kickoff_utc", "datetime_utc"))
+    return f"""WITH {M}, t AS (SELECT season, {d10('kickoff', 'match_date')}, home_team AS team_name FROM m WHERE kickoff IS NOT NULL
+  UNION SELECT season, {d10('kickoff', 'match_date')}, away_team FROM m WHERE kickoff IS NOT NULL) {rows}"""
+
+
 def impute_sql(strategy: str) -> str:
     if strategy == "median":
         fill = lambda c: f"(SELECT median({qi(c)}) FROM hx WHERE split = 'train')"

@@ -432,6 +432,35 @@ def q_feature_subset(spark, sf_dir):
     return finish(clean_features(halftime_table(spark, sf_dir), "aggressive", keep=["match_id"]))
 
 
+@register("feature_subset_modes", osql.feature_subset_modes_sql)
+def q_feature_subset_modes(spark, sf_dir):
+    """Columns that each mode keeps, with their filled values."""
+    from pyspark.sql import functions as F
+    from pitchline.operators.prep import clean_features, encode_ht_result
+    from pitchline.sources.training import halftime_table
+    x, out = encode_ht_result(halftime_table(spark, sf_dir)), None
+    for mode in ("aggressive", "conservative", "minimal", "none"):
+        kept = clean_features(x, mode)
+        one = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"n{i}").alias("filled")) for i, c in enumerate(kept.columns)])).alias("f")
+        part = kept.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(kept.columns)]).select(F.lit(mode).alias("mode"), one).select("mode", "f.*")
+        out = part if out is None else out.unionByName(part)
+    return finish(out)
+
+
+@register("skeleton_date_columns", osql.skeleton_date_columns_sql)
+def q_skeleton_date_columns(spark, sf_dir):
+    """P5: a master table dates its matches by the first of the known columns
+    that it has, whatever comes after it."""
+    from pyspark.sql import functions as F
+    from pitchline.operators.entity import SKELETON_DATE_COLUMNS, team_match_skeleton
+    m, out = matches(spark, sf_dir).select("season", "home_team", "away_team", "kickoff"), None
+    for i, name in enumerate(SKELETON_DATE_COLUMNS):
+        later = [F.timestamp_add("DAY", F.lit(j + 1), F.col("kickoff")).alias(c) for j, c in enumerate(SKELETON_DATE_COLUMNS[i + 1:])]
+        part = team_match_skeleton(m.select("season", "home_team", "away_team", *reversed(later), F.col("kickoff").alias(name)), league_label=name)
+        out = part if out is None else out.unionByName(part)
+    return finish(out)
+
+
 def _impute(strategy):
     def q(spark, sf_dir):
         """A4 with fill values of the training split."""

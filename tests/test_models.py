@@ -60,3 +60,14 @@ def test_failed_models_are_rows(spark, separable):
     preds, _, status = compare_models(separable, {"test": separable}, FEATURES, ["naive_bayes", "logistic_regression"], params={"logistic_regression": {"C": 0}})
     assert [r["model"] for r in preds.select("model").distinct().collect()] == ["naive_bayes"]
     assert {r["model"]: r["stage"] for r in status.collect()} == {"naive_bayes": "done", "logistic_regression": "fit"}
+
+
+def test_model_info():
+    import json
+
+    from pitchline.operators.models import MODEL_PARAMS, MODEL_TYPES, model_info
+    for kind in MODEL_TYPES:
+        info = model_info(kind, FEATURES, {"extra": 1})
+        assert info["model_type"] == kind and info["n_features"] == 2 and info["feature_names"] == FEATURES
+        assert set(json.loads(info["params"])) == set(MODEL_PARAMS[kind]) | {"extra"}
+        assert info["uses_scaler"] == (kind in ("svm", "fnn", "logistic_regression", "naive_bayes"))
