@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pitchline.session import ensure_checkpoint_dir, scratch_path, ship_package
+from pitchline.session import ensure_checkpoint_dir, remove_scratch, scratch_path, ship_package
 
 # A word is a maximal run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -82,7 +82,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     lineage is cut, and a lost executor rereads files instead of recomputing."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_table = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove ``stored`` tables that nothing reads any more."""
+    for t in tables:
+        remove_scratch(t.sparkSession, t.scratch_table)
 
 
 def word_count(text: Column) -> Column:

@@ -104,7 +104,7 @@ def with_hilbert(df: DataFrame, out: str, dims: Sequence[tuple[str, str]] = DIMS
         if not len(cells):
             return pd.Series([], dtype="int64")
         a = np.stack(cells.to_numpy()).T
-        return pd.Series(hilbert_index(np.stack([t[x] for t, x in zip(tables, a)]), bits))
+        return pd.Series(hilbert_index(np.stack([t[np.clip(x, 0, len(t) - 1)] for t, x in zip(tables, a)]), bits))
 
     return df.withColumn(out, index(F.array(*bins)))
 

@@ -73,25 +73,25 @@ def counterfactuals(text: str, groups=IDENTITY_GROUPS) -> Iterator[str]:
                 yield "".join(swap.sub(other, s) if t in s.lower() else s for s in _SENTENCE.findall(text))
 
 
-def _matrix(rows: list[dict[str, int]], at: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+def _matrix(texts: list[str], at: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """(row, feature) index pairs of the features that are kept."""
-    pairs = [(i, at[f]) for i, r in enumerate(rows) for f in r if f in at]
-    a = np.array(pairs, dtype=np.int64).reshape(-1, 2)
-    return a[:, 0], a[:, 1]
+    kept = [np.array([at[f] for f in features(t) if f in at], dtype=np.int32) for t in texts]
+    return np.repeat(np.arange(len(kept)), [len(k) for k in kept]), np.concatenate(kept)
 
 
 def fit(texts: list[str], labels: np.ndarray, groups=IDENTITY_GROUPS, n_features: int = FEATURES,
         swap_weight: float = SWAP_WEIGHT, l2: float = L2, steps: int = 400) -> dict[str, float]:
     """Weights by feature, the intercept under the empty name.  Classes weigh
-    the same.  Without both labels the score is constant."""
+    the same.  Without both labels the score is constant.  The features of a text
+    are made anew where they are needed: only counts per feature, and index arrays
+    of the features that are kept, stay in memory."""
     y = labels.astype(float)
-    rows = [features(t) for t in texts]
     n1, n0 = y.sum(), (1 - y).sum()
     if not n1 or not n0:
         return {"": 4.0 if n1 else -4.0}
     seen = (Counter(), Counter())
-    for r, label in zip(rows, labels):
-        seen[int(label)].update(r.keys())
+    for t, label in zip(texts, labels):
+        seen[int(label)].update(features(t).keys())
     # how far apart the labels' rates are, in standard errors
     def gap(f):
         a, b = seen[1][f], seen[0][f]
@@ -102,11 +102,14 @@ def fit(texts: list[str], labels: np.ndarray, groups=IDENTITY_GROUPS, n_features
     kept = often[:n_features]
     kept += sorted(f for f in set(often[n_features:]) & terms)
     at = {f: i for i, f in enumerate(kept)}
-    ri, fi = _matrix(rows, at)
+    seen = ()
+    ri, fi = _matrix(texts, at)
     # each swap: the features that a document gains (+1) and loses (-1)
     si, sf, sv, n_swaps = [], [], [], 0
-    for text, r in zip(texts, rows):
+    for text in texts:
+        r = None
         for other in counterfactuals(text, groups):
+            r = features(text) if r is None else r
             o = features(other)
             for f, sign in [(f, 1.0) for f in o if f not in r] + [(f, -1.0) for f in r if f not in o]:
                 if f in at:

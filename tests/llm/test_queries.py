@@ -20,6 +20,34 @@ def test_query_equals_sql(spark, sf_small, name):
     pd.testing.assert_frame_equal(normalise(got), normalise(want))
 
 
+def test_toxicity_query_equals_plain_scores(spark, sf_small):
+    """Every weight added up by hand for each feature that a text shows."""
+    import math
+    import zlib
+    docs, labels = (spark.read.parquet(f"{sf_small}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(*toxicity.learned_rows(docs, labels))
+    assert len(model) > 20
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.select("doc_id", "text").collect()}
+    got = QUERIES["op7_counterfactual_toxicity"](spark, sf_small).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(texts)
+    for r in got:
+        words, word = [], ""
+        for c in texts[r["doc_id"]].lower() + " ":
+            if c.isalnum() and not c.isnumeric():
+                word += c
+            else:
+                words, word = words + [word] * bool(word), ""
+        z = model[""]
+        for feature, weight in model.items():
+            kind, name = feature[:1], feature[2:]
+            times = sum(w == name if kind == "w" else w.startswith(name) and len(w) > len(name) for w in words)
+            z += weight * (name != "" and times >= (toxicity.OFTEN if kind == "o" else 1))
+        score = 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+        assert r["score"] == pytest.approx(score, abs=1e-9)
+        assert r["predicted"] == int(r["score"] >= 0.7)
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+
+
 def test_one_query_for_each_operator():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
@@ -91,9 +119,19 @@ def test_stages_keep_the_columns(spark, corpus):
 def test_stages_let_clashing_columns_through(spark, corpus):
     import corpus_pipeline as p
     names = ["__key", "__skey", "__range", "__before", "__tie", "offset", "__pos", "__mid", "__score", "score", "__id", "__hash", "__m", "__n", "__whole", "__part", "__copy", "rank"]
-    docs = spark.read.parquet(f"{corpus}/documents.parquet").limit(80).selectExpr("*", *[f"concat('{n}', doc_id) as `{n}`" for n in names])
+    docs = spark.read.parquet(f"{corpus}/documents.parquet").where("doc_id < 80").selectExpr("*", *[f"concat('{n}', doc_id) as `{n}`" for n in names])
     for name, stage in p.STAGES:
         out = stage(spark, docs, corpus)
         assert [c for c in out.columns if c in docs.columns] == docs.columns, name
         rows = out.collect()
         assert rows and all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names), name
+
+
+def test_the_pipeline_leaves_its_result_only(spark, corpus):
+    import corpus_pipeline as p
+    from pitchline.session import ensure_checkpoint_dir
+    folder = ensure_checkpoint_dir(spark)
+    before = set(os.listdir(folder))
+    out = p.run(spark, corpus)
+    left = [f for f in set(os.listdir(folder)) - before if not f.startswith(".") and "-" in f and not f.startswith("rdd")]
+    assert [f.rsplit("-", 1)[0] for f in left] == ["pipeline-sharding"] and out.count() > 0
