@@ -16,6 +16,7 @@ from pitchline.llm.mixing import copies, mix
 from pitchline.llm.sharding import hilbert_shards, measured
 from pitchline.llm.simhash import keep_one
 from pitchline.llm.toxicity import THRESHOLD, learned_rows, train, with_score
+from pitchline.session import scratch_scope
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,8 +65,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``.  What a stage keeps between its steps, and
+    its predecessor's result, are removed once its own result is written."""
     prepare(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch_scope(spark) as made:
+            docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            made.remove(docs.scratch_table)
+            made.extend([last] if last else [])
+        last = docs.scratch_table
     return docs

@@ -4,3 +4,12 @@ def test_entry_smoke(spark):
     assert df.count() > 0
     assert "form_pts_diff_5" in df.columns
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_core_queries_survive_a_missing_optional_module():
+    import os
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; q = e.queries(); assert 'match_features' in q and len(q) > 100; assert set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
