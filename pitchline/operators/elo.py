@@ -116,19 +116,21 @@ def _chunked(narrow: DataFrame, chunk_rows: int, k, home_adv, skip_unplayed) ->
             .select("match_id", "home_elo_pre", "away_elo_pre", "elo_diff_pre", "elo_home_win_prob_pre"))
 
 
-def _with_group(narrow: DataFrame, league_col: str) -> DataFrame:
-    """Add ``g``, the set of teams that a match belongs to: never NULL."""
+def _with_group(narrow: DataFrame, league_col: str) -> tuple[DataFrame, int]:
+    """Add ``g``, the set of teams that a match belongs to: never NULL; and the
+    number of matches."""
     home, away = F.col("home_team").cast("string"), F.col("away_team").cast("string")
     # a missing team is one team named "None", as in the fold
     narrow = narrow.withColumns({"home_team": F.coalesce(home, F.lit("None")), "away_team": F.coalesce(away, F.lit("None"))})
     sides = narrow.select(F.coalesce(F.col(league_col).cast("string"), F.lit("")).alias("league"),
                           F.explode(F.array("home_team", "away_team")).alias("team"))
-    crossing = sides.groupBy("team").agg(F.min("league").alias("a"), F.max("league").alias("b")).where("a <> b")
-    if crossing.isEmpty():
-        return narrow.withColumn("g", F.coalesce(F.col(league_col).cast("string"), F.lit("")))
+    teams = sides.groupBy("team").agg(F.min("league").alias("a"), F.max("league").alias("b"), F.count(F.lit(1)).alias("n"))
+    seen = teams.agg(F.count_if(F.col("a") != F.col("b")).alias("crossing"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).head()
+    if not seen["crossing"]:
+        return narrow.withColumn("g", F.coalesce(F.col(league_col).cast("string"), F.lit(""))), seen["n"] // 2
     from pitchline.operators.graph import components
     sets = components(narrow.select("home_team", "away_team").distinct(), "home_team", "away_team")
-    return narrow.join(sets.select(F.col("node").alias("home_team"), F.col("label").alias("g")), "home_team")
+    return narrow.join(sets.select(F.col("node").alias("home_team"), F.col("label").alias("g")), "home_team"), seen["n"] // 2
 
 
 def elo_ratings(m: DataFrame, k: float = ELO_K, home_adv: float = ELO_HOME_ADV,
@@ -141,9 +143,10 @@ def elo_ratings(m: DataFrame, k: float = ELO_K, home_adv: float = ELO_HOME_ADV,
                       "home_team", "away_team",
                       F.col("home_goals").cast("double").alias("home_goals"),
                       F.col("away_goals").cast("double").alias("away_goals"))
-    narrow = _with_group(narrow, league_col).drop(league_col)
-    largest = narrow.groupBy("g").count().agg(F.max("count")).head()[0] or 0
-    if largest > chunk_rows:
+    narrow, n = _with_group(narrow, league_col)
+    narrow = narrow.drop(league_col)
+    # no set is larger than the table
+    if n > chunk_rows and narrow.groupBy("g").count().agg(F.max("count")).head()[0] > chunk_rows:
         return _chunked(narrow, chunk_rows, k, home_adv, skip_unplayed)
     return narrow.groupBy("g").applyInPandas(_fold(k, home_adv, skip_unplayed), _OUT_SCHEMA)
 

@@ -100,7 +100,7 @@ def vector(features: Sequence[str], center=None, scale=None) -> Column:
 
 def row_id(df: DataFrame, id_col: str | None, features: Sequence[str]) -> Column:
     if id_col in df.columns:
-        return F.coalesce(F.col(id_col).cast("long"), F.xxhash64(*[q(c) for c in features]))
+        return F.coalesce(F.col(id_col).try_cast("long"), F.xxhash64(*[q(c) for c in features]))
     return F.xxhash64(*[q(c) for c in features])
 
 

@@ -7,6 +7,7 @@ import datetime as _dt
 import json
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +21,16 @@ class CorruptTable(ValueError):
     pass
 
 
+class InputNotFound(AnalysisException, FileNotFoundError):
+    """Raised before any job: the error that Spark itself would raise later."""
+
+    def __init__(self, path: str):
+        AnalysisException.__init__(self, message=f"input path not found: {path}")
+
+    def __str__(self) -> str:
+        return self._message
+
+
 def _file_system(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -29,7 +40,7 @@ def ensure_path(spark: SparkSession, path: str) -> str:
     """Raise before any job when nothing is at ``path`` (patterns allowed)."""
     where, fs = _file_system(spark, path)
     if not fs.globStatus(where):
-        raise FileNotFoundError(f"input path not found: {path}")
+        raise InputNotFound(path)
     return path
 
 

@@ -306,13 +306,11 @@ def test_segmented_paths_keep_rows_without_team(spark, sf_small):
 
 def test_population_scaling_of_pipelines(spark):
     import numpy as np
-    from pyspark.ml import PipelineModel
-    from pyspark.ml.functions import vector_to_array
     from pitchline.operators.models import fit, scaler
     df = spark.range(40).select("id", F.col("id").cast("double").alias("x"), F.lit(3.0).alias("c"),
                                 F.when(F.col("id") % 3 == 0, "H").when(F.col("id") % 3 == 1, "D").otherwise("A").alias("target_match_result"))
     model = fit(df, ["x", "c"], "logistic_regression")
-    v = PipelineModel(model.stages[:3]).transform(df).orderBy("id").select(vector_to_array("features").alias("v")).toPandas().v
+    v = df.orderBy("id").select(model.inputs().alias("v")).toPandas().v
     own = scaler(df, ["x", "c"])(df, ["id"]).orderBy("id").toPandas()
     np.testing.assert_allclose(np.stack(v)[:, 0], own.x, atol=1e-12)
     assert (own.c == 0).all() and abs(own.x.std(ddof=0) - 1) < 1e-12
