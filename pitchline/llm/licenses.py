@@ -224,17 +224,32 @@ def _sql() -> str:
     patterns = scan_patterns()
     licences = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in patterns.items())
     anyrule = "|".join(p.replace(".", r"\.") for p in patterns)
-    holes = " ".join(f"WHEN regexp_matches(n.s, {quote(p)}) THEN {quote(v)}" for p, v in templates())
+
+    def in_hole(key: str) -> str:
+        """Condition on x: the words around its holes, and the holes' lengths."""
+        first, *rest = key.split(HOLE)
+        if len(rest) == 1:
+            size = len(first) + len(rest[0])
+            return f"starts_with(x, {quote(first)}) AND ends_with(x, {quote(rest[0])}) AND length(x) BETWEEN {size + 1} AND {size + 100}"
+        middle, last = rest                              # two holes at most
+        at = f"instr(x, {quote(middle)})"
+        return (f"starts_with(x, {quote(first)}) AND ends_with(x, {quote(last)}) AND {at} BETWEEN {len(first) + 2} AND {len(first) + 101} "
+                f"AND length(x) - {at} BETWEEN {len(middle) + len(last)} AND {len(middle) + len(last) + 99}")
+
+    held = sorted(((k, v) for k, v in keys().items() if HOLE in k), key=lambda kv: -len(kv[0]))
+    holes = " ".join(f"WHEN {in_hole(k)} THEN {quote(v)}" for k, v in held)
     return rf"""
 WITH known(s, name) AS (VALUES {known}),
 rules(identifiers, licence) AS (VALUES {licences}),
 d AS (SELECT row_number() OVER () AS r, doc_id, regexp_replace(coalesce(text, ''), '{COMMENTED}', ' \1', 'g') AS t FROM documents),
-s AS (SELECT r, doc_id, unnest(string_split_regex(t, '{END}')) AS raw, generate_subscripts(string_split_regex(t, '{END}'), 1) AS i FROM d),
-n AS (SELECT r, doc_id, i, trim(regexp_replace(lower(raw), '{OTHER}', ' ', 'g')) AS s FROM s),
+p AS MATERIALIZED (SELECT r, doc_id, string_split_regex(t, '{END}') AS parts FROM d),
+s AS (SELECT r, doc_id, unnest(parts) AS raw, generate_subscripts(parts, 1) AS i FROM p),
+n0 AS (SELECT r, doc_id, i, trim(regexp_replace(lower(raw), '{OTHER}', ' ', 'g')) AS s FROM s),
+n AS MATERIALIZED (SELECT *, CASE WHEN regexp_matches(s, '^{NUMBER} ') THEN regexp_replace(s, '^{NUMBER} ', '') ELSE s END AS x FROM n0),
 m AS (SELECT r, doc_id, i, coalesce(a.name, b.name, CASE {holes} END,
         CASE WHEN regexp_matches(n.s, '\p{{L}}') AND NOT regexp_full_match(n.s, '{NUMBER}') THEN '{UNKNOWN}' END) AS name
       FROM n LEFT JOIN known a ON a.s = n.s
-      LEFT JOIN known b ON regexp_matches(n.s, '^{NUMBER} ') AND b.s = regexp_replace(n.s, '^{NUMBER} ', '')),
+      LEFT JOIN known b ON b.s = n.x),
 q AS (SELECT r, doc_id, string_agg(concat('<', name, '>'), '' ORDER BY i) AS seq FROM m WHERE name IS NOT NULL GROUP BY r, doc_id),
 h AS (SELECT r, doc_id, unnest(regexp_extract_all(seq, '({anyrule})')) AS identifiers FROM q)
 SELECT doc_id, licence, identifiers, CAST(count(*) AS BIGINT) AS occurrences
