@@ -377,6 +377,88 @@ def test_passages_recall_of_planted_edits(spark, identity):
     assert recall >= 0.95
 
 
+def edits(kind: str, rng: random.Random, body: list[str], identity: float) -> list[str]:
+    """``body`` with random edits of one kind, or substitutions at even distances."""
+    n, out = len(body), list(body)
+    count = round(n * (1 - identity))
+    places = sorted((range(n // (2 * count), n, -(-n // count)) if kind == "spaced" else rng.sample(range(n), count)), reverse=True)
+    for at in places:
+        out[at:at + 1] = {"insert": [out[at], f"new{at}"], "delete": []}.get(kind, [f"changed{at}"])
+    return out
+
+
+@pytest.mark.parametrize("kind,identity", [("insert", 0.85), ("insert", 0.95), ("delete", 0.85), ("delete", 0.95), ("spaced", 0.85), ("spaced", 0.9), ("spaced", 0.95)])
+def test_passages_recall_of_other_edits(spark, kind, identity):
+    rng = random.Random(12)
+    pairs, rows = 60, []
+    for i in range(pairs):
+        body = prose(rng, 70)
+        for n, part in ((0, body), (1, edits(kind, rng, body, identity))):
+            rows.append((2 * i + n, " ".join(prose(rng, 40) + part + prose(rng, 40))))
+    got = passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    found = {(r.doc_id, r.partner) for r in got.itertuples()}
+    recall = sum((2 * i + 1, 2 * i) in found for i in range(pairs)) / pairs
+    print("recall", kind, identity, recall)
+    assert recall >= 0.9
+
+
+def test_passages_behind_excerpts(spark):
+    """Documents 1, 2, 890 and 891 hold 34 words of a passage that is whole in 500
+    and 900: the first and the nearest holders of its short seeds are excerpts."""
+    for seed in range(3):
+        rng = random.Random(seed)
+        body = prose(rng, 60)
+        parts = {1: body[:34], 2: body[26:], 500: body, 890: body[:34], 891: body[26:], 900: body}
+        rows = [(i, " ".join(prose(rng, 30) + part + prose(rng, 30))) for i, part in parts.items()]
+        got = passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert [(r.doc_id, r.partner) for r in got] == [(900, 500)]
+        assert (got[0].end - got[0].begin, got[0].identity) == (60, 1.0)
+
+
+@pytest.mark.parametrize("large,group", [(4, 500_000), (200_000, 50), (4, 50)])
+def test_passages_do_not_depend_on_sizes(spark, monkeypatch, large, group):
+    rng = random.Random(9)
+    common, rows = prose(rng, 55), []
+    for i in range(60):
+        body = list(common)
+        for _ in range(i % 3):
+            body[rng.randrange(55)] = "changed"
+        rows.append((i * 7, " ".join(prose(rng, 20) + body * (1 + (i % 20 == 0)) + prose(rng, 20))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    plain = sorted(passages.passages(docs).collect())
+    monkeypatch.setattr(passages, "LARGE", large)
+    monkeypatch.setattr(passages, "SAMPLED", 1)
+    monkeypatch.setattr(passages, "GROUP", group)
+    monkeypatch.setattr(passages, "RANGES", 5)
+    monkeypatch.setattr(passages, "REQUESTS", 3)
+    assert sorted(passages.passages(docs).collect()) == plain and len({r.doc_id for r in plain}) == 59
+
+
+def test_links_equal_brute_force(spark, monkeypatch):
+    """Every place of a seed is matched with the first place of its first
+    document and of the document before, by short and by long seeds."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice("abc") for _ in range(rng.randrange(70)))) for i in range(25)]
+    docs = spark.createDataFrame(rows, "doc long, text string")
+    held: dict[int, dict[int, list[int]]] = {}
+    for doc, text in rows:
+        key, at = passages.places(passages.words(text))
+        for p, h in sorted(zip(at.tolist(), key.tolist())):
+            held.setdefault(h, {}).setdefault(doc, []).append(p)
+    want, k, long = [], passages.K, passages.LONG
+    for h, where in held.items():
+        order = sorted(where)
+        for i, doc in enumerate(order[1:], 1):
+            for other in {order[0], order[i - 1]}:
+                for n, p in enumerate(where[doc]):
+                    q = where[other][n if n < len(where[other]) else 0]
+                    want += [(doc, other, p + s, q + s) for s in ([0, (long - k) // 2, long - k] if h & 1 else [0])]
+    for large in (200_000, 3):
+        monkeypatch.setattr(passages, "LARGE", large)
+        monkeypatch.setattr(passages, "SAMPLED", 1)
+        assert sorted(tuple(r) for r in passages.seed_matches(docs).collect()) == sorted(want)
+
+
 # --- 7 toxicity --------------------------------------------------------------------------
 
 def test_counterfactual_penalty_clears_neutral_mentions():
