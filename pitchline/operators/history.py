@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pitchline.functions.columns import prior_rows, safe_div
 from pitchline.operators.long_table import long_table, order_by
 from pitchline.operators.regroup import to_match_rows
+from pitchline.operators.segments import rows_per_segment
 
 VENUE_FEATURES = [
     "matches_before", "wins_last5", "win_rate", "draw_rate", "loss_rate",
@@ -96,11 +97,12 @@ def venue_history_segmented(lt: DataFrame, seg_rows: int, window: int = 5) -> Da
         safe_div("_wm", "_wmn").alias("win_margin_avg"), safe_div("_lm", "_lmn").alias("loss_margin_avg"))
 
 
-def venue_history(m: DataFrame, window: int = 5, seg_rows: int | None = None) -> DataFrame:
+def venue_history(m: DataFrame, window: int = 5, seg_rows: int | None | str = "auto") -> DataFrame:
     """One row per match with ``home_*`` and ``away_*`` venue features.
     ``seg_rows``: split team histories into segments of so many rows (see
-    ``pitchline.operators.segments``) where one team may hold much of the
-    table; the result is the same."""
+    ``pitchline.operators.segments``), None: never, "auto": where a team has
+    more than ``SEG_ROWS`` matches; the result is the same."""
+    seg_rows = rows_per_segment(m) if seg_rows == "auto" else seg_rows
     lt = long_table(m)
     vl = venue_history_segmented(lt, seg_rows, window) if seg_rows else venue_history_long(lt, window)
     return to_match_rows(vl, VENUE_FEATURES)

@@ -15,6 +15,7 @@ from pitchline.functions.columns import lag_columns, newer_count_columns, prior_
 from pitchline.operators.ewm import with_prior_ewm
 from pitchline.operators.long_table import long_table, order_by
 from pitchline.operators.regroup import to_match_rows
+from pitchline.operators.segments import rows_per_segment
 
 # Fixed values of the feature definitions.
 FATIGUE_LAMBDA = 0.1
@@ -184,9 +185,11 @@ def long_features(lt: DataFrame, seg_rows: int | None = None, weights: str = "su
     return out.select(*keep, *LONG_FEATURES)
 
 
-def match_features(m: DataFrame, seg_rows: int | None = None, weights: str = "suffix", ignore_na: bool = False, **elo_kw) -> DataFrame:
+def match_features(m: DataFrame, seg_rows: int | None | str = "auto", weights: str = "suffix", ignore_na: bool = False, **elo_kw) -> DataFrame:
     """J1 + P24: per match, ``home_*`` and ``away_*`` momentum features and
-    the 28 home-minus-away differences (NULL when either side is NULL)."""
+    the 28 home-minus-away differences (NULL when either side is NULL).
+    ``seg_rows``: as in ``venue_history``."""
+    seg_rows = rows_per_segment(m) if seg_rows == "auto" else seg_rows
     from pitchline.operators.elo import with_elo
     lf = long_features(long_table(with_elo(m, **elo_kw)), seg_rows, weights, ignore_na)
     wide = to_match_rows(lf, LONG_FEATURES)

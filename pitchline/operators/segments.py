@@ -14,8 +14,8 @@ then run on ``partitionBy(key, _seg).orderBy(_pos)``:
 * halo rows are dropped at the end.
 
 Work per task is bounded by ``seg_rows + halo`` whatever the key skew; the
-copies cost ``halo / seg_rows`` extra rows.  Callers choose ``seg_rows`` (None:
-plain windows); both forms give the same rows, NULL keys included.
+copies cost ``halo / seg_rows`` extra rows.  ``rows_per_segment`` tells whether a
+table needs segments; plain windows give the same rows, NULL keys included.
 """
 
 from __future__ import annotations
@@ -26,6 +26,19 @@ from pyspark.sql import functions as F
 from pitchline.operators.long_table import order_by
 from pitchline.operators.splits import positional_index
 
+SEG_ROWS = 1_000_000         # matches of one team that a window task may hold
+
+
+def rows_per_segment(m: DataFrame, limit: int = SEG_ROWS) -> int | None:
+    """``limit`` if a team has more matches than that in the match table ``m``,
+    else None.  Nothing is grouped where the whole table is no larger."""
+    sides = m.select(F.explode(F.array("home_team", "away_team")).alias("team"))
+    if m.count() <= limit or sides.groupBy("team").count().agg(F.max("count")).head()[0] <= limit:
+        return None
+    return limit
+
+
+
 def segment(df: DataFrame, keys, seg_rows: int, halo: int, order: list[Column] | None = None) -> DataFrame:
     """Add ``_pos`` (0-based position within ``keys``), ``_seg`` and
     ``_halo`` (copy of an earlier segment's tail)."""

@@ -43,7 +43,9 @@ def q_long_features(spark, sf_dir):
     from pitchline.operators.elo import with_elo
     from pitchline.operators.long_table import long_table
     from pitchline.operators.momentum import LONG_FEATURES, long_features
-    lf = long_features(long_table(with_elo(matches(spark, sf_dir))))
+    from pitchline.operators.segments import rows_per_segment
+    m = matches(spark, sf_dir)
+    lf = long_features(long_table(with_elo(m)), rows_per_segment(m))
     return finish(lf.select("match_id", "is_home", "team", *LONG_FEATURES))
 
 

@@ -182,3 +182,18 @@ def test_segmented_momentum_equal_plain(spark, sf_small):
     a = long_features(lt, seg_rows=None).select(*cols).toPandas().sort_values(["match_id", "is_home"]).reset_index(drop=True)
     b = long_features(lt, seg_rows=13).select(*cols).toPandas().sort_values(["match_id", "is_home"]).reset_index(drop=True)
     pd.testing.assert_frame_equal(a, b, check_dtype=False, atol=1e-10)
+
+
+def test_segments_are_chosen_by_the_largest_team(spark, monkeypatch):
+    from pitchline.operators import history, momentum
+    from pitchline.operators.segments import rows_per_segment
+    m = edge_matches(spark)
+    most = max(r["count"] for r in long_table(m).groupBy("team").count().collect())
+    assert rows_per_segment(m) is None and rows_per_segment(m, most) is None and rows_per_segment(m, most - 1) == most - 1
+    assert rows_per_segment(m.where("false")) is None
+    plain = [history.venue_history(m).toPandas(), momentum.match_features(m).toPandas()]
+    for mod in (history, momentum):
+        monkeypatch.setattr(mod, "rows_per_segment", lambda m: 9)
+    for a, b in zip(plain, [history.venue_history(m).toPandas(), momentum.match_features(m).toPandas()]):
+        a, b = (d.sort_values("match_id").reset_index(drop=True) for d in (a, b))
+        pd.testing.assert_frame_equal(a, b[a.columns], check_dtype=False, atol=1e-10)
