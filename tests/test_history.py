@@ -197,3 +197,20 @@ def test_segments_are_chosen_by_the_largest_team(spark, monkeypatch):
     for a, b in zip(plain, [history.venue_history(m).toPandas(), momentum.match_features(m).toPandas()]):
         a, b = (d.sort_values("match_id").reset_index(drop=True) for d in (a, b))
         pd.testing.assert_frame_equal(a, b[a.columns], check_dtype=False, atol=1e-10)
+
+
+def test_volatility_needs_no_frame_of_its_own(spark):
+    """The standard deviation comes from the lags; null and lone values as in the frame."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    from pitchline.functions.columns import prior_std
+    from pitchline.operators.long_table import long_table, order_by
+    from pitchline.operators.momentum import long_features
+    lt = long_table(edge_matches(spark))
+    w = Window.partitionBy("team").orderBy(*order_by())
+    wanted = {(r[0], r[1]): r[2] for r in lt.select("match_id", "is_home", prior_std("goal_diff", 5, w)).collect()}
+    got = {(r[0], r[1]): r[2] for r in long_features(lt).select("match_id", "is_home", "mom_volatility_5").collect()}
+    assert got.keys() == wanted.keys()
+    assert all((got[k] is None) == (v is None) and (v is None or abs(got[k] - v) < 1e-9) for k, v in wanted.items())
+    plan = long_features(lt)._jdf.queryExecution().optimizedPlan().toString()
+    assert "stddev_pop" not in plan
