@@ -12,14 +12,14 @@ executor rereads a file.
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import functions as F
 
-from pitchline.operators.fitting import Fitted, Packed, draw, matrix, softmax, task_sums
-from pitchline.operators.trees import BINS, best, binned, cut_points, empty_tree, walk
+from pitchline.operators.fitting import Fitted, Packed, draw, matrix, row_bytes, softmax, task_sums
+from pitchline.operators.trees import BINS, best, binned, cut_points, empty_tree, reached, walk
 from pitchline.session import remove_scratch, scratch_path
 
 REWRITE = 20
+FLAT = 4                       # depth up to which every cut of a tree is tried on all rows
 MIN_HESSIAN = 1e-16
 SEED_STREAMS = 1_000_003
 
@@ -67,16 +67,17 @@ def fit_boosted(data: Packed, n_estimators: int = 100, max_depth: int = 2, learn
     spark, k, p = data.rows.sparkSession, len(data.classes), len(data.features)
     cuts, _ = cut_points(data.rows, p, bins)
     width = max((len(c) for c in cuts), default=0) + 1
-    rows, path = binned(data, cuts, {"m": F.array(*[F.lit(0.0)] * k)})
+    rows, path = binned(data, cuts, {"m": F.lit(bytes(8 * k))})
     rounds: list[list[dict]] = []
     losses, stored_upto = [], 0
     eye = np.eye(k)
 
     def margins(batch, upto):
-        m, b = matrix(batch.column("m"), k).copy(), matrix(batch.column("b"), p)
+        """Margins of the rows, and their bins with a line per feature."""
+        m, b = matrix(batch.column("m"), k).copy(), np.ascontiguousarray(matrix(batch.column("b"), p, np.int16).T)
         for trees in rounds[upto:]:
             for c, t in enumerate(trees):
-                m[:, c] += learning_rate * np.asarray(t["weight"])[walk(t, b, "bin", max_depth)]
+                m[:, c] += learning_rate * (reached(t, b, t["weight"], max_depth) if max_depth <= FLAT else np.asarray(t["weight"])[walk(t, b.T, "bin", max_depth)])
         return m, b
 
     for number in range(n_estimators):
@@ -95,11 +96,11 @@ def fit_boosted(data: Packed, n_estimators: int = 100, max_depth: int = 2, learn
                 g, h = (prob - eye[y]) * w[:, None], np.maximum(2 * prob * (1 - prob) * w[:, None], MIN_HESSIAN)
                 out = np.zeros((k, nodes, m_cols, width, 2))
                 for c in range(k):
-                    node = walk(trees[c], b, "bin", level) - first
+                    node = walk(trees[c], b.T, "bin", level) - first
                     used = np.flatnonzero((draw(ids, stream(random_state, number * k + c)) < subsample) & (node >= 0))
                     gc, hc, nc = g[used, c], h[used, c], node[used] * width
                     for i, f in enumerate(cols[c]):
-                        at = nc + b[used, f]
+                        at = nc + b[f][used]
                         out[c, :, i, :, 0] = np.bincount(at, gc, nodes * width).reshape(nodes, width)
                         out[c, :, i, :, 1] = np.bincount(at, hc, nodes * width).reshape(nodes, width)
                 loss = -(w * np.log(prob[np.arange(len(y)), y])).sum()
@@ -135,9 +136,8 @@ def fit_boosted(data: Packed, n_estimators: int = 100, max_depth: int = 2, learn
             def advance(batches):
                 for batch in batches:
                     m, _ = margins(batch, upto)
-                    ends = pa.array(np.arange(batch.num_rows + 1) * k, pa.int32())
                     at = batch.schema.get_field_index("m")
-                    yield batch.set_column(at, "m", pa.ListArray.from_arrays(ends, pa.array(m.ravel())))
+                    yield batch.set_column(at, "m", row_bytes(m))
 
             new = scratch_path(spark, "boosted")
             rows.mapInArrow(advance, rows.schema).write.parquet(new)

@@ -3,9 +3,9 @@ hash draws and the fitted model itself.
 
 A fit reads one packed table (row id, class index, weight, feature array), written
 once under the checkpoint folder.  Every step of a fit adds up one fixed-length
-vector per task (a gradient, a Hessian, histograms) in Arrow batches; the vectors
-meet in a Spark aggregation and only their sum, whose length depends on features,
-classes and bins but never on rows, comes to the driver.
+vector per task (a gradient, a Hessian, histograms) in Arrow batches.  Their length
+depends on features, classes and bins but never on rows; a bounded number of them
+comes to the driver, where there are more tasks after another step of sums.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pitchline.session import remove_scratch, scratch_path
 
 MAX_CLASSES = 100
 PRIME = 2147483647
+FEW_PARTS = 64                 # vectors of tasks that the driver adds up
 
 
 def draw(ids, stream: int):
@@ -52,26 +53,43 @@ def draw_sql(id_sql: str, stream_sql: str) -> str:
     return f"(({c}) / {PRIME}e0)"
 
 
-def matrix(column: pa.Array, width: int) -> np.ndarray:
-    """Rows of an Arrow column of arrays of one length."""
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+def matrix(column: pa.Array, width: int, kind: type = np.float64) -> np.ndarray:
+    """Rows of an Arrow column of arrays of one length, or of their bytes."""
+    if not (pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)):
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    if not len(column) or not width:
+        return np.zeros((len(column), width), kind)
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32 if pa.types.is_binary(column.type) else np.int64)[column.offset]
+    return np.frombuffer(data, kind, len(column) * width, int(at)).reshape(-1, width)
+
+
+def row_bytes(values: np.ndarray) -> pa.Array:
+    """The rows of a matrix as bytes: one copy each on the way from and to Spark,
+    where an array takes one per element."""
+    ends = np.arange(len(values) + 1, dtype=np.int32) * (values.shape[1] * values.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(values), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
 
 
 def task_sums(rows: DataFrame, fn: Callable[[pa.RecordBatch], np.ndarray], width: int) -> np.ndarray:
-    """The sum of ``fn`` over all Arrow batches of ``rows``."""
+    """The sum of ``fn`` over all Arrow batches of ``rows``: a vector per task, of
+    which ``FEW_PARTS`` at most come to the driver; more are added up before."""
 
     def run(batches):
         total = np.zeros(width)
         for b in batches:
             if b.num_rows:
                 total += fn(b)
-        yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["v"])
+        yield pa.RecordBatch.from_arrays([row_bytes(total[None, :])], names=["v"])
+
+    def add(batches):
+        total = sum((matrix(b.column(0), width).sum(axis=0) for b in batches), np.zeros(width))
+        yield pa.RecordBatch.from_arrays([row_bytes(total[None, :])], names=["v"])
 
-    parts = rows.mapInArrow(run, "v array<double>").select(F.posexplode("v").alias("i", "v"))
-    out = np.zeros(width)
-    for r in parts.groupBy("i").agg(F.sum("v").alias("v")).collect():      # ``width`` rows
-        out[r["i"]] = r["v"]
-    return out
+    parts = rows.mapInArrow(run, "v binary")
+    if rows.rdd.getNumPartitions() > FEW_PARTS:
+        parts = parts.repartition(FEW_PARTS // 4).mapInArrow(add, "v binary")
+    return sum((np.frombuffer(r["v"]) for r in parts.collect()), np.zeros(width))
 
 
 @dataclass

@@ -77,7 +77,7 @@ def fit_forest(data: Packed, n_estimators: int = 100, max_depth: int = 4, min_sa
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                b = matrix(batch.column("b"), p)
+                b = matrix(batch.column("b"), p, np.int16)
                 ids, y, w = (batch.column(c).to_numpy() for c in ("id", "y", "w"))
                 for t in open_:
                     times = bag_counts(ids, random_state, t)

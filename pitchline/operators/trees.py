@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitchline.operators.fitting import Packed, matrix
+from pitchline.operators.fitting import Packed, matrix, row_bytes
 from pitchline.session import scratch_path
 
 BINS = 256
@@ -44,7 +44,7 @@ def cut_points(rows: DataFrame, p: int, bins: int = BINS) -> tuple[list[list[flo
 
 
 def binned(data: Packed, cuts: list[list[float]], extra: dict | None = None) -> tuple[DataFrame, str]:
-    """``data`` with bins (``b``) for its features, written anew, and its path;
+    """``data`` with bins (``b``, bytes) for its features, written anew, and its path;
     ``extra``: more columns."""
     p = len(data.features)
 
@@ -55,12 +55,10 @@ def binned(data: Packed, cuts: list[list[float]], extra: dict | None = None) ->
             for i in range(p):
                 b[:, i] = np.searchsorted(cuts[i], x[:, i], side="left")
                 b[np.isnan(x[:, i]), i] = 0
-            ends = pa.array(np.arange(len(x) + 1) * p, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), batch.column("w"), pa.ListArray.from_arrays(ends, pa.array(b.ravel()))],
-                                             names=["id", "y", "w", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), batch.column("w"), row_bytes(b)], names=["id", "y", "w", "b"])
 
     path = scratch_path(data.rows.sparkSession, "binned")
-    done = data.rows.select("id", "y", "w", "x").mapInArrow(run, "id long, y int, w double, b array<smallint>")
+    done = data.rows.select("id", "y", "w", "x").mapInArrow(run, "id long, y int, w double, b binary")
     done.withColumns(extra or {}).write.parquet(path)
     return data.rows.sparkSession.read.parquet(path), path
 
@@ -77,6 +75,17 @@ def walk(tree: dict, values: np.ndarray, cut: str, depth: int) -> np.ndarray:
     return node
 
 
+def reached(tree: dict, columns: np.ndarray, values, depth: int, node: int = 0):
+    """``values`` of the node that each row reaches in ``depth`` steps, as
+    ``walk`` by bins; ``columns`` has a line per feature.  One comparison per
+    inner node over a whole line: shallow trees only."""
+    f = tree["feature"][node]
+    if f < 0 or not depth:
+        return values[node]
+    right = columns[f] > tree["bin"][node]
+    return np.where(right, reached(tree, columns, values, depth - 1, 2 * node + 2), reached(tree, columns, values, depth - 1, 2 * node + 1))
+
+
 def empty_tree(depth: int) -> dict:
     n = 2 ** (depth + 1) - 1
     return {"feature": [-1] * n, "bin": [0] * n, "value": [0.0] * n, "gain": [0.0] * n}

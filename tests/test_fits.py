@@ -262,3 +262,29 @@ def test_nulls_ties_and_saved_models(spark, noisy):
     one = fit(df.where(F.col(LABEL) == "H"), ["f0", "f1"], "random_forest", {"n_estimators": 2})
     assert {(r.y_pred, r.p_H) for r in predict(one, df).collect()} == {("H", 1.0)}
     assert logistic.probabilities(fit(df, ["f0"], "logistic_regression")) is not None
+
+
+def test_a_pass_is_one_stage_and_many_tasks_are_added_up(spark):
+    from pitchline.operators import fitting
+    rows = spark.range(0, 1000, 1, 3)
+    of = lambda b: np.array([b.num_rows, b.column(0).to_numpy().sum()], dtype=float)
+    spark.sparkContext.setJobGroup("one-pass", "")
+    assert fitting.task_sums(rows, of, 2).tolist() == [1000, 499500]
+    spark.sparkContext.setJobGroup("others", "")
+    tracker = spark.sparkContext.statusTracker()
+    assert sum(len(tracker.getJobInfo(j).stageIds) for j in tracker.getJobIdsForGroup("one-pass")) == 1
+    assert fitting.task_sums(spark.range(0, 1000, 1, fitting.FEW_PARTS + 1), of, 2).tolist() == [1000, 499500]
+
+
+def test_rows_as_bytes_and_trees_by_columns():
+    import pyarrow as pa
+    from pitchline.operators.fitting import matrix, row_bytes
+    from pitchline.operators.trees import reached, walk
+    rng = np.random.default_rng(3)
+    b = rng.integers(0, 9, (50, 4)).astype(np.int16)
+    assert (matrix(row_bytes(b).slice(7, 30), 4, np.int16) == b[7:37]).all()
+    x = rng.normal(size=(5, 3))
+    assert (matrix(row_bytes(x), 3) == matrix(pa.array(x.tolist(), pa.list_(pa.float64())), 3)).all()
+    tree = {"feature": [2, -1, 0, -1, -1, -1, -1], "bin": [4, 0, 3, 0, 0, 0, 0]}
+    values = np.arange(7.0)
+    assert (reached(tree, b.T, values, 2) == values[walk(tree, b, "bin", 2)]).all()
