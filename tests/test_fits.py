@@ -288,3 +288,41 @@ def test_rows_as_bytes_and_trees_by_columns():
     tree = {"feature": [2, -1, 0, -1, -1, -1, -1], "bin": [4, 0, 3, 0, 0, 0, 0]}
     values = np.arange(7.0)
     assert (reached(tree, b.T, values, 2) == values[walk(tree, b, "bin", 2)]).all()
+
+
+# ------------------------------------------------------------------ what a fit at size reads and sorts
+def test_cuts_sort_only_the_rows_near_them(spark, monkeypatch):
+    import datetime as dt
+
+    from pitchline.operators import splits
+    n = 20_000
+    when = lambda i: None if i % 997 == 0 else dt.datetime(2020, 1, 1) + dt.timedelta(minutes=i * 7919 % n // 3)
+    rows = [(when(i), None if i % 501 == 0 else i) for i in range(n)]
+    df = spark.createDataFrame(rows, "t timestamp, id long").repartition(4).cache()
+    last = lambda r: tuple((v is None, v if v is not None else 0 if j else dt.datetime.min) for j, v in enumerate(r))
+    order = sorted(rows, key=last)
+    sorted_rows, plain = [], splits.positional_index
+    monkeypatch.setattr(splits, "positional_index", lambda d, *a, **k: sorted_rows.append(d.count()) or plain(d, *a, **k))
+    at = [0, 1, int(n * 0.7), int(n * 0.85), n - 30]
+    assert [tuple(r.values()) for r in splits.keys_at(df, ["t", "id"], n, at)] == [order[a] for a in at]
+    assert max(sorted_rows) < n // 20
+    assert [r and tuple(r.values()) for r in splits.keys_at(df, ["t", "id"], n, [n - 1, n])] == [order[-1], None]       # a null time: all are sorted
+    got = {(r[0], r[1]): r[2] for r in splits.split_labels(df, ["t", "id"]).collect()}
+    assert all(got[r] == ("train" if i < at[2] else "val" if i < at[3] else "test") for i, r in enumerate(order))
+
+
+def test_passes_read_bytes_and_draws_are_kept(spark, noisy):
+    from pitchline.operators.fitting import matrix, pack
+    from pitchline.operators.trees import binned, cut_points
+    x, label = noisy
+    df = spark.createDataFrame([(i, *map(float, r), c) for i, (r, c) in enumerate(zip(x, label))], "match_id long, f0 double, f1 double, f2 double, target_match_result string")
+    data = pack(df, ["f0", "f1", "f2"], "target_match_result", True, True)
+    t = data.rows.select("x", "xb").toArrow()
+    assert (matrix(t["xb"].combine_chunks(), 3) == matrix(t["x"].combine_chunks(), 3)).all()
+    cuts, _ = cut_points(data.rows, 3)
+    rows, _ = binned(data, cuts, drawn=lambda ids: np.column_stack([forest.bag_counts(ids, 42, i) for i in range(5)]), parts=3)
+    t = rows.select("id", "n").toArrow()
+    ids = t["id"].to_numpy()
+    assert sorted(ids.tolist()) == list(range(400))
+    assert (matrix(t["n"].combine_chunks(), 5, np.uint8) == np.column_stack([forest.bag_counts(ids, 42, i) for i in range(5)])).all()
+    data.close()
