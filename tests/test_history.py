@@ -214,3 +214,37 @@ def test_volatility_needs_no_frame_of_its_own(spark):
     assert all((got[k] is None) == (v is None) and (v is None or abs(got[k] - v) < 1e-9) for k, v in wanted.items())
     plan = long_features(lt)._jdf.queryExecution().optimizedPlan().toString()
     assert "stddev_pop" not in plan
+
+
+def test_ewm_passes_stream_arrow_rows():
+    """The scans take bare Arrow batches: a segment's summary and states do not depend
+    on how its rows are cut into batches, and other columns pass through untouched."""
+    import pyarrow as pa
+    from pitchline.operators import ewm
+    rng = np.random.default_rng(3)
+    n, specs, keys = 400, [("x", "e")], ["team"]
+    x = [None if v < 0.3 else float(v) for v in rng.random(n)]
+    x[40:90] = [None] * 50                                      # whole segments without a value
+    team = [None if i < 20 else "A" if i < 210 else "B" for i in range(n)]
+    seg = [i // 13 for i in range(n)]
+    rows = pa.RecordBatch.from_arrays([pa.array(team), pa.array(seg), pa.array(x, pa.float64()), pa.array(range(n))], names=["team", "_seg", "x", "id"])
+    sums = pa.schema([("team", pa.string()), ("_seg", pa.int64()), ("x__n_lead", pa.int64()), ("x__x1", pa.float64()),
+                      ("x__P", pa.float64()), ("x__R", pa.float64()), ("x__g_end", pa.int64())])
+    states = pa.schema([("team", pa.string()), ("_seg", pa.int64()), ("_y0_x", pa.float64()), ("_g0_x", pa.int64())])
+    want = pd.Series(x, dtype="float64").groupby(pd.Series(team).fillna("-")).transform(
+        lambda v: v.ewm(span=5, adjust=False).mean().shift(1)).to_numpy()
+    for size in (1, 7, 1000):
+        cut = lambda b: [b.slice(i, size) for i in range(0, b.num_rows, size)]
+        plain = pa.Table.from_batches(ewm._scan(specs, 5, keys, False)(cut(rows))).to_pandas()
+        np.testing.assert_allclose(plain.e, want, rtol=1e-12)
+        assert plain.id.tolist() == list(range(n))
+        summed = pa.Table.from_batches(ewm._segment_summary(specs, 5, keys, False, sums)(cut(rows)), sums).combine_chunks()
+        assert summed.num_rows == len(set(zip(team, seg)))
+        before = pa.Table.from_batches(ewm._incoming_states(specs, 5, keys, False, states)(cut(summed.to_batches()[0])), states).to_pandas()
+        seeds = {(None if pd.isna(t) else t, s): (y, g) for t, s, y, g in before.itertuples(index=False)}
+        y0, g0 = zip(*[seeds[k] for k in zip(team, seg)])
+        seeded = pa.RecordBatch.from_arrays([*rows.columns, pa.array(y0, pa.float64(), from_pandas=True), pa.array(g0, pa.int64())],
+                                            names=[*rows.schema.names, "_y0_x", "_g0_x"])
+        got = pa.Table.from_batches(ewm._scan(specs, 5, [*keys, "_seg"], False, seeded=True)(cut(seeded)))
+        assert got.column_names == ["team", "_seg", "x", "id", "e"]
+        np.testing.assert_allclose(got.to_pandas().e, want, rtol=1e-12)
