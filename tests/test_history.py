@@ -248,3 +248,16 @@ def test_ewm_passes_stream_arrow_rows():
         got = pa.Table.from_batches(ewm._scan(specs, 5, [*keys, "_seg"], False, seeded=True)(cut(seeded)))
         assert got.column_names == ["team", "_seg", "x", "id", "e"]
         np.testing.assert_allclose(got.to_pandas().e, want, rtol=1e-12)
+
+
+def test_momentum_second_route_keeps_no_copy_of_the_table(spark, sf_small):
+    """It agrees with the features, and its segments come from the team window: no
+    sorted copy of the whole table is written for them."""
+    from pitchline.operators.momentum import LONG_FEATURES
+    from pitchline.operators.quality import feature_mismatches, momentum_recomputed
+    lt = long_table(matches(spark, sf_small).where("match_id % 5 = 0"))
+    again = momentum_recomputed(lt)
+    assert set(LONG_FEATURES) < set(again.columns)
+    assert "LogicalRDD" not in again._jdf.queryExecution().optimizedPlan().toString()
+    assert again.count() == lt.count()
+    assert feature_mismatches(long_features(lt), again, ["match_id", "is_home"], LONG_FEATURES).count() == 0
