@@ -459,6 +459,62 @@ def test_links_equal_brute_force(spark, monkeypatch):
         assert sorted(tuple(r) for r in passages.seed_matches(docs).collect()) == sorted(want)
 
 
+def test_all_pairs_of_rare_seeds_equal_brute_force(spark, monkeypatch):
+    """Seeds of few documents and long seeds are matched in all pairs, the others as stars."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice("abc") for _ in range(rng.randrange(70)))) for i in range(25)]
+    copied = rows[-1][1]
+    rows += [(100 + i, f"{copied} {i}") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc long, text string")
+    held: dict[int, dict[int, list[int]]] = {}
+    for doc, text in rows:
+        key, at = passages.places(passages.words(text))
+        for p, h in sorted(zip(at.tolist(), key.tolist())):
+            held.setdefault(h, {}).setdefault(doc, []).append(p)
+    want, k, long, pairs = [], passages.K, passages.LONG, 5
+    for h, where in held.items():
+        order = sorted(where)
+        for i, doc in enumerate(order[1:], 1):
+            for other in order[:i] if h & 1 or len(order) <= pairs else {order[0], order[i - 1]}:
+                for n, p in enumerate(where[doc]):
+                    q = where[other][n if n < len(where[other]) else 0]
+                    want += [(doc, other, p + s, q + s) for s in ([0, (long - k) // 2, long - k] if h & 1 else [0])]
+    for large, sliced in ((200_000, 500_000), (3, 20)):
+        monkeypatch.setattr(passages, "LARGE", large)
+        monkeypatch.setattr(passages, "SLICE", sliced)
+        monkeypatch.setattr(passages, "SAMPLED", 1)
+        assert sorted(tuple(r) for r in passages.seed_matches(docs, pairs=pairs).collect()) == sorted(want)
+
+
+def test_passages_behind_long_excerpts(spark):
+    """As ``test_passages_behind_excerpts``, with excerpts of 48 words: they hold
+    every long seed of the passage too."""
+    for seed in (1, 2, 4):
+        rng = random.Random(seed)
+        body = prose(rng, 60)
+        parts = {1: body[:48], 2: body[12:], 500: body, 890: body[:48], 891: body[12:], 900: body}
+        rows = [(i, " ".join(prose(rng, 30) + part + prose(rng, 30))) for i, part in parts.items()]
+        got = passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert (900, 500, 60, 1.0) in [(r.doc_id, r.partner, r.end - r.begin, r.identity) for r in got]
+
+
+@pytest.mark.parametrize("large", [200_000, 10])
+def test_passages_of_frequent_long_seeds(spark, monkeypatch, large):
+    """Where long seeds are too frequent for all pairs, every holder of 50 equal
+    words has the first holder as a partner."""
+    monkeypatch.setattr(passages, "SAMPLED", 1)
+    monkeypatch.setattr(passages, "PAIRS", 3)
+    monkeypatch.setattr(passages, "LONG_PAIRS", 12)
+    monkeypatch.setattr(passages, "LARGE", large)
+    body = prose(random.Random(7), 60)
+    parts = {i: body[:48] if i % 2 else body[12:] for i in range(40)} | {i: body for i in (10, 17, 28, 33)}
+    rng = random.Random(8)
+    rows = [(i, " ".join(prose(rng, 30) + part + prose(rng, 30))) for i, part in parts.items()]
+    got = passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    whole = {(r.doc_id, r.partner) for r in got if (r.end - r.begin, r.identity) == (60, 1.0)}
+    assert {(17, 10), (28, 10), (33, 10)} <= whole
+
+
 # --- 7 toxicity --------------------------------------------------------------------------
 
 def test_counterfactual_penalty_clears_neutral_mentions():
