@@ -515,6 +515,25 @@ def test_passages_of_frequent_long_seeds(spark, monkeypatch, large):
     assert {(17, 10), (28, 10), (33, 10)} <= whole
 
 
+@pytest.mark.parametrize("pairs,large,sliced", [(16, 200_000, 500_000), (3, 4, 50)])
+def test_links_of_frequent_seeds_are_whole(spark, monkeypatch, pairs, large, sliced):
+    """Documents 500 and 900 hold one passage with other edits; all its seeds are in
+    40 documents with parts of it, the first and the nearest holders of each."""
+    monkeypatch.setattr(passages, "PAIRS", pairs)
+    monkeypatch.setattr(passages, "LARGE", large)
+    monkeypatch.setattr(passages, "SLICE", sliced)
+    monkeypatch.setattr(passages, "SAMPLED", 1)
+    monkeypatch.setattr(passages, "RANGES", 3)
+    rng = random.Random(5)
+    body = prose(rng, 60)
+    parts = {i: body[:34] if i % 2 else body[26:] for i in (*range(20), *range(880, 900))}
+    for doc, at in ((500, (12, 36)), (700, (24, 48)), (900, (6, 30, 54))):
+        parts[doc] = [f"changed{doc}" if i in at else w for i, w in enumerate(body)]
+    rows = [(i, " ".join(prose(rng, 30) + part + prose(rng, 30))) for i, part in parts.items()]
+    got = passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(700, 500), (900, 500), (900, 700)} == {(r.doc_id, r.partner) for r in got}
+
+
 # --- 7 toxicity --------------------------------------------------------------------------
 
 def test_counterfactual_penalty_clears_neutral_mentions():
