@@ -326,3 +326,17 @@ def test_passes_read_bytes_and_draws_are_kept(spark, noisy):
     assert sorted(ids.tolist()) == list(range(400))
     assert (matrix(t["n"].combine_chunks(), 5, np.uint8) == np.column_stack([forest.bag_counts(ids, 42, i) for i in range(5)])).all()
     data.close()
+
+
+def test_passes_read_kept_blocks_on_all_cores(spark):
+    """Packed rows are spread over the cores; passes after the first read no file."""
+    from pitchline.operators import fitting
+    df = spark.range(20_000).coalesce(1).select(F.col("id").alias("match_id"), (F.col("id") % 7).cast("double").alias("f"), F.when(F.col("id") % 2 == 0, "H").otherwise("A").alias("y"))
+    data = fitting.pack(df, ["f"], "y", False, False)
+    assert data.rows.select(F.spark_partition_id()).distinct().count() == spark.sparkContext.defaultParallelism
+    of = lambda b: np.array([b.num_rows, b.column("id").to_numpy().sum()])
+    blocks = fitting.kept(data.rows.select("id"))
+    first = fitting.task_sums(blocks, of, 2).tolist()
+    data.close()
+    assert first == fitting.task_sums(blocks, of, 2).tolist() == [20_000, 199_990_000]
+    blocks.unpersist()
