@@ -261,3 +261,14 @@ def test_momentum_second_route_keeps_no_copy_of_the_table(spark, sf_small):
     assert "LogicalRDD" not in again._jdf.queryExecution().optimizedPlan().toString()
     assert again.count() == lt.count()
     assert feature_mismatches(long_features(lt), again, ["match_id", "is_home"], LONG_FEATURES).count() == 0
+
+
+def test_features_carry_only_columns_that_are_read(spark, sf_small):
+    """Names that the result lacks pass through neither exchange, scan nor written positions."""
+    from pitchline.operators.momentum import match_features
+    from pitchline.sources.tables import matches
+    m = matches(spark, sf_small)
+    for args in ({}, {"seg_rows": 211, "chunk_rows": 1000}):
+        plan = match_features(m, **args)._jdf.queryExecution().optimizedPlan().toString()
+        scans = [line for line in plan.splitlines() if "MapInArrow run(" in line and "match_density" in line]
+        assert scans and not any("season" in line or "opponent#" in line for line in scans)
